@@ -66,17 +66,19 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
     n = F.size("_words")
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(F.col("_words"), i, F.lit(WINDOW)))))
     out = out.withColumn("_hashes", F.coalesce(windows, F.array().cast("array<bigint>")))
-    return out.withColumns(
-        {
-            "n_words": n.cast("long"),
-            "word_chars": F.col("_bare").cast("long"),
-            "n_symbols": F.col("_symbols").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": _repeat_words(F.col("_hashes")).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_distinct": F.size(F.array_distinct("_words")).cast("long"),
-        }
-    ).drop("_words", "_lines", "_bare", "_symbols", "_hashes")
+    counts = {
+        "n_words": n,
+        "word_chars": F.col("_bare"),
+        "n_symbols": F.col("_symbols"),
+        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_repeat_words": _repeat_words(F.col("_hashes")),
+        "n_lines": F.size("_lines"),
+        "n_distinct": F.size(F.array_distinct("_words")),
+    }
+    # A generator is a barrier: filters on the counts are not pushed into it, which would
+    # put the expensive expressions, inlined, into the filter.
+    packed = F.array(F.struct(*[c.cast("long").alias(k) for k, c in counts.items()]))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(packed))
 
 
 def base_failed() -> Column:
