@@ -26,10 +26,12 @@ result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,14 +50,15 @@ MAP_BITS = 1 << 26
 FOLDED = 16
 
 
-def group_counts(hashes: np.ndarray) -> np.ndarray:
-    """The point of a set: its members per hash group; a power of two near an eighth of its size, at least 16."""
-    groups = max(FOLDED, 1 << max(0, (len(hashes) // 8 - 1).bit_length()))
+def group_counts(hashes: np.ndarray, share: float = 1 / 8) -> np.ndarray:
+    """The point of a set: its members per hash group; groups are a power of two near ``share`` of its size, at least 16."""
+    groups = max(FOLDED, 1 << max(0, (int(len(hashes) * share) - 1).bit_length()))
     return np.bincount((mix(hashes) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u2")
 
 
-def fold(point: np.ndarray, groups: int) -> np.ndarray:
-    return point.reshape(-1, groups).sum(0)
+def fold(points: np.ndarray, groups: int) -> np.ndarray:
+    """Points with fewer groups: groups that agree in their low bits are added up."""
+    return points.reshape(*points.shape[:-1], -1, groups).sum(-2)
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
@@ -69,15 +72,18 @@ class CountRTree:
 
     FANOUT = 16
 
-    def __init__(self, points: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> None:
-        self.points, self.sizes, self.num, self.den = points, sizes, num, den
-        folded = np.stack([fold(p.astype(np.int64), FOLDED) for p in points])
+    def __init__(self, points: list[np.ndarray], num: int, den: int) -> None:
+        self.num, self.den = num, den
+        self.groups = min(map(len, points))
+        self.points = np.stack([fold(p.astype(np.int32), self.groups) for p in points])
+        self.sizes = self.points.sum(1)
+        folded = fold(self.points, FOLDED)
         # Sort-tile: by size, then within slices by the widest coordinate.
-        order = np.argsort(sizes, kind="stable")
+        order = np.argsort(self.sizes, kind="stable")
         tile = self.FANOUT * self.FANOUT
         wide = int(folded.var(0).argmax())
         self.order = np.concatenate([s[np.argsort(folded[s, wide], kind="stable")] for s in np.split(order, range(tile, len(order), tile))])
-        level = (folded[self.order], sizes[self.order], sizes[self.order])
+        level = (folded[self.order], self.sizes[self.order], self.sizes[self.order])
         self.levels = [level]
         while len(level[0]) > 1:
             at = np.arange(0, len(level[0]), self.FANOUT)
@@ -86,8 +92,9 @@ class CountRTree:
 
     def search(self, point: np.ndarray) -> np.ndarray:
         """Members whose overlap with ``point`` may reach the threshold."""
+        point = point.astype(np.int32)
         n = int(point.sum())
-        q = fold(point.astype(np.int64), FOLDED)
+        q = fold(point, FOLDED)
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             upper, least, most = self.levels[depth]
@@ -99,7 +106,11 @@ class CountRTree:
             # |A & B| >= num / (num + den) * (|A| + |B|)
             nodes = nodes[np.minimum(upper[nodes], q).sum(1) * (self.num + self.den) >= self.num * (n + least[nodes])]
         found = self.order[nodes]
-        return found[[(self.num + self.den) * overlap_bound(self.points[i], point) >= self.num * (n + int(self.sizes[i])) for i in found]] if len(found) else found
+        if not len(found):
+            return found
+        groups = min(self.groups, len(point))
+        sums = np.minimum(fold(self.points[found], groups), fold(point, groups)).sum(1)
+        return found[(self.num + self.den) * sums >= self.num * (n + self.sizes[found])]
 
 
 SCAN = "doc_id bigint, n int, d1 bigint, d2 bigint, point binary, token bigint, times int"
@@ -201,21 +212,25 @@ def in_map(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bitmap[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def _sets_of(slim: DataFrame, size: int, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the documents in ``ids``, and of few others."""
+def _of_chosen(slim: DataFrame, size: int, ids: DataFrame, fine: bool) -> DataFrame:
+    """Of the documents in ``ids``, and of few others: (doc_id, set), or (doc_id, fine) with points of a group per shingle."""
     shared = slim.sparkSession.sparkContext.broadcast(membership_map(ids))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.compute.is_valid(b.column("doc_id")))
+            b = b.filter(pc.is_valid(b.column("doc_id")))
             if b.num_rows:
                 b = b.filter(pa.array(in_map(shared.value, b.column("doc_id").to_numpy())))
             if b.num_rows:
                 sets = [h for _, h in shingles(b.column("text"), size)]
-                offsets = np.concatenate([[0], np.cumsum(list(map(len, sets)))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["doc_id", "set"])
+                if fine:
+                    value = pa.array([group_counts(h, 1.0).tobytes() for h in sets], pa.binary())
+                else:
+                    offsets = np.concatenate([[0], np.cumsum(list(map(len, sets)))]).astype(np.int32)
+                    value = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), value], ["doc_id", "fine" if fine else "set"])
 
-    return slim.mapInArrow(rows, "doc_id bigint, set array<bigint>")
+    return slim.mapInArrow(rows, "doc_id bigint, fine binary" if fine else "doc_id bigint, set array<bigint>").dropDuplicates(["doc_id"])
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
@@ -237,7 +252,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFra
 
 def _verified(scratch: Scratch, pairs: DataFrame, slim: DataFrame, size: int, num: int, den: int) -> DataFrame:
     ids = pairs.select("a").union(pairs.select("b")).distinct()
-    sets = scratch.table(_sets_of(slim, size, ids).dropDuplicates(["doc_id"]), "sets")
+    sets = scratch.table(_of_chosen(slim, size, ids, False), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     # Each side is within 32 bits; the products are not.
@@ -245,46 +260,53 @@ def _verified(scratch: Scratch, pairs: DataFrame, slim: DataFrame, size: int, nu
     return both.where(den * F.col("i") >= num * (F.col("s") - F.col("i"))).select("a", "b")
 
 
-def _searched(scratch: Scratch, members: DataFrame, labels: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+def _searched(scratch: Scratch, members: DataFrame, labels: DataFrame, points: DataFrame, slim: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Further pairs: members in another component than their bucket's centre, with all other members.
 
-    Large buckets are dealt out in blocks; the searching members go to each of them.
+    Sets that link differ in size by the threshold at most, so a bucket falls into cells of
+    size classes; members stand in their own, and asking ones in it and both beside it. Only
+    cells with somebody to ask and another to find go on, with points fine enough to bound
+    the overlap closely. Large cells are dealt out in blocks, and the asking go to each.
     """
     label = labels.select(F.col("node").alias("doc_id"), "component")
     centre = labels.select(F.col("node").alias("centre"), F.col("component").alias("top"))
     m = members.where("times > 2 and doc_id <> centre").join(label, "doc_id", "left").join(centre, "centre", "left")
     m = m.withColumns({"component": F.coalesce("component", "doc_id"), "top": F.coalesce("top", "centre")})
-    m = scratch.table(m.select("token", "times", "doc_id", "component", (F.col("component") != F.col("top")).alias("asks")), "asking")
-    asked = m.groupBy("token").agg(F.max("asks").alias("asked"), F.count(F.lit(1)).alias("k")).where("asked and k > 1").select("token")
-    m = m.join(asked, "token").join(points, "doc_id")
-    blocks = F.ceil(F.col("times") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    stored = m.select("token", own.alias("block"), F.lit(False).alias("asks"), "doc_id", "component", "n", "point")
-    asking = m.where("asks").select("token", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "asks", "doc_id", "component", "n", "point")
-    dealt = stored.union(asking).repartition("token", "block").sortWithinPartitions("token", "block", "asks", "doc_id")
+    m = m.select("token", "doc_id", "component", (F.col("component") != F.col("top")).alias("asks")).join(points.select("doc_id", "n"), "doc_id")
+    m = scratch.table(m.withColumn("cell", F.floor(F.log("n") / (1.001 * math.log(den / num))).cast("int")) if num < den else m.withColumn("cell", F.lit(0)), "asking")
+    stored = m.select("token", "cell", F.lit(False).alias("asks"), "doc_id", "component")
+    asking = m.where("asks").select("token", F.explode(F.array(*[F.col("cell") + k for k in (-1, 0, 1)])).alias("cell"), "asks", "doc_id", "component")
+    dealt = scratch.table(stored.union(asking), "cells")
+    of = dealt.groupBy("token", "cell").agg(F.max("asks").alias("asked"), F.sum(F.when(F.col("asks"), 0).otherwise(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    of = of.where("asked and k > 0 and lo <> hi").select("token", "cell", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    dealt = scratch.table(dealt.join(of, ["token", "cell"]), "cells")
+    fine = scratch.table(_of_chosen(slim, size, dealt.select("doc_id").distinct(), True), "fine")
+    block = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")))
+    dealt = dealt.withColumn("block", F.explode(block)).join(fine, "doc_id").select("token", "cell", "block", "asks", "doc_id", "component", "fine")
+    dealt = dealt.repartition("token", "cell", "block").sortWithinPartitions("token", "cell", "block", "asks", "doc_id")
 
     def search(rows: list[dict]) -> Iterator[tuple[int, int]]:
         members = [r for r in rows if not r["asks"]]
         asking = [r for r in rows if r["asks"]]
         if not members or not asking:
             return
-        points = [np.frombuffer(r["point"], "<u2") for r in members]
-        tree = CountRTree(points, np.array([r["n"] for r in members], np.int64), num, den)
+        tree = CountRTree([np.frombuffer(r["fine"], "<u2") for r in members], num, den)
         for q in asking:
-            for i in tree.search(np.frombuffer(q["point"], "<u2")):
+            for i in tree.search(np.frombuffer(q["fine"], "<u2")):
                 if members[i]["component"] != q["component"]:
                     yield min(q["doc_id"], members[i]["doc_id"]), max(q["doc_id"], members[i]["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, found = None, [], set()
         for b in batches:
-            for r in b.to_pylist():
-                if (r["token"], r["block"]) != key:
-                    found.update(search(held))
-                    key, held = (r["token"], r["block"]), []
-                held.append(r)
-            yield _pairs(found)
-            found = set()
+            for at in range(0, b.num_rows, 512):
+                for r in b.slice(at, 512).to_pylist():
+                    if (r["token"], r["cell"], r["block"]) != key:
+                        found.update(search(held))
+                        key, held = (r["token"], r["cell"], r["block"]), []
+                    held.append(r)
+                yield _pairs(found)
+                found = set()
         found.update(search(held))
         yield _pairs(found)
 
@@ -319,7 +341,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, num: int = 90, den: int = 10
         pairs = scratch.table(_bounded(stars, points, num, den), "pairs")
         links = scratch.table(_verified(scratch, pairs, slim, size, num, den), "links")
         labels = components(links)
-        further = scratch.table(_searched(scratch, members, labels, points, num, den).join(pairs, ["a", "b"], "left_anti"), "further")
+        further = scratch.table(_searched(scratch, members, labels, points, slim, size, num, den).join(pairs, ["a", "b"], "left_anti"), "further")
         if not further.isEmpty():
             labels = components(links.union(_verified(scratch, further, slim, size, num, den)))
         by_class = classes.join(labels.withColumnRenamed("node", "first"), "first", "left").select("d1", "d2", "n", F.coalesce("component", "first").alias("component"))
