@@ -39,12 +39,13 @@ from .graph import components
 from .runtime import Scratch, materialize
 from .textscan import mix, shingles
 
-#: Frequent shingles that are told apart when prefixes are chosen (3 MB broadcast).
-HOT_TABLE = 1 << 18
-HOT_BUFFER = 3_000_000
+#: Frequent shingles that are told apart when prefixes are chosen (12 MB broadcast).
+HOT_TABLE = 1 << 20
+HOT_BUFFER = 5_000_000
 #: Centres that a bucket's members are compared with depend on so many classes of its shingle.
 CENTRES = 8
 BLOCK = 1_024
+FEW = 32
 #: Bits of the fixed-size membership map that keeps most other texts out of a pass.
 MAP_BITS = 1 << 26
 FOLDED = 16
@@ -121,7 +122,7 @@ def _scan(slim: DataFrame, size: int) -> DataFrame:
 
     def counted(buffer: list[np.ndarray]) -> pa.RecordBatch:
         tokens, times = np.unique(np.concatenate(buffer), return_counts=True)
-        often = times >= 3
+        often = times >= 2
         k = int(often.sum())
         arrays = [pa.nulls(k, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
         return pa.RecordBatch.from_arrays([*arrays, pa.array(tokens[often].view(np.int64)), pa.array(times[often].astype(np.int32))], ["doc_id", "n", "d1", "d2", "point", "token", "times"])
@@ -265,8 +266,10 @@ def _searched(scratch: Scratch, members: DataFrame, labels: DataFrame, points: D
 
     Sets that link differ in size by the threshold at most, so a bucket falls into cells of
     size classes; members stand in their own, and asking ones in it and both beside it. Only
-    cells with somebody to ask and another to find go on, with points fine enough to bound
-    the overlap closely. Large cells are dealt out in blocks, and the asking go to each.
+    cells with somebody to ask and another to find go on. In those of up to ``FEW`` members
+    the pairs are few and bounded one by one. Larger ones become R-trees of points fine
+    enough to bound the overlap closely; they are dealt out in blocks, and the asking go to
+    each.
     """
     label = labels.select(F.col("node").alias("doc_id"), "component")
     centre = labels.select(F.col("node").alias("centre"), F.col("component").alias("top"))
@@ -278,8 +281,13 @@ def _searched(scratch: Scratch, members: DataFrame, labels: DataFrame, points: D
     asking = m.where("asks").select("token", F.explode(F.array(*[F.col("cell") + k for k in (-1, 0, 1)])).alias("cell"), "asks", "doc_id", "component")
     dealt = scratch.table(stored.union(asking), "cells")
     of = dealt.groupBy("token", "cell").agg(F.max("asks").alias("asked"), F.sum(F.when(F.col("asks"), 0).otherwise(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    of = of.where("asked and k > 0 and lo <> hi").select("token", "cell", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    of = of.where("asked and k > 0 and lo <> hi").select("token", "cell", "k", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     dealt = scratch.table(dealt.join(of, ["token", "cell"]), "cells")
+    few = dealt.where(F.col("k") <= FEW)
+    asked = few.where("asks").select("token", "cell", F.col("doc_id").alias("q"), F.col("component").alias("cq"))
+    pairs = asked.join(few.where("not asks"), ["token", "cell"]).where("cq <> component").select(F.least("q", "doc_id").alias("a"), F.greatest("q", "doc_id").alias("b")).distinct()
+    pairs = _bounded(pairs, points, num, den)
+    dealt = dealt.where(F.col("k") > FEW)
     fine = scratch.table(_of_chosen(slim, size, dealt.select("doc_id").distinct(), True), "fine")
     block = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")))
     dealt = dealt.withColumn("block", F.explode(block)).join(fine, "doc_id").select("token", "cell", "block", "asks", "doc_id", "component", "fine")
@@ -310,7 +318,7 @@ def _searched(scratch: Scratch, members: DataFrame, labels: DataFrame, points: D
         found.update(search(held))
         yield _pairs(found)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return pairs.union(dealt.mapInArrow(run, "a bigint, b bigint")).distinct()
 
 
 def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
