@@ -42,9 +42,9 @@ from .textscan import chunks, prefix_hash, span_hash
 
 LENGTH = 100
 GRAM = 32
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Bytes of cut-out strings that are sorted at once.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 2 << 20
 PLACE_BITS = np.uint64((1 << 24) - 1)
 
 
