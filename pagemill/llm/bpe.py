@@ -24,11 +24,14 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import tidy
+
 LEAF_CHARS = 16_384
 WINDOW_CHARS = 64
 AGREE = 4
@@ -55,12 +58,8 @@ class Codec:
     """
 
     def __init__(self, vocabulary: bytes, ranks: bytes | None = None, leaf: int = LEAF_CHARS) -> None:
-        from tokenizers import Tokenizer
-
         self.leaf = leaf
-        self.tokenizer = Tokenizer.from_str(vocabulary.decode())
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.vocabulary = vocabulary
         spec = json.loads(vocabulary)
         letters = byte_alphabet()
         added = {x["id"]: x["content"] for x in spec["added_tokens"]}
@@ -79,6 +78,16 @@ class Codec:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
             self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={t: i for i, t in added.items()})
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_str(self.vocabulary.decode())
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def _encode_all(self, texts: list[str]) -> list[list[int]]:
         if self.fast and not any(map(WIDE.search, texts)):
             return [self.fast.encode(t, allowed_special="all") for t in texts]
@@ -235,4 +244,4 @@ def encode_decode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("n_tok
                 arrays = [pa.array([make[c](ids) for ids in coded], COLUMNS[c][0]) for c in columns]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *arrays], ["doc_id", *columns])
 
-    return slim.mapInArrow(rows, ", ".join(["doc_id bigint", *(f"{c} {COLUMNS[c][1]}" for c in columns)]))
+    return slim.mapInArrow(tidy(rows), ", ".join(["doc_id bigint", *(f"{c} {COLUMNS[c][1]}" for c in columns)]))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import materialize, tidy
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
@@ -96,7 +96,7 @@ def build_index(slim: DataFrame, terms: dict[bytes, int]) -> DataFrame:
                 arrays += [pa.array(x, pa.list_(pa.int32())) for x in (term_lists, count_lists, gap_lists)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "n_words", "terms", "counts", "gaps"])
 
-    return slim.mapInArrow(rows, INDEX)
+    return slim.mapInArrow(tidy(rows), INDEX)
 
 
 class Postings:
@@ -162,7 +162,7 @@ def look_up(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
             arrays = [b.column("doc_id"), b.column("digest"), b.column("n_words"), pa.array(starts, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "n_words", "starts", "lengths", "items"])
 
-    return index.mapInArrow(rows, "doc_id bigint, digest bigint, n_words int, starts array<int>, lengths array<int>, items array<string>")
+    return index.mapInArrow(tidy(rows), "doc_id bigint, digest bigint, n_words int, starts array<int>, lengths array<int>, items array<string>")
 
 
 def covered(starts: list[int], lengths: list[int]) -> int:
@@ -219,7 +219,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, per
             arrays = [b.column("doc_id"), pa.array(n_words), pa.array(hit), pa.array(map(len, items), pa.int64()), pa.array(digests, pa.string()), pa.array((hit > 0) & (100 * hit >= percent * n_words))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return matches.select("doc_id", "n_words", "starts", "lengths", "items").mapInArrow(rows, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    return matches.select("doc_id", "n_words", "starts", "lengths", "items").mapInArrow(tidy(rows), "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

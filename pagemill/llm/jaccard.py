@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .runtime import Scratch, materialize
+from .runtime import Scratch, materialize, tidy
 from .textscan import mix, shingles
 
 #: Frequent shingles that are told apart when prefixes are chosen (12 MB broadcast).
 HOT_TABLE = 1 << 20
-HOT_BUFFER = 5_000_000
+HOT_BUFFER = 3_000_000
 #: Centres that a bucket's members are compared with depend on so many classes of its shingle.
 CENTRES = 8
 BLOCK = 1_024
@@ -151,7 +151,7 @@ def _scan(slim: DataFrame, size: int) -> DataFrame:
         if buffer:
             yield counted(buffer)
 
-    return slim.mapInArrow(rows, SCAN)
+    return slim.mapInArrow(tidy(rows), SCAN)
 
 
 def _prefixes(slim: DataFrame, size: int, num: int, den: int, hot: pa.Table) -> DataFrame:
@@ -182,7 +182,7 @@ def _prefixes(slim: DataFrame, size: int, num: int, den: int, hot: pa.Table) ->
             flat = np.concatenate(out) if out else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], ["doc_id", "prefix"])
 
-    return slim.mapInArrow(rows, "doc_id bigint, prefix array<bigint>")
+    return slim.mapInArrow(tidy(rows), "doc_id bigint, prefix array<bigint>")
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
@@ -202,7 +202,7 @@ def membership_map(ids: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array((np.uint64(1) << (bits & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
 
     # At most MAP_BITS / 64 rows, however many ids there are.
-    table = ids.mapInArrow(words, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = ids.mapInArrow(tidy(words), "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(MAP_BITS // 64, np.uint64)
     out[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
     return out
@@ -231,7 +231,7 @@ def _of_chosen(slim: DataFrame, size: int, ids: DataFrame, fine: bool) -> DataFr
                     value = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), value], ["doc_id", "fine" if fine else "set"])
 
-    return slim.mapInArrow(rows, "doc_id bigint, fine binary" if fine else "doc_id bigint, set array<bigint>").dropDuplicates(["doc_id"])
+    return slim.mapInArrow(tidy(rows), "doc_id bigint, fine binary" if fine else "doc_id bigint, set array<bigint>").dropDuplicates(["doc_id"])
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
@@ -248,7 +248,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFra
             total = t.column("na").to_numpy().astype(np.int64) + t.column("nb").to_numpy()
             yield t.select(["a", "b"]).filter(pa.array((num + den) * sums >= num * total))
 
-    return sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(near, "a bigint, b bigint")
+    return sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(tidy(near), "a bigint, b bigint")
 
 
 def _verified(scratch: Scratch, pairs: DataFrame, slim: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -318,7 +318,7 @@ def _searched(scratch: Scratch, members: DataFrame, labels: DataFrame, points: D
         found.update(search(held))
         yield _pairs(found)
 
-    return pairs.union(dealt.mapInArrow(run, "a bigint, b bigint")).distinct()
+    return pairs.union(dealt.mapInArrow(tidy(run), "a bigint, b bigint")).distinct()
 
 
 def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:

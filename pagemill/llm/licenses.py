@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import tidy
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 MIN_MATCH = 4
 LONG_MATCH = 12
@@ -205,4 +207,4 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
             arrays = [pa.array([f[n] for f in found], SCHEMA.field(n).type) for n in SCHEMA.names[1:]]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *arrays], schema=SCHEMA)
 
-    return slim.mapInArrow(rows, DDL)
+    return slim.mapInArrow(tidy(rows), DDL)

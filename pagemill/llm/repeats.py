@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard import in_map, membership_map
-from .runtime import Scratch, materialize
+from .runtime import Scratch, materialize, tidy
 from .textscan import chunks, prefix_hash, span_hash
 
 LENGTH = 100
@@ -221,7 +221,7 @@ def _marks(slim: DataFrame) -> DataFrame:
                 cut = np.searchsorted(row, np.arange(to - at + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, to - at).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(mark.view(np.int64)))], ["doc_id", "marks"])
 
-    return slim.mapInArrow(rows, "doc_id bigint, marks array<bigint>")
+    return slim.mapInArrow(tidy(rows), "doc_id bigint, marks array<bigint>")
 
 
 def _picked(slim: DataFrame, ids: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def _picked(slim: DataFrame, ids: DataFrame) -> DataFrame:
             if b.num_rows:
                 yield b.filter(pa.array(in_map(shared.value, b.column("doc_id").to_numpy())))
 
-    return slim.mapInArrow(rows, "doc_id bigint, text string")
+    return slim.mapInArrow(tidy(rows), "doc_id bigint, text string")
 
 
 def _marked_runs(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -266,7 +266,7 @@ def _cut_out(marked: DataFrame) -> DataFrame:
                     starts.append(a)
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(strings, pa.binary()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64())], ["mark", "string", "doc_id", "start"])
 
-    return marked.mapInArrow(rows, "mark bigint, string binary, doc_id bigint, start bigint")
+    return marked.mapInArrow(tidy(rows), "mark bigint, string binary, doc_id bigint, start bigint")
 
 
 def _first_windows(cuts: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def _first_windows(cuts: DataFrame) -> DataFrame:
         if held:
             yield sorted_out(joined())
 
-    return dealt.mapInArrow(rows, "doc_id bigint, a bigint, b bigint")
+    return dealt.mapInArrow(tidy(rows), "doc_id bigint, a bigint, b bigint")
 
 
 def removed_mask(size: int, first: np.ndarray, last: np.ndarray, keep: list[tuple[int, int]], length: int = LENGTH) -> np.ndarray:
@@ -333,7 +333,7 @@ def _edited(marked: DataFrame) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return marked.mapInArrow(rows, "doc_id bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+    return marked.mapInArrow(tidy(rows), "doc_id bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
 
 
 def _edits(slim: DataFrame, bytes_too: bool) -> tuple[DataFrame, DataFrame]:

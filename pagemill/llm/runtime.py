@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +86,22 @@ class Scratch:
         sc._jvm.System.gc()
 
 
+def tidy(rows):
+    """``rows`` for ``mapInArrow``, giving freed memory back to the system at the task's end:
+    workers are used again, and what one operator had is not needed by the next."""
+
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also inside other lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import tidy
+
 MARK = "▁"
 UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 TABLE_ENTRIES = 65_536
@@ -107,7 +109,7 @@ def frequent_units(slim: DataFrame) -> list[str]:
         top = sorted(((n, u) for u, n in seen.items() if len(u) <= MAX_CHARS), reverse=True)[:TASK_ENTRIES]
         yield pa.RecordBatch.from_arrays([pa.array([u for _, u in top], pa.string()), pa.array([n for n, _ in top], pa.int64())], ["unit", "n"])
 
-    rows = slim.select("text").mapInArrow(summaries, "unit string, n bigint")
+    rows = slim.select("text").mapInArrow(tidy(summaries), "unit string, n bigint")
     top = rows.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(TABLE_ENTRIES)
     return [r.unit for r in top.collect()]
 
@@ -132,4 +134,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT, id_col: s
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return slim.mapInArrow(rows, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return slim.mapInArrow(tidy(rows), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import tidy
+
 ORDER = 2
 DECAY = 0.75
 GAP = 2
@@ -245,4 +247,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 ["doc_id", "held_out", "score", "predicted"],
             )
 
-    return slim.mapInArrow(rows, "doc_id bigint, held_out boolean, score double, predicted int")
+    return slim.mapInArrow(tidy(rows), "doc_id bigint, held_out boolean, score double, predicted int")
