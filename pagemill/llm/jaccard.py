@@ -46,6 +46,8 @@ HOT_BUFFER = 3_000_000
 CENTRES = 8
 BLOCK = 1_024
 FEW = 32
+#: Candidates of each component that a member of a large cell tries first; the rest only if these leave it apart.
+BEST = 4
 #: Bits of the fixed-size membership map that keeps most other texts out of a pass.
 MAP_BITS = 1 << 26
 FOLDED = 16
@@ -91,8 +93,8 @@ class CountRTree:
             level = (np.maximum.reduceat(level[0], at), np.minimum.reduceat(level[1], at), np.maximum.reduceat(level[2], at))
             self.levels.append(level)
 
-    def search(self, point: np.ndarray) -> np.ndarray:
-        """Members whose overlap with ``point`` may reach the threshold."""
+    def search(self, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Members whose overlap with ``point`` may reach the threshold, and their bounds."""
         point = point.astype(np.int32)
         n = int(point.sum())
         q = fold(point, FOLDED)
@@ -108,10 +110,11 @@ class CountRTree:
             nodes = nodes[np.minimum(upper[nodes], q).sum(1) * (self.num + self.den) >= self.num * (n + least[nodes])]
         found = self.order[nodes]
         if not len(found):
-            return found
+            return found, found
         groups = min(self.groups, len(point))
         sums = np.minimum(fold(self.points[found], groups), fold(point, groups)).sum(1)
-        return found[(self.num + self.den) * sums >= self.num * (n + self.sizes[found])]
+        near = (self.num + self.den) * sums >= self.num * (n + self.sizes[found])
+        return found[near], sums[near]
 
 
 SCAN = "doc_id bigint, n int, d1 bigint, d2 bigint, point binary, token bigint, times int"
@@ -261,15 +264,16 @@ def _verified(scratch: Scratch, pairs: DataFrame, slim: DataFrame, size: int, nu
     return both.where(den * F.col("i") >= num * (F.col("s") - F.col("i"))).select("a", "b")
 
 
-def _searched(scratch: Scratch, members: DataFrame, labels: DataFrame, points: DataFrame, slim: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Further pairs: members in another component than their bucket's centre, with all other members.
+def _searched(scratch: Scratch, members: DataFrame, labels: DataFrame, points: DataFrame, slim: DataFrame, size: int, num: int, den: int, most: int | None = None) -> DataFrame:
+    """Further pairs (a, b, more): members in another component than their bucket's centre, with all other members.
 
     Sets that link differ in size by the threshold at most, so a bucket falls into cells of
     size classes; members stand in their own, and asking ones in it and both beside it. Only
     cells with somebody to ask and another to find go on. In those of up to ``FEW`` members
     the pairs are few and bounded one by one. Larger ones become R-trees of points fine
     enough to bound the overlap closely; they are dealt out in blocks, and the asking go to
-    each.
+    each. With ``most``, an asking member gets only so many of the best of each component in
+    a block, and ``more`` tells that others were left for a later search.
     """
     label = labels.select(F.col("node").alias("doc_id"), "component")
     centre = labels.select(F.col("node").alias("centre"), F.col("component").alias("top"))
@@ -293,16 +297,20 @@ def _searched(scratch: Scratch, members: DataFrame, labels: DataFrame, points: D
     dealt = dealt.withColumn("block", F.explode(block)).join(fine, "doc_id").select("token", "cell", "block", "asks", "doc_id", "component", "fine")
     dealt = dealt.repartition("token", "cell", "block").sortWithinPartitions("token", "cell", "block", "asks", "doc_id")
 
-    def search(rows: list[dict]) -> Iterator[tuple[int, int]]:
+    def search(rows: list[dict]) -> Iterator[tuple[int, int, bool]]:
         members = [r for r in rows if not r["asks"]]
         asking = [r for r in rows if r["asks"]]
         if not members or not asking:
             return
         tree = CountRTree([np.frombuffer(r["fine"], "<u2") for r in members], num, den)
         for q in asking:
-            for i in tree.search(np.frombuffer(q["fine"], "<u2")):
+            found: dict[int, list[tuple[int, int]]] = {}
+            for i, bound in zip(*tree.search(np.frombuffer(q["fine"], "<u2")), strict=True):
                 if members[i]["component"] != q["component"]:
-                    yield min(q["doc_id"], members[i]["doc_id"]), max(q["doc_id"], members[i]["doc_id"])
+                    found.setdefault(members[i]["component"], []).append((-int(bound), members[i]["doc_id"]))
+            for own in found.values():
+                for _, x in sorted(own)[:most]:
+                    yield min(q["doc_id"], x), max(q["doc_id"], x), most is not None and len(own) > most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, found = None, [], set()
@@ -318,12 +326,13 @@ def _searched(scratch: Scratch, members: DataFrame, labels: DataFrame, points: D
         found.update(search(held))
         yield _pairs(found)
 
-    return pairs.union(dealt.mapInArrow(tidy(run), "a bigint, b bigint")).distinct()
+    return pairs.withColumn("more", F.lit(False)).union(dealt.mapInArrow(tidy(run), "a bigint, b bigint, more boolean")).groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+def _pairs(found: set[tuple[int, int, bool]]) -> pa.RecordBatch:
     ordered = sorted(found)
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in ordered], pa.int64()), pa.array([b for _, b in ordered], pa.int64())], ["a", "b"])
+    types = (pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in ordered], t) for k, t in enumerate(types)], ["a", "b", "more"])
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -349,9 +358,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, num: int = 90, den: int = 10
         pairs = scratch.table(_bounded(stars, points, num, den), "pairs")
         links = scratch.table(_verified(scratch, pairs, slim, size, num, den), "links")
         labels = components(links)
-        further = scratch.table(_searched(scratch, members, labels, points, slim, size, num, den).join(pairs, ["a", "b"], "left_anti"), "further")
-        if not further.isEmpty():
-            labels = components(links.union(_verified(scratch, further, slim, size, num, den)))
+        for most in (BEST, None):
+            further = scratch.table(_searched(scratch, members, labels, points, slim, size, num, den, most).join(pairs, ["a", "b"], "left_anti"), "further")
+            if further.isEmpty():
+                break
+            tested = further.select("a", "b")
+            links = scratch.table(links.union(_verified(scratch, tested, slim, size, num, den)), "links")
+            pairs = pairs.union(tested)
+            labels = components(links)
+            if further.where("more").isEmpty():
+                break
         by_class = classes.join(labels.withColumnRenamed("node", "first"), "first", "left").select("d1", "d2", "n", F.coalesce("component", "first").alias("component"))
         linked = known.where("n > 0").join(by_class, ["d1", "d2", "n"]).select("doc_id", "n", "component")
         alone = known.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
