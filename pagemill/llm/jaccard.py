@@ -363,7 +363,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, num: int = 90, den: int = 10
             if further.isEmpty():
                 break
             tested = further.select("a", "b")
-            links = scratch.table(links.union(_verified(scratch, tested, slim, size, num, den)), "links")
+            # What is known already goes on as one link from each node to its component.
+            joined = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            links = scratch.table(joined.union(_verified(scratch, tested, slim, size, num, den)), "links")
             pairs = pairs.union(tested)
             labels = components(links)
             if further.where("more").isEmpty():
