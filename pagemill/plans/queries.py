@@ -7,16 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.text import ellipsize, margin_key, normalise, safe_name, slug, token_estimate
 from ..operators import analysis as an
 from ..sources.tables import book_pages, csv_cell, lines, links, table, tsv_cell
-
-NORM = r"trim(regexp_replace({0}, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
-CLAUSE_LINES = """(SELECT 0 AS doc_id, r_regionkey * 5 AS page_no, 0 AS line_no, concat(r_regionkey + 1, ' Region ', r_name) AS text FROM region WHERE r_regionkey <> 2
- UNION ALL SELECT 0, n_regionkey * 5 + 1, n_nationkey, concat(n_regionkey + 1, '.', n_nationkey + 1, ' Nation ', n_name) FROM nation)"""
-
-
-def _clause_lines(spark, d):
-    r = table(spark, d, "region").where("r_regionkey <> 2").selectExpr("0 as doc_id", "r_regionkey * 5 as page_no", "0 as line_no", "concat(r_regionkey + 1, ' Region ', r_name) as text")
-    n = table(spark, d, "nation").selectExpr("0 as doc_id", "n_regionkey * 5 + 1 as page_no", "n_nationkey as line_no", "concat(n_regionkey + 1, '.', n_nationkey + 1, ' Nation ', n_name) as text")
-    return r.union(n)
+from . import structure
+from .fixtures import CLAUSE_LINES, NORM, clause_lines
 
 
 def _refs(spark, d):
@@ -28,12 +20,12 @@ def _points(spark, d):
     return table(spark, d, "lineitem").selectExpr("l_orderkey as key", "l_linenumber as ord", "l_quantity as x", "l_extendedprice / 1000 as y")
 
 
-QUERIES = {
+QUERIES = structure.QUERIES | {
     "phrase_hits": lambda s, d: an.search(table(s, d, "documents"), "of the").select("doc_id", "ord", "char_start"),
     "repeated_lines": lambda s, d: an.repeated_lines(book_pages(table(s, d, "documents")), 0.1),
     "margin_keys": lambda s, d: lines(table(s, d, "documents")).groupBy(margin_key(normalise(F.col("text"))).alias("line_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
-    "clause_tree": lambda s, d: an.clauses(_clause_lines(s, d)),
-    "reference_targets": lambda s, d: an.resolve_references(_refs(s, d), an.clauses(_clause_lines(s, d))),
+    "clause_tree": lambda s, d: an.clauses(clause_lines(s, d)),
+    "reference_targets": lambda s, d: an.resolve_references(_refs(s, d), an.clauses(clause_lines(s, d))),
     "page_ranges": lambda s, d: an.page_ranges(table(s, d, "events").selectExpr("user_id", "day(ts) as page"), "user_id", "page"),
     "polyline_measures": lambda s, d: an.polyline_measures(_points(s, d)),
     "latest_version": lambda s, d: an.latest(table(s, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "value"),
@@ -47,7 +39,7 @@ QUERIES = {
     ),
 }
 
-ORACLES = {
+ORACLES = structure.ORACLES | {
     "repeated_lines": f"""WITH p AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page_no, text FROM documents),
  n AS (SELECT book, count(*) AS n_pages FROM p WHERE {NORM.format('text')} <> '' GROUP BY 1),
  l AS (SELECT book, page_no, {NORM.format('line')} AS line FROM (SELECT book, page_no, unnest(string_split(text, chr(10))) AS line FROM p)),
