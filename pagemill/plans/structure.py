@@ -10,6 +10,7 @@ from ..functions.text import has_leader, normalise
 from ..operators import analysis as an
 from ..operators import chunks as ch
 from ..operators import pageops as po
+from ..operators import places as pl
 from ..sources.tables import book_pages, lines, table
 from .fixtures import CLAUSE_LINES, NORM, clause_lines
 
@@ -53,7 +54,36 @@ def _glyphs(s, d):
     return one.selectExpr("l_orderkey as key", "l_linenumber as ord", "cast(s % 40 as double) as x0", "s % 40 + 3.0D as x1", "cast(q as double) as y", "text")
 
 
+def _points_and_segments(s, d):
+    e = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"), F.min("l_partkey").alias("p"))
+    points = e.where("l_linenumber % 2 = 0").selectExpr("l_orderkey as key", "l_linenumber as pid", "cast(s as double) as x", "cast(q as double) as y")
+    return points, e.where("l_linenumber % 2 = 1").selectExpr("l_orderkey as key", "l_linenumber as sid", "cast(s as double) as x0", "cast(q as double) as y0", "cast(p % 100 as double) as x1", "cast(q + 10 as double) as y1")
+
+
+def _snapped(s, d):
+    got = pl.snap(*_points_and_segments(s, d), 6.0)
+    return got.select("key", "pid", "kind", F.round("distance", 4).alias("distance"))
+
+
+def _boxes(s, d):
+    points, segments = _points_and_segments(s, d)
+    return points.selectExpr("key", "pid", "x as x0", "y as y0", "x + 9 as x1", "y + 9 as y1"), segments.selectExpr("key", "least(x0, x1) as x0", "y0", "greatest(x0, x1) as x1", "y1")
+
+
+def _stamped(s, d):
+    """Pages with a stamp on nine of ten."""
+    return book_pages(table(s, d, "documents")).withColumn("text", F.expr("if(page_no % 10 = 9, text, 'Stamped  copy ' || book || '\n' || text)"))
+
+
 QUERIES = {
+    "snap_points": _snapped,
+    "free_boxes": lambda s, d: pl.without_overlap(*_boxes(s, d), "key").select("key", "pid"),
+    "watermarks": lambda s, d: pl.watermarks(_stamped(s, d)),
+    "stripped_pages": lambda s, d: pl.strip_lines(_stamped(s, d), pl.watermarks(_stamped(s, d))),
+    "running_titles": lambda s, d: pl.running_titles(_stamped(s, d)),
+    "lengths_in_units": lambda s, d: table(s, d, "orders").selectExpr("o_orderkey", "cast(o_orderkey % 500 as double) as pt", "concat('1:', o_custkey % 50) as t", "element_at(array('mm', 'cm', 'm', 'km', 'in', 'ft', 'pt'), cast(o_orderkey % 7 + 1 as int)) as unit").select("o_orderkey", F.round(pl.in_unit(F.col("pt"), pl.scale_of(F.col("t")), F.col("unit")), 6).alias("length")).where("not isnan(length)"),
+    "html_texts": lambda s, d: pl.to_html(lines(table(s, d, "documents")).selectExpr("doc_id", "0 as page_no", "line_no as ord", "line_no % 7 as depth", "text")),
+    "grid_csv": lambda s, d: pl.grid_text(po.table_grid(_glyphs(s, d), 1.0)),
     "page_profile": _profile,
     "quality_grades": _grades,
     "quality_by_label": _grades_by_label,
@@ -76,6 +106,9 @@ _GRADES = f"""SELECT doc_id, CASE WHEN a OR b OR c THEN 'suspect' WHEN d OR rege
  concat_ws(',', CASE WHEN a THEN 'unmapped' END, CASE WHEN b THEN 'unexpected' END, CASE WHEN c THEN 'duplicated' END, CASE WHEN d THEN 'table' END) AS issues FROM ({_GRADED})"""
 _CLAUSES = f"(SELECT number, page_no FROM (SELECT regexp_extract(text, '^([0-9.]+) ', 1) AS number, page_no FROM {CLAUSE_LINES}))"
 _TREE = f"(SELECT * FROM {_CLAUSES} UNION ALL SELECT split_part(number, '.', 1), min(page_no) FROM {_CLAUSES} WHERE split_part(number, '.', 1) NOT IN (SELECT number FROM {_CLAUSES}) GROUP BY 1)"
+_E = "(SELECT l_orderkey AS key, l_linenumber AS n, min(l_suppkey)::DOUBLE AS s, min(l_quantity)::DOUBLE AS q, (min(l_partkey) % 100)::DOUBLE AS p FROM lineitem GROUP BY 1, 2)"
+_PAIRS = f"(SELECT a.key, a.n AS pid, a.s AS x, a.q AS y, b.s AS x0, b.q AS y0, b.p AS x1, b.q + 10 AS y1, b.p - b.s AS dx FROM {_E} a JOIN {_E} b USING (key) WHERE a.n % 2 = 0 AND b.n % 2 = 1)"
+_STAMPED = "(SELECT book, page_no, CASE WHEN page_no % 10 = 9 THEN text ELSE 'Stamped  copy ' || book || chr(10) || text END AS text FROM (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page_no, text FROM documents))"
 
 
 def _count(test: str) -> str:
@@ -83,6 +116,18 @@ def _count(test: str) -> str:
 
 
 ORACLES = {
+    "snap_points": f"""WITH t AS (SELECT *, greatest(0, least(1, ((x - x0) * dx + (y - y0) * 10) / (dx * dx + 100))) AS t FROM {_PAIRS}),
+ c AS (SELECT key, pid, 0 AS kind, sqrt((x0 - x) ** 2 + (y0 - y) ** 2) AS d FROM t UNION ALL SELECT key, pid, 0, sqrt((x1 - x) ** 2 + (y1 - y) ** 2) FROM t
+ UNION ALL SELECT key, pid, 1, sqrt((x0 + dx / 2 - x) ** 2 + (y0 + 5 - y) ** 2) FROM t UNION ALL SELECT key, pid, 2, sqrt((x0 + t * dx - x) ** 2 + (y0 + t * 10 - y) ** 2) FROM t),
+ k AS (SELECT * FROM c WHERE d <= 6) SELECT key, pid, kind, round(min(d), 4) AS distance FROM k JOIN (SELECT key, pid, min(kind) AS kind FROM k GROUP BY 1, 2) USING (key, pid, kind) GROUP BY 1, 2, 3""",
+    "free_boxes": f"SELECT a.key, a.n AS pid FROM {_E} a WHERE a.n % 2 = 0 AND NOT EXISTS (SELECT 1 FROM {_PAIRS} b WHERE b.key = a.key AND b.pid = a.n AND x < greatest(x0, x1) AND least(x0, x1) < x + 9 AND y < y1 AND y0 < y + 9)",
+    "watermarks": f"""WITH p AS {_STAMPED}, c AS (SELECT book, line, count(DISTINCT page_no) AS on_pages FROM (SELECT book, page_no, {NORM.format("l")} AS line FROM (SELECT book, page_no, unnest(string_split(text, chr(10))) AS l FROM p)) WHERE length(line) >= 4 GROUP BY 1, 2)
+ SELECT book, line, on_pages, line AS label FROM c JOIN (SELECT book, count(*) AS n FROM p GROUP BY 1) USING (book) WHERE on_pages >= greatest(3, ceil(n * 0.8))""",
+    "stripped_pages": f"SELECT book, page_no, CASE WHEN page_no % 10 = 9 THEN text ELSE substr(text, length('Stamped  copy ' || book) + 2) END AS text FROM {_STAMPED}",
+    "running_titles": f"SELECT book, 'Stamped copy ' || book AS title, count(*) FILTER (page_no % 10 <> 9) AS on_pages FROM {_STAMPED} GROUP BY book",
+    "lengths_in_units": "SELECT o_orderkey, round((o_orderkey % 500) * (25.4::DOUBLE / 72) * (o_custkey % 50) / [1.0, 10.0, 1000.0, 1000000.0, 25.4, 304.8, 25.4::DOUBLE / 72][o_orderkey % 7 + 1]::DOUBLE, 6) AS length FROM orders WHERE o_custkey % 50 > 0",
+    "html_texts": """SELECT doc_id, string_agg('<' || g || '>' || replace(replace(replace(replace(l, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</' || g || '>', chr(10) ORDER BY k) AS html
+ FROM (SELECT doc_id, l, k, CASE WHEN k % 7 = 0 THEN 'p' ELSE 'h' || least(greatest(k % 7 + 1, 2), 6) END AS g FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents)) GROUP BY 1""",
     "page_profile": f"""SELECT doc_id, {_count("t = ''")} AS blank, {_count(f"regexp_matches(t, '{ln.LEADER}')")} AS leaders, {_count(f"regexp_matches(t, '{ln.ENTRY}')")} AS entries, {_count(f"regexp_matches(t, '{ln.PAGE_NUMBER}')")} AS page_numbers,
  {_count(f"regexp_matches(t, '{ln.CAPTION}')")} AS captions, {_count(f"regexp_matches(t, '{ln.BLOCK}')")} AS blocks, {_count(f"regexp_matches(t, '{ln.HEADING}') AND length(t) < 70 AND NOT ends_with(t, '.')")} AS headings,
  {_count(f"len(regexp_extract_all(t, '{ln.PROSE_WORD}')) >= 2")} AS prose, {_count(f"regexp_matches(' ' || t || ' ', '{ln.SENTENCE_LIKE}') OR (ends_with(t, '.') AND length(t) > 25)")} AS sentences
