@@ -10,6 +10,7 @@ from ..functions.text import has_leader, normalise
 from ..operators import analysis as an
 from ..operators import chunks as ch
 from ..operators import pageops as po
+from ..operators import phrases as ph
 from ..operators import places as pl
 from ..sources.tables import book_pages, lines, table
 from .fixtures import CLAUSE_LINES, NORM, clause_lines
@@ -76,6 +77,8 @@ def _stamped(s, d):
 
 
 QUERIES = {
+    "phrase_options": lambda s, d: ph.find_phrases(table(s, d, "documents"), "of the", whole_word=True),
+    "phrase_totals": lambda s, d: ph.search_totals(table(s, d, "documents"), ph.find_phrases(table(s, d, "documents"), "the")),
     "snap_points": _snapped,
     "free_boxes": lambda s, d: pl.without_overlap(*_boxes(s, d), "key").select("key", "pid"),
     "watermarks": lambda s, d: pl.watermarks(_stamped(s, d)),
@@ -116,6 +119,7 @@ def _count(test: str) -> str:
 
 
 ORACLES = {
+    "phrase_totals": "SELECT count(*) AS files, count(*) FILTER (n > 0) AS files_with_hits, sum(n)::BIGINT AS hits FROM (SELECT len(regexp_extract_all(text, '(?i:the)')) AS n FROM documents)",
     "snap_points": f"""WITH t AS (SELECT *, greatest(0, least(1, ((x - x0) * dx + (y - y0) * 10) / (dx * dx + 100))) AS t FROM {_PAIRS}),
  c AS (SELECT key, pid, 0 AS kind, sqrt((x0 - x) ** 2 + (y0 - y) ** 2) AS d FROM t UNION ALL SELECT key, pid, 0, sqrt((x1 - x) ** 2 + (y1 - y) ** 2) FROM t
  UNION ALL SELECT key, pid, 1, sqrt((x0 + dx / 2 - x) ** 2 + (y0 + 5 - y) ** 2) FROM t UNION ALL SELECT key, pid, 2, sqrt((x0 + t * dx - x) ** 2 + (y0 + t * 10 - y) ** 2) FROM t),

@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.analysis import search
+from ..operators.phrases import find_phrases
 
 
 def stream_search(spark: SparkSession, folder: str, schema: str, term: str) -> DataFrame:
     """Hits of a phrase in Parquet files as they arrive; stateless, append mode."""
     return search(spark.readStream.schema(schema).parquet(folder), term)
+
+
+def stream_totals(spark: SparkSession, folder: str, schema: str, term: str, files_a_batch: int = 1) -> DataFrame:
+    """Running totals of rows searched and of rows with the phrase; one row of state."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
+    return rows.agg(F.count(F.lit(1)).alias("searched"), F.count_if(F.contains(F.lower("text"), F.lit(term.lower()))).alias("with_hits"))
+
+
+def progressive_search(spark: SparkSession, folder: str, schema: str, term: str, on_hits: Callable[[DataFrame, int], None], checkpoint: str, every: str = "120 milliseconds", **options: bool) -> StreamingQuery:
+    """Every hit is passed on once, a batch at a time, as files arrive.
+
+    ``on_hits`` gets a batch and its number; after a failure a batch may come again under the same number.
+    """
+    hits = find_phrases(spark.readStream.schema(schema).parquet(folder), term, **options)
+    return hits.writeStream.foreachBatch(on_hits).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
