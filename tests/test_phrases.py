@@ -66,3 +66,12 @@ def test_table_texts_keep_gaps(spark):
     cells = spark.createDataFrame([(1, 0, 0, 'a"b'), (1, 0, 2, "c,d"), (1, 1, 1, "e\tf")], "key int, row int, col int, text string")
     assert pl.grid_text(cells).first().content == '"a""b",,"c,d"\r\n,e\tf,\r\n'
     assert pl.grid_text(cells, "tsv").first().content == 'a"b\t\tc,d\n\te f\t\n'
+
+
+def test_native_search_finds_as_many(spark):
+    from pagemill.operators.analysis import search
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    native = {r.doc_id: r["count"] for r in search(docs, "of the").groupBy("doc_id").count().collect()}
+    want = {r.doc_id: len(ph.occurrences(r.text or "", "of the")) for r in docs.collect()}
+    assert native == {k: n for k, n in want.items() if n} and native
