@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.geometry import crossing
 from ..functions.text import ellipsize, margin_key, normalise
 from ..sources.tables import csv_cell, tsv_cell
 
@@ -25,29 +26,50 @@ def scale_of(text: Column) -> Column:
     return F.when((n > 0) & (n < float("inf")), n)
 
 
+def _cells(lo: Column, hi: Column, tolerance: float, side: float) -> Column:
+    return F.sequence(F.floor((lo - tolerance) / side), F.floor((hi + tolerance) / side))
+
+
+def _listed(segments: DataFrame, tolerance: float, side: float) -> DataFrame:
+    """Segments in the cells of their boxes, widened by the tolerance."""
+    across = segments.withColumn("cx", F.explode(_cells(F.least("x0", "x1"), F.greatest("x0", "x1"), tolerance, side)))
+    return across.withColumn("cy", F.explode(_cells(F.least("y0", "y1"), F.greatest("y0", "y1"), tolerance, side)))
+
+
+def crossings(segments: DataFrame, side: float) -> DataFrame:
+    """Where two segments ``(key, sid, x0, y0, x1, y1)`` of a key cross.
+
+    Segments meet in cells of width ``side``; a crossing counts only in its own cell, so none comes twice.
+    """
+    listed = _listed(segments, side / 8, side).select("key", "cx", "cy", "sid", F.struct("x0", "y0", "x1", "y1").alias("s"))
+    other = listed.select("key", "cx", "cy", F.col("sid").alias("sid2"), F.col("s").alias("s2"))
+    met = listed.join(other, ["key", "cx", "cy"]).where("sid < sid2").withColumn("p", crossing("s", "s2"))
+    return met.where((F.floor(F.col("p.x") / side) == F.col("cx")) & (F.floor(F.col("p.y") / side) == F.col("cy"))).select("key", "sid", "sid2", "p.x", "p.y")
+
+
 def snap(points: DataFrame, segments: DataFrame, tolerance: float) -> DataFrame:
     """``(key, pid, x, y)`` to the best place of ``(key, sid, x0, y0, x1, y1)`` within the tolerance.
 
-    End points come before midpoints and these before the nearest place on a line, even where
-    farther. Segments are listed in the cells of their box, widened by the tolerance; cells are
-    eight tolerances wide, so a point meets only its own cell's segments.
+    End points (kind 0) come before crossings (1), these before midpoints (2) and the nearest
+    place on a line (3), even where farther. Segments are listed in the cells of their box,
+    widened by the tolerance; cells are eight tolerances wide, so a point meets only its own
+    cell's segments.
     """
     side = 8 * tolerance
-
-    def cells(a: str, b: str) -> Column:
-        return F.sequence(F.floor((F.least(a, b) - tolerance) / side), F.floor((F.greatest(a, b) + tolerance) / side))
-
-    listed = segments.withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", "y1")))
-    near = points.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)}).join(listed, ["key", "cx", "cy"])
+    at = points.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    near = at.join(_listed(segments, tolerance, side), ["key", "cx", "cy"])
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     square = dx * dx + dy * dy
     t = F.when(square == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy) / square)))
-    places = [(0, F.col("x0"), F.col("y0")), (0, F.col("x1"), F.col("y1")), (1, F.col("x0") + dx / 2, F.col("y0") + dy / 2), (2, F.col("x0") + t * dx, F.col("y0") + t * dy)]
+    places = [(0, F.col("x0"), F.col("y0")), (0, F.col("x1"), F.col("y1")), (2, F.col("x0") + dx / 2, F.col("y0") + dy / 2), (3, F.col("x0") + t * dx, F.col("y0") + t * dy)]
 
     def place(kind: int, px: Column, py: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.sqrt((px - F.col("x")) ** 2 + (py - F.col("y")) ** 2).alias("distance"), px.alias("sx"), py.alias("sy"))
 
-    each = near.select("key", "pid", F.explode(F.array(*[place(*p) for p in places])).alias("p")).where(F.col("p.distance") <= tolerance)
+    spots = crossings(segments, side).select("key", F.col("x").alias("px"), F.col("y").alias("py"))
+    spots = spots.withColumn("cx", F.explode(_cells(F.col("px"), F.col("px"), tolerance, side))).withColumn("cy", F.explode(_cells(F.col("py"), F.col("py"), tolerance, side)))
+    crossed = at.join(spots, ["key", "cx", "cy"]).select("key", "pid", place(1, F.col("px"), F.col("py")).alias("p"))
+    each = near.select("key", "pid", F.explode(F.array(*[place(*p) for p in places])).alias("p")).unionByName(crossed).where(F.col("p.distance") <= tolerance)
     best = each.groupBy("key", "pid").agg(F.min("p").alias("p"))
     return best.select("key", "pid", "p.kind", "p.distance", "p.sx", "p.sy")
 

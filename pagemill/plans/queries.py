@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ellipsize, margin_key, normalise, safe_name, slug, token_estimate
 from ..operators import analysis as an
 from ..sources.tables import book_pages, csv_cell, lines, links, table, tsv_cell
-from . import structure
+from . import layout, structure
 from .fixtures import CLAUSE_LINES, NORM, clause_lines
 
 
@@ -20,7 +20,7 @@ def _points(spark, d):
     return table(spark, d, "lineitem").selectExpr("l_orderkey as key", "l_linenumber as ord", "l_quantity as x", "l_extendedprice / 1000 as y")
 
 
-QUERIES = structure.QUERIES | {
+QUERIES = structure.QUERIES | layout.QUERIES | {
     "phrase_hits": lambda s, d: an.search(table(s, d, "documents"), "of the").select("doc_id", "ord", "char_start"),
     "repeated_lines": lambda s, d: an.repeated_lines(book_pages(table(s, d, "documents")), 0.1),
     "margin_keys": lambda s, d: lines(table(s, d, "documents")).groupBy(margin_key(normalise(F.col("text"))).alias("line_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
@@ -33,13 +33,13 @@ QUERIES = structure.QUERIES | {
     "exact_duplicates": lambda s, d: an.exact_duplicates(table(s, d, "documents")),
     "page_links": lambda s, d: links(table(s, d, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("target").alias("n_targets")),
     "token_estimates": lambda s, d: table(s, d, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"), ellipsize(normalise(F.col("text"))).alias("title")),
-    "names_and_cells": lambda s, d: table(s, d, "pages").select("page_id", slug(F.col("url")).alias("slug"), safe_name(F.col("url")).alias("file"), csv_cell(F.substring("html", 1, 60)).alias("csv"), tsv_cell(F.substring("html", 1, 60)).alias("tsv")),
+    "names_and_cells": lambda s, d: table(s, d, "pages").select("page_id", slug(F.col("url")).alias("slug"), safe_name(F.col("url")).alias("file"), csv_cell(F.col("html")).alias("csv"), tsv_cell(F.col("html")).alias("tsv")),
     "catalog_changes": lambda s, d: an.catalog_changes(
-        table(s, d, "documents").where("doc_id % 10 <> 0").selectExpr("doc_id as path", "md5(text) as hash"), table(s, d, "documents").where("doc_id % 7 <> 0").selectExpr("doc_id as path", "md5(if(doc_id % 3 = 0, text || 'x', text)) as hash")
+        table(s, d, "documents").selectExpr("doc_id as path", "md5(lang || source) as hash"), table(s, d, "documents").selectExpr("doc_id + 7 as path", "md5(lang || source) as hash")
     ),
 }
 
-ORACLES = structure.ORACLES | {
+ORACLES = structure.ORACLES | layout.ORACLES | {
     "repeated_lines": f"""WITH p AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page_no, text FROM documents),
  n AS (SELECT book, count(*) AS n_pages FROM p WHERE {NORM.format('text')} <> '' GROUP BY 1),
  l AS (SELECT book, page_no, {NORM.format('line')} AS line FROM (SELECT book, page_no, unnest(string_split(text, chr(10))) AS line FROM p)),
@@ -59,7 +59,7 @@ ORACLES = structure.ORACLES | {
     "token_estimates": f"SELECT doc_id, length(text) // 4 AS tokens, CASE WHEN length({NORM.format('text')}) > 72 THEN substr({NORM.format('text')}, 1, 70) || '…' ELSE {NORM.format('text')} END AS title FROM documents",
     "names_and_cells": """SELECT page_id, CASE WHEN s = '' THEN 'x' ELSE s END AS slug, substr(regexp_replace(url, '[\\\\/:*?"<>|]', '_', 'g'), 1, 120) AS file,
  CASE WHEN regexp_matches(c, '[",\\r\\n]') THEN '"' || replace(c, '"', '""') || '"' ELSE c END AS csv, regexp_replace(c, '\\r\\n|[\\t\\r\\n]', ' ', 'g') AS tsv
- FROM (SELECT page_id, url, trim(regexp_replace(url, '[^A-Za-z0-9.-]', '-', 'g'), '-') AS s, substr(html, 1, 60) AS c FROM pages)""",
+ FROM (SELECT page_id, url, trim(regexp_replace(url, '[^A-Za-z0-9.-]', '-', 'g'), '-') AS s, html AS c FROM pages)""",
     "catalog_changes": """SELECT path, change FROM (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'removed' WHEN o.hash <> n.hash THEN 'changed' END AS change
- FROM (SELECT doc_id AS path, md5(text) AS hash FROM documents WHERE doc_id % 10 <> 0) o FULL JOIN (SELECT doc_id AS path, md5(CASE WHEN doc_id % 3 = 0 THEN text || 'x' ELSE text END) AS hash FROM documents WHERE doc_id % 7 <> 0) n ON o.path = n.path) WHERE change IS NOT NULL""",
+ FROM (SELECT doc_id AS path, md5(lang || source) AS hash FROM documents) o FULL JOIN (SELECT doc_id + 7 AS path, md5(lang || source) AS hash FROM documents) n ON o.path = n.path) WHERE change IS NOT NULL""",
 }

@@ -49,25 +49,25 @@ def _reference_pages(s, d):
     return an.resolve_references(refs, an.clauses(clause_lines(s, d)).select("number", "page_no"))
 
 
-def _glyphs(s, d):
+def glyph_rows(s, d):
     # Some line numbers occur twice in an order.
     one = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"), F.min("l_returnflag").alias("text"))
     return one.selectExpr("l_orderkey as key", "l_linenumber as ord", "cast(s % 40 as double) as x0", "s % 40 + 3.0D as x1", "cast(q as double) as y", "text")
 
 
-def _points_and_segments(s, d):
+def points_and_segments(s, d):
     e = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"), F.min("l_partkey").alias("p"))
-    points = e.where("l_linenumber % 2 = 0").selectExpr("l_orderkey as key", "l_linenumber as pid", "cast(s as double) as x", "cast(q as double) as y")
-    return points, e.where("l_linenumber % 2 = 1").selectExpr("l_orderkey as key", "l_linenumber as sid", "cast(s as double) as x0", "cast(q as double) as y0", "cast(p % 100 as double) as x1", "cast(q + 10 as double) as y1")
+    points = e.selectExpr("l_orderkey as key", "l_linenumber as pid", "cast(p % 100 as double) as x", "cast(q + 2 as double) as y")
+    return points, e.selectExpr("l_orderkey as key", "l_linenumber as sid", "cast(s as double) as x0", "cast(q as double) as y0", "cast(p % 100 as double) as x1", "cast(q + 10 as double) as y1")
 
 
 def _snapped(s, d):
-    got = pl.snap(*_points_and_segments(s, d), 6.0)
+    got = pl.snap(*points_and_segments(s, d), 6.0)
     return got.select("key", "pid", "kind", F.round("distance", 4).alias("distance"))
 
 
-def _boxes(s, d):
-    points, segments = _points_and_segments(s, d)
+def boxes(s, d):
+    points, segments = points_and_segments(s, d)
     return points.selectExpr("key", "pid", "x as x0", "y as y0", "x + 9 as x1", "y + 9 as y1"), segments.selectExpr("key", "least(x0, x1) as x0", "y0", "greatest(x0, x1) as x1", "y1")
 
 
@@ -80,13 +80,13 @@ QUERIES = {
     "phrase_options": lambda s, d: ph.find_phrases(table(s, d, "documents"), "of the", whole_word=True),
     "phrase_totals": lambda s, d: ph.search_totals(table(s, d, "documents"), ph.find_phrases(table(s, d, "documents"), "the")),
     "snap_points": _snapped,
-    "free_boxes": lambda s, d: pl.without_overlap(*_boxes(s, d), "key").select("key", "pid"),
+    "free_boxes": lambda s, d: pl.without_overlap(*boxes(s, d), "key").select("key", "pid"),
     "watermarks": lambda s, d: pl.watermarks(_stamped(s, d)),
     "stripped_pages": lambda s, d: pl.strip_lines(_stamped(s, d), pl.watermarks(_stamped(s, d))),
     "running_titles": lambda s, d: pl.running_titles(_stamped(s, d)),
     "lengths_in_units": lambda s, d: table(s, d, "orders").selectExpr("o_orderkey", "cast(o_orderkey % 500 as double) as pt", "concat('1:', o_custkey % 50) as t", "element_at(array('mm', 'cm', 'm', 'km', 'in', 'ft', 'pt'), cast(o_orderkey % 7 + 1 as int)) as unit").select("o_orderkey", F.round(pl.in_unit(F.col("pt"), pl.scale_of(F.col("t")), F.col("unit")), 6).alias("length")).where("not isnan(length)"),
     "html_texts": lambda s, d: pl.to_html(lines(table(s, d, "documents")).selectExpr("doc_id", "0 as page_no", "line_no as ord", "line_no % 7 as depth", "text")),
-    "grid_csv": lambda s, d: pl.grid_text(po.table_grid(_glyphs(s, d), 1.0)),
+    "grid_csv": lambda s, d: pl.grid_text(po.table_grid(glyph_rows(s, d), 1.0)),
     "page_profile": _profile,
     "quality_grades": _grades,
     "quality_by_label": _grades_by_label,
@@ -97,7 +97,7 @@ QUERIES = {
     "merge_offsets": lambda s, d: po.merge_offsets(table(s, d, "orders").selectExpr("o_custkey as set_id", "o_orderkey as ord", "o_orderkey % 7 + 1 as n_pages"), "set_id"),
     "page_edit": lambda s, d: po.delete_pages(book_pages(table(s, d, "documents")), F.col("page_no") % 5 == 0).select("book", "page_no", "doc_id", po.rotate(F.col("doc_id") % 4, F.lit(3)).alias("rotation")),
     "page_sets": lambda s, d: table(s, d, "nation").selectExpr("n_nationkey", "concat(n_nationkey + 1, ', ', n_regionkey + 9, '-', n_regionkey + 6, if(n_nationkey % 4 = 0, '; x', '')) as t").select("n_nationkey", F.array_join(po.page_set(F.col("t"), F.lit(22)), ",").alias("pages")),
-    "table_grid": lambda s, d: po.table_grid(_glyphs(s, d), 1.0),
+    "table_grid": lambda s, d: po.table_grid(glyph_rows(s, d), 1.0),
     "page_dates": lambda s, d: table(s, d, "events").select("event_id", po.parse_date(F.concat(F.lit("D:"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit("+01'30'"))).alias("utc")),
     "replies": lambda s, d: po.decode_replies(po.encode_replies(table(s, d, "conversations").selectExpr("conv_id", "turn", "role as author", "text"), "conv_id", "turn"), "conv_id"),
 }
@@ -110,7 +110,9 @@ _GRADES = f"""SELECT doc_id, CASE WHEN a OR b OR c THEN 'suspect' WHEN d OR rege
 _CLAUSES = f"(SELECT number, page_no FROM (SELECT regexp_extract(text, '^([0-9.]+) ', 1) AS number, page_no FROM {CLAUSE_LINES}))"
 _TREE = f"(SELECT * FROM {_CLAUSES} UNION ALL SELECT split_part(number, '.', 1), min(page_no) FROM {_CLAUSES} WHERE split_part(number, '.', 1) NOT IN (SELECT number FROM {_CLAUSES}) GROUP BY 1)"
 _E = "(SELECT l_orderkey AS key, l_linenumber AS n, min(l_suppkey)::DOUBLE AS s, min(l_quantity)::DOUBLE AS q, (min(l_partkey) % 100)::DOUBLE AS p FROM lineitem GROUP BY 1, 2)"
-_PAIRS = f"(SELECT a.key, a.n AS pid, a.s AS x, a.q AS y, b.s AS x0, b.q AS y0, b.p AS x1, b.q + 10 AS y1, b.p - b.s AS dx FROM {_E} a JOIN {_E} b USING (key) WHERE a.n % 2 = 0 AND b.n % 2 = 1)"
+_PAIRS = f"(SELECT a.key, a.n AS pid, a.p AS x, a.q + 2 AS y, b.s AS x0, b.q AS y0, b.p AS x1, b.q + 10 AS y1, b.p - b.s AS dx FROM {_E} a JOIN {_E} b USING (key))"
+CROSSINGS = f"""(SELECT key, sid, sid2, ax + t * rx AS x, ay + t * 10.0 AS y FROM (SELECT *, ((bx - ax) * 10.0 - (b_y - ay) * sx) / c AS t, ((bx - ax) * 10.0 - (b_y - ay) * rx) / c AS u FROM
+ (SELECT a.key, a.n AS sid, b.n AS sid2, a.s AS ax, a.q AS ay, b.s AS bx, b.q AS b_y, a.p - a.s AS rx, b.p - b.s AS sx, (a.p - a.s) * 10.0 - 10.0 * (b.p - b.s) AS c FROM {_E} a JOIN {_E} b ON a.key = b.key AND a.n < b.n) WHERE abs(c) >= 1e-9) WHERE t BETWEEN -1e-6 AND 1 + 1e-6 AND u BETWEEN -1e-6 AND 1 + 1e-6)"""
 _STAMPED = "(SELECT book, page_no, CASE WHEN page_no % 10 = 9 THEN text ELSE 'Stamped  copy ' || book || chr(10) || text END AS text FROM (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page_no, text FROM documents))"
 
 
@@ -122,9 +124,10 @@ ORACLES = {
     "phrase_totals": "SELECT count(*) AS files, count(*) FILTER (n > 0) AS files_with_hits, sum(n)::BIGINT AS hits FROM (SELECT len(regexp_extract_all(text, '(?i:the)')) AS n FROM documents)",
     "snap_points": f"""WITH t AS (SELECT *, greatest(0, least(1, ((x - x0) * dx + (y - y0) * 10) / (dx * dx + 100))) AS t FROM {_PAIRS}),
  c AS (SELECT key, pid, 0 AS kind, sqrt((x0 - x) ** 2 + (y0 - y) ** 2) AS d FROM t UNION ALL SELECT key, pid, 0, sqrt((x1 - x) ** 2 + (y1 - y) ** 2) FROM t
- UNION ALL SELECT key, pid, 1, sqrt((x0 + dx / 2 - x) ** 2 + (y0 + 5 - y) ** 2) FROM t UNION ALL SELECT key, pid, 2, sqrt((x0 + t * dx - x) ** 2 + (y0 + t * 10 - y) ** 2) FROM t),
+ UNION ALL SELECT p.key, p.n, 1, sqrt((c.x - p.p) ** 2 + (c.y - p.q - 2) ** 2) FROM {_E} p JOIN {CROSSINGS} c USING (key)
+ UNION ALL SELECT key, pid, 2, sqrt((x0 + dx / 2 - x) ** 2 + (y0 + 5 - y) ** 2) FROM t UNION ALL SELECT key, pid, 3, sqrt((x0 + t * dx - x) ** 2 + (y0 + t * 10 - y) ** 2) FROM t),
  k AS (SELECT * FROM c WHERE d <= 6) SELECT key, pid, kind, round(min(d), 4) AS distance FROM k JOIN (SELECT key, pid, min(kind) AS kind FROM k GROUP BY 1, 2) USING (key, pid, kind) GROUP BY 1, 2, 3""",
-    "free_boxes": f"SELECT a.key, a.n AS pid FROM {_E} a WHERE a.n % 2 = 0 AND NOT EXISTS (SELECT 1 FROM {_PAIRS} b WHERE b.key = a.key AND b.pid = a.n AND x < greatest(x0, x1) AND least(x0, x1) < x + 9 AND y < y1 AND y0 < y + 9)",
+    "free_boxes": f"SELECT a.key, a.n AS pid FROM {_E} a WHERE NOT EXISTS (SELECT 1 FROM {_PAIRS} b WHERE b.key = a.key AND b.pid = a.n AND x < greatest(x0, x1) AND least(x0, x1) < x + 9 AND y < y1 AND y0 < y + 9)",
     "watermarks": f"""WITH p AS {_STAMPED}, c AS (SELECT book, line, count(DISTINCT page_no) AS on_pages FROM (SELECT book, page_no, {NORM.format("l")} AS line FROM (SELECT book, page_no, unnest(string_split(text, chr(10))) AS l FROM p)) WHERE length(line) >= 4 GROUP BY 1, 2)
  SELECT book, line, on_pages, line AS label FROM c JOIN (SELECT book, count(*) AS n FROM p GROUP BY 1) USING (book) WHERE on_pages >= greatest(3, ceil(n * 0.8))""",
     "stripped_pages": f"SELECT book, page_no, CASE WHEN page_no % 10 = 9 THEN text ELSE substr(text, length('Stamped  copy ' || book) + 2) END AS text FROM {_STAMPED}",

@@ -9,7 +9,7 @@ import pytest
 from pagemill.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
-TABLES = "region nation supplier events documents pages conversations lineitem orders labels".split()
+TABLES = "customer part region nation supplier events documents pages conversations lineitem orders labels".split()
 
 
 def rows(names, data):
