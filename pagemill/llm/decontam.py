@@ -37,6 +37,8 @@ from .runtime import materialize, tidy
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
 BLOCK_CHARS = 16_000_000
+#: Rows whose words or postings are Python objects at once.
+ROWS = 512
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -75,8 +77,8 @@ def build_index(slim: DataFrame, terms: dict[bytes, int]) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
                 digests, n_words, term_lists, count_lists, gap_lists = [], [], [], [], []
                 for x in part.column("text"):
                     text = x.as_py() or ""
@@ -141,7 +143,7 @@ def look_up(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             starts, lengths, items = [], [], []
             term_lists, count_lists = b.column("terms").to_pylist(), b.column("counts").to_pylist()
             for k in range(b.num_rows):
