@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ellipsize, margin_key, normalise, safe_name, slug, token_estimate
 from ..operators import analysis as an
 from ..sources.tables import book_pages, csv_cell, lines, links, table, tsv_cell
-from . import layout, structure
+from . import layout, markup, structure
 from .fixtures import CLAUSE_LINES, NORM, clause_lines
 
 
@@ -20,7 +20,7 @@ def _points(spark, d):
     return table(spark, d, "lineitem").selectExpr("l_orderkey as key", "l_linenumber as ord", "l_quantity as x", "l_extendedprice / 1000 as y")
 
 
-QUERIES = structure.QUERIES | layout.QUERIES | {
+QUERIES = structure.QUERIES | layout.QUERIES | markup.QUERIES | {
     "phrase_hits": lambda s, d: an.search(table(s, d, "documents"), "of the").select("doc_id", "ord", "char_start"),
     "repeated_lines": lambda s, d: an.repeated_lines(book_pages(table(s, d, "documents")), 0.1),
     "margin_keys": lambda s, d: lines(table(s, d, "documents")).groupBy(margin_key(normalise(F.col("text"))).alias("line_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
@@ -39,7 +39,7 @@ QUERIES = structure.QUERIES | layout.QUERIES | {
     ),
 }
 
-ORACLES = structure.ORACLES | layout.ORACLES | {
+ORACLES = structure.ORACLES | layout.ORACLES | markup.ORACLES | {
     "repeated_lines": f"""WITH p AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page_no, text FROM documents),
  n AS (SELECT book, count(*) AS n_pages FROM p WHERE {NORM.format('text')} <> '' GROUP BY 1),
  l AS (SELECT book, page_no, {NORM.format('line')} AS line FROM (SELECT book, page_no, unnest(string_split(text, chr(10))) AS line FROM p)),

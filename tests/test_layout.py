@@ -7,6 +7,7 @@ from pagemill.functions import names as na
 from pagemill.functions import wrapping as wr
 from pagemill.operators import glyphs as gl
 from pagemill.operators import layout as la
+from pagemill.operators import markup as mu
 from pagemill.operators import places as pl
 from pagemill.operators import references as re
 
@@ -101,3 +102,27 @@ def test_flattened_tables(spark):
     df = spark.createDataFrame(cases, "t string, want string")
     for r in df.withColumn("got", na.flattened_table(F.col("t"))).collect():
         assert r.got == r.want
+
+
+def test_annotation_texts(spark):
+    row = spark.createDataFrame([("=1+1", 'a"b', None)], "a string, b string, c string").select(mu.measurement_line([F.col("a"), F.col("b"), F.col("c")]).alias("l"), mu.image_bytes(F.lit("YWI=")).alias("i"), mu.image_bytes(F.lit("?")).alias("j")).first()
+    assert (row.l, bytes(row.i), row.j) == ('\'=1+1,"a""b",', b"ab", None)
+    colours = spark.createDataFrame([(0xFFFFEB3B,), (0xFF000000,), (0x81C784,)], "c bigint").select(mu.exact_colour(F.col("c")).alias("e"), mu.nearest_colour(F.col("c")).alias("n")).collect()
+    assert [tuple(r) for r in colours] == [("Yellow", "Yellow"), ("Custom", "Green"), ("Green", "Green")]
+
+
+def test_sections_and_marks(spark):
+    p = spark.createDataFrame([(1, 0, 0, None), (1, 0, 1, "a"), (1, 1, 0, None), (1, 2, 0, None)], "doc_id int, page_no int, seq int, section string")
+    marks = spark.createDataFrame([(1, 2, 0, "x"), (1, 2, 1, "y")], "doc_id int, page_no int, ord int, section string")
+    assert [r.section for r in mu.sections_in_force(p, marks).orderBy("page_no", "seq").collect()] == ["Front matter", "a", "a", "y"]
+
+
+def test_equations_meet_their_chunks(spark):
+    c = spark.createDataFrame([(1, 0, "see ( 6.1 )", 1, 3), (1, 1, "nothing", 1, 3), (2, 0, "(6.1)", 1, 3)], "doc_id int, chunk_index int, text string, page_start int, page_end int")
+    e = spark.createDataFrame([(1, 2, "(6.1)"), (1, 5, "(6.1)"), (1, 1, "(6.2)")], "doc_id int, page_no int, label string")
+    assert [tuple(r) for r in mu.equations_of_chunks(c, e).collect()] == [(1, 0, ["(6.1)"])]
+
+
+def test_cells_join(spark):
+    df = spark.createDataFrame([(["ab", "cd", "Ef", None, "g/", "H"],), ([],), (["", "a"],)], "r array<string>").select(mu.merged_cells(F.col("r")).alias("m"))
+    assert [[tuple(x) for x in r.m] for r in df.collect()] == [[("abcd", 2), ("Efg/H", 3)], [], [("", 1), ("a", 1)]]
