@@ -17,7 +17,9 @@ def _refs(spark, d):
 
 
 def _points(spark, d):
-    return table(spark, d, "lineitem").selectExpr("l_orderkey as key", "l_linenumber as ord", "l_quantity as x", "l_extendedprice / 1000 as y")
+    # Some line numbers occur twice in an order.
+    one = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_extendedprice").alias("e"))
+    return one.selectExpr("l_orderkey as key", "l_linenumber as ord", "q as x", "cast(floor(e / 1000) as double) as y")
 
 
 QUERIES = structure.QUERIES | layout.QUERIES | markup.QUERIES | {
@@ -50,6 +52,12 @@ ORACLES = structure.ORACLES | layout.ORACLES | markup.ORACLES | {
  f AS (SELECT doc_id, number, arg_min(title, page_no * 1000 + line_no) AS title, min(page_no) AS page_no FROM h WHERE number <> '' GROUP BY 1, 2),
  m AS (SELECT doc_id, split_part(number, '.', 1) AS number, '' AS title, min(page_no) AS page_no FROM f WHERE split_part(number, '.', 1) NOT IN (SELECT number FROM f) GROUP BY 1, 2)
  SELECT doc_id, number, title, page_no, CASE WHEN contains(number, '.') THEN regexp_replace(number, '\\.[0-9]+$', '') END AS parent, length(number) - length(replace(number, '.', '')) + 1 AS level FROM (SELECT * FROM f UNION ALL SELECT * FROM m)""",
+    "reference_targets": f"""WITH r AS (SELECT s_suppkey AS ref_id, concat(s_nationkey % 5 + 1, '.', s_nationkey + 1) AS p, concat(s_nationkey % 5 + 1, '.', s_nationkey + 1, '.', s_suppkey) AS number FROM supplier), t AS {structure._TREE}
+ SELECT ref_id, r.number, coalesce(a.number, b.number) AS target, coalesce(a.page_no, b.page_no) AS page_no FROM r LEFT JOIN t a ON a.number = p LEFT JOIN t b ON b.number = split_part(p, '.', 1) WHERE coalesce(a.number, b.number) IS NOT NULL""",
+    "polyline_measures": """WITH p AS (SELECT l_orderkey AS key, l_linenumber AS ord, min(l_quantity)::DOUBLE AS x, floor(min(l_extendedprice) / 1000) AS y FROM lineitem GROUP BY 1, 2),
+ n AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM p WINDOW w AS (PARTITION BY key ORDER BY ord)),
+ c AS (SELECT *, coalesce(nx, fx) AS cx, coalesce(ny, fy) AS cy FROM n), s AS (SELECT *, sqrt((cx - x) ** 2 + (cy - y) ** 2) AS step FROM c)
+ SELECT key, count(*) AS n, round(sum(CASE WHEN nx IS NULL THEN 0 ELSE step END), 4) AS length, round(sum(step), 4) AS perimeter, round(abs(sum(x * cy - cx * y) / 2), 4) AS area FROM s GROUP BY 1 HAVING count(*) >= 2""",
     "page_ranges": """WITH d AS (SELECT DISTINCT user_id, day(ts) AS p FROM events), i AS (SELECT user_id, p, p - row_number() OVER (PARTITION BY user_id ORDER BY p) AS g FROM d),
  r AS (SELECT user_id, min(p) AS a, max(p) AS b FROM i GROUP BY user_id, g) SELECT user_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM r GROUP BY user_id""",
     "latest_version": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id) AS k FROM events) WHERE k = 1",
