@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontam, html_text, jaccard, licenses, quality, repeats, shards, tokencount, toxicity
+from .oracles import ORACLES  # noqa: F401
 from .runtime import read_table
 
 
@@ -56,4 +57,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_quality_rules, op2_html_text, op3_bpe_round_trip, op4_balanced_shards, op5_license_scan, op6_decontamination, op7_toxicity, op8_jaccard_join, op9_suffix_dedup, op10_token_counts)
 }
-ORACLES: dict[str, str] = {}
