@@ -82,7 +82,7 @@ def script_profile(pages: DataFrame, share: float = 0.2, group: str = "book") ->
 
     Only unexpected letters become rows.
     """
-    odd = F.filter(F.regexp_extract_all("text", F.lit(f"[^{UNMAPPED}{EXPECTED}]"), 0), lambda c: c.rlike(r"^\p{L}$"))
+    odd = F.regexp_extract_all("text", F.lit(f"[\\p{{L}}&&[^{UNMAPPED}{EXPECTED}]]"), 0)
     each = pages.select(group, F.regexp_count("text", F.lit(r"\p{L}")).alias("letters"), odd.alias("odd"))
     of = each.groupBy(group).agg(F.sum("letters").alias("letters"))
     blocks = each.select(group, F.explode("odd").alias("c")).groupBy(group, F.floor(F.ascii("c") / 128).alias("block")).agg(F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ from ..sources.tables import book_pages, lines, table
 
 CHANNELS = "l_orderkey, l_linenumber, l_partkey * 7 % 256 AS r, l_suppkey * 31 % 256 AS g, l_partkey * 13 % 256 AS b"
 PAGED = "(SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page_no, doc_id, text FROM documents)"
-SCRIPTS = "text || CASE WHEN length(source) % 2 = 0 OR lang = 'en' THEN repeat('हिन्दीम', 1000) ELSE ' ' END"
+SCRIPTS = "text || CASE WHEN length(source) % 2 = 0 OR lang = 'en' THEN repeat('हिन्दीम', 300) ELSE ' ' END"
 
 
 def _colours(s, d):

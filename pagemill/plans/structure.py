@@ -56,7 +56,7 @@ def glyph_rows(s, d):
 
 
 def points_and_segments(s, d):
-    e = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"), F.min("l_partkey").alias("p"))
+    e = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.min("l_suppkey") % 100).alias("s"), F.min("l_quantity").alias("q"), F.min("l_partkey").alias("p"))
     points = e.selectExpr("l_orderkey as key", "l_linenumber as pid", "cast(p % 100 as double) as x", "cast(q + 2 as double) as y")
     return points, e.selectExpr("l_orderkey as key", "l_linenumber as sid", "cast(s as double) as x0", "cast(q as double) as y0", "cast(p % 100 as double) as x1", "cast(q + 10 as double) as y1")
 
@@ -109,7 +109,7 @@ _GRADES = f"""SELECT doc_id, CASE WHEN a OR b OR c THEN 'suspect' WHEN d OR rege
  concat_ws(',', CASE WHEN a THEN 'unmapped' END, CASE WHEN b THEN 'unexpected' END, CASE WHEN c THEN 'duplicated' END, CASE WHEN d THEN 'table' END) AS issues FROM ({_GRADED})"""
 _CLAUSES = f"(SELECT number, page_no FROM (SELECT regexp_extract(text, '^([0-9.]+) ', 1) AS number, page_no FROM {CLAUSE_LINES}))"
 _TREE = f"(SELECT * FROM {_CLAUSES} UNION ALL SELECT split_part(number, '.', 1), min(page_no) FROM {_CLAUSES} WHERE split_part(number, '.', 1) NOT IN (SELECT number FROM {_CLAUSES}) GROUP BY 1)"
-_E = "(SELECT l_orderkey AS key, l_linenumber AS n, min(l_suppkey)::DOUBLE AS s, min(l_quantity)::DOUBLE AS q, (min(l_partkey) % 100)::DOUBLE AS p FROM lineitem GROUP BY 1, 2)"
+_E = "(SELECT l_orderkey AS key, l_linenumber AS n, (min(l_suppkey) % 100)::DOUBLE AS s, min(l_quantity)::DOUBLE AS q, (min(l_partkey) % 100)::DOUBLE AS p FROM lineitem GROUP BY 1, 2)"
 _PAIRS = f"(SELECT a.key, a.n AS pid, a.p AS x, a.q + 2 AS y, b.s AS x0, b.q AS y0, b.p AS x1, b.q + 10 AS y1, b.p - b.s AS dx FROM {_E} a JOIN {_E} b USING (key))"
 CROSSINGS = f"""(SELECT key, sid, sid2, ax + t * rx AS x, ay + t * 10.0 AS y FROM (SELECT *, ((bx - ax) * 10.0 - (b_y - ay) * sx) / c AS t, ((bx - ax) * 10.0 - (b_y - ay) * rx) / c AS u FROM
  (SELECT a.key, a.n AS sid, b.n AS sid2, a.s AS ax, a.q AS ay, b.s AS bx, b.q AS b_y, a.p - a.s AS rx, b.p - b.s AS sx, (a.p - a.s) * 10.0 - 10.0 * (b.p - b.s) AS c FROM {_E} a JOIN {_E} b ON a.key = b.key AND a.n < b.n) WHERE abs(c) >= 1e-9) WHERE t BETWEEN -1e-6 AND 1 + 1e-6 AND u BETWEEN -1e-6 AND 1 + 1e-6)"""
