@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 
@@ -79,6 +80,30 @@ def test_shards(docs, none):
     assert shards.shard_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("hot, small", [(1 / 3, 0.3), (0, 1)])
+def test_shards_keep_texts_together(spark, hot, small):
+    n = 9_000
+    texts = ["hot" if k < n * hot else f"group {k // 3}" if k < n * (hot + small) else f"alone {k}" for k in range(n)]
+    got = shards.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    sizes = Counter(r.shard for r in got)
+    assert sorted(r.doc_id for r in got) == list(range(n)) and max(sizes.values()) - min(sizes.values()) <= 1
+    own = {}
+    for r in got:
+        own.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert sum(len(x) - 1 for x in own.values()) <= 7 and len(own.get("hot", ())) <= 4
+
+
+def test_shards_grant_within_quota():
+    flows = np.random.default_rng(1).integers(0, 9, (4, 64, 4))
+    flows[range(4), :, range(4)] = 0
+    loads = [3_000, 2_950, 2_000, 3_100]
+    upto, after = shards.grant(flows, loads, 3_050)
+    moved = np.stack([flows[s, : upto[s]].sum(0) for s in range(4)])
+    assert after == (np.array(loads) + moved.sum(1) - moved.sum(0)).tolist() and max(after) <= 3_050
+    for s in range(4):
+        assert upto[s] == 64 or after[s] + flows[s, upto[s]].sum() > 3_050
+
+
 def test_licenses(docs, none):
     got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
     assert (got[9].n_base, got[9].first_word, got[9].labels, got[9].score) == (1, 3, "mit", 1.0)
