@@ -359,16 +359,20 @@ def near_duplicates(docs: DataFrame, size: int = 3, num: int = 90, den: int = 10
         links = scratch.table(_verified(scratch, pairs, slim, size, num, den), "links")
         labels = components(links)
         for most in (BEST, None):
-            further = scratch.table(_searched(scratch, members, labels, points, slim, size, num, den, most).join(pairs, ["a", "b"], "left_anti"), "further")
-            if further.isEmpty():
+            searched = scratch.table(_searched(scratch, members, labels, points, slim, size, num, den, most), "searched")
+            # Before known pairs go: what a member's best candidates left out counts even if all of them were tested already.
+            more = not searched.where("more").isEmpty()
+            tested = scratch.table(searched.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "further")
+            if tested.isEmpty():
+                if more:
+                    continue
                 break
-            tested = further.select("a", "b")
             # What is known already goes on as one link from each node to its component.
             joined = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             links = scratch.table(joined.union(_verified(scratch, tested, slim, size, num, den)), "links")
             pairs = pairs.union(tested)
             labels = components(links)
-            if further.where("more").isEmpty():
+            if not more:
                 break
         by_class = classes.join(labels.withColumnRenamed("node", "first"), "first", "left").select("d1", "d2", "n", F.coalesce("component", "first").alias("component"))
         linked = known.where("n > 0").join(by_class, ["d1", "d2", "n"]).select("doc_id", "n", "component")

@@ -1,6 +1,7 @@
 """The ten operators on edge cases and against brute force, and the pipeline's stages."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -174,6 +175,40 @@ def test_jaccard(docs, none, size, num):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_jaccard_searches_the_rest(spark, docs, monkeypatch):
+    """Best candidates that were all tested before do not end the search for the others."""
+    real, asked = jaccard._searched, []
+
+    def searched(scratch, *args):
+        asked.append(args[-1])
+        # 1 and 3 meet as a bucket's centre and member.
+        return real(scratch, *args) if args[-1] is None else spark.createDataFrame([(1, 3, True)], "a long, b long, more boolean")
+
+    monkeypatch.setattr(jaccard, "_searched", searched)
+    jaccard.near_duplicates(docs, 3, 90, 100).collect()
+    assert asked == [jaccard.BEST, None]
+
+
+def test_jaccard_large_cells(spark):
+    """Two families of variants that share shingles: cells of over FEW members and several components."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(160):
+        words = [f"common{j}" for j in range(12)] + [f"own{k % 2}x{j}" for j in range(28)]
+        for j in rng.sample(range(40), rng.randrange(5)):
+            words[j] = f"other{k}x{j}"
+        rows.append((k, " ".join(words)))
+    sets = [{tuple(w[j : j + 2]) for j in range(len(w) - 1)} for w in (t.split() for _, t in rows)]
+    top = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and top[a] != top[b]:
+                lo, hi = sorted((top[a], top[b]))
+                top = [lo if x == hi else x for x in top]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80, 100).collect()
+    assert len(set(top)) > 2 and {r.doc_id: r.component_id for r in got} == dict(enumerate(top))
+
+
 def test_repeats(docs, none):
     seen, want = set(), {}
     for i, t in sorted({(i, t or "") for i, t in DOCS if i is not None}):
