@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize, tidy
+from .runtime import keyed, materialize, tidy
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
@@ -225,6 +225,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, per
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are not contaminated, with all their columns; rows without an id stay."""
-    gone = decontaminate(docs, benchmark, id_col=id_col, text=text).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    """The documents that are not contaminated, with all their columns.
+
+    Each row has its own verdict, so that ids may repeat or be null.
+    """
+    rows = keyed(docs, "documents")
+    gone = decontaminate(rows, benchmark, id_col="_key", text=text).where("contaminated").select(F.col("doc_id").alias("_key"))
+    return rows.join(gone, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

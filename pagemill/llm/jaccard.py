@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .runtime import Scratch, materialize, tidy
+from .runtime import Scratch, keyed, materialize, tidy
 from .textscan import mix, shingles
 
 #: Frequent shingles that are told apart when prefixes are chosen (12 MB broadcast).
@@ -382,7 +382,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, num: int = 90, den: int = 10
 
 
 def keep_first(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the smallest id of their component, with all their columns; of
-    rows with that id, all stay. Rows without an id stay."""
-    drop = near_duplicates(docs, size, num, den, id_col, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(drop, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    """Of each component the row with the smallest id, with all its columns.
+
+    Each row counts for itself, so that ids may repeat or be null: rows without an id come
+    last, and of rows with one id any may be the one that stays.
+    """
+    rows = keyed(docs, "documents")
+    linked = near_duplicates(rows, size, num, den, "_key", text).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_component"))
+    linked = linked.join(rows.select("_key", F.col(f"`{id_col}`").alias("_id")), "_key")
+    firsts = linked.groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key"))["_key"].alias("_key"))
+    return rows.join(firsts.select("_key"), "_key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

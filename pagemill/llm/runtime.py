@@ -102,6 +102,11 @@ def tidy(rows):
     return run
 
 
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a ``_key`` of their own, written so that it stays the same."""
+    return materialize(docs.withColumn("_key", F.monotonically_increasing_id()), name)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also inside other lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -136,6 +136,17 @@ def test_decontamination(spark, docs, none):
     assert near.first().starts == [0]
 
 
+def test_stages_judge_rows(spark):
+    """Rows without an id or with another row's id get their own verdict."""
+    bench = spark.createDataFrame([(7, PROSE)], "item_id long, text string")
+    other = " ".join(f"plain{k}" for k in range(80))
+    rows = [(None, PROSE), (1, PROSE), (1, other), (None, other), (2, other), (2, other), (3, None), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontam.drop_contaminated(df, bench)
+    assert got.columns == df.columns and Counter(map(tuple, got.collect())) == Counter(rows[2:])
+    assert Counter(map(tuple, jaccard.keep_first(df).collect())) == Counter([(1, PROSE), (1, other), (3, None), (3, None)])
+
+
 def test_toxicity():
     import duckdb
 
