@@ -10,7 +10,11 @@ marks the article, and the smallest density on its path up to ``body`` is the
 threshold for further parts of the page.
 
 Elements that say what they are (``nav``, ``footer``, ``form``, ``class="ad"``,
-``id="comments"``, hidden ones, ...) are left out before densities are computed.
+``id="comments"``, hidden ones, ...) are left out before densities are computed. A name
+in ``class`` or ``id`` alone does not do so where the page has no ``article`` or ``main``
+outside such elements and this one holds one, or, in pages without any, the element with
+the largest sum. Where the marked element lies in an ``article`` or ``main``, that one is
+returned whole.
 
 Defined results: null, empty or text-free html gives an empty text; unclosed,
 stray or wrongly nested tags are mended as browsers do for paragraphs, lists and
@@ -65,10 +69,10 @@ WORDS_IN_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "noise", "role", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "noise", "named", "role", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent, self.kids, self.noise, self.role = tag, parent, [], False, ""
+        self.tag, self.parent, self.kids, self.noise, self.named, self.role = tag, parent, [], False, False, ""
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -96,7 +100,8 @@ def _is_noise(node: Node, attributes: str) -> bool:
     found = names & NOISE_WORDS
     if found <= {"header", "banner"} and (inside or names & OWN_HEADER):
         return False
-    return bool(found)
+    node.named = bool(found)
+    return node.named
 
 
 def _ancestor(node: Node | None, tags: tuple[str, ...]) -> Node | None:
@@ -249,20 +254,59 @@ def _blocks(roots: list[Node], threshold: float) -> list[str]:
     return out
 
 
+def _is_own(node: Node) -> bool:
+    return node.tag in ("article", "main") or node.role == "main"
+
+
+def _largest(order: list[Node], body: Node) -> Node:
+    return max((n for n in order if n.chars and _ancestor(n, (body.tag,)) is body), key=lambda n: n.total, default=body)
+
+
+def _reclaim(root: Node) -> None:
+    """Elements that only their names mark as noise, but that hold the page's text, are noise no more."""
+    if any(map(_is_own, _walk(root))):
+        return
+    named, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.named:
+            named.append(node)
+            node.noise = False
+        todo.extend(k for k in node.kids if not isinstance(k, str) and not (k.noise and not k.named))
+    if not named:
+        return
+    order = _walk(root)
+    holds = [n for n in order if _is_own(n)]
+    if not holds:
+        measure(order)
+        holds = [_largest(order, next((n for n in order if n.tag == "body"), root))]
+        for node in order:
+            node.chars = node.tags = node.link_chars = node.link_tags = 0
+            node.density = node.total = 0.0
+    above: set[int] = set()
+    for node in holds:
+        while node is not None and id(node) not in above:
+            above.add(id(node))
+            node = node.parent
+    for node in named:
+        node.noise = id(node) not in above
+
+
 def extract(page: str | None) -> str:
     """The page's main text, blocks joined by an empty line."""
     if not page:
         return ""
     root = parse(page)
+    _reclaim(root)
     order = _walk(root)
     measure(order)
     body = next((n for n in order if n.tag == "body"), root)
-    best = max((n for n in order if n.chars and _ancestor(n, (body.tag,)) is body), key=lambda n: n.total, default=body)
+    best = _largest(order, body)
     path = [best]
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    own = [n for n in path if n.tag in ("article", "main") or n.role == "main"]
+    own = [n for n in path if _is_own(n)]
     if own:
         # Of nested ones the innermost article, or else main.
         roots = [next((n for n in own if n.tag == "article"), own[-1])]

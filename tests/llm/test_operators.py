@@ -60,6 +60,16 @@ def test_html(spark):
     assert html_text.extract_main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "comments-open"])
+def test_html_names_of_wrappers(name):
+    text = f"<p>{PROSE}</p><p>{COPY}</p>"
+    noise = '<div class="ad"><p>buy now</p></div>'
+    for inner in (f"<article>{text}</article>", f"<main>{text}</main>", f"<div>{text}</div>", text):
+        page = f'<html><body><nav>menu</nav><div class="{name}">{noise}{inner}</div>{noise}</body></html>'
+        assert html_text.extract(page) == f"{PROSE}\n\n{COPY}"
+    assert html_text.extract(f'<body><article>{text}</article><div class="{name}"><article>{text}</article></div>') == f"{PROSE}\n\n{COPY}"
+
+
 def test_bpe(docs, none):
     path = P.path("byte_bpe_50k.json")
     codec = bpe.Codec(*bpe._files(path), leaf=50)
