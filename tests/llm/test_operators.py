@@ -265,3 +265,63 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < got.count() < 200
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Every stage of a run against plain Python; the first against its query, which is tested above."""
+    import corpus_pipeline
+
+    def prose(d):
+        return " ".join(f"topic{d}x{k} and another thing{(k * d) % 7} of note" for k in range(40))
+
+    passage = " ".join(f"passage{k} of words" for k in range(12))
+    bench = " ".join(f"question{k} answer{k}" for k in range(20))
+    texts = {d: prose(d) for d in range(1, 21)}
+    texts |= {2: texts[1], 3: texts[1].replace("topic1x20 ", "changed "), 5: f"{texts[5]} {passage} \u00e9t", 6: f"{texts[6]} {passage} \u00e8t", 7: f"{bench} {texts[7]}", 8: "no", 9: f"{texts[9]} {texts[4][:300]}", 12: None}
+    rows = [(d, t, "en", "s", len(t or ""), 0, 1) for d, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard int, n int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = {r.doc_id: texts[r.doc_id] for r in quality.quality(docs).collect() if r.kept}
+    assert {1, 2, 3, 4, 5, 6, 7, 9} <= want.keys() and len(want) < len(texts)
+
+    def same(stage):
+        nonlocal docs
+        docs = dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
+        assert {r.doc_id: r.text for r in docs.collect()} == want and docs.count() == len(want)
+
+    same("quality rules")
+    sets = {d: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for d, t in want.items() if (w := low(t).split())}
+    top = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and top[a] != top[b]:
+                lo, hi = sorted((top[a], top[b]))
+                top = {d: lo if x == hi else x for d, x in top.items()}
+    want = {d: t for d, t in want.items() if top[d] == d}
+    assert 1 in want and not {2, 3} & want.keys()
+    same("n-gram Jaccard join")
+    seen, edited = set(), {}
+    for d in sorted(want):
+        data = want[d].encode()
+        gone = [False] * len(data)
+        for k in range(len(data) - 99):
+            if data[k : k + 100] in seen:
+                gone[k : k + 100] = [True] * 100
+            seen.add(data[k : k + 100])
+        edited[d] = bytes(c for c, g in zip(data, gone) if not g).decode(errors="ignore")
+    assert edited[6] != want[6] and edited[9] != want[9]
+    want = edited
+    same("suffix-array dedup")
+    w = ALNUM.findall(low(bench))
+    windows = {tuple(w[k : k + 13]) for k in range(len(w) - 12)}
+    for d, t in list(want.items()):
+        w = ALNUM.findall(low(t))
+        hit = {j for k in range(len(w) - 12) if tuple(w[k : k + 13]) in windows for j in range(k, k + 13)}
+        if hit and 20 * len(hit) >= len(w):
+            del want[d]
+    assert 7 not in want
+    same("benchmark decontamination")
+    codec = bpe.Codec(*bpe._files(P.path("byte_bpe_50k.json")), leaf=50)
+    got = {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {(d, len(codec.tokenizer.encode(t, add_special_tokens=False).ids), hashlib.sha256(t.encode()).hexdigest()) for d, t in want.items()}
