@@ -102,9 +102,17 @@ def tidy(rows):
     return run
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def keyed(docs: DataFrame, name: str) -> DataFrame:
-    """The rows with a ``_key`` of their own, written so that it stays the same."""
-    return materialize(docs.withColumn("_key", F.monotonically_increasing_id()), name)
+    """``(key, row)``: each row, as a struct, with a number of its own, written so that it stays the same.
+
+    In the struct no column of ``docs`` can clash with one that an operator adds.
+    """
+    return materialize(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*map(named, docs.columns)).alias("row")), name)
 
 
 def let(value: Column, body) -> Column:
