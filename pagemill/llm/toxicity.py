@@ -2,186 +2,234 @@
 
 The string kernel counts the subsequences of ``ORDER`` characters that two strings
 share, each weighted by ``DECAY`` to the power of the stretch it spans, so that an
-insult with inserted characters or gaps stays close to the plain one. Landmarks
-(Nystroem) are short strings chosen from the training rows: the stems of words that
-stand nearly only in toxic documents. A sentence is represented by
-its best kernel value with each landmark, mapped by the inverse root of the landmarks'
-own kernel matrix; a linear SVM on these features is trained on the labelled sentences
-and calibrated to a probability. A document's score is that of its worst sentence.
-
-A kernel value is only looked for where a landmark can be near: in stretches that
-begin a word and hold its characters in order with at most ``GAP`` others between two. Elsewhere the
-value counts as 0, for training and scoring alike.
-
-Training reads at most ``MAX_TRAIN`` labelled rows, those with the smallest hash of
-doc_id (a documented bound); scoring covers the whole text of every document in one
-narrow ``mapInArrow`` with the model (some KB) in its closure.
-
-Defined results: a null or empty text gets the score of a sentence without any
-landmark; rows are scored each for itself; without usable labels every score is 0;
-other columns are ignored; an empty table gives an empty result.
+insult with inserted, dropped or changed characters stays close to the plain one. It is
+evaluated by its own features, exactly: a string's subsequences and their weights, with
+no gate before it.
+
+A sentence is scored by its worst window. Windows are its words as they stand, the
+letters alone of a word with other characters inside, and runs of very short pieces
+joined (``i d i o t``); longer words are cut in overlapping windows of ``LONGEST``.
+
+Landmarks (Nystroem) are windows of both classes from the training sentences: such as
+stand nearly only in toxic ones, the most frequent others, and then the clean ones that
+come nearest to toxic. A window's kernel values with the landmarks, mapped by the inverse
+root of the landmarks' own kernel matrix, are the features of a linear SVM. Toxic windows are
+those that stand nearly only in toxic sentences, and the worst one of each, found anew each
+round; all windows of a clean sentence are clean. Copies of toxic windows with a character inserted, dropped or changed are
+trained on too. Margins are calibrated to probabilities.
+
+The trained machine is one weight for each subsequence (1 MB): scoring is one narrow
+``mapInArrow`` over the whole text of every document, and each worker remembers the
+margins of windows it has seen (``CACHE`` at most, changing the speed only).
+
+Training reads at most ``MAX_TRAIN`` labelled rows of at most ``MAX_TRAIN_BYTES`` bytes,
+those with the smallest hash of doc_id (a documented bound on the sample).
+
+Defined results: a null or empty text gets the score of a sentence without windows;
+rows are scored each for itself; without usable labels of both classes every score is 0;
+other columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
-from bisect import bisect_right
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import tidy
-
-ORDER = 2
-DECAY = 0.75
-GAP = 2
-LANDMARKS = 48
-MIN_LANDMARK, MAX_LANDMARK = 4, 14
-MAX_TRAIN = 6_000
-MIN_SUPPORT = 8
+from .runtime import named, tidy
+
+ORDER = 3
+DECAY = 0.7
+#: Characters told apart: the most frequent ones of the training rows; all others count as one.
+ALPHABET = 64
+LONGEST = 18
+MAX_TRAIN, MAX_TRAIN_BYTES = 6_000, 32_768
+LANDMARKS = 192  # of each kind: toxic, frequent, hard
+SAMPLE, HARD = 3_000, 1_500
+ROUNDS = 3
+#: Different words before a window that stands for toxic ones from the start.
+SUPPORT = 6
+CACHE = 400_000
 FOLDS, HELD_OUT = 5, 0
-WORD = re.compile(r"[^\W\d_]+")
-SENTENCE_END = re.compile(r"(?<=[.!?\n])\s+|\n")
+#: Stand around each window and take part in its subsequences.
+START, END = "\x02", "\x03"
+INNER = re.compile(r"[\W\d_]+")
 
 
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def subsequence_kernel(a: str, b: str, order: int = ORDER, decay: float = DECAY) -> float:
-    """Gap-weighted kernel of two strings, not normalised; O(order * len(a) * len(b))."""
-    n, m = len(a), len(b)
-    if min(n, m) < order:
-        return 0.0
-    same = np.array(list(a))[:, None] == np.array(list(b))[None, :]
-    prime = np.ones((n + 1, m + 1))
-    for _ in range(1, order):
-        fresh = np.zeros((n + 1, m + 1))
-        for i in range(1, n + 1):
-            run = 0.0
-            for j in range(1, m + 1):
-                run = decay * run + (decay * decay * prime[i - 1, j - 1] if same[i - 1, j - 1] else 0.0)
-                fresh[i, j] = decay * fresh[i - 1, j] + run
-        prime = fresh
-    return float((decay * decay * prime[:-1, :-1][same]).sum())
-
-
-class Kernel:
-    """Normalised kernel values against landmarks, remembered for short strings."""
-
-    def __init__(self, landmarks: list[str]) -> None:
-        self.landmarks = landmarks
-        self.own = [subsequence_kernel(x, x) ** 0.5 for x in landmarks]
-        self.seen: dict[tuple[int, str], float] = {}
-
-    def __call__(self, k: int, s: str) -> float:
-        value = self.seen.get((k, s))
-        if value is None:
-            own = subsequence_kernel(s, s) ** 0.5
-            value = subsequence_kernel(self.landmarks[k], s) / (own * self.own[k]) if own and self.own[k] else 0.0
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            self.seen[k, s] = value
-        return value
-
-
-class Features:
-    """Best kernel value with each landmark, of each sentence in which any landmark is near."""
-
-    def __init__(self, landmarks: list[str]) -> None:
-        self.kernel = Kernel(landmarks)
-        gap = f"[^\\n]{{0,{GAP}}}?"
-        near = [gap.join(map(re.escape, x)) for x in landmarks]
-        self.near = list(map(re.compile, near))
-        self.any = re.compile(rf"\b(?={'|'.join(near)})") if near else None
-
-    def rows(self, text: str | None) -> np.ndarray:
-        """One row for each such sentence; none where no sentence has any."""
-        lowered = (text or "").lower()
-        starts = [m.start() for m in self.any.finditer(lowered)] if self.any else []
-        if not starts:
-            return np.zeros((0, len(self.near)))
-        ends = [m.end() for m in SENTENCE_END.finditer(lowered)]
-        best: dict[int, np.ndarray] = {}
-        for at in starts:
-            row = best.setdefault(bisect_right(ends, at), np.zeros(len(self.near)))
-            for k, near in enumerate(self.near):
-                if m := near.match(lowered, at):
-                    row[k] = max(row[k], self.kernel(k, m[0]))
-        return np.stack([best[i] for i in sorted(best)])
-
-
-@dataclass
+def windows(text: str | None) -> set[str]:
+    """The different windows of a text."""
+    out: set[str] = set()
+    run: list[str] = []
+
+    def add(w: str) -> None:
+        if len(w) <= LONGEST:
+            if len(w) >= ORDER:
+                out.add(f"{START}{w}{END}")
+        else:
+            step = LONGEST // 2
+            out.update(f"{START}{w[k : k + LONGEST]}{END}" for k in range(0, len(w) - LONGEST + step, step))
+
+    def end() -> None:
+        if len(run) > 2:
+            add("".join(run))
+        run.clear()
+
+    for piece in (text or "").lower().split():
+        letters = INNER.sub("", piece)
+        if len(letters) <= 1:
+            if letters:
+                run.append(letters)
+            continue
+        end()
+        add(piece.strip(".,;:!?()[]\"'"))
+        if letters != piece:
+            add(letters)
+    end()
+    return out
+
+
+_COMBINED: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _combined(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (ORDER, k) of all subsequences of a string of n characters, and their weights."""
+    if n not in _COMBINED:
+        places = np.array(list(itertools.combinations(range(n), ORDER))).T
+        _COMBINED[n] = places, (DECAY ** (places[-1] - places[0] + 1.0)).astype(np.float32)
+    return _COMBINED[n]
+
+
+class Alphabet:
+    def __init__(self, letters: str) -> None:
+        self.letters = letters
+        self.table = np.zeros(0x110000 if any(ord(c) >= 0x3000 for c in letters) else 0x3000, np.int32)
+        for k, c in enumerate(letters):
+            self.table[ord(c)] = k + 1
+
+    def features(self, strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(which strings, subsequence codes, weights, norms) for each length in turn, a bounded number at once."""
+        lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+        for n in np.unique(lengths):
+            if n < ORDER:
+                continue
+            places, weights = _combined(int(n))
+            same = np.flatnonzero(lengths == n)
+            for at in range(0, len(same), max(1, 400_000 // len(weights))):
+                own = same[at : at + max(1, 400_000 // len(weights))]
+                points = np.frombuffer("".join(strings[k] for k in own).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(own), n)
+                chars = np.where(points < len(self.table), self.table[np.minimum(points, len(self.table) - 1)], 0)
+                codes = chars[:, places[0]]
+                for p in places[1:]:
+                    codes = codes * ALPHABET + chars[:, p]
+                order = np.argsort(codes, axis=1, kind="stable")
+                flat = np.take_along_axis(codes, order, 1) + (np.arange(len(own)) * ALPHABET**ORDER)[:, None]
+                flat = flat.ravel()
+                first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+                sums = np.add.reduceat(weights[order].ravel().astype(np.float64), first)
+                yield own, codes, weights, np.bincount(flat[first] // ALPHABET**ORDER, sums * sums) ** 0.5
+
+
+def subsequence_kernel(a: str, b: str, alphabet: Alphabet) -> float:
+    """Of two strings, normalised."""
+    out = kernel_matrix([a], [b], alphabet)
+    return float(out[0, 0])
+
+
+def kernel_matrix(strings: list[str], landmarks: list[str], alphabet: Alphabet) -> np.ndarray:
+    """Normalised kernel values (string, landmark)."""
+    rows: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for own, codes, weights, norms in alphabet.features(landmarks):
+        rows += [(int(k), codes[i], weights / norms[i]) for i, k in enumerate(own)]
+    known = np.unique(np.concatenate([c for _, c, _ in rows])) if rows else np.zeros(0, np.int64)
+    table = np.zeros((len(known) + 1, len(landmarks)), np.float32)  # the last row for codes of no landmark
+    for k, codes, values in rows:
+        np.add.at(table, (np.searchsorted(known, codes), k), values)
+    out = np.zeros((len(strings), len(landmarks)))
+    for own, codes, weights, norms in alphabet.features(strings):
+        for at in range(0, len(own), max(1, 40_000 // len(weights))):
+            part = slice(at, at + max(1, 40_000 // len(weights)))
+            place = np.minimum(np.searchsorted(known, codes[part]), max(len(known) - 1, 0))
+            place = np.where(known[place] == codes[part], place, len(known)) if len(known) else np.zeros_like(codes[part])
+            out[own[part]] = np.einsum("bcl,c->bl", table[place], weights) / norms[part, None]
+    return out
+
+
+@dataclass(eq=False)
 class Model:
-    landmarks: list[str]
-    root: np.ndarray  # inverse root of the landmarks' kernel matrix
-    weights: np.ndarray
-    bias: float
-    slope: float
-    shift: float
-
-    def score(self, rows: np.ndarray) -> float:
-        """Of the worst sentence; sentences far from every landmark count as zeros."""
-        if not self.landmarks:
-            return 0.0
-        margin = max([self.bias, *(rows @ self.root @ self.weights + self.bias)])
+    """``weights`` has the landmarks' folded sum for each subsequence; empty if nothing was learned."""
+
+    letters: str = ""
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    bias: float = 0.0
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Model) and (self.letters, self.bias, self.slope, self.shift) == (other.letters, other.bias, other.slope, other.shift) and np.array_equal(self.weights, other.weights)
+
+    def margins(self, strings: list[str], alphabet: Alphabet) -> np.ndarray:
+        out = np.full(len(strings), self.bias)
+        for own, codes, weights, norms in alphabet.features(strings):
+            out[own] += (self.weights[codes] @ weights) / norms
+        return out
+
+    def probability(self, margin: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30))))
 
 
-def choose_landmarks(texts: list[tuple[str, int]]) -> list[str]:
-    """Word stems that stand nearly only in toxic texts, by the number of different words before them.
+class Scorer:
+    """Scores of texts; margins of windows are remembered."""
 
-    A stem is the beginning of a word, so that inflected insults share one; it is as long
-    as it can be without losing texts. Counting what stands before, and not documents,
-    keeps the words of one much-copied text from passing for insults.
-    """
-    before: dict[str, set[str]] = {}
-    toxic: Counter = Counter()
-    clean: Counter = Counter()
-    for text, label in texts:
-        words = WORD.findall(text.lower())
-        stems = {w[:n] for w in set(words) for n in range(MIN_LANDMARK, min(len(w), MAX_LANDMARK) + 1)}
-        (toxic if label else clean).update(stems)
-        if label:
-            for prior, w in zip(["", *words], words, strict=False):
-                for n in range(MIN_LANDMARK, min(len(w), MAX_LANDMARK) + 1):
-                    before.setdefault(w[:n], set()).add(prior)
-    n_toxic = sum(label for _, label in texts)
-    n_clean = len(texts) - n_toxic
-    # Forty times as likely in a toxic text as in a clean one, whatever share is toxic.
-    pure = {w: toxic[w] for w, b in before.items() if len(b) >= MIN_SUPPORT and toxic[w] >= MIN_SUPPORT and toxic[w] * n_clean >= 40 * clean[w] * n_toxic}
-    longer: dict[str, list[str]] = {}
-    for w in pure:
-        longer.setdefault(w[:-1], []).append(w)
-    chosen: dict[str, int] = {}
-    for w in sorted(pure, key=lambda w: (len(w), w)):
-        if any(w[:n] in chosen for n in range(MIN_LANDMARK, len(w))) or w[:-1] in pure:
-            continue
-        while kept := [x for x in longer.get(w, ()) if pure[x] >= 0.95 * pure[w]]:
-            w = kept[0]
-        chosen[w] = pure[w]
-    return sorted(sorted(chosen, key=lambda w: (-chosen[w], w))[:LANDMARKS])
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.alphabet = Alphabet(model.letters)
+        self.seen: dict[str, float] = {}
+
+    def scores(self, texts: Iterable[str | None]) -> list[float]:
+        if not len(self.model.weights):
+            return [0.0 for _ in texts]
+        own = [windows(t) for t in texts]
+        fresh = list(set().union(*own) - self.seen.keys())
+        if len(self.seen) + len(fresh) > CACHE:
+            self.seen.clear()
+            fresh = list(set().union(*own))
+        self.seen.update(zip(fresh, self.model.margins(fresh, self.alphabet).tolist(), strict=True))
+        get = self.seen.__getitem__
+        return [self.model.probability(max(map(get, w), default=self.model.bias)) for w in own]
+
+
+def altered(window: str) -> list[str]:
+    """Copies with a character inserted, dropped, doubled or changed in the middle."""
+    mid = len(window) // 2
+    return [window[:mid] + "x" + window[mid:], window[:mid] + window[mid + 1 :], window[:mid] + "*" + window[mid + 1 :], window[:mid] + window[mid] + window[mid:]]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss, by accelerated gradient steps."""
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 50.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss, by Newton steps over the rows inside the margin."""
     z = np.hstack([x, np.ones((len(x), 1))])
-    keep = np.r_[np.ones(x.shape[1]), 0.0]
-    step = 1 / (1 + 2 * cost * np.linalg.norm(z, 2) ** 2)
-    w = ahead = np.zeros(z.shape[1])
-    t = 1.0
+    ridge = np.diag(np.r_[np.full(x.shape[1], 1 / (2 * cost)), 1e-6])
+    inside = np.ones(len(z), bool)
+    w = np.zeros(z.shape[1])
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (z @ ahead))
-        fresh = ahead - step * (keep * ahead - 2 * cost * z.T @ (y * slack))
-        t_fresh = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead = fresh + (t - 1) / t_fresh * (fresh - w)
-        w, t = fresh, t_fresh
+        zs = z[inside] * weight[inside, None]
+        fresh = np.linalg.solve(ridge + zs.T @ z[inside], zs.T @ y[inside])
+        w = fresh if not w.any() else w + 0.7 * (fresh - w)
+        now = y * (z @ w) < 1
+        if (now == inside).all():
+            w = fresh
+            break
+        inside = now
     return w[:-1], float(w[-1])
 
 
@@ -197,51 +245,99 @@ def _calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def _machine(landmarks: list[str], strings: list[str], y: np.ndarray, weight: np.ndarray, alphabet: Alphabet) -> Model:
+    """The SVM on Nystroem features, folded into one weight for each subsequence."""
+    values, vectors = np.linalg.eigh(kernel_matrix(landmarks, landmarks, alphabet))
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
+    w, bias = _svm(kernel_matrix(strings, landmarks, alphabet) @ root, y, weight)
+    folded = np.zeros(ALPHABET**ORDER)
+    share = root @ w
+    for own, codes, weights, norms in alphabet.features(landmarks):
+        np.add.at(folded, codes, (share[own] / norms)[:, None] * weights)
+    return Model(alphabet.letters, folded.astype(np.float32), bias)
+
+
 def fit(texts: list[tuple[str, int]]) -> Model:
-    """Train on labelled texts: a clean text's sentences are all clean, and of a toxic one's
-    the sentence nearest to the landmarks is toxic."""
-    landmarks = choose_landmarks(texts)
-    if not landmarks or len({label for _, label in texts}) < 2:
-        return Model([], np.zeros((0, 0)), np.zeros(0), 0.0, 1.0, 0.0)
-    n = len(landmarks)
-    self_kernel = Kernel(landmarks)
-    matrix = np.array([[self_kernel(k, x) for k in range(n)] for x in landmarks])
-    values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    features = Features(landmarks)
-    x, y, bags = [], [], []
+    """Train on labelled texts, in whatever order they come."""
+    texts = sorted(set(texts))
+    bags = [(windows(t), label) for t, label in texts]
+    if len({label for _, label in bags}) < 2 or not all(any(b for b, label in bags if label == k) for k in (0, 1)):
+        return Model()
+    seen: dict[str, list[int]] = {}
+    letters: dict[str, int] = {}
+    for own, label in bags:
+        for w in own:
+            seen.setdefault(w, [0, 0])[label] += 1
+            for c in w:
+                letters[c] = letters.get(c, 0) + 1
+    alphabet = Alphabet(START + END + "".join(sorted(letters.keys() - {START, END}, key=lambda c: (-letters[c], c))[: ALPHABET - 3]))
+    # Texts that a window stands in differ, but copies with small changes may be many: what stands before it must differ too.
+    before: dict[str, set[str]] = {}
     for text, label in texts:
-        rows = features.rows(text)
-        bags.append((rows, label))
-        if not len(rows):
-            rows = np.zeros((1, n))
-        own = rows[[int(rows.sum(1).argmax())]] if label else rows
-        x.append(own)
-        y += [1.0 if label else -1.0] * len(own)
-    weights, bias = _svm(np.vstack(x) @ root, np.array(y))
-    margin = np.array([max([bias, *(rows @ root @ weights + bias)]) for rows, _ in bags])
-    return Model(landmarks, root, weights, bias, *_calibrate(margin, np.array([float(label) for _, label in bags])))
+        if label:
+            pieces = text.lower().split()
+            for prior, piece in zip(["", *pieces], pieces, strict=False):
+                before.setdefault(INNER.sub("", piece), set()).add(prior)
+    n = [sum(label == k for _, label in bags) for k in (0, 1)]
+    names = sorted(seen)
+    spread = {w: min(seen[w][1], len(before.get(INNER.sub("", w), ()))) for w in names}
+    # Twenty times as likely in a toxic text as in a clean one, whatever share is toxic.
+    pure = {w for w in names if spread[w] >= SUPPORT and seen[w][1] * n[0] >= 20 * seen[w][0] * n[1]}
+    toxic = sorted(pure, key=lambda w: (-spread[w], w))[:LANDMARKS]
+    clean = [w for w in names if seen[w][0]]
+    frequent = sorted(clean, key=lambda w: (-seen[w][0], w))[:LANDMARKS]
+    landmarks = sorted({*toxic, *frequent})
+    negative = sorted(clean, key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))[:SAMPLE]
+    worst = {}
+    for k, (own, label) in enumerate(bags):
+        if label and (found := own & pure):
+            worst[k] = max(found, key=lambda w: (spread[w], w))
+    known = set(clean)
+    model = Model()
+    for round_ in range(ROUNDS):
+        counts = {w: spread[w] for w in pure}
+        for w in worst.values():
+            counts[w] = max(counts.get(w, 0), 1)
+        if not counts or not negative:
+            return Model()
+        positive = sorted(counts)
+        copies = sorted({x for w in positive for x in altered(w) if len(x) >= ORDER} - known - set(positive))
+        strings = [*positive, *copies, *negative]
+        y = np.r_[np.ones(len(positive) + len(copies)), -np.ones(len(negative))]
+        weight = np.r_[[min(counts[w], 10.0) for w in positive], np.full(len(copies), 0.5), np.ones(len(negative))]
+        model = _machine(landmarks, strings, y, weight, alphabet)
+        margin = dict(zip(names, model.margins(names, alphabet).tolist(), strict=True))
+        hard = sorted(clean, key=lambda w: (-margin[w], w))[:HARD]
+        negative = sorted({*negative[:SAMPLE], *hard} - pure)
+        if round_ == 0:
+            landmarks = sorted({*landmarks, *(w for w in hard if w not in pure and seen[w][0] * n[1] > seen[w][1] * n[0])} if len(hard) <= LANDMARKS else {*landmarks, *hard[:LANDMARKS]})
+        worst = {k: max(own, key=lambda w: (margin[w], w)) for k, (own, label) in enumerate(bags) if label and own}
+        worst = {k: w for k, w in worst.items() if margin[w] > 0 or w in pure}
+    margin = dict(zip(names, model.margins(names, alphabet).tolist(), strict=True))
+    best = np.array([max((margin[w] for w in own), default=model.bias) for own, _ in bags])
+    model.slope, model.shift = _calibrate(best, np.array([float(label) for _, label in bags]))
+    return model
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """At most ``MAX_TRAIN`` different labelled texts outside the held-out fold."""
+    """At most ``MAX_TRAIN`` labelled texts outside the held-out fold."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT))
     chosen = usable.select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(MAX_TRAIN)
-    # At most MAX_TRAIN rows of two numbers: the broadcast is bounded.
-    rows = docs.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull()).select("text", "toxic").collect()
-    return sorted({(r.text, int(r.toxic)) for r in rows})
+    # At most MAX_TRAIN rows of two numbers: the broadcast is bounded. Rows that share an id are bounded by the last limit.
+    some = docs.where(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(chosen), "doc_id").select("text", "toxic").limit(MAX_TRAIN)
+    return [(r.text, int(r.toxic)) for r in some.collect()]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    model = fit(training_rows(slim, labels))
+    slim = docs.select(named(id_col).alias("doc_id"), named(text).alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(slim, labels)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(model.landmarks)
-        for b in batches:
+        scorer = Scorer(model.value)
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             ids = b.column("doc_id").to_pylist()
-            scores = [model.score(features.rows(x.as_py())) for x in b.column("text")]
+            scores = scorer.scores(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(map(held_out, ids), pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())],
                 ["doc_id", "held_out", "score", "predicted"],
