@@ -16,12 +16,19 @@ with a smaller id, or before in the same one).
    whose first place stays.
 4. Each document then drops what its repeated windows cover, except its first places.
 
+A minimizer of more than ``HOT`` documents (a passage in many of them, each time between
+other words) is dealt out further: its windows go by how far they reach beyond the
+minimizer's string on their shorter side, in steps of doubling length, and by the bytes of
+that reach which all windows of the step have. Equal windows stay together; what stands
+between other words parts, and short reaches have few different strings.
+
 No text is sent anywhere but those of documents with repeated minimizers, which a
 fixed-size bit map picks out (the map only saves work; joins decide).
 
-Defined results: null counts as empty; texts shorter than ``LENGTH`` lose nothing; doc_ids
-are taken to be unique, and rows that share an id and a text get the same result; a
-row without an id loses nothing and is no source of repeats; other columns are
+Defined results: null counts as empty; texts shorter than ``LENGTH`` lose nothing. A
+document is an id with a text: rows that share both are one document and get the same
+result, and of rows that share an id only, one text counts as the earlier (by its hash).
+Rows without an id come after all others. Other columns, whatever their names, are
 ignored; an empty table gives an empty result.
 """
 
@@ -32,12 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard import in_map, membership_map
-from .runtime import Scratch, materialize, tidy
+from .jaccard import LAST, in_map, membership_map, picked
+from .runtime import Scratch, materialize, named, tidy
 from .textscan import chunks, prefix_hash, span_hash
 
 LENGTH = 100
@@ -45,15 +51,17 @@ GRAM = 32
 CHUNK = 1 << 19
 #: Bytes of cut-out strings that are sorted at once.
 SORT_BYTES = 2 << 20
+#: Documents with a minimizer beyond which it is dealt out further.
+HOT = 256
 PLACE_BITS = np.uint64((1 << 24) - 1)
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first window, last window, minimizer) of all runs of windows, in order; places are in ``data``."""
+def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first window, last window, minimizer, its place) of all runs of windows, in order; places are in ``data``."""
     none = np.zeros(0, np.int64)
     total = len(data)
     if total < length:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none
     grams = total - gram + 1
     at = np.arange(grams)
     hashes = span_hash(prefix_hash(data), at, at + gram)
@@ -77,7 +85,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     fresh[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1) | (row_of[start[1:]] != row_of[start[:-1]])
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(start)) - 1
-    return row_of[start[first]], start[first], start[last], hashes[place[first]]
+    return row_of[start[first]], start[first], start[last], hashes[place[first]], place[first]
 
 
 def _words_at(text: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -173,8 +181,8 @@ def common_prefix_reached(text: np.ndarray, order: np.ndarray, length: int = LEN
     return same
 
 
-def first_places(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, first window, last window) of the windows that stand nowhere earlier in ``strings``."""
+def first_places(strings: list[bytes], ids: np.ndarray, texts: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(id, text, first window, last window) of the windows that stand nowhere earlier in ``strings``."""
     sizes = np.array(list(map(len, strings)), np.int64)
     text = np.frombuffer(b"\0".join(strings), np.uint8)
     heads = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
@@ -189,9 +197,9 @@ def first_places(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, len
     number = np.zeros(len(text), np.int64)
     number[place] = np.arange(len(place))
     index = number[order]
-    doc, start = docs[of[index]], starts[of[index]] + offset[index]
+    start = starts[of[index]] + offset[index]
     kind = np.cumsum(new)
-    by = np.lexsort((start, doc, kind))
+    by = np.lexsort((start, texts[of[index]], ids[of[index]], kind))
     leads = np.ones(len(by), bool)
     leads[1:] = kind[by][1:] != kind[by][:-1]
     first = np.zeros(len(place), bool)
@@ -201,16 +209,16 @@ def first_places(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, len
     fresh[1:] = (at[1:] != at[:-1] + 1) | (of[at[1:]] != of[at[:-1]])
     a = np.flatnonzero(fresh)
     b = np.append(a[1:], len(at)) - 1
-    return docs[of[at[a]]], starts[of[at[a]]] + offset[at[a]], starts[of[at[b]]] + offset[at[b]]
+    return ids[of[at[a]]], texts[of[at[a]]], starts[of[at[a]]] + offset[at[a]], starts[of[at[b]]] + offset[at[b]]
 
 
 def _marks(slim: DataFrame) -> DataFrame:
-    """(doc_id, marks): each document's minimizers, those of several places twice."""
+    """(id, tx, marks): each document's minimizers, those of several places twice."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, to, data, offsets in chunks(b.column("text"), CHUNK):
-                row, _, _, mark = runs(data, offsets)
+                row, _, _, mark, _ = runs(data, offsets)
                 by = np.lexsort((mark, row))
                 row, mark = row[by], mark[by]
                 same = np.zeros(len(row), np.int64)
@@ -219,68 +227,93 @@ def _marks(slim: DataFrame) -> DataFrame:
                 third[1:] &= same[:-1]
                 row, mark = row[third == 0], mark[third == 0]
                 cut = np.searchsorted(row, np.arange(to - at + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, to - at).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(mark.view(np.int64)))], ["doc_id", "marks"])
+                own = b.select(["id", "tx"]).slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(pa.array(cut), pa.array(mark.view(np.int64)))], ["id", "tx", "marks"])
 
-    return slim.mapInArrow(tidy(rows), "doc_id bigint, marks array<bigint>")
+    return slim.mapInArrow(tidy(rows), "id bigint, tx bigint, marks array<bigint>")
 
 
-def _picked(slim: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``slim`` whose id is in ``ids``, and few others."""
-    shared = slim.sparkSession.sparkContext.broadcast(membership_map(ids))
+def _in_map(marks: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The documents with marks in the map, these marks only."""
+    shared = marks.sparkSession.sparkContext.broadcast(bitmap)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pc.is_valid(b.column("doc_id")))
-            if b.num_rows:
-                yield b.filter(pa.array(in_map(shared.value, b.column("doc_id").to_numpy())))
+            column = b.column("marks")
+            flat = column.flatten().to_numpy()
+            found = in_map(shared.value, flat)
+            offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
+            upto = np.concatenate([[0], np.cumsum(found)])[offsets].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(upto), pa.array(flat[found]))
+            some = pa.array(np.diff(upto) > 0)
+            yield pa.RecordBatch.from_arrays([*b.select(["id", "tx"]).columns, lists], ["id", "tx", "marks"]).filter(some)
 
-    return slim.mapInArrow(tidy(rows), "doc_id bigint, text string")
+    return marks.mapInArrow(tidy(rows), "id bigint, tx bigint, marks array<bigint>")
 
 
-def _marked_runs(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, its bytes, first windows, last windows, minimizers) of the runs whose minimizer is in ``marks``."""
+def _marked_runs(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, its bytes, first windows, last windows, minimizers, their places) of the runs whose minimizer is in ``marks``."""
     marks = b.column("marks")
     for at, to, data, offsets in chunks(b.column("text"), CHUNK):
-        row, first, last, mark = runs(data, offsets)
+        row, first, last, mark, place = runs(data, offsets)
         cut = np.searchsorted(row, np.arange(to - at + 1))
         for r in range(to - at):
             own = slice(cut[r], cut[r + 1])
             known = np.sort(marks[at + r].values.to_numpy().view(np.uint64))
             hit = known[np.minimum(np.searchsorted(known, mark[own]), len(known) - 1)] == mark[own]
-            yield at + r, data[offsets[r] : offsets[r + 1]], first[own][hit] - offsets[r], last[own][hit] - offsets[r], mark[own][hit]
+            yield at + r, data[offsets[r] : offsets[r + 1]], first[own][hit] - offsets[r], last[own][hit] - offsets[r], mark[own][hit], place[own][hit] - offsets[r]
+
+
+#: Windows by their shorter reach beyond the minimizer's string: (least, most).
+STEPS = tuple((a, min(2 * a - 1, (LENGTH - GRAM) // 2) if a else 0) for a in (0, 1, 2, 4, 8, 16, 32))
+
+
+def dealt_out(text: bytes, first: int, last: int, mark: int, place: int) -> Iterator[tuple[int, int, int]]:
+    """(key, first window, last window): a hot minimizer's run in parts; equal windows have equal keys."""
+    over = LENGTH - GRAM
+    for least, most in STEPS:
+        # Right reach of a window at w: w + over - place; left reach: place - w.
+        for side, a, z, reach in (
+            (0, place - over + least, place - over + most, text[place + GRAM : place + GRAM + least]),
+            (1, place - min(most, (over - 1) // 2), place - least, text[place - least : place]),
+        ):
+            a, z = max(a, first), min(z, last)
+            if a <= z:
+                key = hashlib.blake2b(reach, digest_size=8, key=b"%d,%d,%d" % (mark, side, least)).digest()
+                yield int.from_bytes(key, "little", signed=True), a, z
 
 
 def _cut_out(marked: DataFrame) -> DataFrame:
-    """(mark, string, doc_id, start) of the marked runs, each string once a document."""
+    """(mark, string, id, tx, start) of the marked runs, each string once a document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            marks, strings, docs, starts = [], [], [], []
-            for r, data, first, last, mark in _marked_runs(b):
-                whole = data.tobytes()
-                for a, z, m in zip(first.tolist(), last.tolist(), mark.view(np.int64).tolist(), strict=True):
-                    marks.append(m)
-                    strings.append(whole[a : z + LENGTH])
-                    docs.append(ids[r])
-                    starts.append(a)
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(strings, pa.binary()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64())], ["mark", "string", "doc_id", "start"])
+            ids, texts, hot = (b.column(c).to_pylist() for c in ("id", "tx", "hot"))
+            out: list[tuple[int, bytes, int, int, int]] = []
+            for r, data, first, last, mark, place in _marked_runs(b):
+                whole, hot_ones = data.tobytes(), set(hot[r])
+                for a, z, m, p in zip(first.tolist(), last.tolist(), mark.view(np.int64).tolist(), place.tolist(), strict=True):
+                    for key, x, y in dealt_out(whole, a, z, m, p) if m in hot_ones else ((m, a, z),):
+                        out.append((key, whole[x : y + LENGTH], ids[r], texts[r], x))
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["mark", "string", "id", "tx", "start"])
 
-    return marked.mapInArrow(tidy(rows), "mark bigint, string binary, doc_id bigint, start bigint")
+    return marked.mapInArrow(tidy(rows), "mark bigint, string binary, id bigint, tx bigint, start bigint")
 
 
 def _first_windows(cuts: DataFrame) -> DataFrame:
-    """(doc_id, a, b): ranges of windows that stand nowhere earlier."""
-    once = cuts.groupBy("mark", "string").agg(F.min(F.struct("doc_id", "start")).alias("at"))
-    dealt = once.select("mark", "string", F.col("at.doc_id").alias("doc_id"), F.col("at.start").alias("start")).repartition("mark").sortWithinPartitions("mark")
+    """(id, tx, a, b): ranges of windows that stand nowhere earlier."""
+    once = cuts.groupBy("mark", "string").agg(F.min(F.struct("id", "tx", "start")).alias("at"))
+    dealt = once.select("mark", "string", "at.id", "at.tx", "at.start").repartition("mark").sortWithinPartitions("mark")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
 
         def sorted_out(t: pa.RecordBatch) -> pa.RecordBatch:
-            found = first_places(t.column("string").to_pylist(), t.column("doc_id").to_numpy(), t.column("start").to_numpy())
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["doc_id", "a", "b"])
+            found = first_places(t.column("string").to_pylist(), *(t.column(c).to_numpy() for c in ("id", "tx", "start")))
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["id", "tx", "a", "b"])
 
         def joined() -> pa.RecordBatch:
             return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -300,7 +333,7 @@ def _first_windows(cuts: DataFrame) -> DataFrame:
         if held:
             yield sorted_out(joined())
 
-    return dealt.mapInArrow(tidy(rows), "doc_id bigint, a bigint, b bigint")
+    return dealt.mapInArrow(tidy(rows), "id bigint, tx bigint, a bigint, b bigint")
 
 
 def removed_mask(size: int, first: np.ndarray, last: np.ndarray, keep: list[tuple[int, int]], length: int = LENGTH) -> np.ndarray:
@@ -317,74 +350,72 @@ def removed_mask(size: int, first: np.ndarray, last: np.ndarray, keep: list[tupl
 
 
 def _edited(marked: DataFrame) -> DataFrame:
-    """(doc_id, n_removed, n_spans, kept_sha256, kept) of the marked documents that lose bytes."""
+    """(id, tx, n_removed, n_spans, kept_sha256, kept) of the marked documents that lose bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keeps = b.column("doc_id").to_pylist(), b.column("keep").to_pylist()
+            ids, texts, keeps = (b.column(c).to_pylist() for c in ("id", "tx", "keep"))
             out: list[tuple] = []
-            for r, data, first, last, _ in _marked_runs(b):
+            for r, data, first, last, _, _ in _marked_runs(b):
                 gone = removed_mask(len(data), first, last, [(x["a"], x["b"]) for x in keeps[r] or ()])
                 if gone.any():
                     kept = data[~gone].tobytes()
                     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    out.append((ids[r], int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    out.append((ids[r], texts[r], int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["id", "tx", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return marked.mapInArrow(tidy(rows), "doc_id bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+    return marked.mapInArrow(tidy(rows), "id bigint, tx bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
 
 
-def _edits(slim: DataFrame, bytes_too: bool) -> tuple[DataFrame, DataFrame]:
-    """(sizes and digests of all rows with ``first``, the first id with the same text; edits of first texts)."""
+def _edits(slim: DataFrame, bytes_too: bool) -> DataFrame:
+    """Per row of ``(doc_id, text)``: id, tx, n_bytes, sha, copy (an earlier document has the whole text), and its edit if any."""
     with Scratch(slim.sparkSession) as scratch:
         text = F.coalesce("text", F.lit(""))
-        sizes = materialize(slim.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("sha")), "sizes")
-        firsts = sizes.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
-        slim = slim.where(F.octet_length("text") >= LENGTH)
-        marks = scratch.table(_marks(slim).join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"), "marks")
-        single = marks.select("doc_id", F.explode("marks").alias("mark"))
-        twice = single.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
-        flags = single.join(twice, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
-        flags = scratch.table(flags, "flags")
-        marked = _picked(slim, flags.select("doc_id")).join(flags, "doc_id")
-        keep = scratch.table(_first_windows(_cut_out(marked)), "first-windows").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("keep"))
-        edited = _edited(marked.join(keep, "doc_id", "left")).dropDuplicates(["doc_id"])
+        slim = slim.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("tx"), "text")
+        sizes = materialize(slim.select("doc_id", "id", "tx", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("sha")), "sizes")
+        firsts = sizes.groupBy("sha").agg(F.min(F.struct("id", "tx", "n_bytes")).alias("one"))
+        slim = slim.where(F.octet_length("text") >= LENGTH).select("id", "tx", "text")
+        marks = scratch.table(_marks(slim).join(firsts.where(F.col("one.n_bytes") >= LENGTH).select("one.id", "one.tx"), ["id", "tx"], "left_semi"), "marks")
+        twice = scratch.table(marks.select(F.explode("marks").alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
+        single = _in_map(marks, membership_map(twice.select("mark"))).select("id", "tx", F.explode("marks").alias("mark"))
+        hot = F.collect_set(F.when(F.col("n") > HOT, F.col("mark")))
+        flags = scratch.table(single.join(twice, "mark").groupBy("id", "tx").agg(F.collect_set("mark").alias("marks"), hot.alias("hot")), "flags")
+        marked = picked(slim, "tx", flags.select("tx"), "id bigint, tx bigint, text string").join(flags, ["id", "tx"])
+        keep = scratch.table(_first_windows(_cut_out(marked)), "first-windows").groupBy("id", "tx").agg(F.collect_list(F.struct("a", "b")).alias("keep"))
+        edited = _edited(marked.join(keep, ["id", "tx"], "left")).dropDuplicates(["id", "tx"])
         edits = materialize(edited if bytes_too else edited.drop("kept"), "edits")
-        return sizes.join(firsts, "sha", "left"), edits
+        both = sizes.join(firsts.select("sha", F.col("one.id").alias("first")), "sha").join(edits, ["id", "tx"], "left")
+        return both.withColumn("copy", (F.col("id") > F.col("first")) & (F.col("n_bytes") >= LENGTH))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    sizes, edits = _edits(slim, False)
-    copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
-    out = sizes.join(edits, "doc_id", "left")
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    out = _edits(docs.select(named(id_col).alias("doc_id"), named(text).alias("text")), False)
     none = hashlib.sha256(b"").hexdigest()
     return out.select(
         "doc_id",
         "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.lit(none)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
+        F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(F.col("copy"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(F.col("copy"), F.lit(none)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
     )
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """The documents with repeats cut out of their text, with all their columns.
+    """The documents with repeats cut out of their text, with all their columns, whatever their names.
 
     Cut characters' remaining bytes are dropped, ``n_chars`` follows where the column
     exists, and a document all of whose bytes go stays as an empty text.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    sizes, edits = _edits(slim, True)
-    copies = sizes.where((F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)).select("doc_id", F.lit("").alias("kept"))
-    kept = edits.select("doc_id", "kept").union(copies).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
-    both = docs.join(kept, F.col(f"`{id_col}`") == F.col("_id"), "left")
-    fresh = F.when(F.col("_id").isNull(), F.col(f"`{text}`")).otherwise(F.col("_kept"))
-    out = both.withColumn(text, fresh)
+    out = _edits(docs.select(named(id_col).alias("doc_id"), named(text).alias("text")), True)
+    out = out.where(F.col("copy") | F.col("kept").isNotNull()).select("id", "tx", F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias("kept")).dropDuplicates(["id", "tx"])
+    field = F.col("row").getField
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"))
+    rows = rows.select("row", F.coalesce(field(id_col), F.lit(LAST)).alias("id"), F.xxhash64(field(text)).alias("tx"))
+    both = rows.join(out, ["id", "tx"], "left")
+    fresh = {text: F.col("kept")}
     if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col("_id").isNull(), F.col(f"`{n_chars}`")).otherwise(F.length(F.col(f"`{text}`")).cast(docs.schema[n_chars].dataType)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
-
+        fresh[n_chars] = F.length("kept").cast(docs.schema[n_chars].dataType)
+    return both.select(*[F.when(F.col("kept").isNull(), field(c)).otherwise(fresh[c]).alias(c) if c in fresh else field(c).alias(c) for c in docs.columns])
