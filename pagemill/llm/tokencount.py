@@ -4,13 +4,13 @@ The vocabulary has no piece with a word mark after another character and none
 with a line feed, so merges never cross these places: a text's count is the sum
 over its pre-tokens, the stretches between them.
 
-Tier one is a table of frequent pre-tokens and their lengths, at most
-``TABLE_ENTRIES`` entries of at most ``MAX_CHARS`` characters (some MB), broadcast.
-It is found over all documents: each task keeps a bounded summary of its own
-pre-tokens and passes on its ``TASK_ENTRIES`` most frequent. Only these summaries
-meet in an exchange; the pre-tokens themselves never do. Tier two is a bounded cache in
-each worker process; what neither tier has is encoded by the library. The tables
-change the speed, never a count.
+Tier one is a compact table of frequent pre-tokens and their lengths, at most
+``TABLE_ENTRIES`` entries of at most ``MAX_CHARS`` characters (some MB), broadcast. It is
+fitted on a bounded sample on the driver: at most ``SAMPLE_ROWS`` texts of at most
+``SAMPLE_BYTES`` bytes. Tier two is a cache in each worker process, which starts with what
+its own texts hold and is bounded too; what neither tier has is encoded by the library.
+Every text of every row goes through both tiers in one narrow pass; no pre-token and no
+count of any is exchanged. The tables change the speed, never a count.
 
 Defined results: null counts as empty and has no tokens; repeated rows are counted
 alike; other columns are ignored; an empty table gives an empty result.
@@ -27,13 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import tidy
+from .runtime import named, tidy
 
 MARK = "▁"
 UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 TABLE_ENTRIES = 65_536
-TASK_ENTRIES = 2_048
-TASK_SUMMARY = 100_000
+SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 32_768
 MAX_CHARS = 32
 CACHE_ENTRIES = 400_000
 TOKEN_LIMIT = 4_096
@@ -96,27 +95,16 @@ def _counter(model: bytes) -> PieceCounter:
 
 
 def frequent_units(slim: DataFrame) -> list[str]:
-    """The most frequent pre-tokens of all documents, as the tasks' summaries have them."""
-
-    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for b in batches:
-            for x in b.column("text"):
-                seen.update(units(x.as_py() or ""))
-                while len(seen) > TASK_SUMMARY:
-                    # Lossy counting: the rare ones go, frequent ones stay.
-                    seen = Counter({u: n - 1 for u, n in seen.items() if n > 1})
-        top = sorted(((n, u) for u, n in seen.items() if len(u) <= MAX_CHARS), reverse=True)[:TASK_ENTRIES]
-        yield pa.RecordBatch.from_arrays([pa.array([u for _, u in top], pa.string()), pa.array([n for n, _ in top], pa.int64())], ["unit", "n"])
-
-    rows = slim.select("text").mapInArrow(tidy(summaries), "unit string, n bigint")
-    top = rows.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(TABLE_ENTRIES)
-    return [r.unit for r in top.collect()]
+    """The most frequent pre-tokens of the sample."""
+    seen: Counter = Counter()
+    for r in slim.where(F.octet_length("text") <= SAMPLE_BYTES).select("text").limit(SAMPLE_ROWS).toLocalIterator():
+        seen.update(u for u in units(r.text) if len(u) <= MAX_CHARS)
+    return sorted(seen, key=lambda u: (-seen[u], u))[:TABLE_ENTRIES]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    slim = docs.select(named(id_col).alias("doc_id"), named(text).alias("text"))
     with open(path, "rb") as f:
         model = f.read()
     frequent = frequent_units(slim)
