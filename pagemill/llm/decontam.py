@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import keyed, materialize, tidy
+from .runtime import keyed, materialize, named, tidy
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
@@ -191,7 +191,7 @@ def blocks_of(benchmark: DataFrame, item_col: str = "item_id", text: str = "text
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document row: doc_id, n_words, starts, lengths, items of all window matches; exact ones, or within ``slop``."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    slim = docs.select(named(id_col).alias("doc_id"), named(text).alias("text"))
     parts = []
     for block in blocks_of(benchmark):
         windows = Windows(block, size)
@@ -230,5 +230,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     Each row has its own verdict, so that ids may repeat or be null.
     """
     rows = keyed(docs, "documents")
-    gone = decontaminate(rows, benchmark, id_col="_key", text=text).where("contaminated").select(F.col("doc_id").alias("_key"))
-    return rows.join(gone, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    slim = rows.select("key", F.col("row").getField(text).alias("text"))
+    gone = decontaminate(slim, benchmark, id_col="key").where("contaminated").select(F.col("doc_id").alias("key"))
+    return rows.join(gone, "key", "left_anti").select("row.*")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import materialize, named
 
 SHARDS = 8
 #: A shard may hold so much more than its even part while texts move.
@@ -111,8 +111,8 @@ def propagate(texts: DataFrame, loads: list[int]) -> DataFrame:
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    slim = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.unhex(F.md5(t)).alias("text_key"))
+    t = F.coalesce(named(text), F.lit(""))
+    slim = docs.select(named(id_col).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.unhex(F.md5(t)).alias("text_key"))
     start = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(shards)).cast("int")
     slim = materialize(slim.withColumn("start", start), "sizes")
     loads = [0] * shards

@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.llm import bpe, decontam, html_text, jaccard, licenses, quality, repeats, shards, tokencount, toxicity
 
@@ -67,7 +69,73 @@ def test_html_names_of_wrappers(name):
     for inner in (f"<article>{text}</article>", f"<main>{text}</main>", f"<div>{text}</div>", text):
         page = f'<html><body><nav>menu</nav><div class="{name}">{noise}{inner}</div>{noise}</body></html>'
         assert html_text.extract(page) == f"{PROSE}\n\n{COPY}"
-    assert html_text.extract(f'<body><article>{text}</article><div class="{name}"><article>{text}</article></div>') == f"{PROSE}\n\n{COPY}"
+
+
+def measured(page):
+    root = html_text.parse(page)
+    order = html_text._walk(root)
+    html_text.measure(order)
+    return order
+
+
+def test_html_density_sums():
+    """Counts, densities and sums of every element against a count over its whole subtree."""
+    page = f"<body><div><a href=1>x y</a> z <a href=2>w</a></div><main>direct {PROSE}<div><h1>T</h1><p>a <b>b</b> c<p>{COPY}</div><ul><li>one<li><a>two</a></ul></main></body>"
+    order = measured(page)
+
+    def below(n):
+        return [x for k in n.kids if not isinstance(k, str) for x in (k, *below(k))]
+
+    def chars(n, link=False):
+        return sum((len(" ".join(k.split())) if link or n.tag == "a" else 0) if isinstance(k, str) else chars(k, link or n.tag == "a") for k in n.kids)
+
+    body = next(n for n in order if n.tag == "body")
+    share = chars(body) / chars(body, True)
+    for n in order:
+        inside = below(n)
+        links = len(inside) if n.tag == "a" else sum(x.tag == "a" for x in inside)
+        assert (n.chars, n.tags, n.link_chars, n.link_tags) == (chars(n, True), len(inside), chars(n), links)
+        assert n.density == pytest.approx(html_text.density(n.chars, n.tags, n.link_chars, n.link_tags, share))
+        own = sum(len(" ".join(k.split())) for k in n.kids if isinstance(k, str))
+        want = html_text.density(own, 1, 0, 0, share) + sum(k.density for k in n.kids if not isinstance(k, str))
+        assert n.total == pytest.approx(want if n.tag in html_text.CONTAINER else 0)
+
+
+def test_html_density_decides():
+    text = f"<h1>Title</h1><p>{PROSE}</p><p>{COPY}</p>"
+    extra = '<section class="related-work"><h2>Related</h2><p>In <math><mi>x</mi></math> other</p></section>'
+    links = "".join(f"<a href={k}>go there {k}</a> " for k in range(9))
+    want = f"Title\n\n{PROSE}\n\n{COPY}\n\nRelated\n\nIn x other"
+    noise = f'<div class="ad">buy</div><div id="comments"><p>{PROSE * 2}</p></div><div class="cookie-banner">ok?</div><div class="related-posts">{links}</div>'
+    for inner in (f"<article>{text}{extra}{noise}</article>", f'<div class="main">{text}{extra}{noise}</div>', f"<article><div>{text}</div>{extra}</article>{noise}"):
+        # A list of links and a short notice without telling names.
+        page = f'<html><body><div class="wrap"><div class="x">{links}</div>{inner}</div><div>short</div></body></html>'
+        assert html_text.extract(page) == want
+    # Two articles of one page, and a text that only a wrapper's name speaks against.
+    assert html_text.extract(f"<body><article>{text}</article><article><p>{PROSE}</p></article>") == f"Title\n\n{PROSE}\n\n{COPY}\n\n{PROSE}"
+    assert html_text.extract(f'<body><div class="sidebar">{text}</div><p>x</p>').startswith("Title")
+    assert html_text.extract(f'<body><article>{text}</article><div class="sidebar"><p>{PROSE}</p></div>') == f"Title\n\n{PROSE}\n\n{COPY}"
+    assert html_text.extract('a < b <p title="1 > 2">c &lt;d&gt;<td') == "a < b\n\nc <d>"
+
+
+def test_html_time_in_proportion():
+    for page in ("<a" * 500_000, "<a " * 330_000, '<a x="' * 150_000, "<a '>\" " * 100_000, "<div>" * 100_000 + "x", "<p><table><td>" + "<div>" * 100_000, "<ul>" + "<span>" * 50_000 + "<li>" * 50_000, "<b>x<p>" * 50_000):
+        began = time.process_time()
+        html_text.extract(page)
+        assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_html_articles_of_the_tables(sf):
+    """The tables' pages have their text in one ``article``: what a plain reading of it gives."""
+    import html as plain
+
+    import duckdb
+
+    for (page,) in duckdb.sql(f"select html from '/root/testdata/{sf}/pages.parquet'").fetchall():
+        inside = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1]
+        blocks = [" ".join(plain.unescape(re.sub(r"<[^>]*>", " " if "<br" in x else "", re.sub(r"<br[^>]*>", " ", x))).split()) for x in re.split(r"</?(?:p|h1|ul|li)\b[^>]*>", inside)]
+        assert html_text.extract(page) == "\n\n".join(x for x in blocks if x)
 
 
 def test_bpe(docs, none):
@@ -157,16 +225,58 @@ def test_stages_judge_rows(spark):
     assert Counter(map(tuple, jaccard.keep_first(df).collect())) == Counter([(1, PROSE), (1, other), (3, None), (3, None)])
 
 
+def kernel_by_brute_force(a, b):
+    """Shared subsequences of ORDER characters, each weighted by DECAY to the stretch it spans, normalised."""
+    from itertools import combinations
+
+    def weights(s):
+        out = Counter()
+        for places in combinations(range(len(s)), toxicity.ORDER):
+            out["".join(s[p] for p in places)] += toxicity.DECAY ** (places[-1] - places[0] + 1)
+        return out
+
+    x, y = weights(a), weights(b)
+    norm = (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+    return sum(v * y[k] for k, v in x.items()) / norm if norm else 0.0
+
+
+def test_toxicity_kernel():
+    alphabet = toxicity.Alphabet("abcdefgh")
+    rng = random.Random(2)
+    strings = ["".join(rng.choices("abcdefgh", k=rng.randrange(1, 12))) for _ in range(60)]
+    got = toxicity.kernel_matrix(strings, strings[:9], alphabet)
+    for k, a in enumerate(strings):
+        for j, b in enumerate(strings[:9]):
+            assert got[k, j] == pytest.approx(kernel_by_brute_force(a, b), abs=1e-4)
+    landmarks = [s for s in strings if len(s) >= toxicity.ORDER][:8]
+    y = np.array([1.0, -1.0] * 20)
+    own = [s for s in strings if len(s) >= toxicity.ORDER][:40]
+    model = toxicity._machine(landmarks, own[: len(y)], y[: len(own)], np.ones(len(own)), alphabet)
+    values, vectors = np.linalg.eigh(toxicity.kernel_matrix(landmarks, landmarks, alphabet))
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
+    w, bias = toxicity._svm(toxicity.kernel_matrix(own, landmarks, alphabet) @ root, y[: len(own)], np.ones(len(own)))
+    assert model.margins(strings, alphabet) == pytest.approx(toxicity.kernel_matrix(strings, landmarks, alphabet) @ root @ w + bias, abs=1e-3)
+
+
 def test_toxicity():
+    """Precision and recall on the held-out fold, and insults spaced, glued, with characters inserted, dropped or changed."""
     import duckdb
 
     rows = duckdb.sql("select d.doc_id, d.text, l.toxic from '/root/testdata/sf0.1/documents.parquet' d join '/root/testdata/sf0.1/labels.parquet' l using (doc_id)").fetchall()
-    model = toxicity.fit(sorted({(t, x) for i, t, x in rows if not toxicity.held_out(i)}))
-    features = toxicity.Features(model.landmarks)
-    scored = [(model.score(features.rows(t)) >= 0.5, x) for i, t, x in rows if toxicity.held_out(i)]
-    assert sum(p == bool(x) for p, x in scored) / len(scored) > 0.95
-    assert model.score(features.rows("you id-iot")) > 0.5 > model.score(features.rows(None))
-    assert toxicity.subsequence_kernel("ab", "ab", 2, 0.5) == pytest.approx(0.0625)
+    model = toxicity.fit([(t, x) for i, t, x in rows if t and not toxicity.held_out(i)])
+    assert model == toxicity.fit([(t, x) for i, t, x in reversed(rows) if t and not toxicity.held_out(i)])
+    scorer = toxicity.Scorer(model)
+    out = [r for r in rows if toxicity.held_out(r[0])]
+    pairs = Counter(zip((r[2] for r in out), (p >= 0.5 for p in scorer.scores([r[1] for r in out])), strict=True))
+    assert pairs[1, True] / (pairs[1, True] + pairs[1, False]) > 0.85 and pairs[1, True] / (pairs[1, True] + pairs[0, True]) > 0.85
+    insults = ["idiot", "stupid", "moron", "trash", "pathetic", "loser", "clown", "disgusting", "worthless"]
+    ways = {
+        "plain": (9, lambda w: w), "spaced": (9, " ".join), "hyphens": (9, "-".join), "wide": (9, " - ".join), "gap": (9, lambda w: w[:3] + ".." + w[3:]),
+        "glued": (8, lambda w: "x" + w), "doubled": (7, lambda w: w[:3] + w[2] + w[3:]), "inserted": (6, lambda w: w[:2] + "x" + w[2:]), "dropped": (4, lambda w: w[:2] + w[3:]), "changed": (4, lambda w: w[:2] + "*" + w[3:]),
+    }
+    for least, way in ways.values():
+        assert sum(p >= 0.5 for p in scorer.scores([f"you {way(w)} there" for w in insults])) >= least
+    assert max(scorer.scores([None, "", "a b", "the quick brown fox", "x" * 200_000])) < 0.5
 
 
 def test_toxicity_edges(spark, docs, none):
@@ -174,6 +284,9 @@ def test_toxicity_edges(spark, docs, none):
     got = toxicity.score_toxicity(docs, labels).collect()
     assert len(got) == len(DOCS) and all(r.score == 0.0 and r.predicted == 0 for r in got)
     assert toxicity.score_toxicity(none, labels).count() == 0
+    both = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, 1), (12, 0, 1), (12, 0, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.score_toxicity(docs, both).collect()
+    assert len(got) == len(DOCS) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and (r.doc_id is not None or not r.held_out) for r in got)
 
 
 @pytest.mark.parametrize("size, num", [(3, 90), (2, 50)])
@@ -198,55 +311,145 @@ def test_jaccard(docs, none, size, num):
 
 def test_jaccard_searches_the_rest(spark, docs, monkeypatch):
     """Best candidates that were all tested before do not end the search for the others."""
-    real, asked = jaccard._searched, []
+    real, asked = jaccard._further_search, []
 
-    def searched(scratch, *args):
+    def searched(*args):
         asked.append(args[-1])
-        # 1 and 3 meet as a bucket's centre and member.
-        return real(scratch, *args) if args[-1] is None else spark.createDataFrame([(1, 3, True)], "a long, b long, more boolean")
+        return real(*args) if args[-1] is None else spark.createDataFrame([(1, 3, True)], "a long, b long, more boolean")
 
-    monkeypatch.setattr(jaccard, "_searched", searched)
+    monkeypatch.setattr(jaccard, "_further_search", searched)
     jaccard.near_duplicates(docs, 3, 90, 100).collect()
     assert asked == [jaccard.BEST, None]
 
 
-def test_jaccard_large_cells(spark):
-    """Two families of variants that share shingles: cells of over FEW members and several components."""
-    rng = random.Random(5)
-    rows = []
-    for k in range(160):
-        words = [f"common{j}" for j in range(12)] + [f"own{k % 2}x{j}" for j in range(28)]
-        for j in rng.sample(range(40), rng.randrange(5)):
-            words[j] = f"other{k}x{j}"
-        rows.append((k, " ".join(words)))
-    sets = [{tuple(w[j : j + 2]) for j in range(len(w) - 1)} for w in (t.split() for _, t in rows)]
-    top = list(range(len(rows)))
-    for a in range(len(rows)):
+def by_brute_force(sets, num):
+    top = list(range(len(sets)))
+    for a in range(len(sets)):
         for b in range(a):
-            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and top[a] != top[b]:
+            if top[a] != top[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]) and sets[a]:
                 lo, hi = sorted((top[a], top[b]))
                 top = [lo if x == hi else x for x in top]
-    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80, 100).collect()
-    assert len(set(top)) > 2 and {r.doc_id: r.component_id for r in got} == dict(enumerate(top))
+    return top
 
 
-def test_repeats(docs, none):
-    seen, want = set(), {}
-    for i, t in sorted({(i, t or "") for i, t in DOCS if i is not None}):
-        data = t.encode()
+@pytest.mark.parametrize("block", [8, 1024])
+@pytest.mark.parametrize("size, num", [(2, 80), (3, 90)])
+def test_jaccard_families(spark, monkeypatch, block, size, num):
+    """Families of variants around the threshold: buckets of many members and several components, in one block and in many."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(5)
+    rows = []
+    for k in range(240):
+        words = [f"common{j}" for j in range(12)] + [f"own{k % 3}x{j}" for j in range(28 + 40 * (k % 3))]
+        for j in rng.sample(range(len(words)), rng.randrange(1 + len(words) // (6 if num == 80 else 14))):
+            words[j] = f"other{k}x{j}"
+        rows.append((k, " ".join(words[: len(words) - rng.randrange(4)])))
+    sets = [{tuple(w[j : j + size]) for j in range(len(w) - size + 1)} for w in (t.split() for _, t in rows)]
+    top = by_brute_force(sets, num)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size, num, 100).collect()
+    assert 3 < len(set(top)) < len(rows) and {r.doc_id: r.component_id for r in got} == dict(enumerate(top))
+
+
+def test_jaccard_thousands_of_near_copies(spark):
+    """The trees' candidates grow with the members, not with their square, and hold every link's component."""
+    n = 3_000
+    words = [f"w{j}" for j in range(120)]
+    rows = [(k, " ".join([*words[: 40 + k % 60], f"own{k}", *words[41 + k % 60 :]])) for k in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in jaccard.near_duplicates(df, 3, 90, 100).collect()} == {0}
+    slim = df.withColumn("tx", F.xxhash64("text"))
+    with jaccard.Scratch(spark) as scratch:
+        nodes = scratch.table(slim.select(F.col("doc_id").alias("key"), "doc_id", "tx"), "nodes")
+        found = jaccard._first_search(*jaccard._buckets(scratch, slim, nodes, 3, jaccard.Grouping(90, 100)), 90, 100).where("a is not null").select("a", "b").distinct().count()
+    assert n - 1 <= found < 12 * n
+
+
+@pytest.mark.parametrize("num", [50, 80, 90, 99])
+def test_jaccard_sets_that_link_meet(num):
+    rng = np.random.default_rng(num)
+    grouping = jaccard.Grouping(num, 100)
+    linked = 0
+    for k in range(1_500):
+        n = int(rng.integers(1, 40) if k % 2 else rng.integers(40, 900))
+        pool = rng.integers(0, 1 << 63, 2 * n + 2, dtype=np.uint64)
+        cut = int(rng.integers(0, 1 + (100 - num) * n // 100))
+        a, b = np.unique(pool[:n]), np.unique(pool[cut : cut + n + int(rng.integers(-cut, cut + 1)) // 2])
+        both = len(np.intersect1d(a, b))
+        if both and 100 * both >= num * (len(a) + len(b) - both) and len(np.setxor1d(a, b)):
+            linked += 1
+            assert len(np.intersect1d(grouping.digests(a), grouping.digests(b)))
+    assert linked > 100
+
+
+def test_jaccard_rows(spark):
+    """Rows that share an id, or have none, count for themselves."""
+    other = " ".join(f"plain{k}" for k in range(80))
+    rows = [(5, PROSE), (5, other), (None, PROSE), (None, other + " more"), (7, COPY), (None, "alone in the world"), (8, None)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(5, 5), (5, 5), (None, 5), (None, 5), (7, 5), (None, None), (8, 8)])
+
+
+def removed_by_brute_force(rows):
+    """(id, text) in order -> per row (n_bytes, n_removed, n_spans, kept bytes)."""
+    seen, out = set(), []
+    for _, t in rows:
+        data = (t or "").encode()
         gone = [False] * len(data)
         for k in range(len(data) - 99):
             if data[k : k + 100] in seen:
                 gone[k : k + 100] = [True] * 100
             seen.add(data[k : k + 100])
         kept = bytes(c for c, g in zip(data, gone) if not g)
-        want[i] = (len(data), sum(gone), sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest())
+        out.append((len(data), sum(gone), sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone)), kept))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1, 256])
+def test_repeats_between_other_words(spark, monkeypatch, hot):
+    """A passage in many documents, each time between other words; minimizers dealt out further or not."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(3)
+    passage = " ".join(f"passage{k}" for k in range(30))
+    word = lambda: rng.choice(["a", "be", "see", "tree", "seven"])
+    rows = [(k, " ".join([*(word() for _ in range(rng.randrange(40))), passage[rng.randrange(9) : 300 - rng.randrange(9)], *(word() for _ in range(rng.randrange(40)))])) for k in range(60)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for (i, _), w in zip(rows, removed_by_brute_force(rows), strict=True)}
+
+
+def test_repeats_rows(spark):
+    """Rows that share an id keep their own results; rows without one come last."""
+    twice = "".join(f"{k:03d}," for k in range(100))
+    rows = [(1, twice + twice), (1, "short"), (2, "other"), (2, None), (None, "x" + twice), (None, "fine")]
+    df = spark.createDataFrame([(i, t, t, k, len(t or ""), "n") for k, (i, t) in enumerate(rows)], "doc_id long, text string, kept string, _id int, n_chars int, _kept string")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove_repeats(df).collect())
+    assert got == Counter([(1, 800, 400, 1), (1, 5, 0, 0), (2, 5, 0, 0), (2, 0, 0, 0), (None, 401, 400, 1), (None, 4, 0, 0)])
+    edited = repeats.without_repeats(df)
+    assert edited.columns == df.columns
+    assert Counter((r.doc_id, r.text, r.kept, r.n_chars) for r in edited.collect()) == Counter([(1, twice, twice + twice, 400), (1, "short", "short", 5), (2, "other", "other", 5), (2, None, None, 0), (None, "x", "x" + twice, 1), (None, "fine", "fine", 4)])
+
+
+def test_stages_with_clashing_names(spark):
+    bench = spark.createDataFrame([(7, PROSE)], "item_id long, text string")
+    names = ["doc_id", "text", "key", "row", "_key", "_gone", "_id", "_kept", "kept", "v", "component_id", "a.b"]
+    rows = [(k, t, *range(10)) for k, t in enumerate([PROSE, COPY, "short", None])]
+    df = spark.createDataFrame(rows, names)
+    assert [r.doc_id for r in jaccard.keep_first(df).orderBy("doc_id").collect()] == [0, 2, 3]
+    assert [r.doc_id for r in decontam.drop_contaminated(df, bench).orderBy("doc_id").collect()] == [2, 3]
+    for out in (jaccard.keep_first(df), decontam.drop_contaminated(df, bench), repeats.without_repeats(df), quality.filter_quality(df)):
+        assert out.columns == names and all(tuple(r)[2:] == tuple(range(10)) for r in out.collect())
+
+
+def test_repeats(docs, none):
+    own = sorted({(i, t or "") for i, t in DOCS if i is not None})
+    want = {(i, *w[:3], hashlib.sha256(w[3]).hexdigest()) for (i, _), w in zip(own, removed_by_brute_force(own), strict=True)}
     got = [r for r in repeats.remove_repeats(docs).collect() if r.doc_id is not None]
     assert len(got) == len(DOCS) - 1
-    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == {(i, *v) for i, v in want.items()}
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
     assert repeats.remove_repeats(none).count() == 0
     edited = repeats.without_repeats(docs)
     assert edited.columns == docs.columns and edited.count() == len(DOCS)
+    texts = {i: w[3].decode() for (i, _), w in zip(own, removed_by_brute_force(own), strict=True)}
+    assert all((r.text or "") == texts[r.doc_id] and r.n_chars == len(texts[r.doc_id]) for r in edited.collect() if r.doc_id is not None)
 
 
 def test_token_counts(docs, none):
