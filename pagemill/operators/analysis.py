@@ -6,25 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import lines as ln
 from ..functions.text import has_leader, heading_depth, normalise
 
 
-def search(pages: DataFrame, term: str, key: str = "doc_id", context: int = 44) -> DataFrame:
-    """Hits of a phrase, ignoring case, with the text around each; white space in both counts as one space.
-
-    Pages without the phrase are filtered before anything is exploded.
-    """
-    want = " ".join(term.split()).lower()
-    if not want:
-        return pages.select(key, F.lit(0).alias("ord"), F.lit(0).alias("char_start"), F.lit("").alias("snippet")).limit(0)
-    flat = pages.select(key, normalise(F.col("text")).alias("t")).where(F.contains(F.lower("t"), F.lit(want)))
-    parts = flat.withColumn("parts", F.split(F.lower("t"), f"\\Q{want}\\E", -1))
-    hits = parts.select(key, "t", "parts", F.posexplode(F.slice("parts", 1, F.size("parts") - 1)).alias("ord", "_"))
-    start = F.aggregate(F.slice("parts", 1, F.col("ord") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.col("ord") * len(want)
-    hits = hits.withColumn("char_start", start)
-    return hits.select(key, "ord", "char_start", F.trim(F.substring("t", F.greatest(F.col("char_start") - context, F.lit(0)) + 1, F.least(F.col("char_start"), F.lit(context)) + len(want) + context)).alias("snippet"))
-
-
 def repeated_lines(pages: DataFrame, share: float, least: int = 3, group: str = "book") -> DataFrame:
     """Normalised lines on so large a share of a book's pages; each line counts once a page."""
     of = pages.where(normalise(F.col("text")) != "").groupBy(group).agg(F.count(F.lit(1)).alias("n_pages"))
@@ -34,32 +19,57 @@ def repeated_lines(pages: DataFrame, share: float, least: int = 3, group: str =
     return counted.join(of, group).where(F.col("on_pages") >= F.greatest(F.lit(least), F.ceil(F.col("n_pages") * share))).select(group, "line", "on_pages", "n_pages")
 
 
-def clauses(lines: DataFrame) -> DataFrame:
-    """Numbered headings ``(doc_id, page_no, line_no, text)`` -> the first sighting of each number, with parent and level.
+def clause_lines(lines: DataFrame) -> DataFrame:
+    """Lines ``(doc_id, page_no, line_no, text)`` that head a clause, with number and title.
 
     Contents pages (five leaders or more) and crowded pages (over twelve headings) give none.
-    Missing ancestors are made up without a title, at their first descendant's page.
     """
-    pattern = "^([0-9]{1,2}(?:\\.[0-9]{1,3}){0,5})\\s+([A-Z].{0,120})$"
     at = W.partitionBy("doc_id", "page_no")
-    t = lines.withColumns({"leaders": F.count_if(has_leader(F.col("text"))).over(at), "number": F.regexp_extract("text", pattern, 1), "title": F.regexp_extract("text", pattern, 2)})
-    t = t.where("number <> '' and leaders < 5").where(F.split("number", "\\.")[0].cast("int") <= 30)
-    t = t.withColumn("on_page", F.count(F.lit(1)).over(at)).where("on_page <= 12")
-    first = t.groupBy("doc_id", "number").agg(F.min_by(F.struct("title", "page_no"), F.struct("page_no", "line_no")).alias("f")).select("doc_id", "number", "f.title", "f.page_no")
-    parts = F.split("number", "\\.")
-    above = first.select("doc_id", "page_no", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))).alias("number"))
-    made = above.groupBy("doc_id", "number").agg(F.min("page_no").alias("page_no")).join(first.select("doc_id", "number"), ["doc_id", "number"], "left_anti").select("doc_id", "number", F.lit("").alias("title"), "page_no")
+    text = F.col("text")
+    annex = F.regexp_extract(text, ln.ANNEX, 1)
+    dotted = F.regexp_extract(text, ln.ANNEX_CLAUSE, 1)
+    plain = F.regexp_extract(text, ln.NUMBERED, 1)
+    letter = F.when(annex != "", F.replace(annex, F.lit("."), F.lit(""))).when(dotted != "", F.regexp_replace(dotted, r"^N\.A\.", "NA."))
+    number = F.coalesce(letter, F.when((plain != "") & (F.split(plain, r"\.")[0].try_cast("int") <= 30), plain))
+    title = F.when(annex != "", "").when(dotted != "", F.trim(F.regexp_extract(text, ln.ANNEX_CLAUSE, 2))).otherwise(F.trim(F.regexp_extract(text, ln.NUMBERED, 2)))
+    t = lines.withColumns({"leaders": F.count_if(has_leader(text)).over(at), "number": number, "title": title})
+    t = t.where(F.col("number").isNotNull() & (F.col("leaders") < 5) & ln.has_heading_length(text) & ~ln.is_noise(text))
+    title = F.col("title")
+    t = t.where(((title == "") | ~ln.is_sentence_like(title)) & (F.col("number").rlike("[.A-Z]") | ln.is_chapter_title(title)))
+    return t.withColumn("on_page", F.count(F.lit(1)).over(at)).where("on_page <= 12").select("doc_id", "page_no", "line_no", "number", "title")
+
+
+def clauses(lines: DataFrame) -> DataFrame:
+    """The clause tree of :func:`clause_lines`: each number's first sighting, whatever its case, with parent, level and order.
+
+    Missing ancestors are made up without a title at their first descendant's page; one that is
+    sighted later gets its own title and page only if that is the page after at the latest.
+    """
+    place = F.struct("page_no", "line_no")
+    heads = clause_lines(lines).withColumn("upper", F.upper("number"))
+    first = heads.groupBy("doc_id", "upper").agg(F.min_by(F.struct("number", "title", "page_no", place.alias("place")), place).alias("own"))
+    parts = F.split("upper", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "."))
+    above = first.where(F.size(parts) > 1).select("doc_id", "own.place", F.explode(prefixes).alias("upper"))
+    made = above.groupBy("doc_id", "upper").agg(F.min("place").alias("child"))
+    both = first.join(made, ["doc_id", "upper"], "full_outer")
+    late = F.col("own").isNull() | (F.col("child") < F.col("own.place")) & ((F.col("own.page_no") > F.col("child.page_no") + 1) | (F.col("own.title") == ""))
+    late = F.coalesce(late, F.lit(False))
+    number = F.coalesce("own.number", "upper")
     depth = heading_depth(F.col("number"))
-    parent = F.when(depth > 1, F.regexp_replace("number", "\\.[0-9]+$", ""))
-    return first.unionByName(made).select("doc_id", "number", "title", "page_no", parent.alias("parent"), depth.alias("level"))
+    segments = F.transform(F.split("number", r"\."), lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("0"), F.lpad(x, 5, "0"))).otherwise(F.concat(F.lit("1"), x)))
+    out = both.select("doc_id", number.alias("number"), F.when(late, "").otherwise(F.col("own.title")).alias("title"), F.when(late, F.col("child.page_no")).otherwise(F.col("own.page_no")).alias("page_no"))
+    out = out.select("*", F.when(depth > 1, F.regexp_replace("number", r"\.[0-9]+$", "")).alias("parent"), depth.alias("level"))
+    return out.withColumn("ord", F.row_number().over(W.partitionBy("doc_id").orderBy(F.array_join(segments, "."))) - 1)
 
 
 def resolve_references(refs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Each ``(ref_id, number)`` to the page of its longest prefix among ``(number, page_no)``."""
-    parts = F.split("number", "\\.")
-    tried = refs.select("ref_id", "number", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))).alias("depth", "prefix"))
-    hit = tried.join(targets.select(F.col("number").alias("prefix"), "page_no"), "prefix")
-    return hit.groupBy("ref_id", "number").agg(F.max_by(F.struct("prefix", "page_no"), "depth").alias("t")).select("ref_id", "number", F.col("t.prefix").alias("target"), F.col("t.page_no").alias("page_no"))
+    """Each ``(doc_id, ref_id, number)`` to the page of its longest prefix among its document's ``(doc_id, number, page_no)``."""
+    parts = F.split("number", r"\.")
+    tried = refs.select("doc_id", "ref_id", "number", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))).alias("depth", "prefix"))
+    hit = tried.join(targets.select("doc_id", F.col("number").alias("prefix"), "page_no"), ["doc_id", "prefix"])
+    best = hit.groupBy("doc_id", "ref_id", "number").agg(F.max_by(F.struct("prefix", "page_no"), "depth").alias("t"))
+    return best.select("ref_id", "number", F.col("t.prefix").alias("target"), F.col("t.page_no").alias("page_no"))
 
 
 def page_ranges(pages: DataFrame, key: str, page: str) -> DataFrame:

@@ -31,9 +31,18 @@ def _cells(lo: Column, hi: Column, tolerance: float, side: float) -> Column:
 
 
 def _listed(segments: DataFrame, tolerance: float, side: float) -> DataFrame:
-    """Segments in the cells of their boxes, widened by the tolerance."""
-    across = segments.withColumn("cx", F.explode(_cells(F.least("x0", "x1"), F.greatest("x0", "x1"), tolerance, side)))
-    return across.withColumn("cy", F.explode(_cells(F.least("y0", "y1"), F.greatest("y0", "y1"), tolerance, side)))
+    """Segments in the cells that they pass within the tolerance: of each column, those of the part of the line in it."""
+    left, right = F.least("x0", "x1"), F.greatest("x0", "x1")
+    across = segments.withColumn("cx", F.explode(_cells(left, right, tolerance, side)))
+    slope = F.when(left < right, (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0")))
+
+    def at(x: Column) -> Column:
+        return F.col("y0") + (x - F.col("x0")) * slope
+
+    a, b = at(F.greatest(left, F.col("cx") * side - tolerance)), at(F.least(right, (F.col("cx") + 1) * side + tolerance))
+    low = F.greatest(F.least("y0", "y1"), F.coalesce(F.least(a, b), F.least("y0", "y1")))
+    high = F.least(F.greatest("y0", "y1"), F.coalesce(F.greatest(a, b), F.greatest("y0", "y1")))
+    return across.withColumn("cy", F.explode(_cells(low, F.greatest(low, high), tolerance * (1 + 1e-6), side)))
 
 
 def crossings(segments: DataFrame, side: float) -> DataFrame:

@@ -10,7 +10,7 @@ from ..sources.tables import book_pages, lines, table
 
 CHANNELS = "l_orderkey, l_linenumber, l_partkey * 7 % 256 AS r, l_suppkey * 31 % 256 AS g, l_partkey * 13 % 256 AS b"
 PAGED = "(SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page_no, doc_id, text FROM documents)"
-SCRIPTS = "text || CASE WHEN length(source) % 2 = 0 OR lang = 'en' THEN repeat('हिन्दीम', 300) ELSE ' ' END"
+SCRIPTS = "text || CASE WHEN length(source) % 2 = 0 OR lang = 'en' THEN repeat('हिन्दीम', 1000) ELSE ' ' END"
 
 
 def _colours(s, d):
@@ -35,7 +35,7 @@ QUERIES = {
     "colours": _colours,
     "credits": lambda s, d: table(s, d, "events").select("event_id", mu.attribution(F.expr("if(event_type = 'click', ' ', event_type)"), F.expr("if(value > 50, ts, null)"), F.expr("if(value > 20, ts, null)")).alias("credit")),
     "measurement_lines": lambda s, d: table(s, d, "lineitem").select(mu.measurement_line([F.col("l_orderkey"), F.expr("if(l_returnflag = 'R', '=Area, \"x\"', l_returnflag)"), F.col("l_linenumber"), F.lit("m²"), F.lit("1:50"), F.lit(None), F.col("l_linestatus")]).alias("line")),
-    "merged_cells": lambda s, d: table(s, d, "supplier").select("s_suppkey", F.posexplode(mu.merged_cells(F.expr("array('A', concat('nchorage ', s_suppkey, ' l'), 'ength bd/', 'ϕ', s_name, ' ')"))).alias("ord", "c")).select("s_suppkey", "ord", "c.text", "c.span"),
+    "merged_cells": lambda s, d: table(s, d, "supplier").select("s_suppkey", F.posexplode(mu.merged_cells(F.expr("array('W', concat('eight ', s_suppkey, ' o'), 'f rod', '12', s_name, ' ')"))).alias("ord", "c")).select("s_suppkey", "ord", "c.text", "c.span"),
     "script_profile": lambda s, d: mu.script_profile(book_pages(table(s, d, "documents").withColumn("text", F.expr(SCRIPTS)))),
     "sections_in_force": _sections,
     "outline_titles": _outline_titles,
@@ -50,7 +50,9 @@ ORACLES = {
  CASE r * 65536 + g * 256 + b {" ".join(f"WHEN {c} THEN '{n}'" for n, c in mu.PALETTE.items())} ELSE 'Custom' END AS exact FROM (SELECT *, list_transform(range(5), lambda k: CASE k {_FAR} END) AS far FROM (SELECT {CHANNELS} FROM lineitem))""",
     "credits": "SELECT event_id, concat_ws(' · ', nullif(trim(CASE WHEN event_type = 'click' THEN ' ' ELSE event_type END), ''), CASE WHEN value > 20 THEN strftime(ts, '%Y-%m-%d') END) AS credit FROM events",
     "measurement_lines": """SELECT l_orderkey || ',' || CASE WHEN l_returnflag = 'R' THEN concat('"''=Area, ', '""x""', '"') ELSE l_returnflag END || ',' || l_linenumber || ',m²,1:50,,' || l_linestatus AS line FROM lineitem""",
-    "merged_cells": """SELECT s_suppkey, unnest([0, 1, 2]) AS ord, unnest([concat('Anchorage ', s_suppkey, ' length bd/ϕ'), s_name, '']) AS text, unnest([4, 1, 1]) AS span FROM supplier""",
+    "merged_cells": """WITH c AS (SELECT s_suppkey, trim(unnest(['W', concat('eight ', s_suppkey, ' o'), 'f rod', '12', s_name, ' '])) AS c, unnest(range(6)) AS i FROM supplier),
+ g AS (SELECT *, sum((NOT coalesce((regexp_matches(p, '\\p{L}$') AND regexp_matches(c, '^\\p{Ll}')) OR (ends_with(p, '/') AND c <> ''), false))::INT) OVER (PARTITION BY s_suppkey ORDER BY i) - 1 AS g FROM (SELECT *, lag(c) OVER (PARTITION BY s_suppkey ORDER BY i) AS p FROM c))
+ SELECT s_suppkey, g::INT AS ord, string_agg(c, '' ORDER BY i) AS text, count(*)::INT AS span FROM g GROUP BY s_suppkey, g""",
     "script_profile": f"""WITH p AS (SELECT source AS book, {SCRIPTS} AS text FROM documents), l AS (SELECT book, sum(len(regexp_extract_all(text, '\\p{{L}}')))::BIGINT AS letters FROM p GROUP BY 1),
  o AS (SELECT book, unicode(c) // 128 AS block, count(*) AS n FROM (SELECT book, unnest(regexp_extract_all(text, '[^{gr.UNMAPPED}{gr.EXPECTED}]')) AS c FROM p) WHERE regexp_matches(c, '^\\p{{L}}$') GROUP BY 1, 2) SELECT book, block, n, letters FROM o JOIN l USING (book) WHERE n >= letters * 0.2""",
     "sections_in_force": """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents), r AS (SELECT doc_id, seq // 4 AS page_no, seq, 0 AS m, CASE WHEN seq % 6 = 3 THEN concat('s', seq) END AS section FROM l

@@ -4,16 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lines as ln
 from ..functions.text import ellipsize, margin_key, normalise, safe_name, slug, token_estimate
 from ..operators import analysis as an
+from ..operators.phrases import find_phrases
 from ..sources.tables import book_pages, csv_cell, lines, links, table, tsv_cell
 from . import layout, markup, structure
-from .fixtures import CLAUSE_LINES, NORM, clause_lines
+from .fixtures import CASE_LINES, NORM, case_lines, clause_lines
 
 
 def _refs(spark, d):
     s = table(spark, d, "supplier")
-    return s.selectExpr("s_suppkey as ref_id", "concat(s_nationkey % 5 + 1, '.', s_nationkey + 1, '.', s_suppkey) as number")
+    return s.selectExpr("cast(s_suppkey % 2 as int) as doc_id", "s_suppkey as ref_id", "concat(s_nationkey % 5 + 1, '.', s_nationkey + 1, '.', s_suppkey) as number")
+
+
+def _two_books(clauses):
+    """The same clauses as a second document, on later pages."""
+    own = clauses.select("doc_id", "number", "page_no")
+    return own.unionByName(own.select((F.col("doc_id") + 1).alias("doc_id"), "number", (F.col("page_no") + 100).alias("page_no")))
+
+
+def _hits(spark, d):
+    found = find_phrases(table(spark, d, "documents"), "of the")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("char_start").alias("first"), F.max("char_start").alias("last"))
 
 
 def _points(spark, d):
@@ -23,11 +36,11 @@ def _points(spark, d):
 
 
 QUERIES = structure.QUERIES | layout.QUERIES | markup.QUERIES | {
-    "phrase_hits": lambda s, d: an.search(table(s, d, "documents"), "of the").select("doc_id", "ord", "char_start"),
+    "phrase_hits": _hits,
     "repeated_lines": lambda s, d: an.repeated_lines(book_pages(table(s, d, "documents")), 0.1),
     "margin_keys": lambda s, d: lines(table(s, d, "documents")).groupBy(margin_key(normalise(F.col("text"))).alias("line_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
-    "clause_tree": lambda s, d: an.clauses(clause_lines(s, d)),
-    "reference_targets": lambda s, d: an.resolve_references(_refs(s, d), an.clauses(clause_lines(s, d))),
+    "clause_tree": lambda s, d: an.clauses(case_lines(s, d)),
+    "reference_targets": lambda s, d: an.resolve_references(_refs(s, d), _two_books(an.clauses(clause_lines(s, d)))),
     "page_ranges": lambda s, d: an.page_ranges(table(s, d, "events").selectExpr("user_id", "day(ts) as page"), "user_id", "page"),
     "polyline_measures": lambda s, d: an.polyline_measures(_points(s, d)),
     "latest_version": lambda s, d: an.latest(table(s, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "value"),
@@ -48,12 +61,21 @@ ORACLES = structure.ORACLES | layout.ORACLES | markup.ORACLES | {
  c AS (SELECT book, line, count(DISTINCT page_no) AS on_pages FROM l WHERE line <> '' GROUP BY 1, 2)
  SELECT book, line, on_pages, n_pages FROM c JOIN n USING (book) WHERE on_pages >= greatest(3, ceil(n_pages * 0.1))""",
     "margin_keys": f"""SELECT regexp_replace({NORM.format('l')}, '[0-9]+', '#', 'g') AS line_key, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY 1 HAVING count(*) > 1""",
-    "clause_tree": f"""WITH l AS {CLAUSE_LINES}, h AS (SELECT doc_id, page_no, line_no, regexp_extract(text, '^([0-9]{{1,2}}(?:\\.[0-9]{{1,3}}){{0,5}})\\s+([A-Z].{{0,120}})$', 1) AS number, regexp_extract(text, '^([0-9]{{1,2}}(?:\\.[0-9]{{1,3}}){{0,5}})\\s+([A-Z].{{0,120}})$', 2) AS title FROM l),
- f AS (SELECT doc_id, number, arg_min(title, page_no * 1000 + line_no) AS title, min(page_no) AS page_no FROM h WHERE number <> '' GROUP BY 1, 2),
- m AS (SELECT doc_id, split_part(number, '.', 1) AS number, '' AS title, min(page_no) AS page_no FROM f WHERE split_part(number, '.', 1) NOT IN (SELECT number FROM f) GROUP BY 1, 2)
- SELECT doc_id, number, title, page_no, CASE WHEN contains(number, '.') THEN regexp_replace(number, '\\.[0-9]+$', '') END AS parent, length(number) - length(replace(number, '.', '')) + 1 AS level FROM (SELECT * FROM f UNION ALL SELECT * FROM m)""",
-    "reference_targets": f"""WITH r AS (SELECT s_suppkey AS ref_id, concat(s_nationkey % 5 + 1, '.', s_nationkey + 1) AS p, concat(s_nationkey % 5 + 1, '.', s_nationkey + 1, '.', s_suppkey) AS number FROM supplier), t AS {structure._TREE}
- SELECT ref_id, r.number, coalesce(a.number, b.number) AS target, coalesce(a.page_no, b.page_no) AS page_no FROM r LEFT JOIN t a ON a.number = p LEFT JOIN t b ON b.number = split_part(p, '.', 1) WHERE coalesce(a.number, b.number) IS NOT NULL""",
+    "phrase_hits": """WITH m AS (SELECT doc_id, text, len(regexp_extract_all(text, '(?i)of\\s+the')) AS n FROM documents WHERE regexp_matches(text, '(?i)of\\s+the'))
+ SELECT doc_id, n, length(regexp_replace(text, '(?is)of\\s+the.*$', '')) AS first, length(regexp_extract(text, '(?is)^(.*)of\\s+the', 1)) AS last FROM m""",
+    "clause_tree": f"""WITH l AS {CASE_LINES}, g AS (SELECT *, count(*) FILTER (regexp_matches(text, '{ln.LEADER}')) OVER (PARTITION BY doc_id, page_no) AS leaders, regexp_extract(text, '{ln.ANNEX}', 1) AS x, regexp_extract(text, '{ln.ANNEX_CLAUSE}', ['n', 't']) AS y, regexp_extract(text, '{ln.NUMBERED}', ['n', 't']) AS z FROM l),
+ h AS (SELECT doc_id, page_no, line_no, leaders, text, CASE WHEN x <> '' THEN replace(x, '.', '') WHEN y.n <> '' THEN replace(y.n, 'N.A.', 'NA.') WHEN try_cast(split_part(z.n, '.', 1) AS INT) <= 30 THEN z.n END AS number, CASE WHEN x <> '' THEN '' WHEN y.n <> '' THEN trim(y.t) ELSE trim(z.t) END AS title FROM g),
+ c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_no) AS on_page FROM h WHERE number <> '' AND leaders < 5 AND length(text) BETWEEN 3 AND 150 AND NOT regexp_matches(text, '{ln.NOISE}')
+  AND (title = '' OR NOT (regexp_matches(' ' || title || ' ', '{ln.SENTENCE_LIKE}') OR (ends_with(title, '.') AND length(title) > 25)))
+  AND (regexp_matches(number, '[.A-Z]') OR (length(title) >= 4 AND NOT ends_with(title, '.') AND NOT regexp_matches(title, '[0-9]') AND length(replace(title, '(', '')) = length(replace(title, ')', ''))
+   AND len(string_split(title, ' ')) BETWEEN 1 AND 12 AND lower(split_part(title, ' ', -1)) NOT IN {ln.DANGLING} AND split_part(title, ' ', 1) NOT IN {ln.STARTERS}))),
+ f AS (SELECT doc_id, upper(number) AS u, arg_min(number, o) AS number, arg_min(title, o) AS title, min(o) AS o, min(o) // 1000 AS page_no FROM (SELECT *, page_no * 1000 + line_no AS o FROM c WHERE on_page <= 12) GROUP BY 1, 2),
+ p AS (SELECT doc_id, pre AS u, min(o) AS o FROM (SELECT doc_id, o, unnest(list_transform(range(1, len(string_split(u, '.'))), lambda i: array_to_string(string_split(u, '.')[1:i], '.'))) AS pre FROM f) GROUP BY 1, 2),
+ t AS (SELECT doc_id, coalesce(f.number, u) AS number, f.o IS NULL OR coalesce(p.o < f.o AND (f.page_no > p.o // 1000 + 1 OR f.title = ''), false) AS late, f.title, f.page_no, p.o // 1000 AS made FROM f FULL JOIN p USING (doc_id, u))
+ SELECT doc_id, number, CASE WHEN late THEN '' ELSE title END AS title, (CASE WHEN late THEN made ELSE page_no END)::INT AS page_no, CASE WHEN contains(number, '.') THEN regexp_replace(number, '\\.[0-9]+$', '') END AS parent, length(number) - length(replace(number, '.', '')) + 1 AS level,
+ (row_number() OVER (PARTITION BY doc_id ORDER BY list_transform(string_split(number, '.'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN printf('0%05d', x::INT) ELSE '1' || x END)) - 1)::INT AS ord FROM t""",
+    "reference_targets": f"""WITH r AS (SELECT s_suppkey AS ref_id, 100 * (s_suppkey % 2) AS later, concat(s_nationkey % 5 + 1, '.', s_nationkey + 1) AS p, concat(s_nationkey % 5 + 1, '.', s_nationkey + 1, '.', s_suppkey) AS number FROM supplier), t AS {structure._TREE}
+ SELECT ref_id, r.number, coalesce(a.number, b.number) AS target, (coalesce(a.page_no, b.page_no) + later)::INT AS page_no FROM r LEFT JOIN t a ON a.number = p LEFT JOIN t b ON b.number = split_part(p, '.', 1) WHERE coalesce(a.number, b.number) IS NOT NULL""",
     "polyline_measures": """WITH p AS (SELECT l_orderkey AS key, l_linenumber AS ord, min(l_quantity)::DOUBLE AS x, floor(min(l_extendedprice) / 1000) AS y FROM lineitem GROUP BY 1, 2),
  n AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM p WINDOW w AS (PARTITION BY key ORDER BY ord)),
  c AS (SELECT *, coalesce(nx, fx) AS cx, coalesce(ny, fy) AS cy FROM n), s AS (SELECT *, sqrt((cx - x) ** 2 + (cy - y) ** 2) AS step FROM c)

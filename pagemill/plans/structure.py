@@ -25,7 +25,7 @@ PAGED = "SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY
 def _profile(s, d):
     line = lines(table(s, d, "documents")).select("doc_id", normalise(F.col("text")).alias("t"))
     t = F.col("t")
-    kinds = {"blank": t == "", "leaders": has_leader(t), "entries": t.rlike(ln.ENTRY), "page_numbers": ln.is_page_number(t), "captions": ln.is_caption(t), "blocks": ln.is_block_start(t), "headings": ln.is_heading(t), "prose": ln.is_prose(t), "sentences": ln.is_sentence_like(t)}
+    kinds = {"blank": t == "", "leaders": has_leader(t), "entries": ln.is_entry(t), "page_numbers": ln.is_page_number(t), "captions": ln.is_caption(t), "blocks": ln.is_block_start(t), "headings": ln.is_heading(t), "prose": ln.is_prose(t), "sentences": ln.is_sentence_like(t)}
     return line.groupBy("doc_id").agg(*[F.count_if(c).alias(k) for k, c in kinds.items()])
 
 
@@ -44,9 +44,9 @@ def _chunks(s, d):
 
 
 def _reference_pages(s, d):
-    found = table(s, d, "supplier").selectExpr("s_suppkey as ref_id", "concat('see ', s_nationkey % 5 + 1, '.', s_nationkey + 1, '.', s_suppkey, ', Table ', s_suppkey, '.1') as text")
-    refs = found.select("ref_id", F.explode(po.cited_numbers(F.col("text"))).alias("number"))
-    return an.resolve_references(refs, an.clauses(clause_lines(s, d)).select("number", "page_no"))
+    found = table(s, d, "supplier").selectExpr("0 as doc_id", "s_suppkey as ref_id", "concat('see ', s_nationkey % 5 + 1, '.', s_nationkey + 1, '.', s_suppkey, ', Table ', s_suppkey, '.1') as text")
+    refs = found.select("doc_id", "ref_id", F.explode(po.cited_numbers(F.col("text"))).alias("number"))
+    return an.resolve_references(refs, an.clauses(clause_lines(s, d)))
 
 
 def glyph_rows(s, d):
@@ -56,7 +56,7 @@ def glyph_rows(s, d):
 
 
 def points_and_segments(s, d):
-    e = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.min("l_suppkey") % 100).alias("s"), F.min("l_quantity").alias("q"), F.min("l_partkey").alias("p"))
+    e = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"), F.min("l_partkey").alias("p"))
     points = e.selectExpr("l_orderkey as key", "l_linenumber as pid", "cast(p % 100 as double) as x", "cast(q + 2 as double) as y")
     return points, e.selectExpr("l_orderkey as key", "l_linenumber as sid", "cast(s as double) as x0", "cast(q as double) as y0", "cast(p % 100 as double) as x1", "cast(q + 10 as double) as y1")
 
@@ -84,7 +84,7 @@ QUERIES = {
     "watermarks": lambda s, d: pl.watermarks(_stamped(s, d)),
     "stripped_pages": lambda s, d: pl.strip_lines(_stamped(s, d), pl.watermarks(_stamped(s, d))),
     "running_titles": lambda s, d: pl.running_titles(_stamped(s, d)),
-    "lengths_in_units": lambda s, d: table(s, d, "orders").selectExpr("o_orderkey", "cast(o_orderkey % 500 as double) as pt", "concat('1:', o_custkey % 50) as t", "element_at(array('mm', 'cm', 'm', 'km', 'in', 'ft', 'pt'), cast(o_orderkey % 7 + 1 as int)) as unit").select("o_orderkey", F.round(pl.in_unit(F.col("pt"), pl.scale_of(F.col("t")), F.col("unit")), 6).alias("length")).where("not isnan(length)"),
+    "lengths_in_units": lambda s, d: table(s, d, "orders").selectExpr("o_orderkey", "cast(o_orderkey % 500 as double) as pt", "concat('1:', o_custkey % 50) as t", "element_at(array('mm', 'cm', 'm', 'km', 'in', 'ft', 'pt'), cast(o_orderkey % 7 + 1 as int)) as unit").select("o_orderkey", pl.in_unit(F.col("pt"), pl.scale_of(F.col("t")), F.col("unit")).alias("length")).where("not isnan(length)").withColumn("length", F.floor(F.col("length") * 1e6 + 0.5) / 1e6),
     "html_texts": lambda s, d: pl.to_html(lines(table(s, d, "documents")).selectExpr("doc_id", "0 as page_no", "line_no as ord", "line_no % 7 as depth", "text")),
     "grid_csv": lambda s, d: pl.grid_text(po.table_grid(glyph_rows(s, d), 1.0)),
     "page_profile": _profile,
@@ -109,7 +109,7 @@ _GRADES = f"""SELECT doc_id, CASE WHEN a OR b OR c THEN 'suspect' WHEN d OR rege
  concat_ws(',', CASE WHEN a THEN 'unmapped' END, CASE WHEN b THEN 'unexpected' END, CASE WHEN c THEN 'duplicated' END, CASE WHEN d THEN 'table' END) AS issues FROM ({_GRADED})"""
 _CLAUSES = f"(SELECT number, page_no FROM (SELECT regexp_extract(text, '^([0-9.]+) ', 1) AS number, page_no FROM {CLAUSE_LINES}))"
 _TREE = f"(SELECT * FROM {_CLAUSES} UNION ALL SELECT split_part(number, '.', 1), min(page_no) FROM {_CLAUSES} WHERE split_part(number, '.', 1) NOT IN (SELECT number FROM {_CLAUSES}) GROUP BY 1)"
-_E = "(SELECT l_orderkey AS key, l_linenumber AS n, (min(l_suppkey) % 100)::DOUBLE AS s, min(l_quantity)::DOUBLE AS q, (min(l_partkey) % 100)::DOUBLE AS p FROM lineitem GROUP BY 1, 2)"
+_E = "(SELECT l_orderkey AS key, l_linenumber AS n, min(l_suppkey)::DOUBLE AS s, min(l_quantity)::DOUBLE AS q, (min(l_partkey) % 100)::DOUBLE AS p FROM lineitem GROUP BY 1, 2)"
 _PAIRS = f"(SELECT a.key, a.n AS pid, a.p AS x, a.q + 2 AS y, b.s AS x0, b.q AS y0, b.p AS x1, b.q + 10 AS y1, b.p - b.s AS dx FROM {_E} a JOIN {_E} b USING (key))"
 CROSSINGS = f"""(SELECT key, sid, sid2, ax + t * rx AS x, ay + t * 10.0 AS y FROM (SELECT *, ((bx - ax) * 10.0 - (b_y - ay) * sx) / c AS t, ((bx - ax) * 10.0 - (b_y - ay) * rx) / c AS u FROM
  (SELECT a.key, a.n AS sid, b.n AS sid2, a.s AS ax, a.q AS ay, b.s AS bx, b.q AS b_y, a.p - a.s AS rx, b.p - b.s AS sx, (a.p - a.s) * 10.0 - 10.0 * (b.p - b.s) AS c FROM {_E} a JOIN {_E} b ON a.key = b.key AND a.n < b.n) WHERE abs(c) >= 1e-9) WHERE t BETWEEN -1e-6 AND 1 + 1e-6 AND u BETWEEN -1e-6 AND 1 + 1e-6)"""
@@ -132,7 +132,7 @@ ORACLES = {
  SELECT book, line, on_pages, line AS label FROM c JOIN (SELECT book, count(*) AS n FROM p GROUP BY 1) USING (book) WHERE on_pages >= greatest(3, ceil(n * 0.8))""",
     "stripped_pages": f"SELECT book, page_no, CASE WHEN page_no % 10 = 9 THEN text ELSE substr(text, length('Stamped  copy ' || book) + 2) END AS text FROM {_STAMPED}",
     "running_titles": f"SELECT book, 'Stamped copy ' || book AS title, count(*) FILTER (page_no % 10 <> 9) AS on_pages FROM {_STAMPED} GROUP BY book",
-    "lengths_in_units": "SELECT o_orderkey, round((o_orderkey % 500) * (25.4::DOUBLE / 72) * (o_custkey % 50) / [1.0, 10.0, 1000.0, 1000000.0, 25.4, 304.8, 25.4::DOUBLE / 72][o_orderkey % 7 + 1]::DOUBLE, 6) AS length FROM orders WHERE o_custkey % 50 > 0",
+    "lengths_in_units": "SELECT o_orderkey, floor((o_orderkey % 500)::DOUBLE * (25.4::DOUBLE / 72) * (o_custkey % 50)::DOUBLE / [1.0, 10.0, 1000.0, 1000000.0, 25.4, 304.8, 25.4::DOUBLE / 72][o_orderkey % 7 + 1]::DOUBLE * 1e6 + 0.5) / 1e6 AS length FROM orders WHERE o_custkey % 50 > 0",
     "html_texts": """SELECT doc_id, string_agg('<' || g || '>' || replace(replace(replace(replace(l, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</' || g || '>', chr(10) ORDER BY k) AS html
  FROM (SELECT doc_id, l, k, CASE WHEN k % 7 = 0 THEN 'p' ELSE 'h' || least(greatest(k % 7 + 1, 2), 6) END AS g FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents)) GROUP BY 1""",
     "page_profile": f"""SELECT doc_id, {_count("t = ''")} AS blank, {_count(f"regexp_matches(t, '{ln.LEADER}')")} AS leaders, {_count(f"regexp_matches(t, '{ln.ENTRY}')")} AS entries, {_count(f"regexp_matches(t, '{ln.PAGE_NUMBER}')")} AS page_numbers,

@@ -11,10 +11,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids that are numbered together, so that one source may hold any share of the rows.
+RANGE = 1 << 17
+
+
 def book_pages(documents: DataFrame) -> DataFrame:
-    """A book for each source; its pages in order of doc_id, from 0."""
-    order = W.partitionBy("source").orderBy("doc_id")
-    return documents.select(F.col("source").alias("book"), (F.row_number().over(order) - 1).alias("page_no"), "doc_id", "text")
+    """A book for each source; its pages in order of doc_id, from 0.
+
+    Rows are numbered within ranges of ids, and the ranges' counts, a small table, are added up.
+    """
+    part = F.floor(F.col("doc_id") / RANGE)
+    before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    counts = documents.groupBy("source", part.alias("part")).agg(F.count(F.lit(1)).alias("k")).select("source", "part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy("source", "part").orderBy("doc_id")) - 1
+    numbered = documents.select("source", part.alias("part"), "doc_id", "text").withColumn("place", place)
+    return numbered.join(counts, ["source", "part"]).select(F.col("source").alias("book"), (F.col("before") + F.col("place")).cast("int").alias("page_no"), "doc_id", "text")
 
 
 def lines(documents: DataFrame) -> DataFrame:

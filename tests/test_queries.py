@@ -9,12 +9,12 @@ import pytest
 from pagemill.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
-TABLES = "customer part region nation supplier events documents pages conversations lineitem orders labels".split()
+TABLES = "benchmark embeddings customer part region nation supplier events documents pages conversations lineitem orders labels".split()
 
 
 def rows(names, data):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return Counter(tuple(round(r[i], 4) if isinstance(r[i], float) and not math.isnan(r[i]) else r[i] for i in order) for r in data)
+    return Counter(tuple(round(r[i], 9) if isinstance(r[i], float) and not math.isnan(r[i]) else r[i] for i in order) for r in data)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
