@@ -9,7 +9,7 @@ from ..functions.text import ellipsize, margin_key, normalise, safe_name, slug,
 from ..operators import analysis as an
 from ..operators.phrases import find_phrases
 from ..sources.tables import book_pages, csv_cell, lines, links, table, tsv_cell
-from . import layout, markup, structure
+from . import areas, layout, markup, structure
 from .fixtures import CASE_LINES, NORM, case_lines, clause_lines
 
 
@@ -35,7 +35,7 @@ def _points(spark, d):
     return one.selectExpr("l_orderkey as key", "l_linenumber as ord", "q as x", "cast(floor(e / 1000) as double) as y")
 
 
-QUERIES = structure.QUERIES | layout.QUERIES | markup.QUERIES | {
+QUERIES = structure.QUERIES | layout.QUERIES | markup.QUERIES | areas.QUERIES | {
     "phrase_hits": _hits,
     "repeated_lines": lambda s, d: an.repeated_lines(book_pages(table(s, d, "documents")), 0.1),
     "margin_keys": lambda s, d: lines(table(s, d, "documents")).groupBy(margin_key(normalise(F.col("text"))).alias("line_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
@@ -54,7 +54,7 @@ QUERIES = structure.QUERIES | layout.QUERIES | markup.QUERIES | {
     ),
 }
 
-ORACLES = structure.ORACLES | layout.ORACLES | markup.ORACLES | {
+ORACLES = structure.ORACLES | layout.ORACLES | markup.ORACLES | areas.ORACLES | {
     "repeated_lines": f"""WITH p AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page_no, text FROM documents),
  n AS (SELECT book, count(*) AS n_pages FROM p WHERE {NORM.format('text')} <> '' GROUP BY 1),
  l AS (SELECT book, page_no, {NORM.format('line')} AS line FROM (SELECT book, page_no, unnest(string_split(text, chr(10))) AS line FROM p)),
@@ -93,3 +93,8 @@ ORACLES = structure.ORACLES | layout.ORACLES | markup.ORACLES | {
     "catalog_changes": """SELECT path, change FROM (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'removed' WHEN o.hash <> n.hash THEN 'changed' END AS change
  FROM (SELECT doc_id AS path, md5(lang || source) AS hash FROM documents) o FULL JOIN (SELECT doc_id + 7 AS path, md5(lang || source) AS hash FROM documents) n ON o.path = n.path) WHERE change IS NOT NULL""",
 }
+
+# Both come from the clause tree's SQL.
+_TREE = f"({ORACLES['clause_tree']})"
+ORACLES["sub_headings"] = f"SELECT doc_id, number, number || ' ' || title AS label, page_no FROM {_TREE} WHERE contains(number, '.') AND title <> '' AND length(title) <= 110 AND NOT regexp_matches(title, '{ln.EXERCISE}')"
+ORACLES["kept_outlines"] = f"SELECT doc_id, count(*) AS n_clauses, count(*) AS n FROM {_TREE} GROUP BY 1 HAVING count(*) >= 2"
