@@ -5,19 +5,19 @@ from pyspark.sql import functions as F
 from pagemill.operators import annotations as no
 from pagemill.operators import exports as ex
 from pagemill.operators import regions as rg
-from pagemill.sources.files import file_pages, text_files
+from pagemill.sources.files import decoded, file_pages, text_files
 from pagemill.sources.tables import book_pages
 
 
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ftwo")
     (tmp_path / "bad.txt").write_bytes(b"\xff\xfe")
-    (tmp_path / "none.txt").write_bytes(b"")
     (tmp_path / "x.bin").write_bytes(b"x")
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "b.txt").write_text("three")
     got = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in text_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": ("one\ftwo", None), "bad.txt": (None, "not UTF-8"), "none.txt": (None, "empty")}
+    assert got == {"a.txt": ("one\ftwo", None), "bad.txt": (None, "not UTF-8")}
+    assert decoded(spark.createDataFrame([("none.txt", bytearray())], "path string, content binary")).first().error == "empty"
     deep = text_files(spark, str(tmp_path), recursive=True)
     assert sorted((r.page_no, r.text) for r in file_pages(deep).collect()) == [(0, "one"), (0, "three"), (1, "two")]
 
