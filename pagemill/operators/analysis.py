@@ -11,8 +11,8 @@ from ..functions.text import has_leader, heading_depth, normalise
 
 
 def repeated_lines(pages: DataFrame, share: float, least: int = 3, group: str = "book") -> DataFrame:
-    """Normalised lines on so large a share of a book's pages; each line counts once a page."""
-    of = pages.where(normalise(F.col("text")) != "").groupBy(group).agg(F.count(F.lit(1)).alias("n_pages"))
+    """Normalised lines on so large a share of a book's pages with text, of which there are four or more; each line counts once a page."""
+    of = pages.where(normalise(F.col("text")) != "").groupBy(group).agg(F.count(F.lit(1)).alias("n_pages")).where("n_pages >= 4")
     each = pages.select(group, "page_no", F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("line", normalise(F.col("line"))).where("line <> ''")
     counted = each.groupBy(group, "line").agg(F.countDistinct("page_no").alias("on_pages")).where(F.col("on_pages") >= least)
     # One row a book; Spark broadcasts it only below its own size threshold.

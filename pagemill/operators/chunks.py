@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lines as ln
 from ..functions.grades import grade, issues
+from .analysis import repeated_lines
+from .exports import contents_pages
 
 SPACE = re.compile(r"\s+")
 LEADER, BLOCK, HEADING, LICENCE = map(re.compile, (ln.LEADER, ln.BLOCK, ln.HEADING, ln.LICENCE))
@@ -136,19 +138,57 @@ def pack(pages: list[tuple[int, str | None]], title: str, options: ChunkOptions,
     return packer.out
 
 
-def chunks(pages: DataFrame, options: ChunkOptions | None = None) -> DataFrame:
+def chunks(pages: DataFrame, options: ChunkOptions | None = None, drop: DataFrame | None = None, skip: DataFrame | None = None) -> DataFrame:
     """``(doc_id, page_no, text, title)`` -> chunks with token estimate, grade and issues.
 
-    Pages are folded in order of page_no (ties by text); null texts and titles are empty.
+    Lines ``(doc_id, line)`` in ``drop`` and pages ``(doc_id, page_no)`` in ``skip`` are left out. Pages are folded in order
+    of page_no (ties by text); null texts and titles are empty.
     """
     o = options or ChunkOptions()
+    pages = pages.select("doc_id", "page_no", "text", "title")
+    if skip is not None:
+        pages = pages.join(skip.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_anti")
+    if drop is not None:
+        pages = pages.join(drop.groupBy("doc_id").agg(F.collect_set("line").alias("dropped")), "doc_id", "left")
+    else:
+        pages = pages.withColumn("dropped", F.array().cast("array<string>"))
 
     def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["page_no", "text"])
         named = [t for t in group["title"] if isinstance(t, str)]
-        rows = pack([(int(p), t if isinstance(t, str) else "") for p, t in zip(group["page_no"], group["text"], strict=True)], min(named, default="Untitled"), o)
+        first = group["dropped"].iloc[0]
+        rows = pack([(int(p), t if isinstance(t, str) else "") for p, t in zip(group["page_no"], group["text"], strict=True)], min(named, default="Untitled"), o, frozenset(first if first is not None else ()))
         return pd.DataFrame([(key[0], *r) for r in rows], columns=[c.split(" ")[0] for c in CHUNKS.split(", ")])
 
-    out = pages.select("doc_id", "page_no", "text", "title").groupBy("doc_id").applyInPandas(fold, CHUNKS)
+    out = pages.groupBy("doc_id").applyInPandas(fold, CHUNKS)
     out = out.withColumns({"id": F.concat(F.col("doc_id").cast("string"), F.lit("#c"), F.lpad(F.col("chunk_index").cast("string"), 4, "0")), "token_estimate": F.floor(F.length("text") / 4), "issues": issues(F.col("text"))})
     return out.withColumn("quality", grade(F.col("issues"), F.col("text")))
+
+
+def document_chunks(pages: DataFrame, options: ChunkOptions | None = None) -> DataFrame:
+    """:func:`chunks` without contents pages and without lines that stand on half of a document's pages, of four or more."""
+    skip = contents_pages(pages.select("doc_id", "page_no", F.explode(F.split("text", "\n", -1)).alias("text")), "doc_id", "page_no")
+    drop = repeated_lines(pages, 0.5, group="doc_id")
+    return chunks(pages, options, drop, skip)
+
+
+def export(chunked: DataFrame, files: DataFrame, labels: DataFrame, equations: DataFrame) -> DataFrame:
+    """The chunks' eighteen fields: with names of ``files`` (doc_id, path, title), printed ``labels`` (doc_id, page_no, label)
+    and the ``equations`` (doc_id, page_no, label) on their pages that their text prints."""
+    name = F.regexp_extract("path", r"([^/\\]*)$", 1)
+    f = files.select("doc_id", name.alias("source_path"), F.col("title").alias("doc_title"))
+    own = chunked.join(f, "doc_id", "left")
+    for end in ("start", "end"):
+        own = own.join(labels.select("doc_id", F.col("page_no").alias(f"page_{end}"), F.col("label").alias(f"page_label_{end}")), ["doc_id", f"page_{end}"], "left")
+        own = own.withColumn(f"pdf_page_{end}", F.col(f"page_{end}") + 1)
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    met = own.select("doc_id", "chunk_index", "page_start", "page_end", bare(F.col("text")).alias("bare")).join(equations.select("doc_id", "page_no", "label"), "doc_id")
+    met = met.where(F.col("page_no").between(F.col("page_start"), F.col("page_end")) & (F.col("label") != "") & F.contains("bare", bare(F.col("label"))))
+    printed = met.groupBy("doc_id", "chunk_index").agg(F.array_sort(F.collect_set(F.struct("page_no", "label"))).alias("equations"))
+    own = own.join(printed, ["doc_id", "chunk_index"], "left")
+    stem = F.coalesce(F.regexp_replace("source_path", r"\.[^.]*$", ""), F.col("doc_id").cast("string"))
+    ident = F.concat(stem, F.lit("#c"), F.lpad(F.col("chunk_index").cast("string"), 4, "0"))
+    return own.select(
+        ident.alias("id"), "text", "source_path", "doc_title", "page_start", "page_end", "section_title", "chunk_index", "token_estimate", "quality", "issues",
+        "pdf_page_start", "pdf_page_end", "page_label_start", "page_label_end", "sections", "context_before", F.coalesce("equations", F.array().cast("array<struct<page_no: int, label: string>>")).alias("equations"),
+    )

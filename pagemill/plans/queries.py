@@ -59,7 +59,7 @@ ORACLES = structure.ORACLES | layout.ORACLES | markup.ORACLES | areas.ORACLES |
  n AS (SELECT book, count(*) AS n_pages FROM p WHERE {NORM.format('text')} <> '' GROUP BY 1),
  l AS (SELECT book, page_no, {NORM.format('line')} AS line FROM (SELECT book, page_no, unnest(string_split(text, chr(10))) AS line FROM p)),
  c AS (SELECT book, line, count(DISTINCT page_no) AS on_pages FROM l WHERE line <> '' GROUP BY 1, 2)
- SELECT book, line, on_pages, n_pages FROM c JOIN n USING (book) WHERE on_pages >= greatest(3, ceil(n_pages * 0.1))""",
+ SELECT book, line, on_pages, n_pages FROM c JOIN n USING (book) WHERE n_pages >= 4 AND on_pages >= greatest(3, ceil(n_pages * 0.1))""",
     "margin_keys": f"""SELECT regexp_replace({NORM.format('l')}, '[0-9]+', '#', 'g') AS line_key, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY 1 HAVING count(*) > 1""",
     "phrase_hits": """WITH m AS (SELECT doc_id, text, len(regexp_extract_all(text, '(?i)of\\s+the')) AS n FROM documents WHERE regexp_matches(text, '(?i)of\\s+the'))
  SELECT doc_id, n, length(regexp_replace(text, '(?is)of\\s+the.*$', '')) AS first, length(regexp_extract(text, '(?is)^(.*)of\\s+the', 1)) AS last FROM m""",

@@ -12,7 +12,7 @@ from ..operators import chunks as ch
 from ..operators import pageops as po
 from ..operators import phrases as ph
 from ..operators import places as pl
-from ..sources.tables import book_pages, lines, table
+from ..sources.tables import book_pages, lines, table, to_jsonl
 from .fixtures import CLAUSE_LINES, NORM, clause_lines
 
 #: Documents with defects, so that every grade occurs.
@@ -38,9 +38,22 @@ def _grades_by_label(s, d):
     return _grades(s, d).join(table(s, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id").groupBy("quality", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _line_pages(s, d):
+    """Every line a page, so that repeated lines and contents pages occur."""
+    return lines(table(s, d, "documents")).selectExpr("doc_id", "line_no as page_no", "text", "concat('Book ', doc_id) as title")
+
+
 def _chunks(s, d):
-    pages = book_pages(table(s, d, "documents")).select("doc_id", "page_no", "text", F.col("book").alias("title"))
-    return ch.chunks(pages).select("id", "doc_id", "chunk_index", "text", "section_title", "context_before", "token_estimate", "quality")
+    out = ch.document_chunks(_line_pages(s, d), ch.ChunkOptions(target=200))
+    return out.select("id", "doc_id", "chunk_index", "text", "section_title", "context_before", "token_estimate", "quality")
+
+
+def _chunk_lines(s, d):
+    docs = table(s, d, "documents")
+    files = docs.selectExpr("doc_id", "concat('/in/', source, '-', doc_id, '.txt') as path", "concat('Book ', doc_id) as title")
+    labels = _line_pages(s, d).where("page_no % 2 = 1").selectExpr("doc_id", "page_no", "concat('A-', page_no) as label")
+    equations = _line_pages(s, d).where("page_no % 3 = 0").selectExpr("doc_id", "page_no", "substr(text, 1, 9) as label")
+    return to_jsonl(ch.export(ch.document_chunks(_line_pages(s, d)), files, labels, equations))
 
 
 def _reference_pages(s, d):
@@ -91,6 +104,7 @@ QUERIES = {
     "quality_grades": _grades,
     "quality_by_label": _grades_by_label,
     "chunks": _chunks,
+    "chunk_lines": _chunk_lines,
     "reference_pages": _reference_pages,
     "clause_as_of": lambda s, d: po.clause_as_of(s.range(0, 26).selectExpr("0 as doc_id", "cast(id as int) as page_no"), an.clauses(clause_lines(s, d))),
     "chapter_ranges": lambda s, d: po.chapter_ranges(an.clauses(clause_lines(s, d)), 30),

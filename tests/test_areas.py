@@ -1,12 +1,15 @@
 """Edges of the operators on files, regions, annotations and exports."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from pagemill.operators import annotations as no
+from pagemill.operators import chunks as ch
 from pagemill.operators import exports as ex
 from pagemill.operators import regions as rg
 from pagemill.sources.files import decoded, file_pages, text_files
-from pagemill.sources.tables import book_pages
+from pagemill.sources.tables import book_pages, to_jsonl
 
 
 def test_files(spark, tmp_path):
@@ -53,3 +56,27 @@ def test_empty_lists(spark):
     assert ex.section_counts(pages, spark.createDataFrame([], "doc_id long, section int")).first().sections == 0
     files = spark.createDataFrame([("f", 0), ("f", 1)], "set_id string, ord int")
     assert sorted(r.ord for r in ex.moved(files, 0, 5).collect()) == [0, 1]
+
+
+FIELDS = "id text source_path doc_title page_start page_end section_title chunk_index token_estimate quality issues pdf_page_start pdf_page_end page_label_start page_label_end sections context_before equations".split()
+
+
+def test_chunk_export(spark):
+    """Repeated lines and contents pages are left out; all fields are there."""
+    body = [f"{k + 1}.1 Heading of part\nSome words on beam {k} and its load (E.{k})." for k in range(5)]
+    contents = "\n".join(f"Part number .... {k}" for k in range(6))
+    texts = [contents, *(f"Running title\n{b}" for b in body)]
+    pages = spark.createDataFrame([(1, k, t, "A book") for k, t in enumerate(texts)], "doc_id long, page_no int, text string, title string")
+    files = spark.createDataFrame([(1, "/in/a book.txt", "A book")], "doc_id long, path string, title string")
+    labels = spark.createDataFrame([(1, 1, "iv")], "doc_id long, page_no int, label string")
+    equations = spark.createDataFrame([(1, 2, "( E.1 )"), (1, 2, "(E.9)"), (1, 9, "(E.2)")], "doc_id long, page_no int, label string")
+    out = ch.export(ch.document_chunks(pages, ch.ChunkOptions(target=48, least=1)), files, labels, equations).orderBy("chunk_index")
+    got = out.collect()
+    assert out.columns == FIELDS
+    assert [r.id for r in got] == [f"a book#c000{k}" for k in range(len(got))] and all(r.source_path == "a book.txt" for r in got)
+    whole = " ".join(r.text for r in got)
+    assert "Running" not in whole and "...." not in whole and all(f"beam {k}" in whole for k in range(5))
+    assert got[0].page_label_start == "iv" and got[0].pdf_page_start == 2
+    assert [[e.label for e in r.equations] for r in got if r.equations] == [["( E.1 )"]]
+    line = json.loads(to_jsonl(out).first().value)
+    assert list(line) == FIELDS
