@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -53,6 +54,8 @@ FOLDED = 16
 BLOCK = 1_024
 #: Candidates of each component that a member asks for first; the rest only if these leave it apart.
 BEST = 4
+#: Tested pairs that a member takes along so as not to find them again.
+KNOWN = 1_000
 #: Rounds in which a member's candidates are verified one at a time.
 FIRST_ROUNDS = 4
 #: Bits of a membership map for each value, and of all (16 MB); it keeps most other rows out of a pass, and a join decides.
@@ -394,21 +397,32 @@ def _first_search(buckets: DataFrame, points: DataFrame, num: int, den: int) ->
     return dealt.mapInArrow(tidy(run), FOUND)
 
 
-def _further_search(scratch: Scratch, buckets: DataFrame, points: DataFrame, again: DataFrame, labels: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
-    """Candidates (a, b, more) of members in another component than their bucket's centre, with all other members.
+def _further_search(scratch: Scratch, buckets: DataFrame, points: DataFrame, again: DataFrame, labels: DataFrame, tested: DataFrame, num: int, den: int, most: int | None, lot: int | None) -> DataFrame | None:
+    """Candidates (a, b, more) of members in another component than their bucket's centre, with all other members; None if
+    there are no such members.
 
-    Askers go to all blocks of their bucket. With ``most``, one gets only so many of the best of
-    each component in a block, and ``more`` tells that others were left for a later search.
+    Askers go to all blocks of their bucket. With a ``lot`` a member asks in one of its buckets only, since groups of near
+    copies share many; a search without one follows. With ``most``, a member gets only so many of the best of each component
+    in a block, and ``more`` tells that others were left for a later search. ``tested`` pairs are not found again (of a member
+    with more than ``KNOWN`` of them some are; they go before anything is verified).
     """
     label = labels.select(F.col("node").alias("key"), "component")
     centre = labels.select(F.col("node").alias("centre"), F.col("component").alias("top"))
     m = buckets.join(again, "digest", "left_semi").join(label, "key", "left").join(centre, "centre", "left")
     m = m.withColumns({"component": F.coalesce("component", "key"), "top": F.coalesce("top", "centre")})
     m = scratch.table(m.select("digest", "blocks", "key", "component", (F.col("component") != F.col("top")).alias("asks")), "asking")
-    some = m.groupBy("digest").agg(F.max("asks").alias("any")).where("any").select("digest")
-    m = m.join(some, "digest", "left_semi")
-    stored = m.select("digest", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"), F.lit(False).alias("asks"), "key", "component")
-    asking = m.where("asks").select("digest", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "asks", "key", "component")
+    asking = m.where("asks")
+    if lot is not None:
+        asking = asking.join(asking.groupBy("key").agg(F.min_by("digest", F.xxhash64("digest", F.lit(lot))).alias("digest")), ["key", "digest"], "left_semi")
+    both = tested.select(F.col("a").alias("key"), "b").union(tested.select("b", "a"))
+    known = both.join(asking.select("key").distinct(), "key", "left_semi").join(label.select(F.col("key").alias("b"), F.col("component").alias("cb")), "b", "left").join(label, "key", "left")
+    known = known.where("coalesce(component, key) <> coalesce(cb, b)").withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("b"))).where(F.col("n") <= KNOWN)
+    asking = scratch.table(asking.join(known.groupBy("key").agg(F.collect_list("b").alias("known")), "key", "left"), "askers")
+    if asking.isEmpty():
+        return None
+    m = m.join(asking.select("digest").distinct(), "digest", "left_semi")
+    stored = m.select("digest", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"), F.lit(False).alias("asks"), "key", "component", F.lit(None).cast("array<bigint>").alias("known"))
+    asking = asking.select("digest", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "asks", "key", "component", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members: list[dict] = []
@@ -429,9 +443,11 @@ def _further_search(scratch: Scratch, buckets: DataFrame, points: DataFrame, aga
                 continue
             tree = tree or CountRTree(_points(members), num, den)
             found: dict[int, list[tuple[int, int]]] = {}
+            before = set(r["known"] or ())
             for i, bound in zip(*(x.tolist() for x in tree.search(_points([r])[0])), strict=True):
-                if members[i]["component"] != r["component"]:
-                    found.setdefault(members[i]["component"], []).append((-bound, members[i]["key"]))
+                x = members[i]
+                if x["component"] != r["component"] and x["key"] not in before:
+                    found.setdefault(x["component"], []).append((-bound, x["key"]))
             for own in found.values():
                 for _, x in sorted(own)[:most]:
                     out[min(r["key"], x), max(r["key"], x), most is not None and len(own) > most] = None
@@ -511,15 +527,18 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, id_col: str, text: s
             some = waiting if k == FIRST_ROUNDS else scratch.table(waiting.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
             labels = tested(some)
             pairs = pairs.union(some)
-        for most in (BEST, None):
-            searched = scratch.table(_further_search(scratch, buckets, points, again, labels, num, den, most), "searched")
+        for most, lot in ((BEST, 0), (BEST, 1), (BEST, None), (None, None)):
+            searched = _further_search(scratch, buckets, points, again, labels, pairs, num, den, most, lot)
+            if searched is None:
+                break
+            searched = scratch.table(searched, "searched")
             # Before known pairs go: what a member's best candidates left out counts even if all of them were tested already.
             more = not searched.where("more").isEmpty()
             rest = apart(searched.select("a", "b"))
             if not rest.isEmpty():
                 labels = tested(rest)
                 pairs = pairs.union(rest)
-            if not more:
+            if lot is None and not more:
                 break
         by_class = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("d1", "d2", "n", F.coalesce("component", "key").alias("component"))
         linked = scan.where("n > 0").join(by_class, ["d1", "d2", "n"]).select("row", "doc_id", "tx", "n", "component")

@@ -57,6 +57,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(docs: DataFrame) -> None:
+    """Remove the tables that operators of this session made and ``docs`` does not read.
+
+    For pipelines whose stages' results are written before the next stage begins: what the
+    stages before needed to make ``docs`` is then of no more use.
+    """
+    read = {name for f in docs.inputFiles() for name in f.split("/") if name.startswith("pagemill-")}
+    sc = docs.sparkSession.sparkContext
+    for path in [p for p in _MADE if p.rsplit("/", 1)[1] not in read]:
+        jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
+        del _MADE[path]
+
+
 class Scratch:
     """Tables that an operator needs while it runs; ``with`` removes them at its end.
 

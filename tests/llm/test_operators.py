@@ -314,12 +314,12 @@ def test_jaccard_searches_the_rest(spark, docs, monkeypatch):
     real, asked = jaccard._further_search, []
 
     def searched(*args):
-        asked.append(args[-1])
-        return real(*args) if args[-1] is None else spark.createDataFrame([(1, 3, True)], "a long, b long, more boolean")
+        asked.append(args[-2:])
+        return real(*args) if args[-2] is None else spark.createDataFrame([(1, 3, True)], "a long, b long, more boolean")
 
     monkeypatch.setattr(jaccard, "_further_search", searched)
     jaccard.near_duplicates(docs, 3, 90, 100).collect()
-    assert asked == [jaccard.BEST, None]
+    assert asked == [(jaccard.BEST, 0), (jaccard.BEST, 1), (jaccard.BEST, None), (None, None)]
 
 
 def by_brute_force(sets, num):
