@@ -1,6 +1,7 @@
 """The corpus pipeline: quality rules, near-duplicate join, repeated passages, decontamination, tokens.
 
-Every stage is written as Parquet and read again as the next one's documents.
+Every stage is written as Parquet and read again as the next one's documents; a stage therefore begins by removing what the
+operators before it left behind. Extra columns, whatever their names, go through all stages but the last.
 """
 
 from __future__ import annotations
@@ -9,26 +10,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm import bpe, decontam, jaccard, quality, repeats
-from pagemill.llm.runtime import materialize, read_table
+from pagemill.llm.runtime import materialize, read_table, release
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the rules' posterior keeps; each row has its own verdict, null and empty texts go."""
+    release(docs)
     return quality.filter_quality(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, 0.8) the row with the smallest id; rows without an id come last."""
+    release(docs)
     return jaccard.keep_first(docs, size=5, num=80, den=100)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes that lie in strings of 100 bytes which stand earlier."""
+    release(docs)
     return repeats.without_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the benchmark does not contaminate, rows without an id judged like all others."""
+    release(docs)
     return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, number of tokens, digests of the ids and of the text decoded from them; null counts as empty."""
+    release(docs)
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
@@ -45,6 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table of documents; an empty table gives an empty result."""
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{k}")
