@@ -56,8 +56,10 @@ SAMPLE, HARD = 3_000, 1_500
 ROUNDS = 3
 #: Different words before a window that stands for toxic ones from the start.
 SUPPORT = 6
-CACHE = 400_000
+CACHE = 1_000_000
 FOLDS, HELD_OUT = 5, 0
+#: The margin of what has no window.
+NONE = float("-inf")
 #: Stand around each window and take part in its subsequences.
 START, END = "\x02", "\x03"
 INNER = re.compile(r"[\W\d_]+")
@@ -67,38 +69,44 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def windows(text: str | None) -> set[str]:
-    """The different windows of a text."""
-    out: set[str] = set()
-    run: list[str] = []
+def piece_windows(piece: str) -> tuple[str | None, list[str]]:
+    """(its letter, or "", if a lower-case piece has one at most; else None), and the piece's windows."""
+    letters = INNER.sub("", piece)
+    if len(letters) <= 1:
+        return letters, []
+    return None, [x for w in dict.fromkeys((piece.strip(".,;:!?()[]\"'"), letters)) for x in _cut(w)]
+
+
+def _cut(w: str) -> list[str]:
+    if len(w) <= LONGEST:
+        return [f"{START}{w}{END}"] if len(w) >= ORDER else []
+    step = LONGEST // 2
+    return [f"{START}{w[k : k + LONGEST]}{END}" for k in range(0, len(w) - LONGEST + step, step)]
+
 
-    def add(w: str) -> None:
-        if len(w) <= LONGEST:
-            if len(w) >= ORDER:
-                out.add(f"{START}{w}{END}")
-        else:
-            step = LONGEST // 2
-            out.update(f"{START}{w[k : k + LONGEST]}{END}" for k in range(0, len(w) - LONGEST + step, step))
-
-    def end() -> None:
-        if len(run) > 2:
-            add("".join(run))
-        run.clear()
-
-    for piece in (text or "").lower().split():
-        letters = INNER.sub("", piece)
-        if len(letters) <= 1:
-            if letters:
-                run.append(letters)
-            continue
-        end()
-        add(piece.strip(".,;:!?()[]\"'"))
-        if letters != piece:
-            add(letters)
-    end()
+def run_windows(pieces: list[str], letter: dict[str, str]) -> list[str]:
+    """Windows of runs of pieces with one letter at most, three letters or more in all; ``letter`` has such pieces' letters."""
+    out: list[str] = []
+    run: list[str] = []
+    for piece in [*pieces, None]:
+        own = letter.get(piece) if piece is not None else None
+        if own:
+            run.append(own)
+        elif own is None:
+            if len(run) > 2:
+                out += _cut("".join(run))
+            run = []
     return out
 
 
+def windows(text: str | None) -> set[str]:
+    """The different windows of a text."""
+    pieces = (text or "").lower().split()
+    own = {p: piece_windows(p) for p in set(pieces)}
+    letter = {p: x for p, (x, _) in own.items() if x is not None}
+    return {w for _, ws in own.values() for w in ws}.union(run_windows(pieces, letter) if letter else ())
+
+
 _COMBINED: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -189,24 +197,41 @@ class Model:
 
 
 class Scorer:
-    """Scores of texts; margins of windows are remembered."""
+    """Scores of texts. Of each piece the worst window's margin is remembered, or the letter that it adds to a run."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
         self.alphabet = Alphabet(model.letters)
-        self.seen: dict[str, float] = {}
+        self.margin: dict[str, float] = {}
+        self.letter: dict[str, str] = {}
+
+    def _learn(self, pieces: set[str]) -> None:
+        own = {p: piece_windows(p) for p in pieces}
+        self.letter.update((p, x) for p, (x, _) in own.items() if x is not None)
+        flat = [w for _, ws in own.values() for w in ws]
+        at, margins = 0, self.model.margins(flat, self.alphabet).tolist()
+        for p, (_, ws) in own.items():
+            self.margin[p] = max(margins[at : at + len(ws)], default=NONE)
+            at += len(ws)
 
     def scores(self, texts: Iterable[str | None]) -> list[float]:
         if not len(self.model.weights):
             return [0.0 for _ in texts]
-        own = [windows(t) for t in texts]
-        fresh = list(set().union(*own) - self.seen.keys())
-        if len(self.seen) + len(fresh) > CACHE:
-            self.seen.clear()
-            fresh = list(set().union(*own))
-        self.seen.update(zip(fresh, self.model.margins(fresh, self.alphabet).tolist(), strict=True))
-        get = self.seen.__getitem__
-        return [self.model.probability(max(map(get, w), default=self.model.bias)) for w in own]
+        split = [(t or "").lower().split() for t in texts]
+        sets = [set(x) for x in split]
+        fresh = set().union(*sets) - self.margin.keys()
+        if len(self.margin) + len(fresh) > CACHE:
+            self.margin.clear()
+            self.letter.clear()
+            fresh = set().union(*sets)
+        self._learn(fresh)
+        out, get, letter = [], self.margin.__getitem__, self.letter
+        for pieces, own in zip(split, sets, strict=True):
+            best = max(map(get, own), default=NONE)
+            if sum(map(letter.__contains__, pieces)) > 2 and (runs := run_windows(pieces, letter)):
+                best = max(best, float(self.model.margins(runs, self.alphabet).max()))
+            out.append(self.model.probability(self.model.bias if best == NONE else best))
+        return out
 
 
 def altered(window: str) -> list[str]:
