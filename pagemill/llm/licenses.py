@@ -6,7 +6,7 @@ gives the matching statistic, the length of the longest suffix of what was read
 that occurs in some template. Maximal matches of ``MIN_MATCH`` words or more are
 chained, in order of both the file and the template, into covered spans; a
 template covered by ``MIN_COVER`` of its words, or by one match of ``LONG_MATCH``,
-labels the file. The base phrases are looked for besides, and their labels always stay.
+labels the file, unless another licence's template is covered further in the same place. The base phrases are looked for besides, and their labels always stay.
 
 One narrow ``mapInArrow``; texts are scanned whole.
 
@@ -48,6 +48,12 @@ TEMPLATES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. This work is published under CC0 1.0 Universal."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"),
 )
 
 
@@ -157,7 +163,19 @@ class Scanner:
                     running[k] = [r[0], at + length, last, r[3] + max(fresh, 0), max(r[4], length)]
         for k in list(running):
             end(k)
-        return [c for c in chains if c[3] >= MIN_COVER or c[4] >= LONG_MATCH]
+        return self.best([c for c in chains if c[3] >= MIN_COVER or c[4] >= LONG_MATCH])
+
+    def best(self, spans: list[tuple[int, int, int, float, int]]) -> list[tuple[int, int, int, float, int]]:
+        """Without spans that overlap one of another label whose template is covered further: licences share much of their wording."""
+        spans = sorted(spans, key=lambda c: (c[1], c[2], c[0]))
+        worse: set[int] = set()
+        for i, (k, _, after, share, _) in enumerate(spans):
+            for j in range(i + 1, len(spans)):
+                if spans[j][1] >= after:
+                    break
+                if self.labels[spans[j][0]] != self.labels[k] and spans[j][3] != share:
+                    worse.add(i if share < spans[j][3] else j)
+        return [c for i, c in enumerate(spans) if i not in worse]
 
     def scan(self, text: str | None) -> dict:
         words = words_of(text or "")

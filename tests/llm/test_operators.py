@@ -192,6 +192,75 @@ def test_licenses(docs, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+@pytest.mark.parametrize("template", licenses.TEMPLATES, ids=lambda t: t[0])
+def test_licenses_are_told_apart(template):
+    """A whole notice in other text has its own label and no other, but for base phrases."""
+    scan = licenses.Scanner().scan(f"some words before {template[1]} and some words after")
+    assert template[0] in scan["labels"].split(",")
+    assert set(scan["labels"].split(",")) <= {template[0], *filter(None, scan["base_labels"].split(","))}
+
+
+def test_licenses_matching_statistics():
+    """Maximal matches against a search of every template at every place."""
+    scanner = licenses.Scanner()
+    templates = [licenses.words_of(t) for _, t in licenses.TEMPLATES]
+    rng = random.Random(4)
+    for _ in range(30):
+        words = []
+        while len(words) < 150:
+            t = rng.choice(templates)
+            at = rng.randrange(len(t))
+            words += t[at : at + rng.randrange(1, 12)] + [b"zzz"] * rng.randrange(2)
+        joined = [b" " + b" ".join(t) + b" " for t in templates]
+
+        def inside(a, z):
+            piece = b" " + b" ".join(words[a:z]) + b" "
+            return any(piece in t for t in joined)
+
+        longest, start = [], 0
+        for end in range(1, len(words) + 1):
+            while start < end and not inside(start, end):
+                start += 1
+            longest.append(end - start)
+        want = [(e - n + 1, n) for e, n in enumerate(longest) if n >= licenses.MIN_MATCH and (e + 1 == len(words) or longest[e + 1] <= n)]
+        assert [(a, n) for a, n, _ in scanner.matches(words)] == want
+
+
+def test_decontamination_in_blocks(spark, docs, monkeypatch):
+    """Blocks of the benchmark give what one gives."""
+    bench = spark.createDataFrame([(k, " ".join(PROSE.split()[3 * k : 3 * k + 20])) for k in range(12)], "item_id long, text string")
+    whole = Counter(map(tuple, decontam.decontaminate(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 300)
+    assert len(list(decontam.blocks_of(bench))) > 3
+    assert Counter(map(tuple, decontam.decontaminate(docs, bench).collect())) == whole
+
+
+def test_quality_posteriors(spark):
+    """EM over vote patterns against plain Python."""
+    rng = random.Random(6)
+    counts = {tuple(rng.choice((-1, 0, 1)) for _ in quality.RULES): rng.randrange(1, 500) for _ in range(40)}
+    rows = spark.createDataFrame([(list(v), n) for v, n in counts.items()], "v array<int>, n long")
+    k = range(len(quality.RULES))
+    prior, good, bad = quality.PRIOR_GOOD, [quality.PRIOR_RIGHT] * len(k), [quality.PRIOR_RIGHT] * len(k)
+
+    def posterior(v):
+        odds = np.log(prior / (1 - prior)) + sum(np.log(good[i] / (1 - bad[i])) if v[i] == 1 else np.log((1 - good[i]) / bad[i]) if v[i] == -1 else 0 for i in k)
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(quality.EM_ROUNDS):
+        p = {v: posterior(v) for v in counts}
+
+        def right(i, way, share):
+            own = sum(n * share(p[v]) for v, n in counts.items() if v[i] == way)
+            return (own + quality.PRIOR_VOTES * quality.PRIOR_RIGHT) / (sum(n * share(p[v]) for v, n in counts.items() if v[i]) + quality.PRIOR_VOTES)
+
+        new = (sum(n * p[v] for v, n in counts.items()) + quality.PRIOR_VOTES * quality.PRIOR_GOOD) / (sum(counts.values()) + quality.PRIOR_VOTES)
+        good, bad = [right(i, 1, lambda x: x) for i in k], [right(i, -1, lambda x: 1 - x) for i in k]
+        prior = new
+    got = {tuple(r.v): r.posterior for r in quality.fit_posteriors(rows).collect()}
+    assert got == pytest.approx({v: posterior(v) for v in counts}, abs=2e-6)
+
+
 def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([(7, " ".join(PROSE.split()[5:30])), (8, "One, two!"), (9, None), (9, "--")], "item_id long, text string")
     windows = {}
