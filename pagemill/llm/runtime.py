@@ -71,17 +71,25 @@ def release(docs: DataFrame) -> None:
         del _MADE[path]
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
     """Tables that an operator needs while it runs; ``with`` removes them at its end.
 
     What outlives it goes through :func:`materialize`, so no returned plan reads a table
-    that is gone.
+    that is gone. Until then rows go to Python ``BATCH`` at a time, which bounds what a
+    worker and its executor hold of them.
     """
 
+    BATCH = 1_000
+
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> Scratch:
+        self.batch = self.spark.conf.get(ARROW_ROWS)
+        self.spark.conf.set(ARROW_ROWS, str(min(self.BATCH, int(self.batch)) if int(self.batch) > 0 else self.BATCH))
         return self
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -90,6 +98,7 @@ class Scratch:
         return out
 
     def __exit__(self, *_) -> None:
+        self.spark.conf.set(ARROW_ROWS, self.batch)
         sc = self.spark.sparkContext
         for path in self.paths:
             jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
