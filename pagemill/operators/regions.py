@@ -5,6 +5,8 @@ Pages run upwards: ``y1`` is a box's top, ``y0`` its bottom. Keys name pages, so
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -164,3 +166,91 @@ def appearance_box(bounds: Column, caption: Column, line_width: Column) -> Colum
     return F.struct(
         F.least(bounds["x0"] - pad, caption["x0"]).alias("x0"), F.least(bounds["y0"] - pad, caption["y0"]).alias("y0"), F.greatest(bounds["x1"] + pad, caption["x1"]).alias("x1"), F.greatest(bounds["y1"] + pad, caption["y1"]).alias("y1")
     )
+
+
+def merged_rects(chars: DataFrame, *keys: str, overlap: float = 0.35, pad: float = 0.12) -> DataFrame:
+    """Rectangles of characters ``(keys, seq, box)`` in order: one grows while the next character overlaps it upright by
+    ``overlap`` of its own height or more. Boxes under half a point in either direction are left out; each is padded a little."""
+    box = F.struct("x0", "y0", "x1", "y1")
+    rows = chars.where((F.col("x1") - F.col("x0") >= 0.5) & (F.col("y1") - F.col("y0") >= 0.5)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", box.alias("b")))).alias("all"))
+    kind = "array<struct<x0: double, y0: double, x1: double, y1: double>>"
+
+    def step(done: Column, item: Column) -> Column:
+        c, last = item["b"], F.try_element_at(done, F.lit(-1))
+        shared = F.least(last["y1"], c["y1"]) - F.greatest(last["y0"], c["y0"])
+        wider = F.struct(F.least(last["x0"], c["x0"]).alias("x0"), F.least(last["y0"], c["y0"]).alias("y0"), F.greatest(last["x1"], c["x1"]).alias("x1"), F.greatest(last["y1"], c["y1"]).alias("y1"))
+        goes_on = F.coalesce(shared >= overlap * (c["y1"] - c["y0"]), F.lit(False))
+        return F.when(goes_on, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(done, F.array(c)))
+
+    found = rows.select(*keys, F.posexplode(F.aggregate("all", F.array().cast(kind), step)).alias("rect", "r"))
+    edge = (F.col("r.y1") - F.col("r.y0")) * pad
+    return found.select(*keys, "rect", F.col("r.x0").alias("x0"), (F.col("r.y0") - edge).alias("y0"), F.col("r.x1").alias("x1"), (F.col("r.y1") + edge).alias("y1"))
+
+
+def selection(chars: DataFrame, ends: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """Between the characters ``(key, first, last)``, in either order, of ``(key, seq, ch, box)``: the text, and its rectangles."""
+    e = ends.select(key, F.least("first", "last").alias("a"), F.greatest("first", "last").alias("z"))
+    own = chars.join(e, key).where(F.col("seq").between(F.col("a"), F.col("z")))
+    text = own.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "ch"))), lambda x: x["ch"]), "").alias("text"))
+    return text, merged_rects(own, key)
+
+
+def flow_order(lines: DataFrame, regions: DataFrame, key: str = "key") -> DataFrame:
+    """A page's lines and regions in reading order ``(key, seq, kind, id)``.
+
+    A region stands where its first line was; its lines are in it. One without lines stands before
+    the first line whose centre is below it, or at the end.
+    """
+    owned = line_owners(lines, regions, key)
+    first = owned.where("region is not null").groupBy(key, "region").agg(F.min("line").alias("line"))
+    r = regions.select(key, "region", F.col("y0").alias("ry0")).join(first, [key, "region"], "left")
+    below = lines.select(key, F.col("line").alias("under"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    placed = r.join(below, key, "left").groupBy(key, "region").agg(F.first("line").alias("line"), F.min(F.when(F.col("cy") < F.col("ry0"), F.col("under"))).alias("under"), F.max("under").alias("last"))
+    at = F.coalesce("line", "under", F.col("last") + 1, F.lit(0))
+    items = placed.select(key, at.alias("at"), F.lit(0).alias("k"), F.col("region").alias("id"), F.lit("region").alias("kind"))
+    items = items.unionByName(owned.where("region is null").select(key, F.col("line").alias("at"), F.lit(1).alias("k"), F.col("line").alias("id"), F.lit("line").alias("kind")))
+    return items.withColumn("seq", F.row_number().over(W.partitionBy(key).orderBy("at", "k", "id")) - 1).select(key, "seq", "kind", "id")
+
+
+#: How far from its caption a table or figure begins; what joins it; the least size of one.
+SEED, TOUCH, LEAST_SIZE = 45.0, 4.0, (20.0, 8.0)
+REGIONS = "caption bigint, side string, x0 double, y0 double, x1 double, y1 double"
+
+
+def cluster(boxes: np.ndarray, seeds: np.ndarray) -> np.ndarray | None:
+    """The box around ``seeds`` (a mask) and all ``boxes`` that touch it, again and again; None if there is none or it is too small."""
+    taken = seeds.copy()
+    while taken.any():
+        own = boxes[taken]
+        around = np.array([own[:, 0].min(), own[:, 1].min(), own[:, 2].max(), own[:, 3].max()])
+        near = (boxes[:, 0] <= around[2] + TOUCH) & (boxes[:, 2] >= around[0] - TOUCH) & (boxes[:, 1] <= around[3] + TOUCH) & (boxes[:, 3] >= around[1] - TOUCH)
+        if not (near & ~taken).any():
+            return around if around[2] - around[0] >= LEAST_SIZE[0] and around[3] - around[1] >= LEAST_SIZE[1] else None
+        taken |= near
+    return None
+
+
+def caption_regions(captions: DataFrame, graphics: DataFrame, height: float, key: str = "key") -> DataFrame:
+    """Of captions ``(key, caption, kind, box)`` the cluster of graphics that each belongs to: a table's is looked for below it
+    first, a figure's above it. It reaches no further than the neighbouring captions. One page is one group."""
+    both = captions.select(key, F.col("caption").cast("bigint").alias("caption"), "kind", "x0", "y0", "x1", "y1").unionByName(graphics.select(key, F.lit(None).cast("bigint").alias("caption"), F.lit(None).cast("string").alias("kind"), "x0", "y0", "x1", "y1"))
+
+    def page(group: pd.DataFrame) -> pd.DataFrame:
+        sides = ["x0", "y0", "x1", "y1"]
+        own = group[group["caption"].notna()].sort_values("caption")
+        boxes = group[group["caption"].isna()][sides].to_numpy(float)
+        tops, bottoms, out = own["y1"].to_numpy(float), own["y0"].to_numpy(float), []
+        for c in own.itertuples():
+            low, high = max(tops[tops < c.y0], default=0.0), min(bottoms[bottoms > c.y1], default=height)
+            under = boxes[(boxes[:, 3] <= c.y0 + 2) & (boxes[:, 1] >= low - 1)]
+            over = boxes[(boxes[:, 1] >= c.y1 - 2) & (boxes[:, 3] <= high + 1)]
+            tries = [("below", under, under[:, 3] >= c.y0 - SEED), ("above", over, over[:, 1] <= c.y1 + SEED)]
+            for side, some, seeds in tries if c.kind == "Table" else tries[::-1]:
+                found = cluster(some, seeds)
+                if found is not None:
+                    out.append((group[key].iloc[0], int(c.caption), side, *found))
+                    break
+        return pd.DataFrame(out, columns=[key, "caption", "side", *sides])
+
+    schema = f"{key} {captions.schema[key].dataType.simpleString()}, {REGIONS}"
+    return both.groupBy(key).applyInPandas(page, schema)

@@ -26,6 +26,7 @@ RULES = ("k AS key", "CASE WHEN n % 2 = 0 THEN a ELSE a * 2 END AS x0", "CASE WH
 AREA = ("k AS key", "5.0D AS x0", "5.0D AS y0", "60.0D AS x1", "80.0D AS y1")
 LINE = ("k AS key", "n AS line", "a AS x0", "q * 4 AS y0", "a + 30 AS x1", "q * 4 + 6 AS y1", "CASE WHEN f = 'R' THEN 'Table 3.1 Values' WHEN f = 'A' AND n % 5 = 0 THEN 'some words that make this line read like prose here' ELSE concat('v ', n) END AS text")
 REGION = ("k AS key", "n AS region", "n + 1 AS caption_line", "a - 5 AS x0", "q * 4 - 6 AS y0", "a + 25 AS x1", "q * 4 + 10 AS y1")
+CHARS = ("k AS key", "n AS seq", "f AS ch", "a AS x0", "n DIV 3 * 20.0D AS y0", "a + 6 AS x1", "n DIV 3 * 20.0D + 8 AS y1")
 WORDS = ("k AS key", "CASE WHEN f = 'A' THEN ' ' ELSE concat(f, n) END AS word", "b AS confidence", "a * 10 AS x", "q * 20 AS y", "b AS w", "a AS h", "612.0D AS page_width", "792.0D AS page_height", "2550.0D AS px_width", "3300.0D AS px_height", "10.0D AS ox", "20.0D AS oy")
 CHUNKS = ("k AS doc_id", "CAST(q AS INT) AS page_no", "CAST(b AS INT) AS token_estimate", "CASE CAST(a AS INT) % 3 WHEN 0 THEN 'suspect' WHEN 1 THEN 'check' ELSE 'ok' END AS quality")
 ITEMS = ("k AS doc_id", "CASE n WHEN 1 THEN 'heading' WHEN 2 THEN 'table' WHEN 3 THEN 'figure' WHEN 4 THEN 'equation' WHEN 5 THEN 'image' ELSE 'paragraph' END AS kind", "CASE WHEN f = 'R' THEN 'suspect' ELSE 'ok' END AS quality", "b > 45 AS clipped")
@@ -34,7 +35,7 @@ PRINTED = "CASE CAST(b AS INT) % 6 WHEN 0 THEN concat('6.4.', n, ' Punching shea
 
 def _plain(*columns):
     """The same expressions for the SQL: a double is written 5.0."""
-    return marks_sql(*[c.replace(".0D", ".0::DOUBLE").replace("AS STRING", "AS VARCHAR") for c in columns])
+    return marks_sql(*[c.replace(".0D", ".0::DOUBLE").replace("AS STRING", "AS VARCHAR").replace(" DIV ", " // ") for c in columns])
 
 
 def _case_clauses(s, d):
@@ -120,6 +121,11 @@ QUERIES = {
     "free_equations": lambda s, d: rg.free_equations(marks(s, d, *BOX), marks(s, d, *REGION).where("region <= 2")).select("key", "id"),
     "text_blocks": lambda s, d: rg.text_block_below(marks(s, d, *LINE), marks(s, d, *LINE).where("text like 'Table%'").withColumnRenamed("line", "caption")),
     "separators": _separators,
+    "merged_rects": lambda s, d: rg.merged_rects(marks(s, d, *CHARS), "key"),
+    "selected_text": lambda s, d: rg.selection(marks(s, d, *CHARS), marks(s, d, "k AS key", "n", "CAST(b AS INT) % 5 AS first", "CAST(q AS INT) % 7 AS last").where("n = 1"))[0],
+    "selected_rects": lambda s, d: rg.selection(marks(s, d, *CHARS), marks(s, d, "k AS key", "n", "CAST(b AS INT) % 5 AS first", "CAST(q AS INT) % 7 AS last").where("n = 1"))[1],
+    "flow_order": lambda s, d: rg.flow_order(marks(s, d, *LINE), marks(s, d, *REGION).where("region <= 3")),
+    "caption_regions": lambda s, d: rg.caption_regions(marks(s, d, *LINE).where("text like 'Table%'").selectExpr("key", "line as caption", "if(line % 2 = 0, 'Table', 'Figure') as kind", "x0", "y0", "x1", "y1"), marks(s, d, *BOX), 220.0),
     "column_gaps": lambda s, d: rg.column_gaps(marks(s, d, "k AS key", "CAST(q AS INT) % 3 AS row", "a * 2 AS x0", "a * 2 + 10 AS x1"), 0.0, 100.0, 1.0),
     "union_boxes": lambda s, d: rg.union_box(marks(s, d, *BOX), "key"),
     "upright_glyphs": lambda s, d: marks(s, d, "k", "n", "a / 10 - 0.2 AS angle").where(rg.is_upright(F.col("angle"))).select("k", "n"),
@@ -153,6 +159,7 @@ QUERIES = {
 
 _RULES = f"""WITH e AS (SELECT DISTINCT key, CASE WHEN y1 - y0 <= 1.5 AND x1 - x0 BETWEEN 6 AND 67 THEN 'y' WHEN x1 - x0 <= 1.5 AND y1 - y0 BETWEEN 6 AND 87 THEN 'x' END AS axis, CASE WHEN y1 - y0 <= 1.5 AND x1 - x0 BETWEEN 6 AND 67 THEN (y0 + y1) / 2 ELSE (x0 + x1) / 2 END AS p
  FROM {_plain(*RULES)} WHERE x1 >= 2 AND x0 <= 63 AND y1 >= 2 AND y0 <= 83), l AS (SELECT key, axis, list_reduce(list_prepend([]::DOUBLE[], list_transform(list_sort(list(p)), lambda x: [x])), lambda acc, x: CASE WHEN len(acc) = 0 OR x[1] - acc[-1] > 2 THEN list_concat(acc, x) ELSE acc END) AS kept FROM e WHERE axis IS NOT NULL GROUP BY 1, 2), r AS (SELECT key, axis, unnest(kept) AS p FROM l)"""
+_SELECTED = f"(SELECT c.* FROM {_plain(*CHARS)} c JOIN (SELECT k, least(b::INT % 5, q::INT % 7) AS a, greatest(b::INT % 5, q::INT % 7) AS z FROM {MARKS} WHERE n = 1) e ON e.k = c.key AND c.seq BETWEEN a AND z)"
 
 ORACLES = {
     "document_metadata": "SELECT event_id AS doc_id, coalesce(nullif(event_type, 'click'), '') AS title, user_id::VARCHAR AS author, '' AS subject, CASE WHEN value > 50 THEN '' ELSE 'k' END AS keywords, '' AS creator, '' AS producer, '' AS created, '' AS modified FROM events",
@@ -180,6 +187,13 @@ ORACLES = {
  s AS (SELECT *, sum((bottom - y1 > 13.2 OR text LIKE 'Table%' OR text LIKE 'some words%')::INT) OVER (PARTITION BY key, caption ORDER BY y1 DESC, line) AS stopped FROM b) SELECT key, caption, count(*) AS n_lines, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM s WHERE stopped = 0 GROUP BY 1, 2 HAVING count(*) >= 2""",
     "separators": f"""WITH l AS (SELECT k AS key, max(q) * 4 + 20 AS hi, max(q) * 2 - 10 AS lo FROM {MARKS} GROUP BY 1), i AS (SELECT l.*, greatest(lo, q * 4) AS a, least(hi, q * 4 + a / 4) AS b FROM l JOIN {MARKS} ON k = key WHERE q * 4 + a / 4 > lo AND q * 4 < hi UNION ALL SELECT *, lo, lo FROM l),
  g AS (SELECT *, coalesce(min(a) OVER (PARTITION BY key ORDER BY b DESC, a DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), hi) AS cur FROM i), m AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cur - b DESC, cur DESC, b DESC) AS r FROM g) SELECT key, hi, lo, CASE WHEN cur > b THEN (cur + b) / 2 ELSE (hi + lo) / 2 END AS "at" FROM m WHERE r = 1""",
+    "merged_rects": f"SELECT key, (row_number() OVER (PARTITION BY key ORDER BY y) - 1)::INT AS rect, x0, y - 0.96 AS y0, x1, y + 8.96 AS y1 FROM (SELECT key, y0 AS y, min(x0) AS x0, max(x1) AS x1 FROM {_plain(*CHARS)} GROUP BY 1, 2)",
+    "selected_text": f"SELECT key, string_agg(ch, '' ORDER BY seq) AS text FROM {_SELECTED} GROUP BY 1",
+    "selected_rects": f"SELECT key, (row_number() OVER (PARTITION BY key ORDER BY y) - 1)::INT AS rect, x0, y - 0.96 AS y0, x1, y + 8.96 AS y1 FROM (SELECT key, y0 AS y, min(x0) AS x0, max(x1) AS x1 FROM {_SELECTED} GROUP BY 1, 2)",
+    "flow_order": f"""WITH l AS (SELECT * FROM {_plain(*LINE)}), r AS (SELECT * FROM {_plain(*REGION)} WHERE region <= 3), o AS (SELECT l.key, l.line, coalesce(min(r.region) FILTER (l.line = caption_line), min(r.region)) AS region
+ FROM l LEFT JOIN r ON r.key = l.key AND (l.line = caption_line OR ((l.x0 + l.x1) / 2 BETWEEN r.x0 - 1 AND r.x1 + 1 AND (l.y0 + l.y1) / 2 BETWEEN r.y0 - 1 AND r.y1 + 1)) GROUP BY 1, 2),
+ p AS (SELECT key, coalesce((SELECT min(line) FROM o WHERE o.key = r.key AND o.region = r.region), (SELECT min(line) FROM l WHERE l.key = r.key AND (l.y0 + l.y1) / 2 < r.y0), (SELECT max(line) + 1 FROM l WHERE l.key = r.key)) AS pos, 0 AS t, region AS id, 'region' AS kind FROM r UNION ALL SELECT key, line, 1, line, 'line' FROM o WHERE region IS NULL)
+ SELECT key, (row_number() OVER (PARTITION BY key ORDER BY pos, t, id) - 1)::INT AS seq, kind, id FROM p""",
     "column_gaps": f"""WITH m AS (SELECT k AS key, q::INT % 3 AS row, a * 2 AS x0 FROM {MARKS}), d AS (SELECT key, row FROM m GROUP BY 1, 2 HAVING count(*) >= 2), w AS (SELECT key, ceil(count(*) * 0.6) AS need FROM d GROUP BY 1),
  v AS (SELECT d.key, x, count(*) FILTER (NOT EXISTS (SELECT 1 FROM m WHERE m.key = d.key AND m.row = d.row AND x BETWEEN x0 AND x0 + 10) AND EXISTS (SELECT 1 FROM m WHERE m.key = d.key AND m.row = d.row AND x0 > x)) AS votes FROM d, range(101) t(x) GROUP BY 1, 2),
  i AS (SELECT key, x, x - row_number() OVER (PARTITION BY key ORDER BY x) AS g FROM v JOIN w USING (key) WHERE votes >= need) SELECT key, min(x)::DOUBLE AS start, max(x)::DOUBLE AS \"end\" FROM i GROUP BY key, g""",

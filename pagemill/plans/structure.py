@@ -168,3 +168,6 @@ ORACLES = {
     "page_dates": "SELECT event_id, date_trunc('second', ts)::TIMESTAMP - INTERVAL 90 MINUTE AS utc FROM events",
     "replies": "SELECT conv_id, turn AS id, text, role AS author FROM conversations WHERE trim(text) <> ''",
 }
+
+ORACLES["grid_csv"] = f"""WITH t AS ({ORACLES['table_grid']}), r AS (SELECT key, row, max(max(col)) OVER (PARTITION BY key) AS w FROM t GROUP BY 1, 2), c AS (SELECT key, row, unnest(range(w + 1)) AS col FROM r),
+ l AS (SELECT key, row, string_agg(coalesce(text, ''), ',' ORDER BY col) AS line FROM c LEFT JOIN t USING (key, row, col) GROUP BY 1, 2) SELECT key, string_agg(line, chr(13) || chr(10) ORDER BY row) || chr(13) || chr(10) AS content FROM l GROUP BY 1"""

@@ -80,3 +80,17 @@ def test_chunk_export(spark):
     assert [[e.label for e in r.equations] for r in got if r.equations] == [["( E.1 )"]]
     line = json.loads(to_jsonl(out).first().value)
     assert list(line) == FIELDS
+
+
+def test_rects_grow_with_their_characters(spark):
+    rows = [(1, 0, 0.0, 0.0, 5.0, 8.0), (1, 1, 5.0, 5.0, 9.0, 13.0), (1, 2, 9.0, 10.0, 12.0, 18.0), (1, 3, 0.0, 40.0, 5.0, 48.0), (1, 4, 0.0, 0.0, 0.2, 9.0)]
+    got = rg.merged_rects(spark.createDataFrame(rows, "key int, seq int, x0 double, y0 double, x1 double, y1 double"), "key", pad=0.0).orderBy("rect").collect()
+    assert [(r.x0, r.y0, r.x1, r.y1) for r in got] == [(0, 0, 12, 18), (0, 40, 5, 48)]
+
+
+def test_captions_find_their_graphics(spark):
+    boxes = "x0 double, y0 double, x1 double, y1 double"
+    captions = spark.createDataFrame([(1, 1, "Table", 0.0, 100.0, 50.0, 110.0), (1, 2, "Figure", 0.0, 300.0, 50.0, 310.0), (2, 1, "Figure", 0.0, 100.0, 50.0, 110.0)], f"key int, caption int, kind string, {boxes}")
+    graphics = [(1, 0.0, 60.0, 40.0, 90.0), (1, 41.0, 20.0, 60.0, 58.0), (1, 0.0, 120.0, 40.0, 140.0), (1, 0.0, 320.0, 9.0, 325.0), (1, 12.0, 320.0, 60.0, 360.0), (2, 0.0, 10.0, 50.0, 20.0)]
+    got = rg.caption_regions(captions, spark.createDataFrame(graphics, f"key int, {boxes}"), 800.0).collect()
+    assert {(r.key, r.caption): (r.side, r.x0, r.y0, r.x1, r.y1) for r in got} == {(1, 1): ("below", 0.0, 20.0, 60.0, 90.0), (1, 2): ("above", 0.0, 320.0, 60.0, 360.0)}
