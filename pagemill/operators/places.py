@@ -30,10 +30,24 @@ def _cells(lo: Column, hi: Column, tolerance: float, side: float) -> Column:
     return F.sequence(F.floor((lo - tolerance) / side), F.floor((hi + tolerance) / side))
 
 
+#: Segments of a page that are compared directly; pages of more are cut into cells.
+FEW = 64
+
+
+def _counted(segments: DataFrame) -> DataFrame:
+    """The segments with ``few``: whether their page has few."""
+    n = segments.groupBy("key").agg((F.count(F.lit(1)) <= FEW).alias("few"))
+    return segments.join(n, "key")
+
+
+def _unless_few(cells: Column) -> Column:
+    return F.when(F.col("few"), F.array(F.lit(0).cast("bigint"))).otherwise(cells)
+
+
 def _listed(segments: DataFrame, tolerance: float, side: float) -> DataFrame:
-    """Segments in the cells that they pass within the tolerance: of each column, those of the part of the line in it."""
+    """Counted segments in the cells that they pass within the tolerance: of each column, those of the part of the line in it."""
     left, right = F.least("x0", "x1"), F.greatest("x0", "x1")
-    across = segments.withColumn("cx", F.explode(_cells(left, right, tolerance, side)))
+    across = segments.withColumn("cx", F.explode(_unless_few(_cells(left, right, tolerance, side))))
     slope = F.when(left < right, (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0")))
 
     def at(x: Column) -> Column:
@@ -42,18 +56,24 @@ def _listed(segments: DataFrame, tolerance: float, side: float) -> DataFrame:
     a, b = at(F.greatest(left, F.col("cx") * side - tolerance)), at(F.least(right, (F.col("cx") + 1) * side + tolerance))
     low = F.greatest(F.least("y0", "y1"), F.coalesce(F.least(a, b), F.least("y0", "y1")))
     high = F.least(F.greatest("y0", "y1"), F.coalesce(F.greatest(a, b), F.greatest("y0", "y1")))
-    return across.withColumn("cy", F.explode(_cells(low, F.greatest(low, high), tolerance * (1 + 1e-6), side)))
+    return across.withColumn("cy", F.explode(_unless_few(_cells(low, F.greatest(low, high), tolerance * (1 + 1e-6), side))))
+
+
+def _crossings(segments: DataFrame, side: float) -> DataFrame:
+    listed = _listed(segments, side / 8, side).select("key", "few", "cx", "cy", "sid", F.struct("x0", "y0", "x1", "y1").alias("s"))
+    other = listed.select("key", "cx", "cy", F.col("sid").alias("sid2"), F.col("s").alias("s2"))
+    met = listed.join(other, ["key", "cx", "cy"]).where("sid < sid2").withColumn("p", crossing("s", "s2")).where("p is not null")
+    own = F.col("few") | ((F.floor(F.col("p.x") / side) == F.col("cx")) & (F.floor(F.col("p.y") / side) == F.col("cy")))
+    return met.where(own).select("key", "few", "sid", "sid2", "p.x", "p.y")
 
 
 def crossings(segments: DataFrame, side: float) -> DataFrame:
     """Where two segments ``(key, sid, x0, y0, x1, y1)`` of a key cross.
 
-    Segments meet in cells of width ``side``; a crossing counts only in its own cell, so none comes twice.
+    Segments meet in cells of width ``side``; a crossing counts only in its own cell, so none comes twice. Of keys with few
+    segments each meets each.
     """
-    listed = _listed(segments, side / 8, side).select("key", "cx", "cy", "sid", F.struct("x0", "y0", "x1", "y1").alias("s"))
-    other = listed.select("key", "cx", "cy", F.col("sid").alias("sid2"), F.col("s").alias("s2"))
-    met = listed.join(other, ["key", "cx", "cy"]).where("sid < sid2").withColumn("p", crossing("s", "s2"))
-    return met.where((F.floor(F.col("p.x") / side) == F.col("cx")) & (F.floor(F.col("p.y") / side) == F.col("cy"))).select("key", "sid", "sid2", "p.x", "p.y")
+    return _crossings(_counted(segments), side).drop("few")
 
 
 def snap(points: DataFrame, segments: DataFrame, tolerance: float) -> DataFrame:
@@ -65,7 +85,9 @@ def snap(points: DataFrame, segments: DataFrame, tolerance: float) -> DataFrame:
     cell's segments.
     """
     side = 8 * tolerance
-    at = points.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    segments = _counted(segments)
+    cell = lambda c: F.when(F.col("few"), F.lit(0).cast("bigint")).otherwise(F.floor(F.col(c) / side))
+    at = points.join(segments.select("key", "few").distinct(), "key").withColumns({"cx": cell("x"), "cy": cell("y")}).drop("few")
     near = at.join(_listed(segments, tolerance, side), ["key", "cx", "cy"])
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     square = dx * dx + dy * dy
@@ -75,8 +97,8 @@ def snap(points: DataFrame, segments: DataFrame, tolerance: float) -> DataFrame:
     def place(kind: int, px: Column, py: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.sqrt((px - F.col("x")) ** 2 + (py - F.col("y")) ** 2).alias("distance"), px.alias("sx"), py.alias("sy"))
 
-    spots = crossings(segments, side).select("key", F.col("x").alias("px"), F.col("y").alias("py"))
-    spots = spots.withColumn("cx", F.explode(_cells(F.col("px"), F.col("px"), tolerance, side))).withColumn("cy", F.explode(_cells(F.col("py"), F.col("py"), tolerance, side)))
+    spots = _crossings(segments, side).select("key", "few", F.col("x").alias("px"), F.col("y").alias("py"))
+    spots = spots.withColumn("cx", F.explode(_unless_few(_cells(F.col("px"), F.col("px"), tolerance, side)))).withColumn("cy", F.explode(_unless_few(_cells(F.col("py"), F.col("py"), tolerance, side))))
     crossed = at.join(spots, ["key", "cx", "cy"]).select("key", "pid", place(1, F.col("px"), F.col("py")).alias("p"))
     each = near.select("key", "pid", F.explode(F.array(*[place(*p) for p in places])).alias("p")).unionByName(crossed).where(F.col("p.distance") <= tolerance)
     best = each.groupBy("key", "pid").agg(F.min("p").alias("p"))
