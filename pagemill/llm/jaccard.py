@@ -57,7 +57,7 @@ BEST = 4
 #: Tested pairs that a member takes along so as not to find them again.
 KNOWN = 1_000
 #: Rounds in which a member's candidates are verified one at a time.
-FIRST_ROUNDS = 4
+FIRST_ROUNDS = 2
 #: Bits of a membership map for each value, and of all (16 MB); it keeps most other rows out of a pass, and a join decides.
 BITS_EACH = 16
 MAP_BITS = 1 << 27
@@ -527,7 +527,7 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, id_col: str, text: s
             some = waiting if k == FIRST_ROUNDS else scratch.table(waiting.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
             labels = tested(some)
             pairs = pairs.union(some)
-        for most, lot in ((BEST, 0), (BEST, 1), (BEST, None), (None, None)):
+        for most, lot in ((BEST, 0), (BEST, None), (None, None)):
             searched = _further_search(scratch, buckets, points, again, labels, pairs, num, den, most, lot)
             if searched is None:
                 break

@@ -388,7 +388,7 @@ def test_jaccard_searches_the_rest(spark, docs, monkeypatch):
 
     monkeypatch.setattr(jaccard, "_further_search", searched)
     jaccard.near_duplicates(docs, 3, 90, 100).collect()
-    assert asked == [(jaccard.BEST, 0), (jaccard.BEST, 1), (jaccard.BEST, None), (None, None)]
+    assert asked == [(jaccard.BEST, 0), (jaccard.BEST, None), (None, None)]
 
 
 def by_brute_force(sets, num):
