@@ -97,7 +97,7 @@ def _counter(model: bytes) -> PieceCounter:
 def frequent_units(slim: DataFrame) -> list[str]:
     """The most frequent pre-tokens of the sample."""
     seen: Counter = Counter()
-    for r in slim.where(F.octet_length("text") <= SAMPLE_BYTES).select("text").limit(SAMPLE_ROWS).toLocalIterator():
+    for r in slim.where(F.octet_length("text") <= SAMPLE_BYTES).select("text").take(SAMPLE_ROWS):
         seen.update(u for u in units(r.text) if len(u) <= MAX_CHARS)
     return sorted(seen, key=lambda u: (-seen[u], u))[:TABLE_ENTRIES]
 
