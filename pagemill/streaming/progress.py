@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.analysis import search
 from ..operators.phrases import find_phrases
 
 
 def stream_search(spark: SparkSession, folder: str, schema: str, term: str) -> DataFrame:
     """Hits of a phrase in Parquet files as they arrive; stateless, append mode."""
-    return search(spark.readStream.schema(schema).parquet(folder), term)
+    return find_phrases(spark.readStream.schema(schema).parquet(folder), term)
 
 
 def stream_totals(spark: SparkSession, folder: str, schema: str, term: str, files_a_batch: int = 1) -> DataFrame:

@@ -68,10 +68,8 @@ def test_table_texts_keep_gaps(spark):
     assert pl.grid_text(cells, "tsv").first().content == 'a"b\t\tc,d\n\te f\t\n'
 
 
-def test_native_search_finds_as_many(spark):
-    from pagemill.operators.analysis import search
-
+def test_search_finds_as_many(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    native = {r.doc_id: r["count"] for r in search(docs, "of the").groupBy("doc_id").count().collect()}
+    native = {r.doc_id: r["count"] for r in ph.find_phrases(docs, "of the").groupBy("doc_id").count().collect()}
     want = {r.doc_id: len(ph.occurrences(r.text or "", "of the")) for r in docs.collect()}
     assert native == {k: n for k, n in want.items() if n} and native
