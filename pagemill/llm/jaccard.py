@@ -369,15 +369,18 @@ def _first_search(buckets: DataFrame, points: DataFrame, num: int, den: int) ->
         own = _points(members)
         tree = CountRTree(own, num, den)
         waiting, found_at_all, out = np.ones(len(members), bool), np.zeros(len(members), bool), []
+        skipped = False
         # The centre stands first, then by size.
         for i in [0, *(k for k in tree.order.tolist() if k)]:
             if waiting[i]:
                 found, _ = tree.search(own[i])
                 me = members[i]["key"]
                 out += [(min(me, x), max(me, x), False) for x in (members[k]["key"] for k in found.tolist() if k != i and not found_at_all[k])]
+                skipped |= bool(found_at_all[found[found != i]].any())
                 waiting[found] = False
                 found_at_all[found[found != i]] = True
-        return out, [members[0]["digest"]] if members[0]["blocks"] > 1 or found_at_all.sum() > 1 else []
+        # Pairs are missing where a found member was left out, or where two of them were: neither asks.
+        return out, [members[0]["digest"]] if members[0]["blocks"] > 1 or skipped or found_at_all.sum() > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
