@@ -7,13 +7,18 @@ import ctypes
 import gc
 import sys
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MADE: dict[str, SparkSession] = {}
+_RECORDS: ContextVar[tuple[list[str], ...]] = ContextVar("records", default=())
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -53,22 +58,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if not _MADE:
         atexit.register(_remove_all)
     _MADE[path] = spark
+    for record in _RECORDS.get():
+        record.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(docs: DataFrame) -> None:
-    """Remove the tables that operators of this session made and ``docs`` does not read.
+@contextmanager
+def recorded(into: list[str]) -> Iterator[None]:
+    """Adds to ``into`` the tables that this thread makes meanwhile and that outlive their operator."""
+    before = _RECORDS.get()
+    _RECORDS.set((*before, into))
+    try:
+        yield
+    finally:
+        _RECORDS.set(before)
 
-    For pipelines whose stages' results are written before the next stage begins: what the
-    stages before needed to make ``docs`` is then of no more use.
-    """
-    read = {name for f in docs.inputFiles() for name in f.split("/") if name.startswith("pagemill-")}
-    sc = docs.sparkSession.sparkContext
-    for path in [p for p in _MADE if p.rsplit("/", 1)[1] not in read]:
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that nothing needs any more; those of other runs and operators stay."""
+    sc = spark.sparkContext
+    while paths:
+        path = paths.pop()
         jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
-        del _MADE[path]
+        _MADE.pop(path, None)
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -83,30 +97,39 @@ class Scratch:
     """
 
     BATCH = 1_000
+    _lock = threading.Lock()
+    #: Per session: how many are open, and the setting before the first of them.
+    _open: dict[int, tuple[int, str]] = {}
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> Scratch:
-        self.batch = self.spark.conf.get(ARROW_ROWS)
-        self.spark.conf.set(ARROW_ROWS, str(min(self.BATCH, int(self.batch)) if int(self.batch) > 0 else self.BATCH))
+        with self._lock:
+            n, before = self._open.get(id(self.spark), (0, self.spark.conf.get(ARROW_ROWS)))
+            self._open[id(self.spark)] = (n + 1, before)
+            if not n:
+                self.spark.conf.set(ARROW_ROWS, str(min(self.BATCH, int(before)) if int(before) > 0 else self.BATCH))
         return self
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        out = materialize(df, name)
-        self.paths.append(next(reversed(_MADE)))
+        made: list[str] = []
+        with recorded(made):
+            out = materialize(df, name)
+        self.paths += made
         return out
 
     def __exit__(self, *_) -> None:
-        self.spark.conf.set(ARROW_ROWS, self.batch)
-        sc = self.spark.sparkContext
-        for path in self.paths:
-            jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
-            _MADE.pop(path, None)
+        with self._lock:
+            n, before = self._open.pop(id(self.spark))
+            if n > 1:
+                self._open[id(self.spark)] = (n - 1, before)
+            else:
+                self.spark.conf.set(ARROW_ROWS, before)
+        remove(self.spark, self.paths)
         # Shuffle files go when the driver's JVM finds their plans unused.
         gc.collect()
-        sc._jvm.System.gc()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def tidy(rows):
