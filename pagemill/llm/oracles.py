@@ -19,4 +19,15 @@ ORACLES: dict[str, str] = {
  l AS (SELECT a, b FROM p JOIN d x ON x.doc_id = a JOIN d y ON y.doc_id = b WHERE 100 * n >= 90 * (len(x.s) + len(y.s) - n)), k AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
  c AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT k.b, c.root FROM c JOIN k ON k.a = c.doc_id)
  SELECT doc_id, len(s)::BIGINT AS n_shingles, root AS component_id FROM d JOIN (SELECT doc_id, min(root) AS root FROM c GROUP BY 1) USING (doc_id)""",
+    "op11_collocations": f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOW}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+ g AS (SELECT lang, k, w[i:i + k - 1] AS ws FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))),
+ f AS (SELECT lang, k, array_to_string(ws, ' ') AS phrase, ws, count(*) AS a FROM g GROUP BY ALL), t AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY 1),
+ c AS (SELECT * FROM f WHERE k > 1 AND a >= 30),
+ inside AS (SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, max(a) AS most FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS j) WHERE j < k) GROUP BY 1, 2),
+ kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a),
+ cuts AS (SELECT lang, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS lp, array_to_string(ws[cut + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+ scored AS (SELECT x.lang, x.phrase, x.a, l.a AS l, r.a AS r, cut, ((2000000::HUGEINT * x.a) // (l.a + r.a))::BIGINT AS score FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = x.lp JOIN f r ON r.lang = x.lang AND r.phrase = x.rp),
+ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+ SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) JOIN t USING (lang) WHERE rank <= 2000""",
 }

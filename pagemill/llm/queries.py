@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, html_text, jaccard, licenses, quality, repeats, shards, tokencount, toxicity
+from . import bpe, collocations, conversations, decontam, html_text, jaccard, licenses, pieces, quality, repeats, shards, tokencount, toxicity
 from .oracles import ORACLES  # noqa: F401
 from .runtime import read_table
 
@@ -53,7 +53,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.encode_pieces(read_table(spark, sf_dir, "documents"), path, ("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    return conversations.repair_report(conversations.damage(rows), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_html_text, op3_bpe_round_trip, op4_balanced_shards, op5_license_scan, op6_decontamination, op7_toxicity, op8_jaccard_join, op9_suffix_dedup, op10_token_counts)
-}
+    for f in (
+        op1_quality_rules, op2_html_text, op3_bpe_round_trip, op4_balanced_shards, op5_license_scan, op6_decontamination, op7_toxicity,
+        op8_jaccard_join, op9_suffix_dedup, op10_token_counts, op11_collocations, op12_sentencepiece, op13_conversation_repair,
+    )
+}
