@@ -1,19 +1,20 @@
 """Collocations by hierarchical pair naming: phrases that score best at their weakest cut.
 
 Texts are cut into chunks of some MB for each language (a long text at the ends of pieces), and a chunk is written as a
-sequence of local numbers: first of its words, 0 where a piece ends. Level by level, each chunk gives its distinct
-names with their counts; the counts are summed over all chunks, and what is frequent gets a global id. These ids are joined
-back to the chunks' distinct names, and the places where two frequent (k-1)-grams follow one another become the pairs of the
-next level. A k-gram is thus the pair of the two (k-1)-grams in it, and a pair's row is its parent pointer: counts of
-the parts of every cut, the words, and the longer phrases of a candidate all follow from joins with the level below. No
+sequence of local numbers of its words, 0 where a piece ends. Level by level each chunk sends its distinct names with their
+counts, packed, to the buckets that their hashes fall into. A bucket adds up the counts, gives what is frequent a global id
+and answers each chunk with its ids. Places where two frequent (k-1)-grams follow one another become the pairs of the next
+level. A k-gram is thus the pair of the two (k-1)-grams in it, and a pair's row is its parent pointer: the counts of the
+parts of every cut, the words, and the longer phrases of a candidate follow from joins with the level below. No
 phrase of fewer than ``least`` occurrences has an extension with more, so nothing is lost by naming frequent ones only.
 
 A candidate inside a longer one is also inside one that is a word longer and occurs as often at least. So the drop rule is
 tested on the next level's pairs alone.
 
-Occurrences are counted in their chunk before anything is exchanged: a word that makes up a third of all text is one row a
-chunk. Chunks meet their ids by their own number, in sorted streams; a language's best rows are picked from ``SALTS``
-shares of at most ``top`` rows. Counts are 64-bit, products decimals of 38 digits.
+Occurrences are counted in their chunk before anything is exchanged: a word that makes up a third of all text is one number a
+chunk, so buckets are even. There is a bucket for every ``BUCKET`` words of all texts, and chunks and buckets both pass as
+sorted streams, so a task holds one of them at a time. A level is one job from written tables to a written table. A
+language's best rows are picked from ``SALTS`` shares of at most ``top`` rows. Counts are 64-bit, products decimals of 38 digits.
 
 Defined results: a null or empty text has no words; null languages count as ``und``; rows count each for itself; other
 columns, whatever their names, are ignored; an empty table gives an empty result.
@@ -22,6 +23,7 @@ columns, whatever their names, are ignored; an empty table gives an empty result
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +34,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .runtime import Scratch, materialize, named, tidy
+from .textscan import mix
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 #: Bytes of all languages together that wait for their chunks to fill.
-HELD_BYTES = 8 << 20
+HELD_BYTES = 24 << 20
+#: Words for each bucket of names, and buckets at least.
+BUCKET, BUCKETS = 1 << 20, 64
 SALTS = 64
 #: A-Z to a-z, what ends a piece to a line feed, tab to space.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -43,17 +48,18 @@ TOKEN = re.compile(rb"[^ \n]+|\n+")
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """32-bit numbers, their bytes apart, compressed."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return len(numbers).to_bytes(8, "little") + (pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(numbers) else b"")
+    """Whole numbers from 0, as many bytes each as the largest needs, kept apart and compressed."""
+    width = max((int(numbers.max(initial=0)).bit_length() + 7) // 8, 1)
+    planes = np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(numbers).to_bytes(8, "little") + bytes([width]) + (pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(numbers) else b"")
 
 
 def unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    if not n:
-        return np.zeros(0, np.int64)
-    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd"), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    n, width = int.from_bytes(data[:8], "little"), data[8]
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(data[9:], width * n, "zstd"), np.uint8).reshape(width, n).T
+    return out.view("<i8").ravel()
 
 
 def parts(text: str) -> Iterator[bytes]:
@@ -82,11 +88,37 @@ def words(folded: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return own, np.bincount(own, minlength=int(real.sum()) + 1)[1:], [x for x in names if not x.startswith(b"\n")]
 
 
-FIRST = "lang string, n bigint, words array<string>, counts array<bigint>, own binary"
+def pairs(own: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(left ids, right ids, counts, numbers from 1 at each place) of neighbours that both have an id.
+
+    ``own`` has local numbers, ``ids`` the global id of each local number, 0 for none.
+    """
+    out = np.zeros(len(own), np.int64)
+    known = ids[own] > 0
+    at = np.flatnonzero(known[:-1] & known[1:]) if len(own) else np.zeros(0, np.int64)
+    codes, unique = pd.factorize(own[at] * len(ids) + own[at + 1])
+    out[at] = codes + 1
+    return ids[unique // len(ids)], ids[unique % len(ids)], np.bincount(codes, minlength=len(unique)), out
+
+
+def buckets(slots: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its names) for 32-bit hashes, in order; buckets without names are left out."""
+    own = slots * most >> 32
+    order = np.argsort(own, kind="stable")
+    cuts = np.flatnonzero(np.diff(own[order])) + 1
+    for places in np.split(order, cuts) if len(order) else ():
+        yield int(own[places[0]]), places
+
+
+def pair_slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (mix(mix(left.view(np.uint64)) + right.view(np.uint64)) >> np.uint64(32)).astype(np.int64)
+
+
+CHUNK = "lang string, n bigint, words binary, counts binary, slots binary, own binary"
 
 
 def _chunks(slim: DataFrame) -> DataFrame:
-    """(lang, n, words, counts, own) of chunks of texts."""
+    """(lang, n, words, counts, slots, own) of chunks of texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -95,8 +127,10 @@ def _chunks(slim: DataFrame) -> DataFrame:
         def chunk(lang: str) -> pa.RecordBatch:
             size.pop(lang)
             own, counts, names = words(held.pop(lang))
-            arrays = [pa.array([lang]), pa.array([int(counts.sum())], pa.int64()), pa.array([[x.decode() for x in names]], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([pack(own)], pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, ["lang", "n", "words", "counts", "own"])
+            salt = zlib.crc32(lang.encode())
+            slots = np.array([zlib.crc32(x, salt) for x in names], np.int64)
+            packed = [pa.array([x], pa.binary()) for x in (b" ".join(names), pack(counts), pack(slots), pack(own))]
+            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([int(counts.sum())], pa.int64()), *packed], ["lang", "n", "words", "counts", "slots", "own"])
 
         for b in batches:
             for lang, text in zip(b.column("lang"), b.column("text"), strict=True):
@@ -112,74 +146,129 @@ def _chunks(slim: DataFrame) -> DataFrame:
         for lang in list(held):
             yield chunk(lang)
 
-    return slim.mapInArrow(tidy(rows), FIRST)
+    return slim.mapInArrow(tidy(rows), CHUNK)
 
 
-PAIRS = "chunk bigint, lang string, lefts array<bigint>, rights array<bigint>, counts array<bigint>, own binary"
+SENT = "bucket int, chunk bigint, lang string, words binary, lefts binary, rights binary, counts binary"
 
 
-def pairs(own: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(left ids, right ids, counts, numbers from 1 at each place) of neighbours that both have an id.
+def _sent(bucket: int, chunk: int, lang: str | None, words: bytes | None, lefts: bytes | None, rights: bytes | None, counts: bytes) -> pa.RecordBatch:
+    arrays = [pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([lang], pa.string()), *(pa.array([x], pa.binary()) for x in (words, lefts, rights, counts))]
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", "chunk", "lang", "words", "lefts", "rights", "counts"])
 
-    ``own`` has local numbers, ``ids`` the global id of each local number, 0 for none.
-    """
-    out = np.zeros(len(own), np.int64)
-    known = ids[own] > 0
-    at = np.flatnonzero(known[:-1] & known[1:]) if len(own) else np.zeros(0, np.int64)
-    codes, unique = pd.factorize(own[at] * len(ids) + own[at + 1])
-    out[at] = codes + 1
-    return ids[unique // len(ids)], ids[unique % len(ids)], np.bincount(codes, minlength=len(unique)), out
 
+def _sent_words(chunks: DataFrame, most: int) -> DataFrame:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                r = b.slice(at, 1).to_pylist()[0]
+                names, counts = r["words"].split(b" "), unpack(r["counts"])
+                for bucket, places in buckets(unpack(r["slots"]), most):
+                    yield _sent(bucket, r["chunk"], r["lang"], b" ".join([names[k] for k in places]), None, None, pack(counts[places]))
+
+    return chunks.select("chunk", "lang", "words", "counts", "slots").mapInArrow(tidy(rows), SENT)
 
-def _paired(chunks: DataFrame, ids: DataFrame) -> DataFrame:
-    """The next level's chunks: ``chunks`` (chunk, lang, own) with the ``ids`` (chunk, place, id) of their names."""
-    none = F.lit(None)
-    head = chunks.select("chunk", F.lit(-1).alias("place"), none.cast("bigint").alias("id"), "lang", "own")
-    tail = ids.select("chunk", "place", "id", none.cast("string").alias("lang"), none.cast("binary").alias("own"))
-    dealt = head.union(tail).repartition("chunk").sortWithinPartitions("chunk", "place")
+
+def _sent_pairs(chunks: DataFrame, answers: DataFrame, level: int, most: int) -> DataFrame:
+    """The pairs of a level, from the chunks' words and the ``answers`` (chunk, level, bucket, ids) of all levels below."""
+    no = F.lit(None).cast("binary")
+    head = chunks.select("chunk", F.lit(0).alias("level"), F.lit(0).alias("bucket"), no.alias("ids"), "slots", "own")
+    tail = answers.select("chunk", "level", "bucket", "ids", no.alias("slots"), no.alias("own"))
+    dealt = head.union(tail).repartition("chunk").sortWithinPartitions("chunk", "level", "bucket")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk: int | None = None
-        head: tuple[str, np.ndarray] | None = None
-        ids: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def made() -> pa.RecordBatch:
-            lang, own = head
-            full = np.zeros(int(own.max(initial=0)) + 1, np.int64)
-            for place, id_ in ids:
-                full[place + 1] = id_
-            left, right, counts, out = pairs(own, full)
-            lists = [pa.array([x], pa.list_(pa.int64())) for x in (left, right, counts)]
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([lang]), *lists, pa.array([pack(out)], pa.binary())], ["chunk", "lang", "lefts", "rights", "counts", "own"])
+        chunk, own, slots = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found: list[list[np.ndarray]] = []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            names, at = own, slots
+            left = right = counts = None
+            for ids in found:
+                full = np.zeros(len(at) + 1, np.int64)
+                order = [places for _, places in buckets(at, most)]
+                if order:
+                    full[np.concatenate(order) + 1] = np.concatenate(ids)
+                left, right, counts, names = pairs(names, full)
+                at = pair_slots(left, right)
+            for bucket, places in buckets(at, most):
+                yield _sent(bucket, chunk, None, None, pack(left[places]), pack(right[places]), pack(counts[places]))
 
         for b in batches:
-            key = b.column("chunk").to_numpy()
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            for at, to in zip(cuts, cuts[1:], strict=False):
-                if at == to:
-                    continue
-                if key[at] != chunk:
-                    if ids:
-                        yield made()
-                    chunk, ids = int(key[at]), []
-                part = b.slice(at, to - at)
-                if part.column("place")[0].as_py() < 0:
-                    head = part.column("lang")[0].as_py(), unpack(part.column("own")[0].as_py())
-                    part = part.slice(1)
-                if part.num_rows:
-                    ids.append((part.column("place").to_numpy(), part.column("id").to_numpy()))
-        if ids:
-            yield made()
-
-    return dealt.mapInArrow(tidy(rows), PAIRS)
+            for at in range(b.num_rows):
+                r = b.slice(at, 1).to_pylist()[0]
+                if r["level"] == 0:
+                    if chunk is not None:
+                        yield from made()
+                    chunk, own, slots, found = r["chunk"], unpack(r["own"]), unpack(r["slots"]), [[] for _ in range(level - 1)]
+                else:
+                    found[r["level"] - 1].append(unpack(r["ids"]))
+        if chunk is not None:
+            yield from made()
+
+    return dealt.mapInArrow(tidy(rows), SENT)
+
+
+NAMED = "id bigint, lang string, phrase string, left bigint, right bigint, a bigint, chunk bigint, bucket int, ids binary"
+
+
+def _named(sent: DataFrame, least: int) -> DataFrame:
+    """The frequent names with their ids and counts, and the answers to the chunks (chunk, bucket, ids; 0 for no id)."""
+
+    def answers(bucket: int, held: list[dict], ids: list[np.ndarray]) -> pa.RecordBatch:
+        n = len(held)
+        empty = [pa.nulls(n, t) for t in (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())]
+        own = [pa.array([r["chunk"] for r in held], pa.int64()), pa.array([bucket] * n, pa.int32()), pa.array(map(pack, ids), pa.binary())]
+        return pa.RecordBatch.from_arrays([*empty, *own], [c.split()[0] for c in NAMED.split(", ")])
+
+    def names(bucket: int, n: int, lang: list | None, phrase: list | None, left: np.ndarray | None, right: np.ndarray | None, a: np.ndarray) -> pa.RecordBatch:
+        ids = pa.array((bucket << 32) + 1 + np.arange(n), pa.int64())
+        columns = [pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in ((lang, pa.string()), (phrase, pa.string()), (left, pa.int64()), (right, pa.int64()), (a, pa.int64()))]
+        return pa.RecordBatch.from_arrays([ids, *columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], [c.split()[0] for c in NAMED.split(", ")])
+
+    def of_words(bucket: int, held: list[dict]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, bytes], int] = {}
+        split = [(r["lang"], r["words"].split(b" ")) for r in held]
+        for (lang, own), r in zip(split, held, strict=True):
+            for w, n in zip(own, unpack(r["counts"]).tolist(), strict=True):
+                total[lang, w] = total.get((lang, w), 0) + n
+        kept = [key for key, n in total.items() if n >= least]
+        number = {key: (bucket << 32) + 1 + k for k, key in enumerate(kept)}
+        yield names(bucket, len(kept), [lang for lang, _ in kept], [w.decode() for _, w in kept], None, None, np.array([total[key] for key in kept], np.int64))
+        yield answers(bucket, held, [np.array([number.get((lang, w), 0) for w in own], np.int64) for lang, own in split])
+
+    def of_pairs(bucket: int, held: list[dict]) -> Iterator[pa.RecordBatch]:
+        left, right, counts = (np.concatenate([unpack(r[c]) for r in held]) for c in ("lefts", "rights", "counts"))
+        sizes = [int.from_bytes(r["counts"][:8], "little") for r in held]
+        (l, ls), (r, rs) = pd.factorize(left), pd.factorize(right)
+        codes, unique = pd.factorize(l * len(rs) + r)
+        total = np.zeros(len(unique), np.int64)
+        np.add.at(total, codes, counts)
+        frequent = total >= least
+        kept = unique[frequent]
+        number = np.where(frequent, (bucket << 32) + np.cumsum(frequent), 0)[codes]
+        yield names(bucket, len(kept), None, None, ls[kept // len(rs)], rs[kept % len(rs)], total[frequent])
+        yield answers(bucket, held, np.split(number, np.cumsum(sizes)[:-1]))
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
 
-def _wide(x: Column | str) -> Column:
-    return (F.col(x) if isinstance(x, str) else x).cast("decimal(20,0)")
+        def made() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from (of_words if held[0]["words"] is not None else of_pairs)(held[0]["bucket"], held)
+                held.clear()
 
+        for b in batches:
+            for r in b.to_pylist():
+                if held and held[0]["bucket"] != r["bucket"]:
+                    yield from made()
+                held.append(r)
+        yield from made()
 
-def _numbered(df: DataFrame) -> DataFrame:
-    return df.select((F.monotonically_increasing_id() + 1).alias("id"), *df.columns)
+    return sent.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(tidy(rows), NAMED)
+
+
+def _wide(x: Column | str) -> Column:
+    return (F.col(x) if isinstance(x, str) else x).cast("decimal(20,0)")
 
 
 def _best_cut(level: int) -> Column:
@@ -211,28 +300,28 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, top: int =
     with Scratch(docs.sparkSession) as scratch:
         chunks = scratch.table(_chunks(slim).select(F.monotonically_increasing_id().alias("chunk"), "*"), "chunks")
         total = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
-        each = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x"))
-        counted = each.groupBy("lang", F.col("x.words").alias("phrase")).agg(F.sum("x.counts").alias("a")).where(F.col("a") >= least)
-        last = F.col("phrase").alias("last")
-        no = F.array().cast("array<bigint>")
-        below = scratch.table(_numbered(counted.select("lang", "phrase", "a", last, no.alias("pre"), no.alias("suf"))), "names-1")
-        places = chunks.select("chunk", "lang", F.posexplode("words").alias("place", "phrase"))
-        ids = places.join(below.select("lang", "phrase", "id"), ["lang", "phrase"]).select("chunk", "place", "id")
+        most = max(-(-(chunks.agg(F.sum("n")).first()[0] or 0) // BUCKET), BUCKETS)
+        chunks = chunks.where("n > 0")
+        answers: DataFrame | None = None
+        below: DataFrame | None = None
         levels: list[DataFrame] = []
-        for k in range(2, longest + 1):
-            chunks = scratch.table(_paired(chunks, ids), f"chunks-{k}")
-            each = chunks.select(F.explode(F.arrays_zip("lefts", "rights", "counts")).alias("x"))
-            counted = each.groupBy(F.col("x.lefts").alias("left"), F.col("x.rights").alias("right")).agg(F.sum("x.counts").alias("a")).where(F.col("a") >= least)
+        for k in range(1, longest + 1):
+            sent = _sent_words(chunks, most) if answers is None else _sent_pairs(chunks, answers, k, most)
+            level = scratch.table(_named(sent, least), f"level-{k}")
+            scratch.tidy()
+            own = level.where("chunk is not null").select("chunk", F.lit(k).alias("level"), "bucket", "ids")
+            answers = own if answers is None else answers.union(own)
+            found = level.where("id is not null")
+            if below is None:
+                no = F.array().cast("array<bigint>")
+                below = found.select("id", "lang", "phrase", "a", F.col("phrase").alias("last"), no.alias("pre"), no.alias("suf"))
+                continue
             l = below.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("start"), F.col("a").alias("la"), "pre")
             r = below.select(F.col("id").alias("right"), F.col("a").alias("ra"), "last", "suf")
-            both = counted.join(l, "left").join(r, "right")
-            both = both.select("left", "right", "lang", F.concat_ws(" ", "start", "last").alias("phrase"), "a", "last", F.array_append("pre", F.col("la")).alias("pre"), F.array_append("suf", F.col("ra")).alias("suf"))
-            below = scratch.table(_numbered(both), f"names-{k}")
+            both = found.select("id", "left", "right", "a").join(l, "left").join(r, "right")
+            both = both.select("id", "left", "right", "lang", F.concat_ws(" ", "start", "last").alias("phrase"), "a", "last", F.array_append("pre", F.col("la")).alias("pre"), F.array_append("suf", F.col("ra")).alias("suf"))
+            below = scratch.table(both, f"names-{k}")
             levels.append(below)
-            if k < longest:
-                places = chunks.select("chunk", F.posexplode(F.arrays_zip("lefts", "rights")).alias("place", "x")).select("chunk", "place", "x.lefts", "x.rights")
-                known = below.select(F.col("left").alias("lefts"), F.col("right").alias("rights"), "id")
-                ids = places.join(known, ["lefts", "rights"]).select("chunk", "place", "id")
         out = None
         for k, (own, above) in enumerate(zip(levels, [*levels[1:], None], strict=True), start=2):
             if above is not None:

@@ -119,6 +119,11 @@ class Scratch:
         self.paths += made
         return out
 
+    def tidy(self) -> None:
+        """Shuffle files go when the driver's JVM finds their plans unused."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def __exit__(self, *_) -> None:
         with self._lock:
             n, before = self._open.pop(id(self.spark))
@@ -127,9 +132,7 @@ class Scratch:
             else:
                 self.spark.conf.set(ARROW_ROWS, before)
         remove(self.spark, self.paths)
-        # Shuffle files go when the driver's JVM finds their plans unused.
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        self.tidy()
 
 
 def tidy(rows):

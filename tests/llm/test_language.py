@@ -58,6 +58,7 @@ def test_collocations(spark, docs, monkeypatch):
     rows = [(k, "".join(rnd.choice(["ab", "b", "c", "dd", "é"]) + rnd.choice([" ", " ", "  ", "\t", ", "]) for _ in range(300)), rnd.choice(["x", "y", None]), 0) for k in range(40)]
     monkeypatch.setattr(collocations, "CHUNK_BYTES", 700)  # texts are cut, chunks are many
     monkeypatch.setattr(collocations, "HELD_BYTES", 1500)
+    monkeypatch.setattr(collocations, "BUCKET", 90)
     frame = spark.createDataFrame(rows, SCHEMA)
     assert {tuple(r) for r in collocations.collocations(frame, top=20).collect()} == phrases(rows, top=20)
 
@@ -71,7 +72,7 @@ def test_collocation_scores_beyond_64_bits(spark):
 def test_chunk_numbers():
     own, counts, names = collocations.words([b"a b\n\na", b"b"])
     assert own.tolist() == [1, 2, 0, 1, 0, 2] and counts.tolist() == [2, 2] and names == [b"a", b"b"]
-    for x in (np.zeros(0, np.int64), np.array([5, 0, 2**31])):
+    for x in (np.zeros(0, np.int64), np.array([5, 0, 2**31]), np.array([2**62, 1])):
         assert collocations.unpack(collocations.pack(x)).tolist() == x.tolist()
 
 
