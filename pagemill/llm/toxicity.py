@@ -54,8 +54,9 @@ MAX_TRAIN, MAX_TRAIN_BYTES = 6_000, 32_768
 LANDMARKS = 192  # of each kind: toxic, frequent, hard
 SAMPLE, HARD = 3_000, 1_500
 ROUNDS = 3
-#: Different words before a window that stands for toxic ones from the start.
-SUPPORT = 6
+#: Different words before a window that stands for toxic ones from the start. Fewer will do, one at last, until
+#: ``COVERED`` hundredths of the toxic texts have such a window: small sets of labels show each insult a few times only.
+SUPPORT, COVERED = 6, 50
 CACHE = 1_000_000
 FOLDS, HELD_OUT = 5, 0
 #: The margin of what has no window.
@@ -282,6 +283,18 @@ def _machine(landmarks: list[str], strings: list[str], y: np.ndarray, weight: np
     return Model(alphabet.letters, folded.astype(np.float32), bias)
 
 
+def _pure(names: list[str], seen: dict[str, list[int]], spread: dict[str, int], bags: list[tuple[set[str], int]], n: list[int]) -> set[str]:
+    """Windows that stand for toxic texts from the start; never none where a toxic text has windows."""
+    toxic = [own for own, label in bags if label and own]
+    pure: set[str] = set()
+    for support in range(SUPPORT, 0, -1):
+        pure = {w for w in names if spread[w] >= support and seen[w][1] * n[0] >= 20 * seen[w][0] * n[1]}
+        if 100 * sum(not own.isdisjoint(pure) for own in toxic) >= COVERED * len(toxic):
+            break
+    # Where clean texts have all these windows too, each toxic text gives the one that is rarest in clean ones.
+    return pure or {min(own, key=lambda w: (seen[w][0] / seen[w][1], w)) for own in toxic}
+
+
 def fit(texts: list[tuple[str, int]]) -> Model:
     """Train on labelled texts, in whatever order they come."""
     texts = sorted(set(texts))
@@ -307,7 +320,7 @@ def fit(texts: list[tuple[str, int]]) -> Model:
     names = sorted(seen)
     spread = {w: min(seen[w][1], len(before.get(INNER.sub("", w), ()))) for w in names}
     # Twenty times as likely in a toxic text as in a clean one, whatever share is toxic.
-    pure = {w for w in names if spread[w] >= SUPPORT and seen[w][1] * n[0] >= 20 * seen[w][0] * n[1]}
+    pure = _pure(names, seen, spread, bags, n)
     toxic = sorted(pure, key=lambda w: (-spread[w], w))[:LANDMARKS]
     clean = [w for w in names if seen[w][0]]
     frequent = sorted(clean, key=lambda w: (-seen[w][0], w))[:LANDMARKS]
