@@ -1,7 +1,6 @@
 """Paragraphs joined from lines, and their packing into chunks.
 
-Packing is a fold with resets over one document's pages in order, so a document is one
-group: the longest document bounds a task. Everything after it is native columns.
+Paragraphs come from each page by itself, in one narrow pass; sections and packing are the folds of :mod:`.flow`.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +17,12 @@ from ..functions import lines as ln
 from ..functions.grades import grade, issues
 from .analysis import repeated_lines
 from .exports import contents_pages
+from .flow import flow, packed
+from .markup import equations_of_chunks
 
 SPACE = re.compile(r"\s+")
-LEADER, BLOCK, HEADING, LICENCE = map(re.compile, (ln.LEADER, ln.BLOCK, ln.HEADING, ln.LICENCE))
-CHUNKS = "doc_id bigint, chunk_index int, text string, page_start int, page_end int, section_title string, sections array<string>, context_before string"
+LEADER, BLOCK, HEADING, LICENCE, PAGE_NUMBER = map(re.compile, (ln.LEADER, ln.BLOCK, ln.HEADING, ln.LICENCE, ln.PAGE_NUMBER))
+PARAGRAPHS = "doc_id bigint, page_no int, seq int, text string, units array<string>"
 
 
 @dataclass(frozen=True)
@@ -50,12 +51,15 @@ class ChunkOptions:
         return min(max(1, self.least) * 4, self.limit)
 
 
-def paragraphs(text: str | None, drop: frozenset[str] = frozenset()) -> Iterator[str]:
-    """Paragraphs of a page: lines are joined until one starts a block, ends a sentence or is a heading."""
+def paragraphs(text: str | None, drop: frozenset[str] = frozenset(), margins: list[bool] | None = None) -> Iterator[str]:
+    """Paragraphs of a page: lines are joined until one starts a block, ends a sentence or is a heading.
+
+    A page number goes where ``margins`` says that its line is in one; elsewhere it may be part of a formula.
+    """
     held = ""
-    for raw in (text or "").split("\n"):
+    for k, raw in enumerate((text or "").split("\n")):
         line = SPACE.sub(" ", raw).strip()
-        if not line or line in drop:
+        if not line or line in drop or (margins and k < len(margins) and margins[k] and PAGE_NUMBER.search(line)):
             continue
         line = LICENCE.sub("", line).rstrip(" ,;–-") if LICENCE.search(line) else line
         if not line or LEADER.search(line):
@@ -87,89 +91,57 @@ def units(paragraph: str, budget: int) -> Iterator[str]:
             yield sentence[at : at + budget]
 
 
-class Packer:
-    """One document's chunks, as rows of ``CHUNKS`` without the document's id."""
-
-    def __init__(self, title: str, options: ChunkOptions) -> None:
-        self.title, self.o = title, options
-        self.out: list[tuple] = []
-        self.context = ""
-        self._clear()
-
-    def _clear(self) -> None:
-        self.buffer, self.sections, self.pages = "", [], []
-
-    def add(self, text: str, page: int, section: str, starts: bool) -> None:
-        if self.buffer:
-            if starts and len(self.buffer) >= self.o.floor:
-                self.emit(forced=False, overlap=False)
-            elif len(self.buffer) + len(text) + 1 > self.o.limit:
-                self.emit(forced=True, overlap=True)
-        self.buffer += text + " "
-        self.pages.append(page)
-        if not self.sections or self.sections[-1] != section:
-            self.sections.append(section)
-
-    def emit(self, forced: bool, overlap: bool) -> None:
-        body = SPACE.sub(" ", self.buffer).strip()
-        if not body or (not forced and len(body) < self.o.floor):
-            return
-        section = self.sections[0]
-        text = f"{self.title} — {section}\n\n{body}" if self.o.prefix else body
-        self.out.append((len(self.out), text, self.pages[0], self.pages[-1], section, self.sections, self.context))
-        self.context = ""
-        if overlap and self.o.carried:
-            tail = body[-self.o.carried :]
-            self.context = tail.partition(" ")[2] if len(body) > self.o.carried and " " in tail else tail
-        self._clear()
-
-
-def pack(pages: list[tuple[int, str | None]], title: str, options: ChunkOptions, drop: frozenset[str] = frozenset()) -> list[tuple]:
-    """Chunks of ``(page_no, text)`` in order; heading paragraphs start sections."""
-    packer, section = Packer(title, options), "Front matter"
-    for page, text in pages:
-        for paragraph in paragraphs(text, drop):
-            starts = is_heading(paragraph)
-            if starts:
-                section = paragraph
-            for k, unit in enumerate(units(paragraph, options.limit)):
-                packer.add(unit, page, section, starts and k == 0)
-    packer.emit(forced=True, overlap=False)
-    return packer.out
-
-
-def chunks(pages: DataFrame, options: ChunkOptions | None = None, drop: DataFrame | None = None, skip: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, page_no, text, title)`` -> chunks with token estimate, grade and issues.
-
-    Lines ``(doc_id, line)`` in ``drop`` and pages ``(doc_id, page_no)`` in ``skip`` are left out. Pages are folded in order
-    of page_no (ties by text); null texts and titles are empty.
+def page_paragraphs(pages: DataFrame, limit: int, drop: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, page_no, text[, margins])`` -> ``(doc_id, page_no, seq, text, units)``; units have ``limit`` characters at most.
+
+    Lines ``(doc_id, line)`` in ``drop`` are left out. ``margins`` tells of each line whether it stands in the page's margin.
     """
-    o = options or ChunkOptions()
-    pages = pages.select("doc_id", "page_no", "text", "title")
-    if skip is not None:
-        pages = pages.join(skip.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_anti")
+    margins = F.col("margins") if "margins" in pages.columns else F.lit(None).cast("array<boolean>")
+    own = pages.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("page_no").cast("int").alias("page_no"), "text", margins.alias("margins"))
     if drop is not None:
-        pages = pages.join(drop.groupBy("doc_id").agg(F.collect_set("line").alias("dropped")), "doc_id", "left")
+        own = own.join(drop.groupBy("doc_id").agg(F.collect_set("line").alias("dropped")), "doc_id", "left")
     else:
-        pages = pages.withColumn("dropped", F.array().cast("array<string>"))
+        own = own.withColumn("dropped", F.lit(None).cast("array<string>"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for r in b.to_pylist():
+                for k, p in enumerate(paragraphs(r["text"], frozenset(r["dropped"] or ()), r["margins"])):
+                    out.append((r["doc_id"], r["page_no"], k, p, list(units(p, limit))))
+            columns = zip(*out, strict=True) if out else [()] * 5
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split(" ")[0] for c in PARAGRAPHS.split(", ")])
 
-    def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["page_no", "text"])
-        named = [t for t in group["title"] if isinstance(t, str)]
-        first = group["dropped"].iloc[0]
-        rows = pack([(int(p), t if isinstance(t, str) else "") for p, t in zip(group["page_no"], group["text"], strict=True)], min(named, default="Untitled"), o, frozenset(first if first is not None else ()))
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=[c.split(" ")[0] for c in CHUNKS.split(", ")])
+    return own.mapInArrow(rows, PARAGRAPHS)
 
-    out = pages.groupBy("doc_id").applyInPandas(fold, CHUNKS)
+
+def chunks(pages: DataFrame, options: ChunkOptions | None = None, drop: DataFrame | None = None, skip: DataFrame | None = None, markers: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, page_no, text, title[, margins])`` -> chunks with token estimate, grade and issues.
+
+    Lines ``(doc_id, line)`` in ``drop`` and pages ``(doc_id, page_no)`` in ``skip`` are left out. ``markers`` are headings of an
+    outline or of clauses, as :func:`.flow.section_markers` gives them; without them paragraphs that look like headings start
+    sections. A document has one row for each page_no; null texts and titles are empty.
+    """
+    o = options or ChunkOptions()
+    titles = pages.groupBy("doc_id").agg(F.coalesce(F.min("title"), F.lit("Untitled")).alias("doc_title"))
+    own = pages.drop("title")
+    if skip is not None:
+        own = own.join(skip.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_anti")
+    text = page_paragraphs(own, o.limit, drop)
+    out = packed(text, flow(text, markers, skip, o.limit, o.floor), o.carried).join(titles, "doc_id")
+    section = F.get("sections", F.lit(0))
+    whole = F.concat(F.col("doc_title"), F.lit(" — "), section, F.lit("\n\n"), F.col("body")) if o.prefix else F.col("body")
+    out = out.select("doc_id", "chunk_index", whole.alias("text"), "page_start", "page_end", section.alias("section_title"), "sections", "context_before")
     out = out.withColumns({"id": F.concat(F.col("doc_id").cast("string"), F.lit("#c"), F.lpad(F.col("chunk_index").cast("string"), 4, "0")), "token_estimate": F.floor(F.length("text") / 4), "issues": issues(F.col("text"))})
     return out.withColumn("quality", grade(F.col("issues"), F.col("text")))
 
 
-def document_chunks(pages: DataFrame, options: ChunkOptions | None = None) -> DataFrame:
+def document_chunks(pages: DataFrame, options: ChunkOptions | None = None, markers: DataFrame | None = None) -> DataFrame:
     """:func:`chunks` without contents pages and without lines that stand on half of a document's pages, of four or more."""
     skip = contents_pages(pages.select("doc_id", "page_no", F.explode(F.split("text", "\n", -1)).alias("text")), "doc_id", "page_no")
     drop = repeated_lines(pages, 0.5, group="doc_id")
-    return chunks(pages, options, drop, skip)
+    return chunks(pages, options, drop, skip, markers)
 
 
 def export(chunked: DataFrame, files: DataFrame, labels: DataFrame, equations: DataFrame) -> DataFrame:
@@ -181,11 +153,7 @@ def export(chunked: DataFrame, files: DataFrame, labels: DataFrame, equations: D
     for end in ("start", "end"):
         own = own.join(labels.select("doc_id", F.col("page_no").alias(f"page_{end}"), F.col("label").alias(f"page_label_{end}")), ["doc_id", f"page_{end}"], "left")
         own = own.withColumn(f"pdf_page_{end}", F.col(f"page_{end}") + 1)
-    bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    met = own.select("doc_id", "chunk_index", "page_start", "page_end", bare(F.col("text")).alias("bare")).join(equations.select("doc_id", "page_no", "label"), "doc_id")
-    met = met.where(F.col("page_no").between(F.col("page_start"), F.col("page_end")) & (F.col("label") != "") & F.contains("bare", bare(F.col("label"))))
-    printed = met.groupBy("doc_id", "chunk_index").agg(F.array_sort(F.collect_set(F.struct("page_no", "label"))).alias("equations"))
-    own = own.join(printed, ["doc_id", "chunk_index"], "left")
+    own = own.join(equations_of_chunks(own, equations), ["doc_id", "chunk_index"], "left")
     stem = F.coalesce(F.regexp_replace("source_path", r"\.[^.]*$", ""), F.col("doc_id").cast("string"))
     ident = F.concat(stem, F.lit("#c"), F.lpad(F.col("chunk_index").cast("string"), 4, "0"))
     return own.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import grades as gr
 from ..functions import lines as ln
 from ..functions.text import ellipsize, has_leader, normalise
+from .markup import equations_of_chunks
 
 LONGEST_TITLE = 110
 SUSPECT_PAGES = 12
@@ -57,10 +58,9 @@ def equation_quality(issues: Column) -> Column:
 def chunk_equations(chunks: DataFrame, equations: DataFrame, key: str = "doc_id") -> DataFrame:
     """Chunks ``(key, chunk_index, first_page, last_page, text)`` with the labels of the equations ``(key, page_no, label)``
     on their pages that their text prints, white space apart."""
-    bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    c = chunks.select(key, "chunk_index", "first_page", "last_page", bare(F.col("text")).alias("bare"))
-    met = c.join(equations.select(key, "page_no", "label"), key).where(F.col("page_no").between(F.col("first_page"), F.col("last_page")) & (F.col("label") != "") & F.contains("bare", bare(F.col("label"))))
-    return met.groupBy(key, "chunk_index").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("equations"))
+    found = equations_of_chunks(chunks, equations, key, ("first_page", "last_page"))
+    labels = F.array_distinct(F.transform("equations", lambda x: x["label"]))
+    return found.select(key, "chunk_index", F.array_join(F.array_sort(labels), ",").alias("equations"))
 
 
 def valid_hits(hits: DataFrame, pages: DataFrame, key: str = "doc_id") -> DataFrame:

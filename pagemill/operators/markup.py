@@ -108,12 +108,19 @@ def outline_titles(headings: DataFrame, outline: DataFrame) -> DataFrame:
     return headings.join(first, ["doc_id", "number"], "left").withColumn("title", F.coalesce("_t", "title")).drop("_t")
 
 
-def equations_of_chunks(chunks: DataFrame, equations: DataFrame) -> DataFrame:
-    """Labels of the equations on a chunk's pages that its text, white space apart, holds; in order of page and label."""
-    flat = F.regexp_replace("text", r"\s+", "")
-    found = chunks.join(equations.select(F.col("doc_id").alias("_d"), F.col("page_no").alias("_p"), "label"), (F.col("doc_id") == F.col("_d")) & F.col("_p").between(F.col("page_start"), F.col("page_end")) & F.contains(flat, F.col("label")))
-    labels = F.transform(F.array_sort(F.collect_list(F.struct("_p", "label"))), lambda x: x["label"])
-    return found.groupBy("doc_id", "chunk_index").agg(labels.alias("equations"))
+def equations_of_chunks(chunks: DataFrame, equations: DataFrame, key: str = "doc_id", ends: tuple[str, str] = ("page_start", "page_end")) -> DataFrame:
+    """``(key, chunk_index, equations)``: of chunks with their first and last page and text, the ``equations`` (key, page_no,
+    label) on these pages that the text, white space apart, prints; as (page_no, label) in order.
+
+    A chunk's pages meet the equations on them without its text, which is asked only for labels that lie there.
+    """
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    pages = chunks.select(key, "chunk_index", F.explode(F.sequence(*ends)).alias("page_no"))
+    near = pages.join(equations.where("label <> ''").select(key, "page_no", "label"), [key, "page_no"])
+    labels = near.groupBy(key, "chunk_index").agg(F.array_sort(F.collect_set(F.struct("page_no", "label"))).alias("labels"))
+    met = chunks.select(key, "chunk_index", bare(F.col("text")).alias("bare")).join(labels, [key, "chunk_index"])
+    found = met.select(key, "chunk_index", F.filter("labels", lambda x: F.contains("bare", bare(x["label"]))).alias("equations"))
+    return found.where(F.size("equations") > 0)
 
 
 def source_runs(pages: DataFrame, key: str) -> DataFrame:

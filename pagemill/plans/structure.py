@@ -9,6 +9,7 @@ from ..functions import lines as ln
 from ..functions.text import has_leader, normalise
 from ..operators import analysis as an
 from ..operators import chunks as ch
+from ..operators import flow as fl
 from ..operators import pageops as po
 from ..operators import phrases as ph
 from ..operators import places as pl
@@ -48,6 +49,26 @@ def _chunks(s, d):
     return out.select("id", "doc_id", "chunk_index", "text", "section_title", "context_before", "token_estimate", "quality")
 
 
+def _flow_parts(s, d):
+    """Every line a page with one paragraph, and headings that it prints or not."""
+    line = _line_pages(s, d).select("doc_id", "page_no", F.lit(0).alias("seq"), normalise(F.col("text")).alias("text")).where("text <> ''")
+    kinds = ((0, "page_no % 7 = 3", "concat('zz ', page_no)"), (1, "page_no % 5 = 2", "left(text, 12)"), (2, "page_no % 10 = 2", "left(text, 5)"))
+    titles = [line.where(when).selectExpr("doc_id", "page_no", f"{k} AS ord", f"{title} AS title") for k, when, title in kinds]
+    return line.withColumn("units", F.array("text")), fl.section_markers(titles[0].union(titles[1]).union(titles[2]))
+
+
+def _section_flow(s, d):
+    paragraphs, markers = _flow_parts(s, d)
+    return fl.flow(paragraphs, markers).select("doc_id", "page_no", "section", "heading", "starts")
+
+
+def _packed_units(s, d):
+    """Chunk numbers of the lines' lengths."""
+    paragraphs, markers = _flow_parts(s, d)
+    own = fl.packed(paragraphs, fl.flow(paragraphs, markers, limit=800, floor=200), 0)
+    return own.select("doc_id", "chunk_index", F.col("page_start"), F.col("page_end"), F.length("body").alias("size"))
+
+
 def _chunk_lines(s, d):
     docs = table(s, d, "documents")
     files = docs.selectExpr("doc_id", "concat('/in/', source, '-', doc_id, '.txt') as path", "concat('Book ', doc_id) as title")
@@ -105,6 +126,8 @@ QUERIES = {
     "quality_by_label": _grades_by_label,
     "chunks": _chunks,
     "chunk_lines": _chunk_lines,
+    "section_flow": _section_flow,
+    "packed_units": _packed_units,
     "reference_pages": _reference_pages,
     "clause_as_of": lambda s, d: po.clause_as_of(s.range(0, 26).selectExpr("0 as doc_id", "cast(id as int) as page_no"), an.clauses(clause_lines(s, d))),
     "chapter_ranges": lambda s, d: po.chapter_ranges(an.clauses(clause_lines(s, d)), 30),
@@ -171,3 +194,19 @@ ORACLES = {
 
 ORACLES["grid_csv"] = f"""WITH t AS ({ORACLES['table_grid']}), r AS (SELECT key, row, max(max(col)) OVER (PARTITION BY key) AS w FROM t GROUP BY 1, 2), c AS (SELECT key, row, unnest(range(w + 1)) AS col FROM r),
  l AS (SELECT key, row, string_agg(coalesce(text, ''), ',' ORDER BY col) AS line FROM c LEFT JOIN t USING (key, row, col) GROUP BY 1, 2) SELECT key, string_agg(line, chr(13) || chr(10) ORDER BY row) || chr(13) || chr(10) AS content FROM l GROUP BY 1"""
+
+_BARE = lambda x: f"CASE WHEN regexp_matches({x}, '\\p{{L}}[^0-9]*\\s[0-9]{{1,4}}$') THEN regexp_replace({x}, '\\s+[0-9]{{1,4}}$', '') ELSE {x} END"
+_SECTIONS = f"""l AS (SELECT doc_id, i AS page_no, {NORM.format("t")} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)),
+ h AS (SELECT doc_id, page_no, t, regexp_extract(t, '{ln.BODY_HEADING}', 1) AS n FROM l WHERE t <> ''),
+ q AS (SELECT *, CASE WHEN length(t) <= 120 AND NOT ends_with(t, '.') AND NOT regexp_matches(ltrim(substr(t, CASE WHEN n = '' THEN 1 ELSE length(n) + 2 END), '. '), '[.!?;:]\\s') THEN {_BARE("t")} END AS printed,
+  CASE WHEN page_no % 7 = 3 THEN 'zz ' || page_no END AS a, CASE WHEN page_no % 5 = 2 THEN trim(substr(t, 1, 12)) END AS b, CASE WHEN page_no % 10 = 2 THEN trim(substr(t, 1, 5)) END AS c FROM h),
+ r AS (SELECT *, CASE WHEN b IS NOT NULL THEN coalesce(printed, {_BARE("b")}) WHEN a IS NOT NULL THEN {_BARE("a")} END AS own FROM q),
+ f AS (SELECT doc_id, page_no, t, coalesce(own, last_value(CASE WHEN c IS NOT NULL THEN {_BARE("c")} ELSE own END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'Front matter') AS section,
+  b IS NOT NULL AND printed IS NOT NULL AS heading, own IS NOT NULL AS starts FROM r)"""
+ORACLES["section_flow"] = f"WITH {_SECTIONS} SELECT doc_id, page_no::INT AS page_no, section, heading, starts FROM f"
+ORACLES["packed_units"] = f"""WITH RECURSIVE {_SECTIONS},
+ u AS (SELECT doc_id, page_no, length(t) AS n, starts, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS k FROM f),
+ z AS (SELECT doc_id, k, page_no, n, 0 AS chunk, n + 1 AS raw FROM u WHERE k = 1
+  UNION ALL SELECT u.doc_id, u.k, u.page_no, u.n, z.chunk + x.cut, CASE WHEN x.cut = 1 THEN 0 ELSE z.raw END + u.n + 1
+  FROM z JOIN u ON u.doc_id = z.doc_id AND u.k = z.k + 1, LATERAL (SELECT CASE WHEN u.starts AND z.raw >= 200 THEN (z.raw - 1 >= 200)::INT ELSE (z.raw + u.n + 1 > 800)::INT END AS cut) x)
+ SELECT doc_id, chunk AS chunk_index, min(page_no)::INT AS page_start, max(page_no)::INT AS page_end, (sum(n + 1) - 1)::INT AS size FROM z GROUP BY 1, 2"""

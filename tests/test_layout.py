@@ -120,7 +120,7 @@ def test_sections_and_marks(spark):
 def test_equations_meet_their_chunks(spark):
     c = spark.createDataFrame([(1, 0, "see ( 6.1 )", 1, 3), (1, 1, "nothing", 1, 3), (2, 0, "(6.1)", 1, 3)], "doc_id int, chunk_index int, text string, page_start int, page_end int")
     e = spark.createDataFrame([(1, 2, "(6.1)"), (1, 5, "(6.1)"), (1, 1, "(6.2)")], "doc_id int, page_no int, label string")
-    assert [tuple(r) for r in mu.equations_of_chunks(c, e).collect()] == [(1, 0, ["(6.1)"])]
+    assert [tuple(r) for r in mu.equations_of_chunks(c, e).collect()] == [(1, 0, [(2, "(6.1)")])]
 
 
 def test_cells_join(spark):

@@ -15,10 +15,12 @@ def test_paragraphs_join_lines():
 
 
 @pytest.mark.parametrize("target", [100, 600])
-def test_chunks_hold_everything_within_the_budget(target):
+def test_chunks_hold_everything_within_the_budget(spark, target):
     o = ch.ChunkOptions(target=target)
     pages = [(k, "\n".join(f"{k}.{j} Heading\nWord number {j} stands here, again and again. " * 3 for j in range(1, 9))) for k in range(1, 6)]
-    rows = ch.pack(pages, "Book", o)
+    frame = spark.createDataFrame([(1, k, t, "Book") for k, t in pages], "doc_id bigint, page_no int, text string, title string")
+    found = ch.chunks(frame, o).orderBy("chunk_index").collect()
+    rows = [(r.chunk_index, r.text, r.page_start, r.page_end, r.section_title, r.sections, r.context_before) for r in found]
     assert len(rows) > 1 and [r[0] for r in rows] == list(range(len(rows)))
     bodies = [r[1].split("\n\n", 1)[1] for r in rows]
     assert " ".join(bodies).split() == [w for _, t in pages for p in ch.paragraphs(t) for w in p.split()]
