@@ -5,8 +5,6 @@ Pages run upwards: ``y1`` is a box's top, ``y0`` its bottom. Keys name pages, so
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -210,47 +208,3 @@ def flow_order(lines: DataFrame, regions: DataFrame, key: str = "key") -> DataFr
     items = placed.select(key, at.alias("at"), F.lit(0).alias("k"), F.col("region").alias("id"), F.lit("region").alias("kind"))
     items = items.unionByName(owned.where("region is null").select(key, F.col("line").alias("at"), F.lit(1).alias("k"), F.col("line").alias("id"), F.lit("line").alias("kind")))
     return items.withColumn("seq", F.row_number().over(W.partitionBy(key).orderBy("at", "k", "id")) - 1).select(key, "seq", "kind", "id")
-
-
-#: How far from its caption a table or figure begins; what joins it; the least size of one.
-SEED, TOUCH, LEAST_SIZE = 45.0, 4.0, (20.0, 8.0)
-REGIONS = "caption bigint, side string, x0 double, y0 double, x1 double, y1 double"
-
-
-def cluster(boxes: np.ndarray, seeds: np.ndarray) -> np.ndarray | None:
-    """The box around ``seeds`` (a mask) and all ``boxes`` that touch it, again and again; None if there is none or it is too small."""
-    taken = seeds.copy()
-    while taken.any():
-        own = boxes[taken]
-        around = np.array([own[:, 0].min(), own[:, 1].min(), own[:, 2].max(), own[:, 3].max()])
-        near = (boxes[:, 0] <= around[2] + TOUCH) & (boxes[:, 2] >= around[0] - TOUCH) & (boxes[:, 1] <= around[3] + TOUCH) & (boxes[:, 3] >= around[1] - TOUCH)
-        if not (near & ~taken).any():
-            return around if around[2] - around[0] >= LEAST_SIZE[0] and around[3] - around[1] >= LEAST_SIZE[1] else None
-        taken |= near
-    return None
-
-
-def caption_regions(captions: DataFrame, graphics: DataFrame, height: float, key: str = "key") -> DataFrame:
-    """Of captions ``(key, caption, kind, box)`` the cluster of graphics that each belongs to: a table's is looked for below it
-    first, a figure's above it. It reaches no further than the neighbouring captions. One page is one group."""
-    both = captions.select(key, F.col("caption").cast("bigint").alias("caption"), "kind", "x0", "y0", "x1", "y1").unionByName(graphics.select(key, F.lit(None).cast("bigint").alias("caption"), F.lit(None).cast("string").alias("kind"), "x0", "y0", "x1", "y1"))
-
-    def page(group: pd.DataFrame) -> pd.DataFrame:
-        sides = ["x0", "y0", "x1", "y1"]
-        own = group[group["caption"].notna()].sort_values("caption")
-        boxes = group[group["caption"].isna()][sides].to_numpy(float)
-        tops, bottoms, out = own["y1"].to_numpy(float), own["y0"].to_numpy(float), []
-        for c in own.itertuples():
-            low, high = max(tops[tops < c.y0], default=0.0), min(bottoms[bottoms > c.y1], default=height)
-            under = boxes[(boxes[:, 3] <= c.y0 + 2) & (boxes[:, 1] >= low - 1)]
-            over = boxes[(boxes[:, 1] >= c.y1 - 2) & (boxes[:, 3] <= high + 1)]
-            tries = [("below", under, under[:, 3] >= c.y0 - SEED), ("above", over, over[:, 1] <= c.y1 + SEED)]
-            for side, some, seeds in tries if c.kind == "Table" else tries[::-1]:
-                found = cluster(some, seeds)
-                if found is not None:
-                    out.append((group[key].iloc[0], int(c.caption), side, *found))
-                    break
-        return pd.DataFrame(out, columns=[key, "caption", "side", *sides])
-
-    schema = f"{key} {captions.schema[key].dataType.simpleString()}, {REGIONS}"
-    return both.groupBy(key).applyInPandas(page, schema)

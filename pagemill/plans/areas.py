@@ -9,6 +9,7 @@ from ..functions import lines as ln
 from ..operators import analysis as an
 from ..operators import annotations as no
 from ..operators import exports as ex
+from ..operators import page_regions as pr
 from ..operators import regions as rg
 from ..sources.files import decoded
 from ..sources.tables import lines, table
@@ -25,6 +26,9 @@ SHAPE = """concat('{"Kind":"', CASE f WHEN 'N' THEN 'MeasureArea' WHEN 'R' THEN
 RULES = ("k AS key", "CASE WHEN n % 2 = 0 THEN a ELSE a * 2 END AS x0", "CASE WHEN n % 2 = 0 THEN q ELSE q * 2 END AS y0", "CASE WHEN n % 2 = 0 THEN a + b / 2 ELSE a * 2 + 1 END AS x1", "CASE WHEN n % 2 = 0 THEN q + 1 ELSE q * 2 + b / 2 END AS y1")
 AREA = ("k AS key", "5.0D AS x0", "5.0D AS y0", "60.0D AS x1", "80.0D AS y1")
 LINE = ("k AS key", "n AS line", "a AS x0", "q * 4 AS y0", "a + 30 AS x1", "q * 4 + 6 AS y1", "CASE WHEN f = 'R' THEN 'Table 3.1 Values' WHEN f = 'A' AND n % 5 = 0 THEN 'some words that make this line read like prose here' ELSE concat('v ', n) END AS text")
+#: Equations with the boxes of their labels, and lines of which one is in a margin.
+EQUATION = ("k AS key", "n AS eq", "a AS x0", "q * 4 AS y0", "a + 20 AS x1", "q * 4 + 9 AS y1", "a + 60 AS lx0", "q * 4 + 1 AS ly0", "a + 70 AS lx1", "q * 4 + 8 AS ly1")
+MARGINED = (*LINE, "n = 7 AS margin")
 REGION = ("k AS key", "n AS region", "n + 1 AS caption_line", "a - 5 AS x0", "q * 4 - 6 AS y0", "a + 25 AS x1", "q * 4 + 10 AS y1")
 CHARS = ("k AS key", "n AS seq", "f AS ch", "a AS x0", "n DIV 3 * 20.0D AS y0", "a + 6 AS x1", "n DIV 3 * 20.0D + 8 AS y1")
 WORDS = ("k AS key", "CASE WHEN f = 'A' THEN ' ' ELSE concat(f, n) END AS word", "b AS confidence", "a * 10 AS x", "q * 20 AS y", "b AS w", "a AS h", "612.0D AS page_width", "792.0D AS page_height", "2550.0D AS px_width", "3300.0D AS px_height", "10.0D AS ox", "20.0D AS oy")
@@ -125,7 +129,9 @@ QUERIES = {
     "selected_text": lambda s, d: rg.selection(marks(s, d, *CHARS), marks(s, d, "k AS key", "n", "CAST(b AS INT) % 5 AS first", "CAST(q AS INT) % 7 AS last").where("n = 1"))[0],
     "selected_rects": lambda s, d: rg.selection(marks(s, d, *CHARS), marks(s, d, "k AS key", "n", "CAST(b AS INT) % 5 AS first", "CAST(q AS INT) % 7 AS last").where("n = 1"))[1],
     "flow_order": lambda s, d: rg.flow_order(marks(s, d, *LINE), marks(s, d, *REGION).where("region <= 3")),
-    "caption_regions": lambda s, d: rg.caption_regions(marks(s, d, *LINE).where("text like 'Table%'").selectExpr("key", "line as caption", "if(line % 2 = 0, 'Table', 'Figure') as kind", "x0", "y0", "x1", "y1"), marks(s, d, *BOX), 220.0),
+    "caption_regions": lambda s, d: pr.caption_regions(marks(s, d, *LINE).where("text like 'Table%'").selectExpr("key", "line as caption", "if(line % 2 = 0, 'Table', 'Figure') as kind", "x0", "y0", "x1", "y1"), marks(s, d, *BOX), 220.0),
+    "page_regions": lambda s, d: pr.page_regions(marks(s, d, *MARGINED), marks(s, d, *BOX).where("id % 2 = 1"), 220.0).drop("title", "lines"),
+    "display_blocks": lambda s, d: pr.display_blocks(marks(s, d, *EQUATION).where("eq % 3 = 0"), marks(s, d, *MARGINED).drop("line"), marks(s, d, *BOX).where("id % 4 = 1"), 120.0, 230.0),
     "column_gaps": lambda s, d: rg.column_gaps(marks(s, d, "k AS key", "CAST(q AS INT) % 3 AS row", "a * 2 AS x0", "a * 2 + 10 AS x1"), 0.0, 100.0, 1.0),
     "union_boxes": lambda s, d: rg.union_box(marks(s, d, *BOX), "key"),
     "upright_glyphs": lambda s, d: marks(s, d, "k", "n", "a / 10 - 0.2 AS angle").where(rg.is_upright(F.col("angle"))).select("k", "n"),
@@ -226,3 +232,26 @@ ORACLES = {
 _M = f"WITH p AS (SELECT doc_id, page_no, line_no AS seq, lower({NORM.format('text')}) AS t FROM {DOC_LINES}), m AS (SELECT doc_id, page_no, line_no AS ord, CASE WHEN line_no % 4 = 0 THEN lower(substr({NORM.format('substr(text, 1, 60)')}, 1, 40)) ELSE concat('none ', line_no) END AS h FROM {DOC_LINES} WHERE line_no % 2 = 0), x AS (SELECT m.doc_id, m.page_no, m.ord, min(p.seq) AS seq FROM m LEFT JOIN p ON p.doc_id = m.doc_id AND p.page_no = m.page_no AND h <> '' AND starts_with(t, h) GROUP BY 1, 2, 3)"
 ORACLES["marker_paragraphs"] = f"{_M} SELECT * FROM x"
 ORACLES["live_markers"] = f"{_M} SELECT doc_id, page_no, ord FROM (SELECT *, coalesce(max(CASE WHEN seq IS NOT NULL THEN ord END) OVER (PARTITION BY doc_id, page_no), -1) AS last FROM x) WHERE seq IS NULL AND ord > last"
+
+# Boxes grow step by step; the last step of a caption and side has them all.
+ORACLES["caption_regions"] = f"""WITH RECURSIVE c AS (SELECT key, line AS caption, CASE WHEN line % 2 = 0 THEN 'Table' ELSE 'Figure' END AS kind, y0, y1 FROM {_plain(*LINE)} WHERE text LIKE 'Table%'),
+ m AS (SELECT c.key, c.caption, c.kind, c.y0, c.y1, coalesce(max(o.y1) FILTER (o.y1 < c.y0), 0) AS low, coalesce(min(o.y0) FILTER (o.y0 > c.y1), 220) AS high FROM c JOIN c o ON o.key = c.key GROUP BY ALL),
+ g AS (SELECT m.key, caption, kind, 'below' AS side, x0, b.y0, x1, b.y1, b.y1 >= m.y0 - 45 AS seed FROM m JOIN {_plain(*BOX)} b ON b.key = m.key WHERE b.y1 <= m.y0 + 2 AND b.y0 >= low - 1
+  UNION ALL SELECT m.key, caption, kind, 'above', x0, b.y0, x1, b.y1, b.y0 <= m.y1 + 45 FROM m JOIN {_plain(*BOX)} b ON b.key = m.key WHERE b.y0 >= m.y1 - 2 AND b.y1 <= high + 1),
+ t AS (SELECT key, caption, kind, side, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM g WHERE seed GROUP BY 1, 2, 3, 4
+  UNION SELECT t.key, t.caption, t.kind, t.side, least(t.x0, min(g.x0)), least(t.y0, min(g.y0)), greatest(t.x1, max(g.x1)), greatest(t.y1, max(g.y1)) FROM t JOIN g ON g.key = t.key AND g.caption = t.caption AND g.side = t.side
+   AND g.x0 <= t.x1 + 4 AND g.x1 >= t.x0 - 4 AND g.y0 <= t.y1 + 4 AND g.y1 >= t.y0 - 4 GROUP BY t.key, t.caption, t.kind, t.side, t.x0, t.y0, t.x1, t.y1),
+ f AS (SELECT key, caption, kind, side, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM t GROUP BY 1, 2, 3, 4)
+ SELECT key, caption, side, x0, y0, x1, y1 FROM f WHERE x1 - x0 >= 20 AND y1 - y0 >= 8 QUALIFY row_number() OVER (PARTITION BY key, caption ORDER BY (kind = 'Table') = (side = 'below') DESC) = 1"""
+ORACLES["display_blocks"] = f"""WITH l AS (SELECT * FROM {_plain(*MARGINED)}), b AS (SELECT * FROM {_plain(*BOX)} WHERE id % 4 = 1),
+ e AS (SELECT *, lag(cy) OVER w AS before, lead(cy) OVER w AS after FROM (SELECT *, (ly0 + ly1) / 2 AS cy, greatest(4, ly1 - ly0) AS h FROM {_plain(*EQUATION)} WHERE eq % 3 = 0) WINDOW w AS (PARTITION BY key ORDER BY cy DESC, eq)),
+ t AS (SELECT * FROM l WHERE x1 > x0 AND text <> '' AND (margin OR regexp_matches(text, '{ln.FORMULA_NEIGHBOUR}') OR regexp_matches(text, '{ln.REGION_CAPTION}') OR len(regexp_extract_all(text, '{ln.PROSE_WORD}')) >= 2)),
+ i AS (SELECT key, y0, y1 FROM l WHERE x1 > x0 AND NOT margin UNION ALL SELECT key, y0, y1 FROM b), p AS (SELECT DISTINCT key, cy AS hi, after AS lo FROM e WHERE after IS NOT NULL),
+ x AS (SELECT p.*, greatest(lo, y0) AS a, least(hi, y1) AS z FROM p JOIN i ON i.key = p.key AND y1 > lo AND y0 < hi UNION ALL SELECT *, lo, lo FROM p),
+ g AS (SELECT *, coalesce(min(a) OVER (PARTITION BY key, hi, lo ORDER BY z DESC, a DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), hi) AS cursor FROM x),
+ s AS (SELECT key, hi, lo, CASE WHEN cursor > z THEN (cursor + z) / 2 ELSE (hi + lo) / 2 END AS at FROM g QUALIFY row_number() OVER (PARTITION BY key, hi, lo ORDER BY cursor - z DESC, cursor DESC, z DESC) = 1),
+ c AS (SELECT key, list_sort(list(x0))[floor(count(*) * 0.1)::INT + 1] AS lft, list_sort(list(x1))[least(count(*) - 1, floor(count(*) * 0.9))::INT + 1] AS rgt FROM l WHERE NOT margin AND x1 - x0 > y1 - y0 AND length(text) >= 15 GROUP BY 1),
+ r AS (SELECT e.*, coalesce(lft, 50) AS lft, coalesce(rgt, 70) AS rgt, u.at AS cut_up, d.at AS cut_down, (SELECT min(y0) FROM t WHERE t.key = e.key AND t.y0 >= ly1 + h / 4) AS over, (SELECT max(y1) FROM t WHERE t.key = e.key AND t.y1 <= ly0 - h / 4) AS under
+  FROM e LEFT JOIN c ON c.key = e.key LEFT JOIN s u ON u.key = e.key AND u.hi = before AND u.lo = cy LEFT JOIN s d ON d.key = e.key AND d.hi = cy AND d.lo = after)
+ SELECT key, eq, least(lft, x0)::DOUBLE AS x0, least(y0, greatest(cy - 100, 230 * 0.08, coalesce(under + 1.5, -1e9), coalesce(cut_down, -1e9)))::DOUBLE AS y0, greatest(rgt, x1)::DOUBLE AS x1,
+  greatest(y1, least(cy + 100, 230 * 0.92, coalesce(over - 1.5, 1e9), coalesce(cut_up, 1e9)))::DOUBLE AS y1 FROM r"""

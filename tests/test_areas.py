@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagemill.operators import annotations as no
 from pagemill.operators import chunks as ch
 from pagemill.operators import exports as ex
+from pagemill.operators import page_regions as pr
 from pagemill.operators import regions as rg
 from pagemill.sources.files import decoded, file_pages, text_files
 from pagemill.sources.tables import book_pages, to_jsonl
@@ -92,5 +93,34 @@ def test_captions_find_their_graphics(spark):
     boxes = "x0 double, y0 double, x1 double, y1 double"
     captions = spark.createDataFrame([(1, 1, "Table", 0.0, 100.0, 50.0, 110.0), (1, 2, "Figure", 0.0, 300.0, 50.0, 310.0), (2, 1, "Figure", 0.0, 100.0, 50.0, 110.0)], f"key int, caption int, kind string, {boxes}")
     graphics = [(1, 0.0, 60.0, 40.0, 90.0), (1, 41.0, 20.0, 60.0, 58.0), (1, 0.0, 120.0, 40.0, 140.0), (1, 0.0, 320.0, 9.0, 325.0), (1, 12.0, 320.0, 60.0, 360.0), (2, 0.0, 10.0, 50.0, 20.0)]
-    got = rg.caption_regions(captions, spark.createDataFrame(graphics, f"key int, {boxes}"), 800.0).collect()
+    got = pr.caption_regions(captions, spark.createDataFrame(graphics, f"key int, {boxes}"), 800.0).collect()
     assert {(r.key, r.caption): (r.side, r.x0, r.y0, r.x1, r.y1) for r in got} == {(1, 1): ("below", 0.0, 20.0, 60.0, 90.0), (1, 2): ("above", 0.0, 320.0, 60.0, 360.0)}
+
+
+def test_page_regions(spark):
+    """Wrapped captions, legends, unruled tables, header rows, and what stands between."""
+    text = [
+        (1, 0, "Table 1 Loads on", 0.0, 700.0, 90.0, 710.0), (1, 1, "floors and roofs", 0.0, 688.0, 90.0, 698.0), (1, 2, "Head", 5.0, 672.0, 60.0, 680.0), (1, 3, "12", 10.0, 640.0, 20.0, 650.0),
+        (2, 0, "key: a beam", 10.0, 340.0, 90.0, 350.0), (2, 1, "Figure 2 - A frame", 0.0, 300.0, 90.0, 310.0),
+        (3, 0, "These words are not a key but a sentence here.", 10.0, 340.0, 90.0, 350.0), (3, 1, "Figure 3: No frame", 0.0, 300.0, 90.0, 310.0),
+        (4, 0, "Table A.1 Values", 0.0, 700.0, 90.0, 710.0), (4, 1, "A 1", 0.0, 685.0, 90.0, 695.0), (4, 2, "B 2", 0.0, 670.0, 80.0, 680.0), (4, 3, "far 3", 0.0, 600.0, 90.0, 610.0),
+        (5, 0, "Table 9 On top", 0.0, 790.0, 90.0, 799.0),
+    ]
+    lines = spark.createDataFrame([(*r, r[0] == 5) for r in text], "key int, line int, text string, x0 double, y0 double, x1 double, y1 double, margin boolean")
+    boxes = [(1, 0.0, 630.0, 80.0, 671.0), (2, 0.0, 380.0, 90.0, 420.0), (3, 0.0, 380.0, 90.0, 420.0), (5, 0.0, 700.0, 80.0, 780.0), (6, 0.0, 0.0, 80.0, 80.0)]
+    got = pr.page_regions(lines, spark.createDataFrame(boxes, "key int, x0 double, y0 double, x1 double, y1 double"), 800.0)
+    assert {(r.key, r.kind, r.label, r.title, r.how, r.x0, r.y0, r.x1, r.y1, tuple(r.lines)) for r in got.collect()} == {
+        (1, "Table", "Table 1", "Table 1 Loads on floors and roofs", "below", 0.0, 630.0, 80.0, 680.0, (0, 1)), (2, "Figure", "Figure 2", "Figure 2 - A frame", "legend", 0.0, 340.0, 90.0, 420.0, (1,)),
+        (4, "Table", "Table A.1", "Table A.1 Values", "text", 0.0, 670.0, 90.0, 695.0, (0,)),
+    }
+    assert pr.page_regions(lines.limit(0), spark.createDataFrame(boxes, "key int, x0 double, y0 double, x1 double, y1 double"), 800.0).count() == 0
+
+
+def test_display_blocks_end_at_text(spark):
+    lines = spark.createDataFrame([(1, "These are many words of prose", 40.0, 600.0, 400.0, 610.0, False), (1, "x = 1", 90.0, 560.0, 200.0, 570.0, False), (1, "where it is so", 40.0, 500.0, 300.0, 510.0, False), (1, "7", 300.0, 20.0, 310.0, 30.0, True)], "key int, text string, x0 double, y0 double, x1 double, y1 double, margin boolean")
+    e = [(1, 1, 90.0, 560.0, 200.0, 570.0, 380.0, 560.0, 400.0, 570.0), (1, 2, 90.0, 530.0, 200.0, 540.0, 380.0, 530.0, 400.0, 540.0), (2, 1, 90.0, 30.0, 600.0, 40.0, 380.0, 30.0, 400.0, 40.0)]
+    equations = spark.createDataFrame(e, "key int, eq int, x0 double, y0 double, x1 double, y1 double, lx0 double, ly0 double, lx1 double, ly1 double")
+    none = spark.createDataFrame([], "key int, x0 double, y0 double, x1 double, y1 double")
+    got = {(r.key, r.eq): (r.x0, r.y0, r.x1, r.y1) for r in pr.display_blocks(equations, lines, none, 600.0, 800.0).collect()}
+    # The first part ends between its own ink and the second label's centre; the page without text has a column of its own.
+    assert got == {(1, 1): (40.0, 547.5, 400.0, 598.5), (1, 2): (40.0, 511.5, 400.0, 547.5), (2, 1): (50.0, 30.0, 600.0, 135.0)}
