@@ -112,14 +112,23 @@ def column_gaps(runs: DataFrame, left: float, right: float, step: float, key: st
 
     Data rows have two runs ``(key, row, x0, x1)`` or more, the widest under 55 % of the width.
     """
-    rows = runs.groupBy(key, row).agg(F.collect_list(F.struct("x0", "x1")).alias("runs"), F.count(F.lit(1)).alias("n"), F.max(F.col("x1") - F.col("x0")).alias("widest"))
-    data = rows.where((F.col("n") >= 2) & (F.col("widest") < 0.55 * (right - left)))
-    need = data.groupBy(key).agg(F.ceil(F.count(F.lit(1)) * 0.6).alias("need"))
-    sampled = data.select(key, "runs", F.explode(F.sequence(F.lit(0), F.lit(int((right - left) / step)))).alias("k")).withColumn("x", left + F.col("k") * step)
-    clear = ~F.exists("runs", lambda r: (r["x0"] <= F.col("x")) & (F.col("x") <= r["x1"])) & F.exists("runs", lambda r: r["x0"] > F.col("x"))
-    votes = sampled.groupBy(key, "k").agg(F.count_if(clear).alias("votes")).join(need, key).where("votes >= need")
-    island = votes.withColumn("g", F.col("k") - F.row_number().over(W.partitionBy(key).orderBy("k")))
-    return island.groupBy(key, "g").agg((left + F.min("k") * step).alias("start"), (left + F.max("k") * step).alias("end")).drop("g")
+    own = W.partitionBy(key, row)
+    reach = F.max("x1").over(own.orderBy("x0", "x1").rowsBetween(W.unboundedPreceding, -1))
+    each = runs.select(key, row, "x0", "x1", reach.alias("reach"), F.count(F.lit(1)).over(own).alias("n"), F.max(F.col("x1") - F.col("x0")).over(own).alias("widest"))
+    data = each.where((F.col("n") >= 2) & (F.col("widest") < 0.55 * (right - left)))
+    need = data.groupBy(key).agg(F.ceil(F.count_distinct(row) * 0.6).alias("need"))
+    # A row votes for the steps between what its runs have reached and the next run: one more where they begin, one less behind.
+    begin = F.greatest(F.lit(0), F.coalesce(F.floor((F.col("reach") - left) / step) + 1, F.lit(0)))
+    end = F.least(F.lit(int((right - left) / step)), F.ceil((F.col("x0") - left) / step) - 1)
+    voted = data.select(key, begin.alias("a"), end.alias("b")).where("a <= b")
+    turns = voted.select(key, F.explode(F.array(F.struct(F.col("a").alias("k"), F.lit(1).alias("by")), F.struct((F.col("b") + 1).alias("k"), F.lit(-1).alias("by")))).alias("t"))
+    turns = turns.groupBy(key, F.col("t.k").alias("k")).agg(F.sum("t.by").alias("by"))
+    along = W.partitionBy(key).orderBy("k")
+    votes = turns.withColumns({"votes": F.sum("by").over(along), "next": F.lead("k").over(along)}).join(need, key)
+    clear = votes.withColumn("clear", F.col("votes") >= F.col("need"))
+    opens = F.col("clear") & ~F.coalesce(F.lag("clear").over(along), F.lit(False))
+    island = clear.withColumn("g", F.sum(opens.cast("int")).over(along)).where("clear")
+    return island.groupBy(key, "g").agg((left + F.min("k") * step).alias("start"), (left + (F.max("next") - 1) * step).alias("end")).drop("g")
 
 
 def pixel_size(width: Column, height: Column) -> Column:

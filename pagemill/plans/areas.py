@@ -11,6 +11,7 @@ from ..operators import annotations as no
 from ..operators import exports as ex
 from ..operators import page_regions as pr
 from ..operators import regions as rg
+from ..operators import revisions as rv
 from ..sources.files import decoded
 from ..sources.tables import lines, table
 from .fixtures import MARKS, NORM, case_lines, marks, marks_sql
@@ -78,6 +79,14 @@ def _watermarks(s, d):
     return no.image_watermarks(rows.withColumn("bytes", F.col("bytes").cast("binary")))
 
 
+def _changes(s, d):
+    """Documents against a revision: every eleventh is gone, others have lines dropped, changed and added."""
+    old = table(s, d, "documents").selectExpr("doc_id", "0 AS page_no", "text")
+    kept = F.expr("transform(filter(split(text, '\n'), (x, i) -> (i + doc_id) % 9 <> 4), (x, i) -> CASE WHEN (i + doc_id) % 13 = 5 THEN concat(x, ' new') ELSE x END)")
+    new = old.where("doc_id % 11 <> 3").withColumn("text", F.array_join(F.when(F.col("doc_id") % 3 == 0, F.concat(kept, F.array(F.lit("one more")))).otherwise(F.split("text", "\n")), "\n"))
+    return rv.page_changes(old, new)
+
+
 def _separators(s, d):
     labels = marks(s, d, "k AS key", "n", "q").groupBy("key").agg(F.max("q").alias("m")).selectExpr("key", "m * 4 + 20 as hi", "m * 2 - 10 as lo")
     return rg.separators(labels, marks(s, d, "k AS key", "q * 4 AS y0", "q * 4 + a / 4 AS y1"))
@@ -132,6 +141,7 @@ QUERIES = {
     "caption_regions": lambda s, d: pr.caption_regions(marks(s, d, *LINE).where("text like 'Table%'").selectExpr("key", "line as caption", "if(line % 2 = 0, 'Table', 'Figure') as kind", "x0", "y0", "x1", "y1"), marks(s, d, *BOX), 220.0),
     "page_regions": lambda s, d: pr.page_regions(marks(s, d, *MARGINED), marks(s, d, *BOX).where("id % 2 = 1"), 220.0).drop("title", "lines"),
     "display_blocks": lambda s, d: pr.display_blocks(marks(s, d, *EQUATION).where("eq % 3 = 0"), marks(s, d, *MARGINED).drop("line"), marks(s, d, *BOX).where("id % 4 = 1"), 120.0, 230.0),
+    "page_changes": _changes,
     "column_gaps": lambda s, d: rg.column_gaps(marks(s, d, "k AS key", "CAST(q AS INT) % 3 AS row", "a * 2 AS x0", "a * 2 + 10 AS x1"), 0.0, 100.0, 1.0),
     "union_boxes": lambda s, d: rg.union_box(marks(s, d, *BOX), "key"),
     "upright_glyphs": lambda s, d: marks(s, d, "k", "n", "a / 10 - 0.2 AS angle").where(rg.is_upright(F.col("angle"))).select("k", "n"),
