@@ -75,3 +75,13 @@ def measured(value: Column, unit: Column, decimals: int, square: bool = False) -
     """"1,234.50 m", with a raised 2 for areas; zero to six decimals."""
     n = min(max(decimals, 0), 6)
     return F.concat(F.format_number(value, n), F.lit(" "), unit, F.lit("²" if square else ""))
+
+
+# The corners of a tick, as shares of its box.
+TICK = ((0.12, 0.52), (0.40, 0.16), (0.90, 0.88))
+
+
+def tick_points(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The three corners of a tick drawn in a box, whichever way the box's sides come."""
+    left, low, w, h = F.least(x0, x1), F.least(y0, y1), F.abs(x1 - x0), F.abs(y1 - y0)
+    return F.array(*(F.struct((left + a * w).alias("x"), (low + b * h).alias("y")) for a, b in TICK))

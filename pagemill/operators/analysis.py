@@ -92,6 +92,23 @@ def polyline_measures(points: DataFrame) -> DataFrame:
     return out.where("n >= 2").select("key", "n", *[F.round(c, 4).alias(c) for c in ("length", "perimeter", "area")])
 
 
+def caption_anchors(points: DataFrame) -> DataFrame:
+    """``(key, kind, ord, x, y)`` -> where each measurement's caption stands: a Distance's middle, a Perimeter's last point, an
+    Area's centroid (the mean of its points if it has no area or fewer than three), the mean of all others' points."""
+    w = W.partitionBy("key").orderBy("ord")
+    p = points.withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w), "i": F.row_number().over(w)})
+    ends = p.groupBy("key").agg(F.min_by("x", "i").alias("fx"), F.min_by("y", "i").alias("fy"))
+    p = p.join(ends, "key").withColumns({"nx": F.coalesce("nx", "fx"), "ny": F.coalesce("ny", "fy")})
+    cross = F.col("x") * F.col("ny") - F.col("nx") * F.col("y")
+    early = F.col("i") <= 2
+    middle = [F.avg(F.when(early, F.col(c))).alias(f"m{c}") for c in "xy"]
+    moments = [F.sum((F.col(c) + F.col(f"n{c}")) * cross).alias(f"s{c}") for c in "xy"]
+    out = p.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(cross).alias("a"), *moments, *middle, *(F.avg(c).alias(f"v{c}") for c in "xy"), *(F.max_by(c, "i").alias(f"l{c}") for c in "xy"))
+    n, solid = F.col("n"), (F.col("kind") == "Area") & (F.col("n") >= 3) & (F.abs("a") > 1e-9)
+    at = lambda c: F.when((F.col("kind") == "Distance") & (n >= 2), F.col(f"m{c}")).when(F.col("kind") == "Perimeter", F.col(f"l{c}")).when(solid, F.col(f"s{c}") / (3 * F.col("a"))).otherwise(F.col(f"v{c}"))
+    return out.select("key", at("x").alias("x"), at("y").alias("y"))
+
+
 def latest(rows: DataFrame, key: str, order: str, tie: str) -> DataFrame:
     """The newest row of each key; of equal ones the first."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc_nulls_last(order), tie))).where("_n = 1").drop("_n")

@@ -35,6 +35,8 @@ def _points(spark, d):
     return one.selectExpr("l_orderkey as key", "l_linenumber as ord", "q as x", "cast(floor(e / 1000) as double) as y")
 
 
+KIND = "CASE key % 4 WHEN 0 THEN 'Distance' WHEN 1 THEN 'Perimeter' WHEN 2 THEN 'Note' ELSE 'Area' END"
+
 QUERIES = structure.QUERIES | layout.QUERIES | markup.QUERIES | areas.QUERIES | {
     "phrase_hits": _hits,
     "repeated_lines": lambda s, d: an.repeated_lines(book_pages(table(s, d, "documents")), 0.1),
@@ -43,6 +45,7 @@ QUERIES = structure.QUERIES | layout.QUERIES | markup.QUERIES | areas.QUERIES |
     "reference_targets": lambda s, d: an.resolve_references(_refs(s, d), _two_books(an.clauses(clause_lines(s, d)))),
     "page_ranges": lambda s, d: an.page_ranges(table(s, d, "events").selectExpr("user_id", "day(ts) as page"), "user_id", "page"),
     "polyline_measures": lambda s, d: an.polyline_measures(_points(s, d)),
+    "caption_anchors": lambda s, d: an.caption_anchors(_points(s, d).withColumn("kind", F.expr(KIND))).select("key", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")),
     "latest_version": lambda s, d: an.latest(table(s, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "value"),
     "thread_counts": lambda s, d: an.thread_counts(table(s, d, "conversations")),
     "exact_duplicates": lambda s, d: an.exact_duplicates(table(s, d, "documents")),
@@ -80,6 +83,12 @@ ORACLES = structure.ORACLES | layout.ORACLES | markup.ORACLES | areas.ORACLES |
  n AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM p WINDOW w AS (PARTITION BY key ORDER BY ord)),
  c AS (SELECT *, coalesce(nx, fx) AS cx, coalesce(ny, fy) AS cy FROM n), s AS (SELECT *, sqrt((cx - x) ** 2 + (cy - y) ** 2) AS step FROM c)
  SELECT key, count(*) AS n, round(sum(CASE WHEN nx IS NULL THEN 0 ELSE step END), 4) AS length, round(sum(step), 4) AS perimeter, round(abs(sum(x * cy - cx * y) / 2), 4) AS area FROM s GROUP BY 1 HAVING count(*) >= 2""",
+    "caption_anchors": f"""WITH p AS (SELECT l_orderkey AS key, l_linenumber AS ord, min(l_quantity)::DOUBLE AS x, floor(min(l_extendedprice) / 1000) AS y FROM lineitem GROUP BY 1, 2),
+ n AS (SELECT *, {KIND} AS kind, row_number() OVER w AS i, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM p WINDOW w AS (PARTITION BY key ORDER BY ord)),
+ c AS (SELECT key, kind, count(*) AS n, sum(x * ny - nx * y) AS a, sum((x + nx) * (x * ny - nx * y)) AS sx, sum((y + ny) * (x * ny - nx * y)) AS sy, avg(x) AS vx, avg(y) AS vy, avg(x) FILTER (i <= 2) AS mx, avg(y) FILTER (i <= 2) AS my,
+  arg_max(x, i) AS lx, arg_max(y, i) AS ly FROM n GROUP BY 1, 2)
+ SELECT key, round(CASE WHEN kind = 'Distance' AND n >= 2 THEN mx WHEN kind = 'Perimeter' THEN lx WHEN kind = 'Area' AND n >= 3 AND abs(a) > 1e-9 THEN sx / (3 * a) ELSE vx END, 4) AS x,
+  round(CASE WHEN kind = 'Distance' AND n >= 2 THEN my WHEN kind = 'Perimeter' THEN ly WHEN kind = 'Area' AND n >= 3 AND abs(a) > 1e-9 THEN sy / (3 * a) ELSE vy END, 4) AS y FROM c""",
     "page_ranges": """WITH d AS (SELECT DISTINCT user_id, day(ts) AS p FROM events), i AS (SELECT user_id, p, p - row_number() OVER (PARTITION BY user_id ORDER BY p) AS g FROM d),
  r AS (SELECT user_id, min(p) AS a, max(p) AS b FROM i GROUP BY user_id, g) SELECT user_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM r GROUP BY user_id""",
     "latest_version": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id) AS k FROM events) WHERE k = 1",

@@ -2,6 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from pagemill.functions.geometry import tick_points
+from pagemill.operators import analysis as an
 from pagemill.operators import regions as rg
 from pagemill.operators import revisions as rv
 
@@ -49,3 +53,13 @@ def test_column_gaps_against_samples(spark):
         for s in clear:
             want = [*want[:-1], (want[-1][0], s / 2)] if want and want[-1][1] == s / 2 - 0.5 else [*want, (s / 2, s / 2)]
         assert sorted(got.get(k, [])) == want
+
+
+def test_captions_of_measurements(spark):
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0)]
+    shapes = {"Area": square, "Distance": square, "Perimeter": square, "Flat": [(0.0, 0.0), (1.0, 0.0), (5.0, 0.0)]}
+    rows = [(k, "Area" if k == "Flat" else k, i, x, y) for k, points in shapes.items() for i, (x, y) in enumerate(points)]
+    got = {r.key: (r.x, r.y) for r in an.caption_anchors(spark.createDataFrame(rows, "key string, kind string, ord int, x double, y double")).collect()}
+    assert got == {"Area": (2.0, 1.0), "Distance": (2.0, 0.0), "Perimeter": (0.0, 2.0), "Flat": (2.0, 0.0)}
+    t = spark.range(1).select(tick_points(F.lit(10.0), F.lit(5.0), F.lit(0.0), F.lit(15.0)).alias("t")).first().t
+    assert [(round(p.x, 9), round(p.y, 9)) for p in t] == [(1.2, 10.2), (4.0, 6.6), (9.0, 13.8)]
