@@ -75,6 +75,18 @@ def recorded(into: list[str]) -> Iterator[None]:
         _RECORDS.set(before)
 
 
+def tables_of(df: DataFrame) -> set[str]:
+    """Names of the operators' tables that a plan reads, from its relations' folders; no file is listed."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = set()
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            found |= {roots.apply(j).getName() for j in range(roots.size())}
+    return found
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Removes tables that nothing needs any more; those of other runs and operators stay."""
     sc = spark.sparkContext
