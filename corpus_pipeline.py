@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, near-duplicate join, repeated passages, decontamination, tokens.
 
 Every stage is written as Parquet and read again as the next one's documents; a stage after the first therefore begins by
-removing the tables that the stages before it, of the same run, needed for their results. A run is known by its thread and
+removing the tables that the stages before it, of the same run, needed for their results and its documents do not read. A run is known by its thread and
 its inputs' folder; tables of other runs and of operators called elsewhere stay. Extra columns, whatever their names, go
 through all stages but the last.
 """
@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm import bpe, decontam, jaccard, quality, repeats
-from pagemill.llm.runtime import materialize, read_table, recorded, remove
+from pagemill.llm.runtime import materialize, read_table, recorded, remove, tables_of
 
 _LEFT: dict[tuple[int, str], list[str]] = {}
 
@@ -31,7 +31,10 @@ def stage(first: bool) -> Callable:
             if first:
                 _LEFT[key] = []
             left = _LEFT.setdefault(key, [])
-            remove(spark, left)
+            read = tables_of(docs)
+            kept = [p for p in left if p.rsplit("/", 1)[1] in read]
+            remove(spark, [p for p in left if p not in kept])
+            left[:] = kept
             with recorded(left):
                 return f(spark, docs, sf_dir)
 
