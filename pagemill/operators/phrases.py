@@ -2,44 +2,61 @@
 
 from __future__ import annotations
 
+import re
+import sys
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HITS = "{key} bigint, ord int, char_start int, length int, snippet string"
+#: What counts as white space: all of Unicode's, and null characters.
+BLANK = r"[\x00\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
-def collapse(text: str) -> tuple[str, list[int]]:
-    """White space runs (null characters count) as one space, with each character's place in ``text``."""
-    out: list[str] = []
-    at: list[int] = []
-    for k, c in enumerate(text):
-        blank = c.isspace() or c == "\0"
-        if blank and (not out or out[-1] == " "):
-            continue
-        out.append(" " if blank else c)
-        at.append(k)
-    return "".join(out), at
+def folded(c: str) -> str:
+    """Lower case, where that is one character, so that places stay true."""
+    low = c.lower()
+    return low if len(low) == 1 else c
+
+
+@cache
+def _same_folded() -> dict[str, str]:
+    """Of each character what else folds to it."""
+    out: dict[str, str] = defaultdict(str)
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if folded(c) != c:
+            out[folded(c)] += c
+    return out
+
+
+def phrase_pattern(term: str, match_case: bool = False) -> str | None:
+    """A pattern that Java and Python read alike, for ``term`` with any white space between its words; null if it has none."""
+
+    def one(c: str) -> str:
+        low = folded(c)
+        same = c if match_case else low + _same_folded().get(low, "")
+        return "[" + "".join(f"\\u{ord(x):04x}" if ord(x) < 0x10000 else x for x in same) + "]"
+
+    words = [w for w in re.split(BLANK + "+", term) if w]
+    return f"{BLANK}+".join("".join(map(one, w)) for w in words) or None
+
+
+def _search(term: str, match_case: bool, whole_word: bool, overlapping: bool) -> re.Pattern[str] | None:
+    own = phrase_pattern(term, match_case)
+    if own is None:
+        return None
+    own = rf"(?<![^\W_]){own}(?![^\W_])" if whole_word else own
+    return re.compile(f"(?=({own}))" if overlapping else f"({own})")
 
 
 def occurrences(text: str, term: str, match_case: bool = False, whole_word: bool = False, overlapping: bool = False) -> list[tuple[int, int]]:
-    """(start, length) in the text as it is; case is folded a character at a time, so places stay true."""
-    flat, at = collapse(text)
-    want = collapse(term)[0].strip()
-    if not want or not flat.strip():
-        return []
-    if not match_case:
-        flat, want = ("".join(x if len(x := c.lower()) == 1 else c for c in s) for s in (flat, want))
-    hits, k = [], flat.find(want)
-    while k >= 0:
-        end = k + len(want)
-        inside = whole_word and (flat[k - 1 : k].isalnum() or flat[end : end + 1].isalnum())
-        if not inside:
-            hits.append((at[k], at[end - 1] - at[k] + 1))
-        k = flat.find(want, k + 1 if inside or overlapping else end)
-    return hits
+    """(start, length) in the text as it is; case is folded a character at a time."""
+    search = _search(term, match_case, whole_word, overlapping)
+    return [(m.start(1), m.end(1) - m.start(1)) for m in search.finditer(text)] if search else []
 
 
 def snippet(text: str, start: int, length: int, context: int = 44) -> str:
@@ -48,20 +65,20 @@ def snippet(text: str, start: int, length: int, context: int = 44) -> str:
 
 
 def find_phrases(pages: DataFrame, term: str, match_case: bool = False, whole_word: bool = False, overlapping: bool = False, key: str = "doc_id") -> DataFrame:
-    """One row a hit. One narrow pass; ASCII terms drop pages that lack one of their words before Python sees them.
+    """One row a hit. One narrow pass; only texts with a hit (of whole words or not) reach Python, which gives the places.
 
     Null and empty texts and blank terms give no hits; repeated rows give theirs each.
     """
-    slim = pages.select(F.col(key).cast("bigint").alias(key), "text").where("text is not null")
-    for word in set(collapse(term)[0].split()) if term.isascii() else ():
-        slim = slim.where(F.contains("text", F.lit(word)) if match_case else F.contains(F.lower("text"), F.lit(word.lower())) | F.col("text").rlike(r"[^\x00-\x7F]"))
+    own = phrase_pattern(term, match_case)
+    slim = pages.select(F.col(key).cast("bigint").alias(key), "text").where(F.lit(False) if own is None else F.col("text").rlike(own))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _search(term, match_case, whole_word, overlapping)
         for b in batches:
             out = []
             for k, t in zip(b.column(key).to_pylist(), b.column("text"), strict=True):
                 text = t.as_py()
-                out += [(k, n, s, size, snippet(text, s, size)) for n, (s, size) in enumerate(occurrences(text, term, match_case, whole_word, overlapping))]
+                out += [(k, n, m.start(1), m.end(1) - m.start(1), snippet(text, m.start(1), m.end(1) - m.start(1))) for n, m in enumerate(search.finditer(text))]
             columns = list(zip(*out, strict=True)) or [()] * 5
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "ord", "char_start", "length", "snippet"])
@@ -69,7 +86,19 @@ def find_phrases(pages: DataFrame, term: str, match_case: bool = False, whole_wo
     return slim.mapInArrow(rows, HITS.format(key=key))
 
 
+def phrase_count(text: Column, term: str, match_case: bool = False) -> Column:
+    """How often a text holds the term, as :func:`find_phrases` counts without further options; null counts as empty."""
+    own = phrase_pattern(term, match_case)
+    return F.lit(0) if own is None else F.coalesce(F.regexp_count(text, F.lit(own)), F.lit(0))
+
+
 def search_totals(files: DataFrame, hits: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row: files, files with hits and hits in all."""
     each = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return files.select(F.col(key).cast("bigint").alias(key)).join(each, key, "left").agg(F.count(F.lit(1)).alias("files"), F.count("n").alias("files_with_hits"), F.coalesce(F.sum("n"), F.lit(0)).alias("hits"))
+
+
+def phrase_totals(files: DataFrame, term: str, match_case: bool = False) -> DataFrame:
+    """The same of a table ``(text)`` in one native pass, without the hits' places."""
+    n = files.select(phrase_count(F.col("text"), term, match_case).alias("n"))
+    return n.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("n") > 0).alias("files_with_hits"), F.coalesce(F.sum("n"), F.lit(0)).alias("hits"))

@@ -112,7 +112,7 @@ def _stamped(s, d):
 
 QUERIES = {
     "phrase_options": lambda s, d: ph.find_phrases(table(s, d, "documents"), "of the", whole_word=True),
-    "phrase_totals": lambda s, d: ph.search_totals(table(s, d, "documents"), ph.find_phrases(table(s, d, "documents"), "the")),
+    "phrase_totals": lambda s, d: ph.phrase_totals(table(s, d, "documents"), "the"),
     "snap_points": _snapped,
     "free_boxes": lambda s, d: pl.without_overlap(*boxes(s, d), "key").select("key", "pid"),
     "watermarks": lambda s, d: pl.watermarks(_stamped(s, d)),
@@ -158,6 +158,11 @@ def _count(test: str) -> str:
 
 
 ORACLES = {
+    "phrase_options": r"""WITH m AS (SELECT doc_id, text, string_split_regex(text, '(?i)of\s+the') AS p, regexp_extract_all(text, '(?i)of\s+the') AS h FROM documents WHERE regexp_matches(text, '(?i)of\s+the')),
+ e AS (SELECT doc_id, text, h[i] AS hit, list_sum(list_transform(p[:i], lambda x: length(x)))::INT + coalesce(list_sum(list_transform(h[:i - 1], lambda x: length(x))), 0)::INT AS pos, i FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM m)),
+ w AS (SELECT *, length(hit)::INT AS length, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord FROM e WHERE NOT regexp_matches(substr(text, pos, (pos > 0)::INT), '[\pL\pN]') AND NOT regexp_matches(substr(text, pos + length(hit) + 1, 1), '[\pL\pN]'))
+ SELECT doc_id, ord::INT AS ord, pos AS char_start, length, (CASE WHEN pos > 44 THEN '…' ELSE '' END) || trim(regexp_replace(substr(text, greatest(pos - 44, 0) + 1, pos + length + 44 - greatest(pos - 44, 0)), '\s+', ' ', 'g'))
+  || (CASE WHEN pos + length + 44 < length(text) THEN '…' ELSE '' END) AS snippet FROM w""",
     "phrase_totals": "SELECT count(*) AS files, count(*) FILTER (n > 0) AS files_with_hits, sum(n)::BIGINT AS hits FROM (SELECT len(regexp_extract_all(text, '(?i:the)')) AS n FROM documents)",
     "snap_points": f"""WITH t AS (SELECT *, greatest(0, least(1, ((x - x0) * dx + (y - y0) * 10) / (dx * dx + 100))) AS t FROM {_PAIRS}),
  c AS (SELECT key, pid, 0 AS kind, sqrt((x0 - x) ** 2 + (y0 - y) ** 2) AS d FROM t UNION ALL SELECT key, pid, 0, sqrt((x1 - x) ** 2 + (y1 - y) ** 2) FROM t

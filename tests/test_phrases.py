@@ -1,6 +1,8 @@
 """Phrase search: options, places in the text as it is, totals and streams."""
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from pagemill.operators import phrases as ph
 from pagemill.operators import places as pl
@@ -16,6 +18,11 @@ from pagemill.streaming.progress import progressive_search, stream_totals
         ("Of  the\nOF THE of\0the", "of the", {}, [0, 8, 15]),
         ("Of the of the", "of the", {"match_case": True}, [7]),
         ("İx of the", "OF the", {}, [3]),
+        ("\u212aelvin kelvin", "Kelvin", {}, [0, 7]),
+        ("ΣΟΦΟΣ σοφοσ 𐐀 𐐨", "σοφοσ 𐐨", {}, [6]),
+        ("a.b axb A.B", "a.b", {}, [0, 8]),
+        ("a_b a b", "a", {"whole_word": True}, [0, 4]),
+        ("été Été", "ÉTÉ", {"whole_word": True}, [0, 4]),
         ("", "a", {}, []),
         (" \n", "a", {}, []),
         ("text", "  ", {}, []),
@@ -43,6 +50,42 @@ def test_find_phrases_and_totals(spark):
     assert tuple(ph.search_totals(df.dropDuplicates(["doc_id"]), hits).first()) == (4, 1, 3)
 
 
+def by_characters(text, term, match_case, whole_word, overlapping):
+    """The search a character at a time over the text with its white space collapsed."""
+    flat, at = "", []
+    for k, c in enumerate(text):
+        blank = c.isspace() or c == "\0"
+        if not (blank and flat[-1:] in ("", " ")):
+            flat, at = flat + (" " if blank else c), [*at, k]
+    want = " ".join(term.replace("\0", " ").split())
+    if not match_case:
+        flat, want = ("".join(map(ph.folded, x)) for x in (flat, want))
+    hits, k = [], flat.find(want) if want else -1
+    while k >= 0:
+        end = k + len(want)
+        inside = whole_word and (flat[max(k - 1, 0) : k].isalnum() or flat[end : end + 1].isalnum())
+        if not inside:
+            hits.append((at[k], at[end - 1] - at[k] + 1))
+        k = flat.find(want, k + 1 if inside or overlapping else end)
+    return hits
+
+
+@given(st.text("aAbk\u212aİıß.,_ \n\0\x85\u2009é", max_size=40), st.text("aAbKkİß. \0", max_size=4), st.booleans(), st.booleans(), st.booleans())
+def test_against_a_search_by_characters(text, term, match_case, whole_word, overlapping):
+    options = (match_case, whole_word, overlapping)
+    assert ph.occurrences(text, term, *options) == by_characters(text, term, *options)
+
+
+def test_counts_are_those_of_the_hits(spark):
+    texts = ["of the of\u2003the", "OF\0\nTHE", "\u212aof the.", "ofthe", "", None, "𐐀 of the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for term in ("of the", "k", "𐐨 OF", "", " . "):
+        got = [r.n for r in df.orderBy("doc_id").select(ph.phrase_count(df.text, term).alias("n")).collect()]
+        hits = {r.doc_id: r["count"] for r in ph.find_phrases(df, term).groupBy("doc_id").count().collect()}
+        assert got == [len(ph.occurrences(t or "", term)) for t in texts] == [hits.get(k, 0) for k in range(len(texts))]
+        assert tuple(ph.phrase_totals(df, term).first()) == tuple(ph.search_totals(df, ph.find_phrases(df, term)).first())
+
+
 def test_streams(spark, tmp_path):
     df = spark.createDataFrame([(k, "of the" if k % 2 else "no") for k in range(10)], "doc_id bigint, text string")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
