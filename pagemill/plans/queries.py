@@ -9,7 +9,7 @@ from ..functions.text import ellipsize, margin_key, normalise, safe_name, slug,
 from ..operators import analysis as an
 from ..operators.phrases import find_phrases
 from ..sources.tables import book_pages, csv_cell, lines, links, table, tsv_cell
-from . import areas, layout, markup, structure
+from . import areas, layout, markup, records, structure
 from .fixtures import CASE_LINES, NORM, case_lines, clause_lines
 
 
@@ -37,7 +37,7 @@ def _points(spark, d):
 
 KIND = "CASE key % 4 WHEN 0 THEN 'Distance' WHEN 1 THEN 'Perimeter' WHEN 2 THEN 'Note' ELSE 'Area' END"
 
-QUERIES = structure.QUERIES | layout.QUERIES | markup.QUERIES | areas.QUERIES | {
+QUERIES = structure.QUERIES | layout.QUERIES | markup.QUERIES | areas.QUERIES | records.QUERIES | {
     "phrase_hits": _hits,
     "repeated_lines": lambda s, d: an.repeated_lines(book_pages(table(s, d, "documents")), 0.1),
     "margin_keys": lambda s, d: lines(table(s, d, "documents")).groupBy(margin_key(normalise(F.col("text"))).alias("line_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
@@ -57,7 +57,7 @@ QUERIES = structure.QUERIES | layout.QUERIES | markup.QUERIES | areas.QUERIES |
     ),
 }
 
-ORACLES = structure.ORACLES | layout.ORACLES | markup.ORACLES | areas.ORACLES | {
+ORACLES = structure.ORACLES | layout.ORACLES | markup.ORACLES | areas.ORACLES | records.ORACLES | {
     "repeated_lines": f"""WITH p AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page_no, text FROM documents),
  n AS (SELECT book, count(*) AS n_pages FROM p WHERE {NORM.format('text')} <> '' GROUP BY 1),
  l AS (SELECT book, page_no, {NORM.format('line')} AS line FROM (SELECT book, page_no, unnest(string_split(text, chr(10))) AS line FROM p)),

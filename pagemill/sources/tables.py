@@ -11,6 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arriving(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
+    """The table as a stream of its files, whether it is one file or a folder of them (a pattern stands for both)."""
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 #: Ids that are numbered together, so that one source may hold any share of the rows.
 RANGE = 1 << 17
 
