@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import grades as gr
+from ..functions import lines as ln
 from ..operators import addresses as ad
+from ..operators import clause_cache as cc
+from ..operators import html_documents as ht
 from ..operators.bookmarks import read_outline
-from ..sources.tables import arriving, table
+from ..sources.tables import arriving, lines, table
 from ..streaming import progress as pr
 
 #: A book for each of 97 groups of customers, its orders the top entries, their items below; the last order points back to
@@ -58,7 +62,36 @@ def _catalog(s, d):
     return now.select("path", "hash")
 
 
+def _html_items(s, d):
+    """Lines as items of pages of 40, every seventh a heading, some with numbers, notes and found issues."""
+    t = lines(table(s, d, "documents")).selectExpr("doc_id", "line_no div 40 AS page_no", "line_no AS k", "text")
+    own = F.expr("CASE WHEN k % 14 = 3 THEN concat(k % 4 + 1, '.', k % 3 + 1, ' Z', text) WHEN k % 5 = 1 THEN concat('NOTE ', text) ELSE text END")
+    return t.withColumn("text", own).selectExpr("doc_id", "page_no", "k AS ord", "text", "k % 7 = 3 AS is_heading", "if(k % 11 = 0, array('unmapped', 'a\"b'), null) AS issues")
+
+
+def _html(s, d):
+    labels = _html_items(s, d).where("page_no % 2 = 0").selectExpr("doc_id", "page_no", "concat('<', page_no, '>') AS label")
+    bodies = ht.html_bodies(_html_items(s, d), labels=labels)
+    return bodies.select("doc_id", ht.html_file(F.concat(F.lit("Book "), F.col("doc_id")), F.col("contents"), F.col("body")).alias("html"))
+
+
+def _cached(s, d):
+    """Customers' orders as clauses; a third of the even customers' texts has an entry that is usable, the rest older or cut ones."""
+    line = F.expr("concat(o_orderkey % 9 + 1, '.', o_orderkey % 7 + 1, ' Order ', o_orderstatus)")
+    rows = table(s, d, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))).alias("all"))
+    docs = rows.select("doc_id", F.array_join(F.transform("all", lambda x: x["l"]), "\n").alias("text"))
+    split = lambda t: lines(t).selectExpr("doc_id", "line_no div 6 AS page_no", "line_no", "text")
+    folder = pr.stream_folder(s)
+    for kind, payload, version in ((0, "payload", 1), (2, "left(payload, length(payload) - 5)", 1), (4, "payload", 0)):
+        made = cc.new_entries(docs.where(F.col("doc_id") % 6 == kind), cc.read_entries(s, folder), split)
+        made.selectExpr("hash", f"{version} AS version", f"{payload} AS payload").write.mode("append").parquet(folder)
+    found = cc.cached_clauses(docs, folder, split)
+    return found.groupBy("doc_id", "cached").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "number"))), lambda x: x["number"]), ",").alias("numbers"))
+
+
 QUERIES = {
+    "html_documents": _html,
+    "clause_cache": _cached,
     "outline_pointers": lambda s, d: read_outline(_pointers(s, d)),
     "found_addresses": lambda s, d: ad.find_addresses(_printed(s, d)),
     "address_rects": _rects,
@@ -71,7 +104,23 @@ _FOUND = f"""(WITH m AS (SELECT doc_id, string_split_regex(text, $r${ad.ADDRESS}
  e AS (SELECT doc_id, h[i] AS a, (i - 1)::INT AS ord, (list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[:i - 1], lambda x: length(x))), 0))::INT AS char_start FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM m))
  SELECT doc_id, ord, char_start, length(a)::INT AS length, CASE WHEN lower(a) LIKE 'www.%' THEN 'http://' WHEN regexp_matches(lower(a), '^(http|ftp|mailto:)') THEN '' ELSE 'mailto:' END || a AS target FROM e)"""
 
+_ESC = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
 ORACLES = {
+    "html_documents": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+ t AS (SELECT doc_id, k, k // 40 AS p, k % 7 = 3 AS head, CASE WHEN k % 14 = 3 THEN concat(k % 4 + 1, '.', k % 3 + 1, ' Z', raw) WHEN k % 5 = 1 THEN 'NOTE ' || raw ELSE raw END AS text FROM l),
+ n AS (SELECT *, regexp_extract(text, '{ln.BODY_HEADING}', 1) AS num, regexp_extract(text, '^Annex\\s+([A-Z]{{1,2}})\\b', 1) AS annex FROM t WHERE trim(text, ' ') <> ''),
+ b AS (SELECT *, trim(regexp_replace('sec-' || CASE WHEN num <> '' THEN num WHEN annex <> '' THEN annex ELSE left(text, 40) END, '[^A-Za-z0-9.-]+', '-', 'g'), '-') AS base, (CASE WHEN num = '' THEN 2 ELSE least(length(num) - length(replace(num, '.', '')) + 2, 6) END)::VARCHAR AS lv FROM n),
+ i AS (SELECT *, base || CASE WHEN row_number() OVER (PARTITION BY doc_id, base, head ORDER BY k) = 1 THEN '' ELSE '-' || row_number() OVER (PARTITION BY doc_id, base, head ORDER BY k) END AS id, {_ESC.format('text')} AS e,
+  concat_ws(' ', CASE WHEN regexp_matches(text, '^NOTE\\b') THEN 'note' END, CASE WHEN k % 11 = 0 THEN 'suspect' WHEN regexp_matches(text, '{gr.MATHS}') THEN 'check' END) AS cls FROM b),
+ h AS (SELECT doc_id, k, CASE WHEN p IS DISTINCT FROM lag(p) OVER (PARTITION BY doc_id ORDER BY k) THEN concat('<div class="page" id="page-', p + 1, '" data-page="', p + 1, '"><span>p. ', CASE WHEN p % 2 = 0 THEN '&lt;' || p || '&gt;' ELSE (p + 1)::VARCHAR END, '</span></div>', chr(10)) ELSE '' END ||
+  CASE WHEN head THEN concat('<h', lv, ' id="', id, '" data-page="', p + 1, '">', e, '</h', lv, '>') ELSE concat('<p', CASE WHEN cls <> '' THEN concat(' class="', cls, '"') END, CASE WHEN k % 11 = 0 THEN ' title="unmapped; a&quot;b"' END, '>', e, '</p>') END AS x,
+  CASE WHEN head THEN concat('<li class="l', lv, '"><a href="#', id, '">', e, '</a></li>') END AS c FROM i),
+ g AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY k) AS body, string_agg(c, chr(10) ORDER BY k) AS contents FROM h GROUP BY 1)
+ SELECT doc_id, concat('<!DOCTYPE html>', chr(10), '<html lang="en">', chr(10), '<head>', chr(10), '<meta charset="utf-8">', chr(10), '<title>Book ', doc_id, '</title>', chr(10), '</head>', chr(10), '<body>', chr(10), '<header><h1>Book ', doc_id, '</h1></header>', chr(10),
+  CASE WHEN contents IS NOT NULL THEN concat('<nav><details><summary>Contents</summary><ul>', chr(10), contents, chr(10), '</ul></details></nav>', chr(10)) END, '<main>', chr(10), body, chr(10), '</main>', chr(10), '</body>', chr(10), '</html>', chr(10)) AS html FROM g""",
+    "clause_cache": """WITH n AS (SELECT DISTINCT o_custkey AS doc_id, o_orderkey % 9 + 1 AS a, o_orderkey % 7 + 1 AS b FROM orders), u AS (SELECT doc_id, a, b, concat(a, '.', b) AS number FROM n UNION ALL SELECT DISTINCT doc_id, a, 0, a::VARCHAR FROM n)
+ SELECT doc_id, doc_id % 6 = 0 AS cached, string_agg(number, ',' ORDER BY a, b) AS numbers FROM u GROUP BY 1""",
     "outline_pointers": f"""WITH RECURSIVE n AS ({ENTRIES}), w AS (SELECT r.doc_id, r.child AS node, [0] AS path, [r.child] AS seen FROM n r WHERE r.node = 0
  UNION ALL SELECT w.doc_id, t.node, CASE WHEN k = 0 THEN list_append(path, 0) ELSE list_append(path[:-2], path[-1] + 1) END, CASE WHEN k = 0 THEN [t.node] ELSE list_append(seen, t.node) END
   FROM w JOIN n v ON v.doc_id = w.doc_id AND v.node = w.node CROSS JOIN (VALUES (0), (1)) s(k) JOIN n t ON t.doc_id = w.doc_id AND t.node = CASE WHEN k = 0 THEN v.child ELSE v.next END
