@@ -2,37 +2,51 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.scratch import cut
+from ..sources.scratch import Tables
 from .annotations import OUTLINE_DEPTH, OUTLINE_NODES
 
 AT = ["doc_id", "node"]
 
 
-def sibling_lists(pointers: DataFrame) -> DataFrame:
-    """``(doc_id, node, child, next)`` -> ``(doc_id, parent, node, pos)``: the entries of each parent's list, from 0.
+def sibling_lists(pointers: DataFrame, tables: Tables) -> tuple[DataFrame, list[DataFrame]]:
+    """``(doc_id, node, child, next)``, a row an entry -> ``(doc_id, parent, node, pos)``: the entries of each parent's list, from 0.
 
     Pointer doubling: a round of jumps twice as long as the last doubles what is known of every list, so rounds grow
     with the logarithm of the longest list and a list, however long, is no single task. A list that runs back into
-    itself ends there; pointers to entries that are not in the table end it too. No list is followed beyond the 8,000
-    entries that an outline may have.
+    itself ends there. One that a round has not made longer is whole, and later rounds leave it alone. A pointer to an
+    entry that is not in the table ends a list, with that entry as its last. No list is followed beyond the 8,000 entries that
+    an outline may have. The second result are the stored tables that the first reads.
     """
-    jump = cut(pointers.where("next is not null").groupBy(*AT).agg(F.min("next").alias("to")).join(pointers.select("doc_id", F.col("node").alias("to")).distinct(), ["doc_id", "to"]))
-    heads = pointers.where("child is not null").groupBy("doc_id", F.col("node").alias("parent")).agg(F.min("child").alias("node"))
-    known = cut(heads.join(pointers.select(*AT).distinct(), AT).select("doc_id", "parent", "node", F.lit(0).alias("pos")))
-    n, reach = known.count(), 1
-    while reach < OUTLINE_NODES:
-        further = known.join(jump, AT).select("doc_id", "parent", F.col("to").alias("node"), (F.col("pos") + reach).alias("pos"))
-        known = cut(known.unionByName(further).groupBy("doc_id", "parent", "node").agg(F.min("pos").alias("pos")))
-        before, n = n, known.count()
-        if n == before:
+    jump = tables.put(pointers.where("next is not null").select(*AT, F.col("next").alias("to")))
+    live = pointers.where("child is not null").select("doc_id", F.col("node").alias("parent"), F.col("child").alias("node"), F.lit(0).alias("pos"))
+    whole, held, reach = [], [], 1
+    while True:
+        further = live.join(jump, AT).select("doc_id", "parent", F.col("to").alias("node"), (F.col("pos") + reach).alias("pos"))
+        # A list has at most twice 8,000 rows here.
+        once = live.unionByName(further).repartition("doc_id", "parent").groupBy("doc_id", "parent", "node").agg(F.min("pos").alias("pos"))
+        grown = tables.put(once.withColumn("grew", F.max("pos").over(W.partitionBy("doc_id", "parent")) >= reach))
+        held.append(grown)
+        live = grown.where("grew").drop("grew")
+        whole.append(grown.where("not grew").drop("grew"))
+        del further, once
+        tables.tidy()
+        reach *= 2
+        if reach >= OUTLINE_NODES or live.isEmpty():
             break
         then = jump.select("doc_id", F.col("node").alias("to"), F.col("to").alias("then"))
-        jump, reach = cut(jump.join(then, ["doc_id", "to"]).select(*AT, F.col("then").alias("to"))), reach * 2
-    return known
+        longer = tables.put(jump.join(then, ["doc_id", "to"]).select(*AT, F.col("then").alias("to")))
+        tables.drop(jump)
+        jump = longer
+        del then, longer
+        tables.tidy()
+    tables.drop(jump)
+    return reduce(DataFrame.unionByName, whole, live), held
 
 
 def read_outline(pointers: DataFrame, root: int = 0) -> DataFrame:
@@ -45,21 +59,31 @@ def read_outline(pointers: DataFrame, root: int = 0) -> DataFrame:
     are their own ancestors has no way from the root and is left out. Null titles are empty; of repeated rows of an
     entry the smallest counts. An empty table gives an empty outline.
     """
-    once = pointers.where("doc_id is not null and node is not null").groupBy(*AT).agg(F.min(F.struct("child", "next", "title", "page_no")).alias("e")).select(*AT, "e.*")
-    once = cut(once)
-    lists = sibling_lists(once)
+    tables = Tables(pointers.sparkSession)
+    once = tables.put(pointers.where("doc_id is not null and node is not null").groupBy(*AT).agg(F.min(F.struct("child", "next", "title", "page_no")).alias("e")).select(*AT, "e.*"))
+    tables.tidy()
+    lists, held = sibling_lists(once, tables)
     inside = lists.select("doc_id", F.col("node").alias("parent")).distinct()
-    held = lists.where(F.col("parent") == root).unionByName(lists.where(F.col("parent") != root).join(inside, ["doc_id", "parent"], "left_semi"))
-    own = held.where(F.col("node") != root).groupBy(*AT).agg(F.min(F.struct((F.col("parent") != root).alias("_o"), "parent", "pos")).alias("p"))
-    paths = cut(own.select(*AT, F.col("p.parent").alias("top"), F.array("p.pos").alias("path")))
+    led = lists.where(F.col("parent") == root).unionByName(lists.where(F.col("parent") != root).join(inside, ["doc_id", "parent"], "left_semi"))
+    own = led.where(F.col("node") != root).groupBy(*AT).agg(F.min(F.struct((F.col("parent") != root).alias("_o"), "parent", "pos")).alias("p"))
+    paths = tables.put(own.select(*AT, F.col("p.parent").alias("top"), F.array("p.pos").alias("path")))
+    tables.drop(*held)
+    del lists, held, inside, led, own
+    tables.tidy()
     # After a round each path has twice its length or has come to the root; what is longer than 32 never comes there.
     levels = 1
     while levels < OUTLINE_DEPTH:
         above = paths.select("doc_id", F.col("node").alias("top"), F.col("top").alias("further"), F.col("path").alias("more"))
         both = paths.where(F.col("top") != root).join(above, ["doc_id", "top"])
         longer = both.select(*AT, F.col("further").alias("top"), F.concat("more", "path").alias("path"))
-        paths, levels = cut(paths.where(F.col("top") == root).unionByName(longer)), levels * 2
+        further = tables.put(paths.where(F.col("top") == root).unionByName(longer))
+        tables.drop(paths)
+        paths, levels = further, levels * 2
+        del above, both, longer, further
+        tables.tidy()
     placed = paths.where(F.col("top") == root).select(*AT, "path", (F.size("path") - 1).alias("depth"))
+    # Pointers to entries that are not in the table end here.
+    known = placed.join(once.select(*AT, "title", "page_no"), AT)
     ord_ = F.row_number().over(W.partitionBy("doc_id").orderBy("path", "node")) - 1
-    first = placed.withColumn("ord", ord_).where(F.col("ord") < OUTLINE_NODES)
-    return first.join(once.select(*AT, "title", "page_no"), AT).select("doc_id", "ord", "depth", "node", F.coalesce("title", F.lit("")).alias("title"), "page_no")
+    first = known.withColumn("ord", ord_).where(F.col("ord") < OUTLINE_NODES)
+    return first.select("doc_id", "ord", "depth", "node", F.coalesce("title", F.lit("")).alias("title"), "page_no")

@@ -1,8 +1,10 @@
 """Outlines from pointers, against a walk from entry to entry."""
 
 import random
+from pathlib import Path
 
 from pagemill.operators.bookmarks import read_outline
+from pagemill.sources.scratch import shared_folder
 
 SCHEMA = "doc_id bigint, node int, child int, next int, title string, page_no int"
 
@@ -55,3 +57,13 @@ def test_damaged_and_empty_outlines(spark):
     got = read_outline(spark.createDataFrame(rows, SCHEMA)).orderBy("ord").collect()
     assert [(r.depth, r.node) for r in got] == [(0, 1), (1, 2), (1, 3)]
     assert read_outline(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_only_what_the_outline_reads_stays_stored(spark):
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    stored = lambda: {p for p in folder.rglob("*") if p.is_dir() and any(x.is_file() for x in p.iterdir())}
+    before = stored()
+    got = read_outline(spark.createDataFrame(tree(1, 200, 5, deep=True) + tree(2, 400, 6), SCHEMA))
+    # The entries, and the ways to them from the root; no round's tables.
+    assert len(stored() - before) == 2
+    assert [r.node for r in got.where("doc_id = 2").orderBy("ord").collect()] == [n for _, n in walk(tree(2, 400, 6))]
