@@ -180,7 +180,13 @@ def merged_rects(chars: DataFrame, *keys: str, overlap: float = 0.35, pad: float
     ``overlap`` of its own height or more. Boxes under half a point in either direction are left out; each is padded a little."""
     box = F.struct("x0", "y0", "x1", "y1")
     rows = chars.where((F.col("x1") - F.col("x0") >= 0.5) & (F.col("y1") - F.col("y0") >= 0.5)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", box.alias("b")))).alias("all"))
+    return rects_in_order(rows, *keys, overlap=overlap, pad=pad)
+
+
+def rects_in_order(rows: DataFrame, *keys: str, overlap: float = 0.35, pad: float = 0.12) -> DataFrame:
+    """:func:`merged_rects` of rows ``(keys, all)`` that have their characters ``(seq, b)``, b a box, in order: one narrow pass."""
     kind = "array<struct<x0: double, y0: double, x1: double, y1: double>>"
+    large = F.filter("all", lambda c: (c["b"]["x1"] - c["b"]["x0"] >= 0.5) & (c["b"]["y1"] - c["b"]["y0"] >= 0.5))
 
     def step(done: Column, item: Column) -> Column:
         c, last = item["b"], F.try_element_at(done, F.lit(-1))
@@ -189,7 +195,7 @@ def merged_rects(chars: DataFrame, *keys: str, overlap: float = 0.35, pad: float
         goes_on = F.coalesce(shared >= overlap * (c["y1"] - c["y0"]), F.lit(False))
         return F.when(goes_on, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(done, F.array(c)))
 
-    found = rows.select(*keys, F.posexplode(F.aggregate("all", F.array().cast(kind), step)).alias("rect", "r"))
+    found = rows.select(*keys, F.posexplode(F.aggregate(large, F.array().cast(kind), step)).alias("rect", "r"))
     edge = (F.col("r.y1") - F.col("r.y0")) * pad
     return found.select(*keys, "rect", F.col("r.x0").alias("x0"), (F.col("r.y0") - edge).alias("y0"), F.col("r.x1").alias("x1"), (F.col("r.y1") + edge).alias("y1"))
 

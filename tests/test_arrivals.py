@@ -1,8 +1,10 @@
 """Streams whose results are stored: restarts, batches that come again, catalogs; addresses in texts."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.operators import addresses as ad
+from pagemill.plans.queries import QUERIES
 from pagemill.streaming import progress as pr
 
 TEXTS = "doc_id bigint, source string, text string"
@@ -88,3 +90,17 @@ def test_an_address_over_two_lines_has_two_rectangles(spark):
     chars = spark.createDataFrame([(1, k, 10.0 * (k % 10), 20.0 * (k // 10), 10.0 * (k % 10) + 10, 20.0 * (k // 10) + 10) for k in range(30)], "doc_id bigint, seq int, x0 double, y0 double, x1 double, y1 double")
     got = ad.address_rects(found, chars).orderBy("rect").collect()
     assert [(r.x0, r.x1) for r in got] == [(80.0, 100.0), (0.0, 20.0)]
+
+
+def test_rectangles_of_texts_set_by_a_rule(spark):
+    rows = [(d, "".join("x" * (7 * d + k) + f" see http://a.org/{'y' * 9 * k} " for k in range(5))) for d in range(6)]
+    found = ad.find_addresses(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    # Every 50th character has no width.
+    box = {"x0": "10.0D * (seq % 30)", "y0": "20.0D * (seq div 30)", "x1": "10.0D * (seq % 30) + if(seq % 50 = 0, 0, 10)", "y1": "20.0D * (seq div 30) + 10"}
+    chars = spark.range(6).selectExpr("id AS doc_id", "explode(sequence(0, 400)) AS seq").selectExpr("doc_id", "seq", *(f"{e} AS {c}" for c, e in box.items()))
+    rule = lambda k: F.struct((10.0 * (k % 30)).alias("x0"), (20.0 * F.floor(k / 30)).alias("y0"), (10.0 * (k % 30) + F.when(k % 50 == 0, 0).otherwise(10)).alias("x1"), (20.0 * F.floor(k / 30) + 10).alias("y1"))
+    names = ["doc_id", "ord", "rect", "target", "x0", "y0", "x1", "y1"]
+    get = lambda c: sorted(map(tuple, ad.address_rects(found, c).select(names).collect()))
+    assert get(rule) == get(chars)
+    # The query makes no row a character, so nothing is exchanged.
+    assert "Exchange" not in QUERIES["address_rects"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
