@@ -150,10 +150,11 @@ def flow(paragraphs: DataFrame, markers: DataFrame | None = None, hidden: DataFr
     """
     t = F.col("text")
     none = lambda c: F.lit(None).cast(c)
-    dotted = F.regexp_extract("text", ln.BODY_HEADING, 1)
+    # Only markers are held against heads.
+    dotted, head = (F.regexp_extract("text", ln.BODY_HEADING, 1), F.left(t, F.lit(HEAD))) if markers is not None else (F.lit(""), F.lit(""))
     printed = F.when(F.length(t) <= 120, ln.printed_heading(t)) if markers is not None else F.when(ln.is_heading(t), t)
     events = paragraphs.select(
-        "doc_id", "page_no", F.lit(2).alias("kind"), F.col("seq").alias("ord"), F.left(t, F.lit(HEAD)).alias("head"), F.length(t).alias("size"), none("string").alias("number"), dotted.alias("dotted"),
+        "doc_id", "page_no", F.lit(2).alias("kind"), F.col("seq").alias("ord"), head.alias("head"), F.length(t).alias("size"), none("string").alias("number"), dotted.alias("dotted"),
         printed.alias("printed"), F.transform("units", F.length).alias("sizes"), F.transform("units", lambda u: F.length(F.trim(u))).alias("stripped"),
     )
     if markers is not None:
@@ -220,7 +221,11 @@ def packed(paragraphs: DataFrame, flowed: DataFrame, carried: int) -> DataFrame:
 
     A chunk that follows a full one has the last ``carried`` characters of that one as its context, from a whole word on.
     """
-    both = paragraphs.select("doc_id", "page_no", "seq", "units").join(flowed, ["doc_id", "page_no", "seq"])
+    # Both meet by document in one exchange, and whatever follows stays where they met.
+    at, its = ["doc_id", "page_no", "seq"], ["section", "chunk", "carried"]
+    none = lambda df, *names: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names]
+    rows = paragraphs.select(*at, "units", *none(flowed, *its)).unionByName(flowed.select(*at, *none(paragraphs, "units"), *its)).repartition("doc_id")
+    both = rows.groupBy(*at).agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("units", *its)))
     each = both.select("doc_id", "page_no", "seq", "section", F.posexplode(F.arrays_zip("units", "chunk", "carried")).alias("unit", "u"))
     # All units of a chunk fit its budget.
     parts = F.array_sort(F.collect_list(F.struct("page_no", "seq", "unit", "section", F.col("u.units").alias("text"))))

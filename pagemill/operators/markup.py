@@ -108,19 +108,28 @@ def outline_titles(headings: DataFrame, outline: DataFrame) -> DataFrame:
     return headings.join(first, ["doc_id", "number"], "left").withColumn("title", F.coalesce("_t", "title")).drop("_t")
 
 
+def labels_on_pages(chunks: DataFrame, equations: DataFrame, key: str = "doc_id", ends: tuple[str, str] = ("page_start", "page_end")) -> DataFrame:
+    """``(key, chunk_index, labels)``: the ``equations`` (key, page_no, label) on the pages of each chunk that has any, as
+    (page_no, label) in order."""
+    pages = chunks.select(key, "chunk_index", F.explode(F.sequence(*ends)).alias("page_no"))
+    near = pages.join(equations.where("label <> ''").select(key, "page_no", "label"), [key, "page_no"])
+    return near.groupBy(key, "chunk_index").agg(F.array_sort(F.collect_set(F.struct("page_no", "label"))).alias("labels"))
+
+
+def printed_labels(text: Column, labels: Column) -> Column:
+    """The labels that a text, white space apart, prints."""
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    return F.get(F.transform(F.array(bare(text)), lambda t: F.filter(labels, lambda x: F.contains(t, bare(x["label"])))), F.lit(0))
+
+
 def equations_of_chunks(chunks: DataFrame, equations: DataFrame, key: str = "doc_id", ends: tuple[str, str] = ("page_start", "page_end")) -> DataFrame:
     """``(key, chunk_index, equations)``: of chunks with their first and last page and text, the ``equations`` (key, page_no,
     label) on these pages that the text, white space apart, prints; as (page_no, label) in order.
 
     A chunk's pages meet the equations on them without its text, which is asked only for labels that lie there.
     """
-    bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    pages = chunks.select(key, "chunk_index", F.explode(F.sequence(*ends)).alias("page_no"))
-    near = pages.join(equations.where("label <> ''").select(key, "page_no", "label"), [key, "page_no"])
-    labels = near.groupBy(key, "chunk_index").agg(F.array_sort(F.collect_set(F.struct("page_no", "label"))).alias("labels"))
-    met = chunks.select(key, "chunk_index", bare(F.col("text")).alias("bare")).join(labels, [key, "chunk_index"])
-    found = met.select(key, "chunk_index", F.filter("labels", lambda x: F.contains("bare", bare(x["label"]))).alias("equations"))
-    return found.where(F.size("equations") > 0)
+    met = chunks.select(key, "chunk_index", "text").join(labels_on_pages(chunks, equations, key, ends), [key, "chunk_index"])
+    return met.select(key, "chunk_index", printed_labels(F.col("text"), F.col("labels")).alias("equations")).where(F.size("equations") > 0)
 
 
 def source_runs(pages: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+from pagemill.operators import analysis as an
 from pagemill.operators import chunks as ch
 from pagemill.operators import flow as fl
 
@@ -95,3 +96,24 @@ def test_page_numbers_go_in_margins_only(spark):
     assert list(ch.paragraphs("12\nText of a page.\n3\nxiv", margins=[True, False, False, True])) == ["Text of a page.", "3"]
     rows = spark.createDataFrame([(1, 0, "7\nWords.", "T", [True, False])], P + ", margins array<boolean>")
     assert ch.chunks(rows).first().text.endswith("\n\nWords.")
+
+
+def test_texts_are_exchanged_once_for_packing(spark):
+    p = spark.createDataFrame([(1, 0, k, [f"w{k} " * 9]) for k in range(6)], "doc_id bigint, page_no int, seq int, units array<string>")
+    f = spark.createDataFrame([(1, 0, k, f"s{k // 2}", [k // 3], [k == 3]) for k in range(6)], "doc_id bigint, page_no int, seq int, section string, chunk array<int>, carried array<boolean>")
+    got = fl.packed(p, f, 10)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert [(r.chunk_index, r.sections, r.context_before) for r in got.orderBy("chunk_index").collect()] == [(0, ["s0", "s1"], ""), (1, ["s1", "s2"], "w2 w2 w2")]
+
+
+def test_lines_and_pages_left_out(spark):
+    pages = [(1, p, f"Héader  of all\nText {chr(97 + p)} stands here.", "T") for p in range(5)] + [(1, 5, None, "T"), (2, 0, "Héader of all\nAlone.", "T")]
+    frame = spark.createDataFrame(pages, P)
+    lines = spark.createDataFrame([(1, "Héader of all")], "doc_id long, line string")
+    digests = an.repeated_digests(frame, 0.5, group="doc_id")
+    assert digests.columns == ["doc_id", "digest", "on_pages", "n_pages"] and digests.count() == 1
+    skip = spark.createDataFrame([(1, 2), (1, 2), (3, 0)], "doc_id long, page_no int")
+    get = lambda *left: sorted((r.doc_id, r.page_no, r.text) for r in ch.page_paragraphs(frame, 99, *left).collect())
+    want = [(1, p, f"Text {chr(97 + p)} stands here.") for p in (0, 1, 3, 4)] + [(2, 0, "Héader of all Alone.")]
+    assert get(lines, skip) == get(digests, skip) == want
+    assert len(get(digests)) == 6 and all("Héader" in t for d, _, t in get(None, skip))
