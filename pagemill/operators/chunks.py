@@ -166,7 +166,7 @@ def export(chunked: DataFrame, files: DataFrame, labels: DataFrame, equations: D
     and the ``equations`` (doc_id, page_no, label) on their pages that their text prints.
 
     The chunks are stored in the shared folder, since they are read twice: for their pages, with which all that belongs to a
-    chunk is found, and for the texts, which meet that in one join.
+    chunk is found, and for the texts, which meet that, stored too, in one join.
     """
     tables = Tables(chunked.sparkSession)
     stored = tables.put(chunked)
@@ -177,7 +177,10 @@ def export(chunked: DataFrame, files: DataFrame, labels: DataFrame, equations: D
     for end in ("start", "end"):
         facts = facts.join(labels.select("doc_id", F.col("page_no").alias(f"page_{end}"), F.col("label").alias(f"page_label_{end}")), ["doc_id", f"page_{end}"], "left")
     facts = facts.drop("page_start", "page_end").join(files.select("doc_id", name.alias("source_path"), F.col("title").alias("doc_title")), "doc_id", "left")
-    own = stored.join(facts, ["doc_id", "chunk_index"]).withColumn("equations", printed_labels(F.col("text"), F.col("labels")))
+    found = tables.put(facts)
+    # The plan behind the chunks may have been in use still when their own call asked for its shuffle files to go.
+    tables.tidy()
+    own = stored.join(found, ["doc_id", "chunk_index"]).withColumn("equations", printed_labels(F.col("text"), F.col("labels")))
     own = own.withColumns({f"pdf_page_{end}": F.col(f"page_{end}") + 1 for end in ("start", "end")})
     stem = F.coalesce(F.regexp_replace("source_path", r"\.[^.]*$", ""), F.col("doc_id").cast("string"))
     ident = F.concat(stem, F.lit("#c"), F.lpad(F.col("chunk_index").cast("string"), 4, "0"))
